@@ -102,7 +102,7 @@ def q_token_index(spark, sf_dir):
 def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token index of ``doc_logs``, written once to the shared folder."""
     src = store.materialized_view(spark, sf_dir, "doc_logs")
-    path = src + "-tokens"
+    path = src.rstrip("/") + "-tokens"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         flt.write_token_index(flt.token_index(store.scan_logs(spark, src)), path)
     return spark.read.parquet(path)

@@ -25,9 +25,15 @@ LOGS = T.StructType([
     T.StructField("added", T.TimestampNTZType(), True),
 ])
 
-# On disk the table is partitioned by the UTC date of ``added``.
+# On disk the table is partitioned by ingest batch, then by the UTC date of
+# ``added``: ``<table>/batch=<n>/added_date=<yyyy-mm-dd>/``. One batch's folder
+# is overwritten as a whole, so replaying a batch is idempotent.
 PARTITION_COLUMN = "added_date"
-LOGS_STORED = T.StructType(list(LOGS.fields) + [T.StructField(PARTITION_COLUMN, T.DateType(), True)])
+BATCH_COLUMN = "batch"
+LOGS_STORED = T.StructType(list(LOGS.fields) + [
+    T.StructField(BATCH_COLUMN, T.LongType(), True),
+    T.StructField(PARTITION_COLUMN, T.DateType(), True),
+])
 
 # One incoming event as sent by a source (current wire shape plus the legacy
 # ``timeStamp``); every field is optional so the decoder can decide.

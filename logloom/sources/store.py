@@ -15,26 +15,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import LEVEL_INTS
-from logloom.schema import LOG_COLUMNS, LOGS_STORED, PARTITION_COLUMN
+from logloom.schema import BATCH_COLUMN, LOG_COLUMNS, LOGS_STORED, PARTITION_COLUMN
 from logloom.session import path_exists, shared_dir
 from logloom.sources import fixtures
 
 # Target rows per written file; the write uses ceil(rows / this) range partitions.
 ROWS_PER_FILE = 2_000_000
+# Bumped whenever the on-disk layout changes, so old folders are never mixed in.
+STORE_VERSION = "v2"
 
 
 def with_partition_column(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, F.to_date(F.col("added")))
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append", num_files: int | None = None) -> None:
-    """Write rows of the 12-column schema to the table at ``path``."""
+def write_logs(df: DataFrame, path: str, batch: int = 0, num_files: int | None = None) -> None:
+    """Write rows of the 12-column schema as batch ``batch`` of the table at
+    ``path``. The batch's folder is replaced as a whole (idempotent replay)."""
     df = with_partition_column(df.select(*LOG_COLUMNS))
     if num_files is None:
         num_files = max(1, df.sparkSession.sparkContext.defaultParallelism)
     (df.repartitionByRange(num_files, PARTITION_COLUMN, "app", "added", "id")
        .sortWithinPartitions(PARTITION_COLUMN, "app", "added", "id")
-       .write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path))
+       .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{path}/{BATCH_COLUMN}={batch}"))
 
 
 def valid_rows(df: DataFrame) -> Column:
@@ -44,7 +47,7 @@ def valid_rows(df: DataFrame) -> Column:
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     """The raw stored table (12 columns plus the partition column), no checks."""
-    return spark.read.schema(LOGS_STORED).parquet(path)
+    return spark.read.schema(LOGS_STORED).option("basePath", path).parquet(path)
 
 
 def scan_logs(spark: SparkSession, path: str, keep_partition: bool = True) -> DataFrame:
@@ -76,9 +79,10 @@ def materialized_view(spark: SparkSession, sf_dir: str, name: str = "logs") -> s
     """Write a log-shaped fixture view (``logs`` or ``doc_logs``) to the shared
     folder once and return its path; later calls reuse it."""
     base = fixtures.DEPENDS[name][0]
-    path = f"{shared_dir(spark)}/logloom-store/{name}-{_source_tag(sf_dir, base)}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        write_logs(fixtures.view(spark, sf_dir, name), path, mode="overwrite")
+    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/{name}-{_source_tag(sf_dir, base)}"
+    if not path_exists(spark, f"{path}/_done/_SUCCESS"):
+        write_logs(fixtures.view(spark, sf_dir, name), path, batch=0)
+        spark.createDataFrame([(1,)], "done int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_done")
     return path
 
 
