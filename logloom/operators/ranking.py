@@ -77,3 +77,35 @@ def range_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
     joined = laid.join(offsets, [*group, "__pid"])
     rank = F.col("__before") + (F.col("__pos") - F.col("__first")) + 1
     return joined.withColumn(rank_col, rank.cast("long")).drop("__pid", "__pos", "__first", "__before")
+
+
+def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: Column,
+                 out_col: str = "cumsum", num_partitions: int | None = None,
+                 checkpoint: bool = True) -> DataFrame:
+    """Running sum of ``value`` inside each group in ``order`` (inclusive),
+    at any group size: a range-partitioned sort, per-(group, partition) totals
+    prefix-summed in a tiny table, then a running sum inside each partition.
+    """
+    spark = df.sparkSession
+    order = _cols(order)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group] + order
+    laid = (df.withColumn("__v", value)
+              .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("__pid", F.spark_partition_id())
+              .withColumn("__pos", F.monotonically_increasing_id()))
+    if checkpoint:
+        laid = laid.checkpoint(eager=True)
+    totals = laid.groupBy(*group, "__pid").agg(F.sum("__v").alias("__t"))
+    w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")
+    if offsets.count() <= BROADCAST_MAX_ROWS:
+        offsets = F.broadcast(offsets)
+    # Inside one (group, partition) slice the rows are already in order; the
+    # window below is partitioned by the slice, which is bounded by the
+    # partition size, never by the group size.
+    inner = Window.partitionBy(*group, "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = laid.withColumn("__run", F.sum("__v").over(inner))
+    joined = local.join(offsets, [*group, "__pid"])
+    return (joined.withColumn(out_col, F.col("__before") + F.col("__run"))
+                  .drop("__v", "__pid", "__pos", "__before", "__run"))

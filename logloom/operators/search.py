@@ -10,6 +10,7 @@ from logloom.functions.text import search_text, tokens
 from logloom.operators.filters import (
     MIN_QUERY_LENGTH, PAGE_STEP, SearchSpec, filter_all,
 )
+from logloom.operators.joins import checked_join
 from logloom.operators.ranking import BROADCAST_MAX_ROWS, SALTED_MAX, range_rank, top_rows_per_group
 from logloom.schema import LOG_COLUMNS
 
@@ -79,8 +80,8 @@ def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True) ->
     """
     keyed, unkeyed = _spec_keys(specs)
     logs = logs.select(*LOG_COLUMNS)
-    a = logs.join(_maybe_broadcast(keyed), ["app", "level"])
-    b = logs.join(_maybe_broadcast(unkeyed), ["level"])
+    a = checked_join(logs, keyed, ["app", "level"])
+    b = checked_join(logs, unkeyed, ["level"])
     m = a.unionByName(b)
     in_time = (F.col("from_ts").isNull() | (F.col("added") >= F.col("from_ts"))) & \
               (F.col("to_ts").isNull() | (F.col("added") <= F.col("to_ts")))
