@@ -13,15 +13,19 @@ from logloom.session import path_exists
 from logloom.sources import store
 
 
-def next_id_base(spark: SparkSession, path: str) -> int:
-    """The largest id stored so far (0 for a new table).
+def next_id_base(spark: SparkSession, path: str, before_batch: int | None = None) -> int:
+    """The largest id stored so far (0 for a new table); with ``before_batch``,
+    only batches before it count, so a replayed batch gets the same ids.
 
     Reads the per-batch id high-water marks kept next to the table; only a
     table written without them (an imported one) is aggregated once.
     """
     marks = f"{path}/_ids"
     if path_exists(spark, marks):
-        row = spark.read.parquet(marks).agg(F.max("max_id")).first()
+        m = spark.read.parquet(marks)
+        if before_batch is not None:
+            m = m.where(F.col(BATCH_COLUMN) < before_batch)
+        row = m.agg(F.max("max_id")).first()
         if row and row[0] is not None:
             return int(row[0])
     if path_exists(spark, path):

@@ -1 +1,100 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming runs.
+
+Each run reads a table of ``sf_dir`` as a file stream, runs with
+``trigger(availableNow=True)`` into new folders under the shared folder, and
+returns what the sink holds afterwards.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from logloom.operators.filters import SearchSpec
+from logloom.plans.ingest_plans import ACCEPTED_SQL, ENRICHED_COLS
+from logloom.plans.registry import query
+from logloom.plans.search_plans import logs
+from logloom.session import fresh_path
+from logloom.sources import fixtures
+from logloom.streaming import streams as st
+
+LIVE_SPEC = SearchSpec(apps=("app2", "app6"), level="warn", from_=dt.datetime(2024, 1, 20),
+                       limit=50, offset=0, order="desc")
+TIMEOUT_S = 1800
+
+
+def _run(q) -> None:
+    q.awaitTermination(TIMEOUT_S)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("stream did not finish")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def logs_stream(spark, sf_dir, copies: int = 1):
+    ev = st.file_stream(spark, sf_dir, "events")
+    for _ in range(copies - 1):
+        ev = ev.unionByName(st.file_stream(spark, sf_dir, "events"))
+    return fixtures.view_over(spark, "logs", events=ev)
+
+
+@query("ingest_stream", f"""{ACCEPTED_SQL}
+select {', '.join(ENRICHED_COLS)} from enr""")
+def q_ingest_stream(spark, sf_dir):
+    """Raw batches land as files; the stream decodes, appends (one ingest
+    batch per micro-batch) and publishes the stored rows, read back here."""
+    inbox = fresh_path(spark, "inbox")
+    fixtures.raw_batches(spark, sf_dir).repartition(4, "batch_id").write.parquet(inbox)
+    table, updates, ckpt = fresh_path(spark, "table"), fresh_path(spark, "updates"), fresh_path(spark, "ckpt")
+    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=1), table, updates, ckpt, available_now=True))
+    return spark.read.parquet(updates).select(*ENRICHED_COLS)
+
+
+@query("live_tail", f"""{fixtures.duck_cte('logs')}
+select id, app, level from logs where app in ('app2', 'app6') and level in (40, 50, 60)""")
+def q_live_tail(spark, sf_dir):
+    out, ckpt = fresh_path(spark, "tail"), fresh_path(spark, "ckpt")
+    _run(st.live_tail(logs_stream(spark, sf_dir), LIVE_SPEC, out, ckpt, available_now=True))
+    return spark.read.parquet(out).select("id", "app", "level")
+
+
+@query("history_then_tail", f"""{fixtures.duck_cte('logs')},
+page as (select id, added from logs where app in ('app2', 'app6') and level in (40, 50, 60)
+           and added >= timestamp '2024-01-20 00:00:00' order by added desc, id desc limit 50)
+select 0 as part, cast(1 as bigint) as seq, 'loading' as kind, cast(null as bigint) as id
+union all select 1, row_number() over (order by added, id), 'events', id from page
+union all select 2, null, 'events', id from logs where app in ('app2', 'app6') and level in (40, 50, 60)
+  and id not in (select id from page)""")
+def q_history_then_tail(spark, sf_dir):
+    out, ckpt = fresh_path(spark, "htt"), fresh_path(spark, "ckpt")
+    _run(st.history_then_tail(logs(spark, sf_dir), logs_stream(spark, sf_dir), LIVE_SPEC, out, ckpt,
+                              available_now=True))
+    return spark.read.parquet(f"{out}/head").unionByName(spark.read.parquet(f"{out}/tail"))
+
+
+@query("tail_dedupe", f"""{fixtures.duck_cte('logs')}
+select id, app from logs""")
+def q_tail_dedupe(spark, sf_dir):
+    """The events arrive twice (two readers of the same files); the watermark
+    de-duplication lets each id through once."""
+    out, ckpt = fresh_path(spark, "dedupe"), fresh_path(spark, "ckpt")
+    deduped = st.tail_dedupe(logs_stream(spark, sf_dir, copies=2).select("id", "app", "added"))
+    q = (deduped.writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    _run(q)
+    return spark.read.parquet(out).select("id", "app")
+
+
+@query("presence_stream", f"""{fixtures.duck_cte('presence')}
+select conn_id, arg_min(app, seq) as app, min(case when action = 'joined' then seq end) as joined_seq
+from presence group by conn_id having arg_max(action, seq) = 'joined'""")
+def q_presence_stream(spark, sf_dir):
+    """Connection events stream in (files of presence events); every
+    micro-batch publishes the full snapshot; the last one is returned."""
+    inbox = fresh_path(spark, "presence-in")
+    fixtures.view(spark, sf_dir, "presence").repartitionByRange(4, "seq").write.parquet(inbox)
+    out, ckpt = fresh_path(spark, "presence"), fresh_path(spark, "ckpt")
+    _run(st.presence_stream(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
+    return spark.read.parquet(f"{out}/current").select("conn_id", "app", "joined_seq")

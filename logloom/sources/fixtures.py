@@ -213,3 +213,8 @@ def raw_batches(spark: SparkSession, sf_dir: str, hand_written: bool = True) ->
         "batch_id long, raw string, app string, address string, client string, user_agent string",
     )
     return gen.unionByName(hand)
+
+
+def view_over(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
+    """A fixture view over given DataFrames (e.g. a stream of ``events``)."""
+    return spark.sql(render(name, "spark"), **inputs)
