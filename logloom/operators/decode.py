@@ -33,85 +33,112 @@ INVALID_EVENT, INVALID_TIMESTAMP, NO_TIMESTAMP = "Invalid event.", "Invalid time
 EVENT_FIELDS = ["pos", "timestamp", "message", "logger", "thread", "level", "stacktrace"]
 
 
-def _decode_event(e: Column, i: Column, legacy: str) -> Column:
+def _extract(e: Column) -> Column:
+    """Stage 1: each field looked up once (its variant type, and its value)."""
     def typ(path: str) -> Column:
         return F.schema_of_variant(F.variant_get(e, path, "variant"))
 
     def text(path: str) -> Column:
         return F.try_variant_get(e, path, "string")
 
-    def is_(path: str, *types: str) -> Column:
+    return F.struct(
+        typ("$.message").alias("t_message"), typ("$.loggerName").alias("t_logger"),
+        typ("$.threadName").alias("t_thread"), typ("$.stackTrace").alias("t_stack"),
+        typ("$.level").alias("t_level"), typ("$.timestamp").alias("t_ts"),
+        typ("$.isoTimestamp").alias("t_iso"), typ("$.timeFormatted").alias("t_formatted"),
+        text("$.message").alias("message"), text("$.loggerName").alias("logger"),
+        text("$.threadName").alias("thread"), text("$.stackTrace").alias("stacktrace"),
+        text("$.level").alias("level_text"), text("$.timestamp").alias("ts_text"),
+        text("$.isoTimestamp").alias("iso_text"),
+        F.try_variant_get(e, "$.timestamp", "bigint").alias("ms"),
+        F.try_variant_get(e, "$.timeStamp", "bigint").alias("legacy_ms"),
+    )
+
+
+def _classify(x: Column, legacy: str) -> Column:
+    """Stage 2: which decoder applies (typed, current, legacy) and its values."""
+    def is_(field: str, *types: str) -> Column:
         """Null-safe: false when the field is absent."""
-        return F.coalesce(typ(path).isin(*types), F.lit(False))
-
-    def optional_string(path: str) -> Column:
-        return typ(path).isNull() | is_(path, "STRING", "VOID")
-
-    strings_ok = is_("$.message", "STRING") & is_("$.loggerName", "STRING") & \
-        is_("$.threadName", "STRING") & optional_string("$.stackTrace")
-    level_text = F.when(is_("$.level", "STRING"), text("$.level"))
-    level = level_int(level_text)
-    has_level = level.isNotNull()
-
-    # 1. typed: an ISO instant string in ``timestamp``
-    typed_ts = iso_instant_parse(F.when(is_("$.timestamp", "STRING"), text("$.timestamp")))
-    typed_ok = strings_ok & has_level & typed_ts.isNotNull()
-
-    # 2. current shape
-    ms = F.try_variant_get(e, "$.timestamp", "bigint")
-    ts_field_ok = typ("$.timestamp").isNull() | is_("$.timestamp", "VOID") | ms.isNotNull()
-    current_ok = strings_ok & has_level & optional_string("$.isoTimestamp") & \
-        optional_string("$.timeFormatted") & ts_field_ok
-    iso_present = is_("$.isoTimestamp", "STRING")
-    iso_ts = iso_instant_parse(text("$.isoTimestamp"))
-    legacy_ms = F.try_variant_get(e, "$.timeStamp", "bigint")
-    plain_ms = ms if legacy == "strict" else F.coalesce(ms, legacy_ms)
-    current_ts = F.when(iso_present, iso_ts).otherwise(millis_to_ts(plain_ms))
-    current_err = (F.when(iso_present & iso_ts.isNull(), F.lit(INVALID_TIMESTAMP))
-                    .when(~iso_present & plain_ms.isNull(), F.lit(NO_TIMESTAMP)))
-
-    # 3. legacy shape, only when the current one does not decode
-    legacy_ok = strings_ok & legacy_ms.isNotNull() & is_("$.timeFormatted", "STRING") & is_("$.level", "STRING")
-
-    use_current = ~typed_ok & current_ok
-    use_legacy = ~typed_ok & ~current_ok & legacy_ok
-    ok = typed_ok | (use_current & current_err.isNull()) | use_legacy
-    ts = (F.when(typed_ok, typed_ts).when(use_current, current_ts)
-           .when(use_legacy, millis_to_ts(legacy_ms)))
-    lvl = F.when(use_legacy, F.coalesce(level, F.lit(LEVEL_BY_NAME["info"]))).otherwise(level)
+        return F.coalesce(x[field].isin(*types), F.lit(False))
+
+    def optional_string(field: str) -> Column:
+        return x[field].isNull() | is_(field, "STRING", "VOID")
+
+    strings_ok = is_("t_message", "STRING") & is_("t_logger", "STRING") & is_("t_thread", "STRING") & \
+        optional_string("t_stack")
+    level = level_int(F.when(is_("t_level", "STRING"), x["level_text"]))
+    typed_ts = iso_instant_parse(F.when(is_("t_ts", "STRING"), x["ts_text"]))
+    ts_field_ok = x["t_ts"].isNull() | is_("t_ts", "VOID") | x["ms"].isNotNull()
+    plain_ms = x["ms"] if legacy == "strict" else F.coalesce(x["ms"], x["legacy_ms"])
+    return F.struct(
+        (strings_ok & level.isNotNull() & typed_ts.isNotNull()).alias("typed_ok"),
+        (strings_ok & level.isNotNull() & optional_string("t_iso") & optional_string("t_formatted")
+         & ts_field_ok).alias("current_ok"),
+        (strings_ok & x["legacy_ms"].isNotNull() & is_("t_formatted", "STRING") & is_("t_level", "STRING"))
+        .alias("legacy_ok"),
+        is_("t_iso", "STRING").alias("iso_present"),
+        iso_instant_parse(x["iso_text"]).alias("iso_ts"),
+        typed_ts.alias("typed_ts"), plain_ms.alias("plain_ms"), x["legacy_ms"].alias("legacy_ms"),
+        level.alias("level"), x["message"].alias("message"), x["logger"].alias("logger"),
+        x["thread"].alias("thread"), x["stacktrace"].alias("stacktrace"),
+    )
+
+
+def _finish(y: Column, i: Column) -> Column:
+    """Stage 3: the first decoder that applies wins; its time and level."""
+    use_typed = y["typed_ok"]
+    use_current = ~use_typed & y["current_ok"]
+    use_legacy = ~use_typed & ~y["current_ok"] & y["legacy_ok"]
+    current_err = (F.when(y["iso_present"] & y["iso_ts"].isNull(), F.lit(INVALID_TIMESTAMP))
+                    .when(~y["iso_present"] & y["plain_ms"].isNull(), F.lit(NO_TIMESTAMP)))
+    current_ts = F.when(y["iso_present"], y["iso_ts"]).otherwise(millis_to_ts(y["plain_ms"]))
+    ok = use_typed | (use_current & current_err.isNull()) | use_legacy
+    ts = (F.when(use_typed, y["typed_ts"]).when(use_current, current_ts)
+           .when(use_legacy, millis_to_ts(y["legacy_ms"])))
+    lvl = F.when(use_legacy, F.coalesce(y["level"], F.lit(LEVEL_BY_NAME["info"]))).otherwise(y["level"])
     reason = F.when(ok, F.lit(None)).when(use_current, current_err).otherwise(F.lit(INVALID_EVENT))
     return F.struct(
-        ok.alias("ok"), reason.alias("reason"), i.cast("long").alias("pos"),
-        truncate_millis(ts).alias("timestamp"), text("$.message").alias("message"),
-        text("$.loggerName").alias("logger"), text("$.threadName").alias("thread"),
-        lvl.cast("int").alias("level"), text("$.stackTrace").alias("stacktrace"),
+        ok.alias("ok"), reason.cast("string").alias("reason"), i.cast("long").alias("pos"),
+        truncate_millis(ts).alias("timestamp"), y["message"].alias("message"), y["logger"].alias("logger"),
+        y["thread"].alias("thread"), lvl.cast("int").alias("level"), y["stacktrace"].alias("stacktrace"),
     )
 
 
 def decode_batches(raw: DataFrame, col: str = "raw", legacy: str = "strict") -> DataFrame:
     """Adds ``ok``, ``reason``, ``decoded`` (array of event structs) and
-    ``n_events`` to each raw batch row."""
+    ``n_events`` to each raw batch row.
+
+    Higher-order functions run interpreted, so the work is split into three
+    small stages whose results are kept as columns (each stage is computed
+    once, not re-inlined into the next).
+    """
     if legacy not in ("strict", "lenient"):
         raise ValueError("legacy must be 'strict' or 'lenient'")
-    v = F.try_parse_json(F.col(col))
-    events = F.try_variant_get(v, "$.events", "array<variant>")
-    decoded = F.transform(events, lambda e, i: _decode_event(e, i, legacy))
-    first_bad = F.try_element_at(F.filter(decoded, lambda x: ~x["ok"]), F.lit(1))["reason"]
-    reason = (F.when(v.isNull(), F.lit(MALFORMED))
-               .when(events.isNull(), F.lit(MISSING_EVENTS))
+    df = raw.withColumn("__v", F.try_parse_json(F.col(col)))
+    df = df.withColumn("__events", F.try_variant_get(F.col("__v"), "$.events", "array<variant>"))
+    df = df.withColumn("__f", F.transform("__events", _extract))
+    df = df.withColumn("__g", F.transform("__f", lambda x: _classify(x, legacy)))
+    df = df.withColumn("decoded", F.transform("__g", _finish))
+    first_bad = F.try_element_at(F.filter("decoded", lambda x: ~x["ok"]), F.lit(1))["reason"]
+    reason = (F.when(F.col("__v").isNull(), F.lit(MALFORMED))
+               .when(F.col("__events").isNull(), F.lit(MISSING_EVENTS))
                .otherwise(first_bad))
-    return (raw.withColumn("decoded", decoded)
-               .withColumn("reason", reason)
-               .withColumn("ok", F.col("reason").isNull())
-               .withColumn("n_events", F.size(F.coalesce("decoded", F.array()))))
+    return (df.withColumn("reason", reason)
+              .withColumn("ok", F.col("reason").isNull())
+              .withColumn("n_events", F.size(F.coalesce("decoded", F.array())))
+              .drop("__v", "__events", "__f", "__g"))
 
 
 def decode_events(raw: DataFrame, col: str = "raw", legacy: str = "strict") -> DataFrame:
     """One row per event of every accepted batch: the batch's other columns,
     then pos, timestamp, message, logger, thread, level, stacktrace."""
     d = decode_batches(raw, col, legacy).where("ok")
-    keep = [c for c in raw.columns if c != col]
-    exploded = d.select(*keep, F.explode("decoded").alias("e"))
+    return explode_decoded(d, [c for c in raw.columns if c != col])
+
+
+def explode_decoded(decoded: DataFrame, keep: list[str]) -> DataFrame:
+    """Accepted batches (from ``decode_batches``) → one row per event."""
+    exploded = decoded.select(*keep, F.explode("decoded").alias("e"))
     return exploded.select(*keep, *[F.col("e")[f].alias(f) for f in EVENT_FIELDS])
 
 

@@ -54,13 +54,18 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
     Rejected messages go to ``updates/_rejected``.
     """
     def each(batch: DataFrame, epoch: int) -> None:
-        decoded = dec.decode_batches(batch, "raw", legacy)
-        rejected = decoded.where(~F.col("ok")).drop("decoded", "ok", "n_events")
-        rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
-        rows = dec.enrich_source(dec.decode_events(batch, "raw", legacy))
-        base = ing.next_id_base(batch.sparkSession, table, before_batch=epoch)
-        written = ing.append_logs(rows, table, batch=epoch, base=base)
-        written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
+        # Decoded once per micro-batch and reused by every write below; the
+        # source files can always be re-read if a cached block is lost.
+        decoded = dec.decode_batches(batch, "raw", legacy).persist()
+        try:
+            rejected = decoded.where(~F.col("ok")).drop("decoded", "ok", "n_events")
+            rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
+            rows = dec.enrich_source(dec.explode_decoded(decoded.where("ok"), [c for c in batch.columns if c != "raw"]))
+            base = ing.next_id_base(batch.sparkSession, table, before_batch=epoch)
+            written = ing.append_logs(rows, table, batch=epoch, base=base)
+            written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
+        finally:
+            decoded.unpersist()
 
     writer = raw_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _start(writer, available_now)
