@@ -17,24 +17,25 @@ def next_id_base(spark: SparkSession, path: str, before_batch: int | None = None
     """The largest id stored so far (0 for a new table); with ``before_batch``,
     only batches before it count, so a replayed batch gets the same ids.
 
-    Reads the per-batch id high-water marks kept next to the table; only a
-    table written without them (an imported one) is aggregated once.
+    Reads the per-batch id high-water marks kept next to the table; only when
+    no mark applies (an imported table) are the stored ids aggregated, pruned
+    to the batch folders that count.
     """
+    def earlier(df: DataFrame) -> DataFrame:
+        return df if before_batch is None else df.where(F.col(BATCH_COLUMN) < before_batch)
+
     marks = f"{path}/_ids"
     if path_exists(spark, marks):
-        m = spark.read.parquet(marks)
-        if before_batch is not None:
-            m = m.where(F.col(BATCH_COLUMN) < before_batch)
-        row = m.agg(F.max("max_id")).first()
+        row = earlier(spark.read.parquet(marks)).agg(F.max("max_id")).first()
         if row and row[0] is not None:
             return int(row[0])
-    if path_exists(spark, path):
-        try:
-            row = store.read_stored(spark, path).agg(F.max("id")).first()
-            return int(row[0]) if row and row[0] is not None else 0
-        except Exception:  # noqa: BLE001 - an empty folder has no files to read
-            return 0
-    return 0
+    if not path_exists(spark, path):
+        return 0
+    try:
+        row = earlier(store.read_stored(spark, path)).agg(F.max("id")).first()
+    except Exception:  # noqa: BLE001 - a folder without data files has nothing to read
+        return 0
+    return int(row[0]) if row and row[0] is not None else 0
 
 
 def now_millis() -> dt.datetime:

@@ -38,7 +38,8 @@ def top_rows_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Colu
     ``order`` must be a total order within a group (ties broken by a unique key).
     """
     order = _cols(order)
-    salt = salt_of if salt_of is not None else F.pmod(F.xxhash64(*order), F.lit(salts))
+    # Salt by a hash of the whole row unless the caller gives one.
+    salt = salt_of if salt_of is not None else F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
     w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
     first = (df.withColumn("__salt", salt)
                .withColumn("__hi", hi)
