@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from logloom.functions.levels import LEVEL_INTS
 from logloom.functions.text import search_text, tokens
 from logloom.operators.filters import (
-    MIN_QUERY_LENGTH, PAGE_STEP, SearchSpec, filter_all,
+    MIN_QUERY_LENGTH, PAGE_STEP, SearchSpec, filter_all, time_predicate,
 )
 from logloom.operators.joins import checked_join
 from logloom.operators.ranking import BROADCAST_MAX_ROWS, SALTED_MAX, range_rank, top_rows_per_group
-from logloom.schema import LOG_COLUMNS
+from logloom.schema import LOG_COLUMNS, PARTITION_COLUMN
 
 
 def sort_added(df: DataFrame, order: str = "desc") -> DataFrame:
@@ -79,7 +79,7 @@ def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True) ->
     lim, off, ord, q, min_level).
     """
     keyed, unkeyed = _spec_keys(specs)
-    logs = logs.select(*LOG_COLUMNS)
+    logs = _envelope_filter(logs, specs).select(*LOG_COLUMNS)
     a = checked_join(logs, keyed, ["app", "level"])
     b = checked_join(logs, unkeyed, ["level"])
     m = a.unionByName(b)
@@ -92,6 +92,23 @@ def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True) ->
     return m
 
 
+def _envelope_filter(logs: DataFrame, specs: DataFrame) -> DataFrame:
+    """Push the envelope of all specs' time ranges into the scan: rows older
+    than every spec's ``from`` (or newer than every ``to``) match no spec.
+    One aggregate over the small spec table; on the stored table this prunes
+    whole date partitions."""
+    env = specs.agg(
+        F.min("from_ts").alias("lo"), F.max(F.col("from_ts").isNull().cast("int")).alias("open_lo"),
+        F.max("to_ts").alias("hi"), F.max(F.col("to_ts").isNull().cast("int")).alias("open_hi"),
+    ).first()
+    if env is None:
+        return logs
+    lo = env["lo"] if not env["open_lo"] else None
+    hi = env["hi"] if not env["open_hi"] else None
+    pred = time_predicate(lo, hi, PARTITION_COLUMN in logs.columns)
+    return logs if pred is None else logs.where(pred)
+
+
 def _order_keys() -> list[Column]:
     """Per-spec direction as sort keys: ascending keys, negated for desc."""
     sign = F.when(F.col("ord") == "asc", F.lit(1)).otherwise(F.lit(-1))
