@@ -60,18 +60,13 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     """Append enriched events (batch_id, pos, app, address, timestamp, message,
     logger, thread, level, client, user_agent, stacktrace) as ingest batch
     ``batch``: ids increase in (batch_id, pos) order, ``added`` is the ingest
-    time. An empty input writes nothing. Returns the rows as stored, read back
+    time. An empty input writes no rows. Returns the rows as stored, read back
     by id, with their batch_id and pos.
 
     Replaying the same ``batch`` rewrites the same folder, so a retried
     micro-batch never duplicates rows.
     """
     spark = rows.sparkSession
-    if rows.isEmpty():
-        return rows.limit(0).select(
-            "batch_id", "pos", F.lit(None).cast("long").alias("id"),
-            *[c for c in LOG_COLUMNS if c not in ("id", "added")],
-            F.lit(None).cast("timestamp_ntz").alias("added"))
     if base is None:
         base = next_id_base(spark, path)
     stamped = assign_ids(rows, base, added or now_millis())

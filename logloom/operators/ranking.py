@@ -73,7 +73,9 @@ def range_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
     counts = laid.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    if offsets.count() <= BROADCAST_MAX_ROWS:
+    # Without groups the table has at most ``n`` rows (one per partition): a
+    # proven bound. With groups, count it first.
+    if not group or offsets.count() <= BROADCAST_MAX_ROWS:
         offsets = F.broadcast(offsets)
     joined = laid.join(offsets, [*group, "__pid"])
     rank = F.col("__before") + (F.col("__pos") - F.col("__first")) + 1
@@ -100,7 +102,7 @@ def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     totals = laid.groupBy(*group, "__pid").agg(F.sum("__v").alias("__t"))
     w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__before", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")
-    if offsets.count() <= BROADCAST_MAX_ROWS:
+    if not group or offsets.count() <= BROADCAST_MAX_ROWS:
         offsets = F.broadcast(offsets)
     # Inside one (group, partition) slice the rows are already in order; the
     # window below is partitioned by the slice, which is bounded by the

@@ -37,7 +37,8 @@ enr as (select d.batch_id, d.pos, c.app, c.address, d.timestamp, d.message, d.lo
 
 
 def raw(spark, sf_dir):
-    return fixtures.raw_batches(spark, sf_dir)
+    """The raw messages (written once from the fixture batches, then read)."""
+    return store.raw_table(spark, sf_dir)
 
 
 def enriched(spark, sf_dir):

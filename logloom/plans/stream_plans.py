@@ -16,7 +16,7 @@ from logloom.plans.ingest_plans import ACCEPTED_SQL, ENRICHED_COLS
 from logloom.plans.registry import query
 from logloom.plans.search_plans import logs
 from logloom.session import fresh_path
-from logloom.sources import fixtures
+from logloom.sources import fixtures, store
 from logloom.streaming import streams as st
 
 LIVE_SPEC = SearchSpec(apps=("app2", "app6"), level="warn", from_=dt.datetime(2024, 1, 20),
@@ -45,10 +45,9 @@ select {', '.join(ENRICHED_COLS)} from enr""")
 def q_ingest_stream(spark, sf_dir):
     """Raw batches land as files; the stream decodes, appends (one ingest
     batch per micro-batch) and publishes the stored rows, read back here."""
-    inbox = fresh_path(spark, "inbox")
-    fixtures.raw_batches(spark, sf_dir).repartition(4, "batch_id").write.parquet(inbox)
+    inbox = store.materialized_raw(spark, sf_dir, num_files=4)
     table, updates, ckpt = fresh_path(spark, "table"), fresh_path(spark, "updates"), fresh_path(spark, "ckpt")
-    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=1), table, updates, ckpt, available_now=True))
+    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=2), table, updates, ckpt, available_now=True))
     return spark.read.parquet(updates).select(*ENRICHED_COLS)
 
 

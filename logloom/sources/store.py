@@ -89,3 +89,16 @@ def materialized_view(spark: SparkSession, sf_dir: str, name: str = "logs") -> s
 def logs_table(spark: SparkSession, sf_dir: str, name: str = "logs") -> DataFrame:
     """The stored ``logs`` (or ``doc_logs``) table for ``sf_dir``, scanned."""
     return scan_logs(spark, materialized_view(spark, sf_dir, name))
+
+
+def materialized_raw(spark: SparkSession, sf_dir: str, num_files: int = 4) -> str:
+    """The raw JSON batches of ``sf_dir`` written once as Parquet files (an
+    inbox of messages, as sources would leave them); later calls reuse it."""
+    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/raw-{_source_tag(sf_dir, 'events')}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        fixtures.raw_batches(spark, sf_dir).repartition(num_files, "batch_id").write.mode("overwrite").parquet(path)
+    return path
+
+
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(materialized_raw(spark, sf_dir))
