@@ -63,11 +63,48 @@ def to_wire(df: DataFrame) -> DataFrame:
     return df.select("id", F.to_json(event_struct(), TO_JSON_OPTS).alias("json"))
 
 
+def wire_meta(event: str, apps: Column | str, level: Column | str, from_: Column | str, to: Column | str,
+              limit: Column | str, offset: Column | str, q: Column | str) -> Column:
+    """A ``loading`` / ``noData`` frame echoing the search: apps, level name,
+    time range as Helsinki minutes, limits and query (nulls printed)."""
+    from logloom.functions.timefmt import helsinki_minute
+
+    def c(x):
+        return F.col(x) if isinstance(x, str) else x
+
+    meta = F.struct(
+        F.coalesce(c(apps), F.array().cast("array<string>")).alias("apps"),
+        level_name(c(level)).alias("level"),
+        F.struct(helsinki_minute(c(from_)).alias("from"), helsinki_minute(c(to)).alias("to")).alias("timeRange"),
+        F.struct(c(limit).alias("limit"), c(offset).alias("offset")).alias("limits"),
+        c(q).alias("query"),
+    )
+    return F.to_json(F.struct(F.lit(event).alias("event"), meta.alias("meta")), TO_JSON_OPTS)
+
+
+def source_struct() -> Column:
+    """One connected source as the admin feed shows it."""
+    return F.struct(
+        F.col("app").alias("name"), F.col("address").alias("remoteAddress"),
+        F.col("user_agent").alias("userAgent"), F.col("conn_id").cast("string").alias("id"),
+        ts_to_millis("joined").alias("joined"), iso_instant_format("joined").alias("joinedFormatted"),
+        display_time("joined").alias("timeJoined"),
+    )
+
+
 def wire_batch(events_json: Column) -> Column:
     """An array of event JSON texts → the tagged batch ``{"events":[...],"event":"events"}``."""
     return F.concat(F.lit('{"events":['), F.array_join(events_json, ","), F.lit('],"event":"events"}'))
 
 
+def wire_batches(rows: DataFrame, key: str = "batch_id", order: str = "pos") -> DataFrame:
+    """One tagged ``events`` frame per ingest message, events in message order.
+    A group is one message, so its size is bounded by the message size."""
+    per_event = rows.select(key, order, F.to_json(event_struct(), TO_JSON_OPTS).alias("json"))
+    grouped = per_event.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "json"))).alias("items"))
+    return grouped.select(key, wire_batch(F.transform("items", lambda x: x["json"])).alias("json"))
+
+
 def severity_class(c: Column | str = "level") -> Column:
     """error → danger, warn → warning, everything else → info."""
     c = F.col(c) if isinstance(c, str) else c

@@ -29,5 +29,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from logloom.plans import (  # noqa: F401
-        search_plans, function_plans, registry_plans, ingest_plans, routing_plans, stream_plans,
+        search_plans, function_plans, registry_plans, ingest_plans, routing_plans, stream_plans, wire_plans,
     )
