@@ -165,7 +165,8 @@ def write_token_index(index: DataFrame, path: str, num_files: int | None = None)
     """Store the index range-partitioned and sorted by token, so a lookup of a
     few tokens reads only the row groups whose token range covers them."""
     if num_files is None:
-        num_files = max(1, index.sparkSession.sparkContext.defaultParallelism)
+        from logloom.session import partitions_for
+        num_files = partitions_for(index.sparkSession, index)
     (index.repartitionByRange(num_files, "token", "id").sortWithinPartitions("token", "id")
           .write.mode("overwrite").parquet(path))
 
@@ -181,6 +182,7 @@ def search_index(index: DataFrame, logs: DataFrame, q: str | None,
     q = search_gate_value(q)
     if q is None:
         return logs
-    words = spark.range(1).select(F.explode(tokens(F.lit(q), stopwords)).alias("token"))
-    ids = index.join(F.broadcast(words), "token", "left_semi").select("id").distinct()
+    # The query's own words, tokenized by the same Column rules (one literal row).
+    words = spark.range(1).select(tokens(F.lit(q), stopwords).alias("w")).first()["w"]
+    ids = index.where(F.col("token").isin(sorted(set(words)))).select("id").distinct()
     return logs.join(ids, "id", "left_semi")

@@ -26,6 +26,14 @@ SALTED_MAX = 100_000
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+def _partitions(df: DataFrame) -> int:
+    """Range partitions: the shuffle setting, or more when the input is larger."""
+    from logloom.session import partitions_for
+
+    spark = df.sparkSession
+    return partitions_for(spark, df, floor=int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _cols(cs: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -63,7 +71,7 @@ def range_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
     """
     spark = df.sparkSession
     order = _cols(order)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _partitions(df)
     keys = [F.col(g) for g in group] + order
     laid = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("__pid", F.spark_partition_id())
@@ -89,9 +97,8 @@ def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     at any group size: a range-partitioned sort, per-(group, partition) totals
     prefix-summed in a tiny table, then a running sum inside each partition.
     """
-    spark = df.sparkSession
     order = _cols(order)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _partitions(df)
     keys = [F.col(g) for g in group] + order
     laid = (df.withColumn("__v", value)
               .repartitionByRange(n, *keys).sortWithinPartitions(*keys)

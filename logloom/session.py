@@ -77,3 +77,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system (works for any scheme)."""
     fs, jpath = _fs(spark, path)
     return bool(fs.exists(jpath))
+
+
+# Target bytes of input per task / output file when sizing partition counts.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, df) -> int:
+    """Bytes of the files a DataFrame reads (listing only, no job)."""
+    total = 0
+    for f in df.inputFiles():
+        fs, jpath = _fs(spark, f)
+        total += int(fs.getFileStatus(jpath).getLen())
+    return total
+
+
+def partitions_for(spark: SparkSession, df, floor: int | None = None,
+                   target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions so that each holds about ``target_bytes`` of the input, and at
+    least ``floor`` (default: the cluster's parallelism)."""
+    if floor is None:
+        floor = spark.sparkContext.defaultParallelism
+    try:
+        by_size = -(-input_bytes(spark, df) // target_bytes)
+    except Exception:  # noqa: BLE001 - streaming or in-memory inputs have no files
+        by_size = 0
+    return max(1, floor, by_size)

@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions.levels import LEVEL_INTS
 from logloom.schema import BATCH_COLUMN, LOG_COLUMNS, LOGS_STORED, PARTITION_COLUMN
-from logloom.session import path_exists, shared_dir
+from logloom.session import partitions_for, path_exists, shared_dir
 from logloom.sources import fixtures
 
-# Target rows per written file; the write uses ceil(rows / this) range partitions.
-ROWS_PER_FILE = 2_000_000
 # Bumped whenever the on-disk layout changes, so old folders are never mixed in.
 STORE_VERSION = "v2"
 
@@ -32,9 +30,9 @@ def with_partition_column(df: DataFrame) -> DataFrame:
 def write_logs(df: DataFrame, path: str, batch: int = 0, num_files: int | None = None) -> None:
     """Write rows of the 12-column schema as batch ``batch`` of the table at
     ``path``. The batch's folder is replaced as a whole (idempotent replay)."""
-    df = with_partition_column(df.select(*LOG_COLUMNS))
     if num_files is None:
-        num_files = max(1, df.sparkSession.sparkContext.defaultParallelism)
+        num_files = partitions_for(df.sparkSession, df)
+    df = with_partition_column(df.select(*LOG_COLUMNS))
     (df.repartitionByRange(num_files, PARTITION_COLUMN, "app", "added", "id")
        .sortWithinPartitions(PARTITION_COLUMN, "app", "added", "id")
        .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{path}/{BATCH_COLUMN}={batch}"))
