@@ -286,12 +286,12 @@ def q_to_event(spark, sf_dir):
 
 
 @query("to_wire", f"""{duck_with(['logs'])}
-select id, to_json(struct_pack(id := id,
+select id, cast(to_json(struct_pack(id := id,
   source := struct_pack(name := app, remoteAddress := address, clientId := client, userAgent := user_agent),
   event := struct_pack(isoTimestamp := {iso_sql('timestamp')}, timestamp := epoch_ms(timestamp),
     timeFormatted := {display_sql('timestamp')}, message := message, loggerName := logger, threadName := thread,
     level := {level_name_sql('level')}, stackTrace := stacktrace),
-  added := epoch_ms(added), addedFormatted := {display_sql('added')})) as json from logs""")
+  added := epoch_ms(added), addedFormatted := {display_sql('added')})) as varchar) as json from logs""")
 def q_to_wire(spark, sf_dir):
     return vw.to_wire(logs(spark, sf_dir))
 

@@ -189,7 +189,7 @@ def specs(spark: SparkSession, sf_dir: str, extra: bool = True) -> DataFrame:
 
 
 SPECS_SQL = f"""
-s as (select spec_id, list_filter(string_split(apps, ','), lambda a: a <> '') as apps, min_level,
+s as (select cast(spec_id as bigint) as spec_id, list_filter(string_split(apps, ','), lambda a: a <> '') as apps, min_level,
         from_ts, to_ts, lim, off, ord, cast(null as varchar) as q from specs
       union all
       select 4, ['app2', 'app4'], 20, timestamp '2024-01-02 00:00:00', cast(null as timestamp), 50, 10, 'asc',

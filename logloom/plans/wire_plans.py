@@ -16,10 +16,10 @@ from logloom.sources import fixtures
 
 
 @query("to_wire_meta", f"""{duck_with(['logs'], ei=(ENCODE_IN_DUCK, ['logs']))}
-select id, to_json(struct_pack(event := case when id % 2 = 0 then 'loading' else 'noData' end,
+select id, cast(to_json(struct_pack(event := case when id % 2 = 0 then 'loading' else 'noData' end,
   meta := struct_pack(apps := apps, level := {level_name_sql('level')},
     timeRange := struct_pack("from" := {_hm('f')}, "to" := {_hm('t')}),
-    limits := struct_pack("limit" := lim, "offset" := off), query := q))) as json from ei""")
+    limits := struct_pack("limit" := lim, "offset" := off), query := q))) as varchar) as json from ei""")
 def q_to_wire_meta(spark, sf_dir):
     """``loading`` (even ids) or ``noData`` frames echoing each request."""
     df = spark_input(spark, sf_dir, ENCODE_IN.replace("{LB}{RB}", "cast(array() as array<string>)"), ["logs"])
@@ -60,9 +60,9 @@ def _open_sources(spark, sf_dir):
 
 
 @query("wire_sources", f"""{SOURCES_SQL}
-select n.conn_id, to_json(struct_pack(name := n.app, remoteAddress := l.address, userAgent := l.user_agent,
+select n.conn_id, cast(to_json(struct_pack(name := n.app, remoteAddress := l.address, userAgent := l.user_agent,
   id := cast(n.conn_id as varchar), joined := epoch_ms(l.timestamp), joinedFormatted := {iso_sql('l.timestamp')},
-  timeJoined := {display_sql('l.timestamp')})) as json
+  timeJoined := {display_sql('l.timestamp')})) as varchar) as json
 from now_open n join logs l on l.id = n.conn_id""")
 def q_wire_sources(spark, sf_dir):
     """Each connected source as an element of the admins' ``sources`` frame."""
@@ -71,8 +71,8 @@ def q_wire_sources(spark, sf_dir):
 
 @query("presence_changes", f"""{fixtures.duck_cte('presence')}
 select seq, conn_id, app, action,
-  sum(case when action = 'joined' then 1 else -1 end) over (order by seq
-      rows between unbounded preceding and current row) as n_connected from presence""")
+  cast(sum(case when action = 'joined' then 1 else -1 end) over (order by seq
+      rows between unbounded preceding and current row) as bigint) as n_connected from presence""")
 def q_presence_changes(spark, sf_dir):
     """Size of the whole connected set after each join/leave (what each admin
     snapshot holds), as a running count without a single-task window."""
