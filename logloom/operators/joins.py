@@ -14,7 +14,7 @@ DEFAULT_SALTS = 64
 
 def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                  salt_key: Sequence[str] = ("id",), salts: int = DEFAULT_SALTS,
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                 max_rows: int = BROADCAST_MAX_ROWS, small_rows: int | None = None) -> DataFrame:
     """Join ``big`` with a request-side table ``small`` on ``on``.
 
     ``small`` is broadcast only after its row count is checked. Past the bound
@@ -22,12 +22,13 @@ def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     ``big`` row goes to one bucket (by a hash of ``salt_key``), so a join key
     with few values (a level, an app holding a third of the rows) spreads over
     ``salts`` times more tasks. Valid for inner, left-semi and left-anti joins
-    (every big row still meets every small row of its key).
+    (every big row still meets every small row of its key). ``small_rows``
+    passes a row count the caller already knows (else it is counted).
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    if small.count() <= max_rows:
+    if (small.count() if small_rows is None else small_rows) <= max_rows:
         return big.join(F.broadcast(small), on, how)
     salted_small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_key]), F.lit(salts)))

@@ -72,16 +72,32 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_MAX_ROWS else df
 
 
-def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True) -> DataFrame:
+def spec_stats(specs: DataFrame):
+    """One aggregate over the (small) spec table: the time envelope, the sizes
+    of both join-key tables, and the widest page."""
+    n_levels = F.size(F.filter(F.array(*[F.lit(n) for n in LEVEL_INTS]),
+                               lambda x: x >= F.coalesce(F.col("min_level"), F.lit(LEVEL_INTS[0]))))
+    n_apps = F.size(F.array_distinct(F.coalesce(F.col("apps"), F.array().cast("array<string>"))))
+    return specs.agg(
+        F.min("from_ts").alias("lo"), F.max(F.col("from_ts").isNull().cast("int")).alias("open_lo"),
+        F.max("to_ts").alias("hi"), F.max(F.col("to_ts").isNull().cast("int")).alias("open_hi"),
+        F.sum(n_apps * n_levels).alias("n_keyed"),
+        F.sum(F.when(n_apps == 0, n_levels).otherwise(0)).alias("n_unkeyed"),
+        F.max(F.coalesce(F.col("off"), F.lit(0)) + F.coalesce(F.col("lim"), F.lit(0))).alias("widest"),
+    ).first()
+
+
+def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True, stats=None) -> DataFrame:
     """Every (spec, row) pair where the row passes the spec's filters.
 
     Output: the 12 log columns plus the spec columns (spec_id, from_ts, to_ts,
     lim, off, ord, q, min_level).
     """
+    stats = stats or spec_stats(specs)
     keyed, unkeyed = _spec_keys(specs)
-    logs = _envelope_filter(logs, specs).select(*LOG_COLUMNS)
-    a = checked_join(logs, keyed, ["app", "level"])
-    b = checked_join(logs, unkeyed, ["level"])
+    logs = _envelope_filter(logs, stats).select(*LOG_COLUMNS)
+    a = checked_join(logs, keyed, ["app", "level"], small_rows=int(stats["n_keyed"] or 0))
+    b = checked_join(logs, unkeyed, ["level"], small_rows=int(stats["n_unkeyed"] or 0))
     m = a.unionByName(b)
     in_time = (F.col("from_ts").isNull() | (F.col("added") >= F.col("from_ts"))) & \
               (F.col("to_ts").isNull() | (F.col("added") <= F.col("to_ts")))
@@ -92,16 +108,11 @@ def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True) ->
     return m
 
 
-def _envelope_filter(logs: DataFrame, specs: DataFrame) -> DataFrame:
+def _envelope_filter(logs: DataFrame, env) -> DataFrame:
     """Push the envelope of all specs' time ranges into the scan: rows older
     than every spec's ``from`` (or newer than every ``to``) match no spec.
-    One aggregate over the small spec table; on the stored table this prunes
-    whole date partitions."""
-    env = specs.agg(
-        F.min("from_ts").alias("lo"), F.max(F.col("from_ts").isNull().cast("int")).alias("open_lo"),
-        F.max("to_ts").alias("hi"), F.max(F.col("to_ts").isNull().cast("int")).alias("open_hi"),
-    ).first()
-    if env is None:
+    On the stored table this prunes whole date partitions."""
+    if env is None or env["open_lo"] is None:
         return logs
     lo = env["lo"] if not env["open_lo"] else None
     hi = env["hi"] if not env["open_hi"] else None
@@ -122,7 +133,8 @@ def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
     Pages up to ``SALTED_MAX`` rows use the salted two-phase top-k; wider ones
     use an exact global rank, so no spec is ever gathered into one task.
     """
-    m = spec_matches(logs, specs)
+    stats = spec_stats(specs)
+    m = spec_matches(logs, specs, stats=stats)
     hi = F.coalesce(F.col("off"), F.lit(0)) + F.coalesce(F.col("lim"), F.lit(0))
     lo = F.coalesce(F.col("off"), F.lit(0))
     narrow = m.where(hi <= SALTED_MAX)
@@ -130,7 +142,7 @@ def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
     top = top_rows_per_group(narrow, ["spec_id"], _order_keys(), lo.cast("long"), hi.cast("long"))
     out_cols = ["spec_id", "rank", *LOG_COLUMNS]
     result = top.select(*out_cols)
-    if specs.where((F.coalesce("off", F.lit(0)) + F.coalesce("lim", F.lit(0))) > SALTED_MAX).limit(1).count():
+    if (stats["widest"] or 0) > SALTED_MAX:
         ranked = range_rank(wide, ["spec_id"], _order_keys())
         result = result.unionByName(
             ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select(*out_cols))

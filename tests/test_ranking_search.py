@@ -102,3 +102,15 @@ def test_page_links_step_is_fixed(spark):
     df = spark.createDataFrame([(1, 0), (2, 499), (3, 500), (4, 1200)], "spec_id long, off int")
     got = {r.spec_id: (r.prev_offset, r.next_offset) for r in srch.page_links(df).collect()}
     assert got == {1: (None, 500), 2: (None, 999), 3: (0, 1000), 4: (700, 1700)}
+
+
+def test_salted_join_equals_broadcast_join(spark):
+    from logloom.operators.joins import checked_join
+
+    big = skewed(spark).withColumnRenamed("g", "key")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("g3", 3), ("zz", 4)], "key string, tag long")
+    for how in ("inner", "left_semi", "left_anti"):
+        a = checked_join(big, small, ["key"], how).toPandas()
+        b = checked_join(big, small, ["key"], how, max_rows=0, salts=5).toPandas()
+        cols = sorted(a.columns)
+        assert sorted(map(tuple, a[cols].values.tolist())) == sorted(map(tuple, b[cols].values.tolist())), how
