@@ -2,11 +2,10 @@
 
 Two strategies, both exact:
 
-* ``top_rows_per_group`` – rows ranked ``lo < rank <= hi`` inside each group.
-  Phase 1 ranks inside (group, salt) buckets and keeps the first ``hi`` of
-  each bucket; phase 2 ranks the survivors (at most ``salts * hi`` per
-  group). A group holding a third of all rows is spread over ``salts`` tasks.
-  Used when ``hi`` is bounded (a page); larger windows go to ``range_rank``.
+* ``top_rows_per_group`` – rows ranked ``lo < rank <= hi`` inside each group,
+  for bounded ``hi`` (a page): a tree of map-side partial top-k steps, so a
+  group holding a third of all rows is cut down to ``k`` rows per input
+  partition before anything is shuffled. Wider windows go to ``range_rank``.
 * ``range_rank`` – a global rank per group from a range-partitioned sort:
   count rows per (group, partition), prefix-sum the counts per group (a tiny
   table), add the position inside the partition. No group is gathered.
@@ -19,9 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
-# Largest ``hi`` handled by the salted top-k; wider windows use range_rank.
-SALTED_MAX = 100_000
+# Buckets merged per level of the top-k tree.
+FANOUT = 64
 # Largest helper table broadcast without further checks (rows).
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -38,26 +36,41 @@ def _cols(cs: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def top_rows_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                       lo: Column, hi: Column, rank_col: str = "rank",
-                       salts: int = DEFAULT_SALTS, salt_of: Column | None = None) -> DataFrame:
-    """Rows with ``lo < rank <= hi`` per group (``lo``/``hi`` may differ per row's group).
+def group_limit_threshold(spark) -> int:
+    """Largest literal k for which Spark plans a map-side partial top-k."""
+    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
 
-    ``order`` must be a total order within a group (ties broken by a unique key).
+def top_rows_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
+                       lo: Column, hi: Column, k: int, rank_col: str = "rank",
+                       fanout: int = FANOUT) -> DataFrame:
+    """Rows with ``lo < rank <= hi`` per group, where every group's ``hi <= k``.
+
+    A tree of partial top-k steps: rows are bucketed by the partition they
+    sit in; each level keeps the first ``k`` rows per (group, bucket) and
+    merges ``fanout`` buckets into one, with Spark's map-side partial limit
+    (``WindowGroupLimit``) before every shuffle. A group is never gathered
+    whole: each task holds at most ``fanout * k`` rows of a group. ``order``
+    must be a total order within a group; ``k`` must not exceed
+    ``group_limit_threshold``.
     """
     order = _cols(order)
-    # Salt by a hash of the whole row unless the caller gives one.
-    salt = salt_of if salt_of is not None else F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-    w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
-    first = (df.withColumn("__salt", salt)
-               .withColumn("__hi", hi)
-               .withColumn("__r1", F.row_number().over(w1))
-               .where(F.col("__r1") <= F.col("__hi")))
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    ranked = first.withColumn(rank_col, F.row_number().over(w2).cast("long"))
-    return (ranked.withColumn("__lo", lo)
-                  .where((F.col(rank_col) > F.col("__lo")) & (F.col(rank_col) <= F.col("__hi")))
-                  .drop("__salt", "__hi", "__lo", "__r1"))
+    spark = df.sparkSession
+    if k > group_limit_threshold(spark):
+        raise ValueError("k above the partial-limit threshold; use range_rank")
+    cur = (df.withColumn("__lo", lo).withColumn("__hi", hi)
+             .withColumn("__b", F.spark_partition_id().cast("long")))
+    levels, parts = 0, _partitions(df)
+    while fanout ** (levels + 1) < parts:
+        levels += 1
+    for i in range(1, levels + 1):
+        bucket = F.floor(F.col("__b") / F.lit(fanout ** i))
+        w = Window.partitionBy(*group, bucket).orderBy(*order)
+        cur = cur.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.lit(k)).drop("__r")
+    w = Window.partitionBy(*group).orderBy(*order)
+    ranked = cur.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= F.lit(k))
+    return (ranked.where((F.col(rank_col) > F.col("__lo")) & (F.col(rank_col) <= F.col("__hi")))
+                  .drop("__lo", "__hi", "__b"))
 
 
 def range_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],

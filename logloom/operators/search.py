@@ -11,7 +11,7 @@ from logloom.operators.filters import (
     MIN_QUERY_LENGTH, PAGE_STEP, SearchSpec, filter_all, time_predicate,
 )
 from logloom.operators.joins import checked_join
-from logloom.operators.ranking import BROADCAST_MAX_ROWS, SALTED_MAX, range_rank, top_rows_per_group
+from logloom.operators.ranking import BROADCAST_MAX_ROWS, group_limit_threshold, range_rank, top_rows_per_group
 from logloom.schema import LOG_COLUMNS, PARTITION_COLUMN
 
 
@@ -130,23 +130,21 @@ def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
     """Each spec's page of history in one job: rows ranked ``off < rank <= off+lim``
     by (added, id) in the spec's direction. Output: spec_id, rank, 12 columns.
 
-    Pages up to ``SALTED_MAX`` rows use the salted two-phase top-k; wider ones
-    use an exact global rank, so no spec is ever gathered into one task.
+    Pages up to the partial-limit threshold (1000 rows by default) use the
+    map-side top-k tree; wider ones use an exact global rank. Neither gathers
+    a spec's matches into one task.
     """
     stats = spec_stats(specs)
     m = spec_matches(logs, specs, stats=stats)
     hi = F.coalesce(F.col("off"), F.lit(0)) + F.coalesce(F.col("lim"), F.lit(0))
     lo = F.coalesce(F.col("off"), F.lit(0))
-    narrow = m.where(hi <= SALTED_MAX)
-    wide = m.where(hi > SALTED_MAX)
-    top = top_rows_per_group(narrow, ["spec_id"], _order_keys(), lo.cast("long"), hi.cast("long"))
+    widest = int(stats["widest"] or 0)
     out_cols = ["spec_id", "rank", *LOG_COLUMNS]
-    result = top.select(*out_cols)
-    if (stats["widest"] or 0) > SALTED_MAX:
-        ranked = range_rank(wide, ["spec_id"], _order_keys())
-        result = result.unionByName(
-            ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select(*out_cols))
-    return result
+    if widest <= group_limit_threshold(logs.sparkSession):
+        top = top_rows_per_group(m, ["spec_id"], _order_keys(), lo.cast("long"), hi.cast("long"), k=max(widest, 1))
+        return top.select(*out_cols)
+    ranked = range_rank(m, ["spec_id"], _order_keys())
+    return ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select(*out_cols)
 
 
 def history_or_nodata(logs: DataFrame, specs: DataFrame) -> DataFrame:

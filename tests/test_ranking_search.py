@@ -41,8 +41,8 @@ def test_range_cumsum_matches_pandas(spark):
 def test_top_rows_per_group_matches_brute_force(spark):
     df = skewed(spark).withColumn("lo", F.when(F.col("g") == "hot", 5).otherwise(0)) \
                       .withColumn("hi", F.when(F.col("g") == "hot", 40).otherwise(3))
-    got = rk.top_rows_per_group(df, ["g"], [F.col("k").desc(), F.col("id")], F.col("lo"), F.col("hi"), "r",
-                                salts=4).toPandas()
+    got = rk.top_rows_per_group(df.repartition(40), ["g"], [F.col("k").desc(), F.col("id")], F.col("lo"),
+                                F.col("hi"), k=40, rank_col="r", fanout=3).toPandas()
     pdf = df.toPandas().sort_values(["g", "k", "id"], ascending=[True, False, True])
     pdf["r"] = pdf.groupby("g").cumcount() + 1
     ref = pdf[(pdf.r > pdf.lo) & (pdf.r <= pdf.hi)]
