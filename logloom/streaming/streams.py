@@ -156,7 +156,12 @@ def presence_state(stream: DataFrame) -> DataFrame:
 
 def presence_stream(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Every micro-batch publishes the full connected set: ``out/current`` is
-    replaced and ``out/snapshots/epoch=<n>`` keeps each published snapshot."""
+    replaced and ``out/snapshots/epoch=<n>`` keeps each published snapshot.
+
+    The state is one row per connection id with its latest action by ``seq``,
+    so events may arrive in any order across micro-batches (a leave read
+    before its join still wins); a replayed batch rewrites the same snapshot.
+    """
     def each(state: DataFrame, epoch: int) -> None:
         snap = state.where(F.col("last_action") == JOINED).select("conn_id", "app", "joined_seq")
         snap.write.mode("overwrite").parquet(f"{out}/snapshots/epoch={epoch}")
