@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.session import shared_dir
+
 # Buckets merged per level of the top-k tree.
 FANOUT = 64
 # Largest helper table broadcast without further checks (rows).
@@ -90,6 +92,7 @@ def range_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__pos", F.monotonically_increasing_id()))
     if checkpoint:
+        shared_dir(spark)  # make sure a checkpoint folder is set
         laid = laid.checkpoint(eager=True)
     counts = laid.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,6 +121,7 @@ def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__pos", F.monotonically_increasing_id()))
     if checkpoint:
+        shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
         laid = laid.checkpoint(eager=True)
     totals = laid.groupBy(*group, "__pid").agg(F.sum("__v").alias("__t"))
     w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

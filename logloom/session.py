@@ -83,13 +83,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
-def input_bytes(spark: SparkSession, df) -> int:
-    """Bytes of the files a DataFrame reads (listing only, no job)."""
-    total = 0
-    for f in df.inputFiles():
-        fs, jpath = _fs(spark, f)
-        total += int(fs.getFileStatus(jpath).getLen())
-    return total
+# Never plan more range partitions than this from a size estimate.
+MAX_PARTITIONS = 200_000
+
+
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of a DataFrame (what ``explain("cost")``
+    prints): for file scans the listed file sizes, no extra file-system calls."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(spark: SparkSession, df, floor: int | None = None,
@@ -99,7 +100,7 @@ def partitions_for(spark: SparkSession, df, floor: int | None = None,
     if floor is None:
         floor = spark.sparkContext.defaultParallelism
     try:
-        by_size = -(-input_bytes(spark, df) // target_bytes)
-    except Exception:  # noqa: BLE001 - streaming or in-memory inputs have no files
+        by_size = min(MAX_PARTITIONS, -(-estimated_bytes(df) // target_bytes))
+    except Exception:  # noqa: BLE001 - no estimate (e.g. a streaming plan): use the floor
         by_size = 0
     return max(1, floor, by_size)
