@@ -262,8 +262,8 @@ select a.email, a.language, {cols} from admins a"""
 
 @query("localized_labels", _localized_sql())
 def q_localized_labels(spark, sf_dir):
-    from logloom.sources import fixtures
-    admins = fixtures.view(spark, sf_dir, "admins").select("email", "language")
+    from logloom.sources import fixtures, store
+    admins = store.fixture_table(spark, sf_dir, "admins").select("email", "language")
     return lab.localized_labels(admins, lab.labels_table(spark), "language")
 
 
@@ -404,8 +404,8 @@ def q_publishable_apps(spark, sf_dir):
 def q_assign_client_id(spark, sf_dir):
     """A 7-char [a-z0-9] id for every source connection (the ``joined`` events
     of ``presence``); random per seed, so checked by rows only."""
-    from logloom.sources import fixtures
-    joins = fixtures.view(spark, sf_dir, "presence").where(F.col("action") == "joined")
+    from logloom.sources import fixtures, store
+    joins = store.fixture_table(spark, sf_dir, "presence").where(F.col("action") == "joined")
     return rq.assign_client_id(joins.select("conn_id", "app"), "conn_id", seed=7)
 
 

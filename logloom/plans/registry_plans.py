@@ -8,14 +8,14 @@ from logloom.operators import registry as reg
 from logloom.plans.inputs import duck_with, spark_input
 from logloom.plans.registry import query
 from logloom.plans.search_plans import logs
-from logloom.sources import fixtures
+from logloom.sources import fixtures, store
 
 NEW_APPS = """
 select concat('app', cast(id % 11 as {V})) as app, concat('pw', cast(id % 13 as {V})) as password, id as seq from {logs}"""
 
 
 def apps(spark, sf_dir):
-    return fixtures.view(spark, sf_dir, "apps")
+    return store.fixture_table(spark, sf_dir, "apps")
 
 
 ADD_SQL = f"""{duck_with(['apps'], n=(NEW_APPS, ['logs']))},
@@ -119,7 +119,7 @@ select e.email, a.language, a.created_at, case when a.email is null then 'NoSuch
 from e left join admins a on a.email = e.email""")
 def q_admin_lookup(spark, sf_dir):
     emails = spark_input(spark, sf_dir, EMAILS, ["customer"])
-    return reg.admin_lookup(emails, fixtures.view(spark, sf_dir, "admins"))
+    return reg.admin_lookup(emails, store.fixture_table(spark, sf_dir, "admins"))
 
 
 CHANGES = """
@@ -134,4 +134,4 @@ select ch.seq, ch.email, case when a.email is not null then ch.language end as l
 from ch left join admins a on a.email = ch.email where ch.language in ('en-US', 'sv-SE', 'fi-FI')""")
 def q_admin_language(spark, sf_dir):
     changes = spark_input(spark, sf_dir, CHANGES, ["customer"])
-    return reg.admin_language(fixtures.view(spark, sf_dir, "admins"), changes)
+    return reg.admin_language(store.fixture_table(spark, sf_dir, "admins"), changes)

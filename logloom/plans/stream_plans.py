@@ -93,7 +93,7 @@ def q_presence_stream(spark, sf_dir):
     """Connection events stream in (files of presence events); every
     micro-batch publishes the full snapshot; the last one is returned."""
     inbox = fresh_path(spark, "presence-in")
-    fixtures.view(spark, sf_dir, "presence").repartitionByRange(4, "seq").write.parquet(inbox)
+    store.fixture_table(spark, sf_dir, "presence").repartitionByRange(4, "seq").write.parquet(inbox)
     out, ckpt = fresh_path(spark, "presence"), fresh_path(spark, "ckpt")
     _run(st.presence_stream(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
     return spark.read.parquet(f"{out}/current").select("conn_id", "app", "joined_seq")

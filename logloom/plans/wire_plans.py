@@ -12,7 +12,7 @@ from logloom.plans.inputs import duck_with, spark_input
 from logloom.plans.oracle import display_sql, iso_sql, level_name_sql
 from logloom.plans.registry import query
 from logloom.plans.search_plans import logs
-from logloom.sources import fixtures
+from logloom.sources import fixtures, store
 
 
 @query("to_wire_meta", f"""{duck_with(['logs'], ei=(ENCODE_IN_DUCK, ['logs']))}
@@ -53,7 +53,7 @@ now_open as (select conn_id, arg_min(app, seq) as app from presence group by con
 
 
 def _open_sources(spark, sf_dir):
-    open_now = pr.presence_now(fixtures.view(spark, sf_dir, "presence")).select("conn_id", "app")
+    open_now = pr.presence_now(store.fixture_table(spark, sf_dir, "presence")).select("conn_id", "app")
     rows = logs(spark, sf_dir).select(F.col("id").alias("conn_id"), "address", "user_agent",
                                       F.col("timestamp").alias("joined"))
     return open_now.join(rows, "conn_id")
@@ -76,7 +76,7 @@ select seq, conn_id, app, action,
 def q_presence_changes(spark, sf_dir):
     """Size of the whole connected set after each join/leave (what each admin
     snapshot holds), as a running count without a single-task window."""
-    return pr.presence_changes(fixtures.view(spark, sf_dir, "presence")) \
+    return pr.presence_changes(store.fixture_table(spark, sf_dir, "presence")) \
              .select("seq", "conn_id", "app", "action", "n_connected")
 
 

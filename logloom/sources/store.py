@@ -84,9 +84,22 @@ def materialized_view(spark: SparkSession, sf_dir: str, name: str = "logs") -> s
     return path
 
 
+# Scans of written-once stores, per session: the DataFrame keeps its file
+# index, so repeated queries do not list the partition folders again.
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def logs_table(spark: SparkSession, sf_dir: str, name: str = "logs") -> DataFrame:
-    """The stored ``logs`` (or ``doc_logs``) table for ``sf_dir``, scanned."""
-    return scan_logs(spark, materialized_view(spark, sf_dir, name))
+    """The stored ``logs`` (or ``doc_logs``) table for ``sf_dir``, scanned.
+
+    These stores are written once and never appended to, so the scan is
+    reused within a session."""
+    key = (id(spark._jsparkSession), f"{os.path.abspath(sf_dir)}:{name}")
+    df = _SCANS.get(key)
+    if df is None:
+        df = scan_logs(spark, materialized_view(spark, sf_dir, name))
+        _SCANS[key] = df
+    return df
 
 
 def materialized_raw(spark: SparkSession, sf_dir: str, num_files: int = 4) -> str:
@@ -100,3 +113,20 @@ def materialized_raw(spark: SparkSession, sf_dir: str, num_files: int = 4) -> st
 
 def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(materialized_raw(spark, sf_dir))
+
+
+def fixture_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A non-log fixture view (``presence``, ``apps``, ``admins``) written once
+    to the shared folder and read from there (scan reused per session)."""
+    key = (id(spark._jsparkSession), f"{os.path.abspath(sf_dir)}:{name}")
+    df = _SCANS.get(key)
+    if df is None:
+        base = fixtures.DEPENDS[name][0]
+        base = fixtures.DEPENDS[base][0] if base in fixtures.TEMPLATES else base
+        path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/{name}-{_source_tag(sf_dir, base)}"
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            view = fixtures.view(spark, sf_dir, name)
+            view.repartition(partitions_for(spark, view)).write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+        _SCANS[key] = df
+    return df
