@@ -45,7 +45,7 @@ def group_limit_threshold(spark) -> int:
 
 def top_rows_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                        lo: Column, hi: Column, k: int, rank_col: str = "rank",
-                       fanout: int = FANOUT) -> DataFrame:
+                       fanout: int = FANOUT, parts: int | None = None) -> DataFrame:
     """Rows with ``lo < rank <= hi`` per group, where every group's ``hi <= k``.
 
     A tree of partial top-k steps: rows are bucketed by the partition they
@@ -54,7 +54,8 @@ def top_rows_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Colu
     (``WindowGroupLimit``) before every shuffle. A group is never gathered
     whole: each task holds at most ``fanout * k`` rows of a group. ``order``
     must be a total order within a group; ``k`` must not exceed
-    ``group_limit_threshold``.
+    ``group_limit_threshold``. ``parts`` is the number of partitions ``df``
+    arrives in (estimated from its input when not given).
     """
     order = _cols(order)
     spark = df.sparkSession
@@ -62,7 +63,7 @@ def top_rows_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Colu
         raise ValueError("k above the partial-limit threshold; use range_rank")
     cur = (df.withColumn("__lo", lo).withColumn("__hi", hi)
              .withColumn("__b", F.spark_partition_id().cast("long")))
-    levels, parts = 0, _partitions(df)
+    levels, parts = 0, parts or _partitions(df)
     while fanout ** (levels + 1) < parts:
         levels += 1
     for i in range(1, levels + 1):

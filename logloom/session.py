@@ -83,14 +83,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
+# Sizes at or above this are Spark's "no statistics" default, not a size.
+UNKNOWN_SIZE = 1 << 62
 # Never plan more range partitions than this from a size estimate.
 MAX_PARTITIONS = 200_000
 
 
 def estimated_bytes(df) -> int:
-    """Catalyst's size estimate of a DataFrame (what ``explain("cost")``
-    prints): for file scans the listed file sizes, no extra file-system calls."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes a DataFrame reads: the sum of Catalyst's size estimates of the
+    plan's leaves (for file scans, the sizes already listed; no extra
+    file-system calls). The leaves are used rather than the root because a
+    join's estimate without statistics is the product of its inputs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # Leaves without statistics report Spark's "unknown" default (Long.MaxValue).
+    return sum(x for x in sizes if x < UNKNOWN_SIZE)
 
 
 def partitions_for(spark: SparkSession, df, floor: int | None = None,
