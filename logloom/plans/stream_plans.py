@@ -45,9 +45,9 @@ select {', '.join(ENRICHED_COLS)} from enr""")
 def q_ingest_stream(spark, sf_dir):
     """Raw batches land as files; the stream decodes, appends (one ingest
     batch per micro-batch) and publishes the stored rows, read back here."""
-    inbox = store.materialized_raw(spark, sf_dir, num_files=4)
+    inbox = store.materialized_raw(spark, sf_dir)
     table, updates, ckpt = fresh_path(spark, "table"), fresh_path(spark, "updates"), fresh_path(spark, "ckpt")
-    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=2), table, updates, ckpt, available_now=True))
+    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=8), table, updates, ckpt, available_now=True))
     return spark.read.parquet(updates).select(*ENRICHED_COLS)
 
 

@@ -102,10 +102,10 @@ def logs_table(spark: SparkSession, sf_dir: str, name: str = "logs") -> DataFram
     return df
 
 
-def materialized_raw(spark: SparkSession, sf_dir: str, num_files: int = 4) -> str:
+def materialized_raw(spark: SparkSession, sf_dir: str, num_files: int = 16) -> str:
     """The raw JSON batches of ``sf_dir`` written once as Parquet files (an
     inbox of messages, as sources would leave them); later calls reuse it."""
-    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/raw-{_source_tag(sf_dir, 'events')}"
+    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/raw{num_files}-{_source_tag(sf_dir, 'events')}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         fixtures.raw_batches(spark, sf_dir).repartition(num_files, "batch_id").write.mode("overwrite").parquet(path)
     return path
