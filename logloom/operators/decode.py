@@ -129,29 +129,38 @@ def decode_batches(raw: DataFrame, col: str = "raw", legacy: str = "strict") ->
               .drop("__v", "__events", "__f", "__g"))
 
 
+def rows_where(df: DataFrame, cond: Column) -> DataFrame:
+    """Keep the rows where ``cond`` holds, through a generator instead of a
+    Filter. A Filter on a decoded column is pushed below the decoding
+    projection with the whole decode inlined into it, so every batch would be
+    decoded twice; a generator is not moved."""
+    packed = F.when(cond, F.array(F.struct(*[F.col(c) for c in df.columns])))
+    return df.select(F.inline(packed))
+
+
 def decode_events(raw: DataFrame, col: str = "raw", legacy: str = "strict") -> DataFrame:
     """One row per event of every accepted batch: the batch's other columns,
     then pos, timestamp, message, logger, thread, level, stacktrace."""
-    d = decode_batches(raw, col, legacy).where("ok")
-    return explode_decoded(d, [c for c in raw.columns if c != col])
+    return explode_decoded(decode_batches(raw, col, legacy), [c for c in raw.columns if c != col])
 
 
 def explode_decoded(decoded: DataFrame, keep: list[str]) -> DataFrame:
-    """Accepted batches (from ``decode_batches``) → one row per event."""
-    exploded = decoded.select(*keep, F.explode("decoded").alias("e"))
+    """Batches from ``decode_batches`` → one row per event of the accepted ones
+    (a rejected batch explodes to nothing)."""
+    exploded = decoded.select(*keep, F.explode(F.when(F.col("ok"), F.col("decoded"))).alias("e"))
     return exploded.select(*keep, *[F.col("e")[f].alias(f) for f in EVENT_FIELDS])
 
 
 def reject_batches(raw: DataFrame, col: str = "raw", legacy: str = "strict") -> DataFrame:
     """Rejected batches with their text and the first reason (dead letters)."""
-    d = decode_batches(raw, col, legacy).where(~F.col("ok"))
-    return d.drop("decoded", "ok", "n_events")
+    d = decode_batches(raw, col, legacy).drop("decoded")
+    return rows_where(d, ~F.col("ok")).drop("ok", "n_events")
 
 
 def published_counts(raw: DataFrame, col: str = "raw", key: str = "batch_id", legacy: str = "strict") -> DataFrame:
     """Events accepted per accepted batch (what the caller is told)."""
-    d = decode_batches(raw, col, legacy).where("ok")
-    return d.select(key, F.col("n_events").cast("long").alias("event_count"))
+    d = decode_batches(raw, col, legacy).select(key, "ok", "n_events")
+    return rows_where(d, F.col("ok")).select(key, F.col("n_events").cast("long").alias("event_count"))
 
 
 def enrich_source(events: DataFrame, connections: DataFrame | None = None, key: str = "batch_id") -> DataFrame:

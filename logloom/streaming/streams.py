@@ -60,7 +60,7 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
         try:
             rejected = decoded.where(~F.col("ok")).drop("decoded", "ok", "n_events")
             rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
-            rows = dec.enrich_source(dec.explode_decoded(decoded.where("ok"), [c for c in batch.columns if c != "raw"]))
+            rows = dec.enrich_source(dec.explode_decoded(decoded, [c for c in batch.columns if c != "raw"]))
             base = ing.next_id_base(batch.sparkSession, table, before_batch=epoch)
             written = ing.append_logs(rows, table, batch=epoch, base=base)
             written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
