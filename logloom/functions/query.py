@@ -99,46 +99,59 @@ def parse_query(df: DataFrame, url_col: str, now: Column | str) -> DataFrame:
     (instant, date in Helsinki, or offset date-time; missing ``from`` = now −
     48 h), ``limit`` (500), ``offset`` (0), ``order`` (desc) and ``q`` (kept
     only from 3 chars). The first value of a single-valued key is used.
+
+    Staged: the parameter list, then each parameter, then the checks are kept
+    as columns, so the split/decode lambdas run once per row.
     """
     url = F.col(url_col)
     qs = F.when(F.instr(url, "?") > 0, F.substring_index(url, "?", -1)).otherwise(url)
     qs = F.regexp_replace(qs, "#.*$", "")
-    kv = _params(F.regexp_replace(qs, r"\+", "%20"))
+    staged = df.withColumn("__kv", _params(F.regexp_replace(qs, r"\+", "%20")))
 
     def values(key: str) -> Column:
-        return F.transform(F.filter(kv, lambda x: x["k"] == key), lambda x: x["v"])
+        return F.transform(F.filter("__kv", lambda x: x["k"] == key), lambda x: x["v"])
 
     def first(key: str) -> Column:
         return F.try_element_at(values(key), F.lit(1))
 
-    apps = F.transform(values(KEY_APP), lambda a: F.trim(a))
-    level_txt = F.coalesce(first(KEY_LEVEL), F.lit(DEFAULT_LEVEL))
-    lvl = level_int(level_txt)
-    f_b, t_b = parse_bound(first(KEY_FROM)), parse_bound(first(KEY_TO))
-    lim_txt, off_txt = first(KEY_LIMIT), first(KEY_OFFSET)
-    lim = F.coalesce(lim_txt.try_cast("int"), F.when(lim_txt.isNull(), F.lit(REQUEST_LIMIT)))
-    off = F.coalesce(off_txt.try_cast("int"), F.when(off_txt.isNull(), F.lit(REQUEST_OFFSET)))
-    order = F.coalesce(first(KEY_ORDER), F.lit("desc"))
-    q = first(KEY_QUERY)
+    staged = staged.select(
+        "*",
+        F.transform(values(KEY_APP), lambda a: F.trim(a)).alias("__apps"),
+        F.coalesce(first(KEY_LEVEL), F.lit(DEFAULT_LEVEL)).alias("__level_txt"),
+        first(KEY_FROM).alias("__from_txt"), first(KEY_TO).alias("__to_txt"),
+        first(KEY_LIMIT).alias("__lim_txt"), first(KEY_OFFSET).alias("__off_txt"),
+        F.coalesce(first(KEY_ORDER), F.lit("desc")).alias("__order"), first(KEY_QUERY).alias("__q"),
+    ).drop("__kv")
+    lim_txt, off_txt = F.col("__lim_txt"), F.col("__off_txt")
+    staged = staged.select(
+        "*",
+        level_int("__level_txt").alias("__lvl"),
+        parse_bound("__from_txt").alias("__f"), parse_bound("__to_txt").alias("__t"),
+        F.coalesce(lim_txt.try_cast("int"), F.when(lim_txt.isNull(), F.lit(REQUEST_LIMIT))).alias("__lim"),
+        F.coalesce(off_txt.try_cast("int"), F.when(off_txt.isNull(), F.lit(REQUEST_OFFSET))).alias("__off"),
+    )
+    lvl, lim, off, order = F.col("__lvl"), F.col("__lim"), F.col("__off"), F.col("__order")
     errors = F.array_compact(F.array(
-        F.when(F.exists(apps, lambda a: a == ""), F.lit("App name must not be blank.")),
-        F.when(lvl.isNull(), F.concat(F.lit("Unknown level: '"), level_txt, F.lit("'."))),
-        f_b["error"], t_b["error"],
+        F.when(F.exists("__apps", lambda a: a == ""), F.lit("App name must not be blank.")),
+        F.when(lvl.isNull(), F.concat(F.lit("Unknown level: '"), F.col("__level_txt"), F.lit("'."))),
+        F.col("__f")["error"], F.col("__t")["error"],
         F.when(lim.isNull() | (lim < 0), F.concat(F.lit("Invalid limit: '"), lim_txt, F.lit("'."))),
         F.when(off.isNull() | (off < 0), F.concat(F.lit("Invalid offset: '"), off_txt, F.lit("'."))),
         F.when(~order.isin("asc", "desc"), F.concat(F.lit("Invalid order: '"), order, F.lit("'."))),
     ))
-    rng = default_range(f_b["value"], t_b["value"], _col(now))
-    ok = F.size(errors) == 0
-    return df.select(
+    staged = staged.withColumn("__errors", errors)
+    rng = default_range(F.col("__f")["value"], F.col("__t")["value"], _col(now))
+    ok = F.size("__errors") == 0
+    out = staged.select(
         "*",
-        F.when(ok, apps).alias("apps"),
+        F.when(ok, F.col("__apps")).alias("apps"),
         F.when(ok, lvl).alias("min_level"),
         F.when(ok, rng["from"]).alias("from_ts"),
         F.when(ok, rng["to"]).alias("to_ts"),
         F.when(ok, lim).alias("lim"),
         F.when(ok, off).alias("off"),
         F.when(ok, order).alias("ord"),
-        F.when(ok & (F.length(q) >= 3), q).alias("q"),
-        F.when(~ok, F.array_join(errors, " ")).alias("error"),
+        F.when(ok & (F.length("__q") >= 3), F.col("__q")).alias("q"),
+        F.when(~ok, F.array_join("__errors", " ")).alias("error"),
     )
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
