@@ -44,6 +44,18 @@ def query_summary(apps: Column | str, level: Column | str, limit: Column | str,
                     F.lit(" "), lab["offset"], F.lit(" "), _col(offset).cast("string"))
 
 
+def no_results_message(apps, level, limit, offset, q, from_, to, lab: dict[str, Column]) -> Column:
+    """What a viewer sees for ``noData``: ``<noResults> <summary><range phrase>.``"""
+    return F.concat(lab["noResults"], F.lit(" "), query_summary(apps, level, limit, offset, q, lab),
+                    range_phrase(from_, to, lab), F.lit("."))
+
+
+def query_describe(apps, level, limit, offset, q, from_, to, order, lab: dict[str, Column]) -> Column:
+    """The server's one-line description: summary, range phrase, `` order O``."""
+    return F.concat(query_summary(apps, level, limit, offset, q, lab), range_phrase(from_, to, lab),
+                    F.lit(" order "), _col(order))
+
+
 def encode_query(apps: Column | str, level: Column | str, from_: Column | str, to: Column | str,
                  limit: Column | str, offset: Column | str, order: Column | str, q: Column | str) -> Column:
     """Spec → ``map<string, array<string>>`` of query parameters; empty lists dropped."""

@@ -40,6 +40,7 @@ class SearchSpec:
     offset: int = 0
     order: str = DEFAULT_ORDER
     query: str | None = None
+    apps_ignore_case: bool = False
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
@@ -71,8 +72,15 @@ def level_predicate(level: str | int) -> Column:
     return F.col("level").isin(levels_at_least(level))
 
 
-def apps_predicate(apps: Sequence[str] | None) -> Column | None:
-    return F.col("app").isin(list(apps)) if apps else None
+def apps_predicate(apps: Sequence[str] | None, ignore_case: bool = False) -> Column | None:
+    """``app IN (...)``; empty list = no filter. Case-sensitive by default (as
+    the live routing compares); ``ignore_case`` compares lower-cased names (as
+    a case-insensitive database collation would), which cannot be pushed down."""
+    if not apps:
+        return None
+    if ignore_case:
+        return F.lower(F.col("app")).isin(sorted({a.lower() for a in apps}))
+    return F.col("app").isin(list(apps))
 
 
 def time_predicate(from_: dt.datetime | None, to: dt.datetime | None,
@@ -129,8 +137,8 @@ def filter_level(df: DataFrame, level: str | int = DEFAULT_LEVEL) -> DataFrame:
     return df.where(level_predicate(level))
 
 
-def filter_apps(df: DataFrame, apps: Sequence[str] | None) -> DataFrame:
-    return _where(df, apps_predicate(apps))
+def filter_apps(df: DataFrame, apps: Sequence[str] | None, ignore_case: bool = False) -> DataFrame:
+    return _where(df, apps_predicate(apps, ignore_case))
 
 
 def filter_time(df: DataFrame, from_: dt.datetime | None = None, to: dt.datetime | None = None) -> DataFrame:
@@ -145,7 +153,7 @@ def filter_search(df: DataFrame, q: str | None, mode: str = "natural",
 def filter_all(df: DataFrame, spec: SearchSpec, mode: str = "natural") -> DataFrame:
     """AND of only the filters the spec sets; none → all rows."""
     pred = _and([
-        apps_predicate(spec.apps),
+        apps_predicate(spec.apps, spec.apps_ignore_case),
         level_predicate(spec.level),
         time_predicate(spec.from_, spec.to, PARTITION_COLUMN in df.columns),
         text_predicate(spec.gated_query, mode),

@@ -494,3 +494,50 @@ def q_parse_query(spark, sf_dir):
     out = qf.parse_query(df.select("id", "url", "now"), "url", "now")
     return out.select("id", F.array_join("apps", ",").alias("apps"), "min_level", "from_ts", "to_ts",
                       "lim", "off", "ord", "q", "error")
+
+
+NORES_IN = """
+select id, case id % 3 when 0 then 'en-US' when 1 then 'sv-SE' else 'fi-FI' end as language,
+  case id % 3 when 0 then {LB}app{RB} when 1 then {LB}app, 'app0'{RB} else {LB}{RB} end as apps,
+  level, cast(id % 7 * 100 as int) as lim, cast(id % 5 * 500 as int) as off,
+  case when id % 4 = 0 then message end as q, case when id % 2 = 0 then added end as f,
+  case when id % 3 = 0 then added + interval 1 day end as t,
+  case when id % 2 = 0 then 'asc' else 'desc' end as ord from {logs}"""
+
+
+def _summary_sql(lang: str) -> str:
+    def lab_(k):
+        return _label_sql(lang, k)
+    return (f"concat(case when q is not null then concat({lab_('query')}, ' ''', q, ''' ') else '' end, "
+            f"case when len(apps) > 0 then concat({lab_('apps')}, ' ', array_to_string(apps, ', '), ' ') else '' end, "
+            f"{lab_('queryLevel')}, ' ', {level_name_sql('level')}, ' ', {lab_('limit')}, ' ', cast(lim as varchar), "
+            f"' ', {lab_('offset')}, ' ', cast(off as varchar))")
+
+
+def _phrase_sql(lang: str) -> str:
+    def lab_(k):
+        return _label_sql(lang, k)
+    return (f"case when f is not null and t is not null then concat(' ', {lab_('queryTime')}, ' ', {lab_('between')}, "
+            f"' ', {_hm('f')}, ' - ', {_hm('t')}) when t is not null then concat(' ', {lab_('queryTime')}, ' ', "
+            f"{lab_('until')}, ' ', {_hm('t')}) when f is not null then concat(' ', {lab_('queryTime')}, ' ', "
+            f"{lab_('starting')}, ' ', {_hm('f')}) else '' end")
+
+
+@query("no_results_message", f"""{duck_with(['logs'], ni=(NORES_IN.replace('{LB}{RB}', 'cast([] as varchar[])'), ['logs']))},
+{_label_values_sql()}
+select id, language,
+  concat({_label_sql('ni.language', 'noResults')}, ' ', {_summary_sql('ni.language')}, {_phrase_sql('ni.language')}, '.') as message,
+  concat({_summary_sql("'en-US'")}, {_phrase_sql("'en-US'")}, ' order ', ord) as describe
+from ni""")
+def q_no_results_message(spark, sf_dir):
+    """The viewer's ``noData`` text in its language, and the server's English
+    description line of the same request."""
+    df = spark_input(spark, sf_dir, NORES_IN.replace("{LB}{RB}", "cast(array() as array<string>)"), ["logs"])
+    df = lab.localized_labels(df, lab.labels_table(spark), "language")
+    words = {k: F.col(f"label_{k}") for k in lab.LABELS[lab.DEFAULT_LANGUAGE] if "." not in k}
+    english = {k: F.lit(v) for k, v in lab.LABELS[lab.DEFAULT_LANGUAGE].items() if "." not in k}
+    return df.select(
+        "id", "language",
+        qf.no_results_message("apps", "level", "lim", "off", "q", "f", "t", words).alias("message"),
+        qf.query_describe("apps", "level", "lim", "off", "q", "f", "t", "ord", english).alias("describe"),
+    )

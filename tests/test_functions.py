@@ -76,3 +76,12 @@ def test_clean_agent_trims_and_cuts(spark):
     assert one(spark, tx.clean_agent("x"), "   ") is None
     assert one(spark, tx.clean_agent("x"), "  " + "y" * 150) == "y" * 100
     assert one(spark, F.lit(1) + 1, "x") == 2
+
+
+def test_filter_apps_case_option(spark):
+    from logloom.operators.filters import filter_apps
+
+    df = spark.createDataFrame([("App1",), ("app1",), ("app2",)], "app string")
+    assert sorted(r.app for r in filter_apps(df, ["app1"]).collect()) == ["app1"]
+    assert sorted(r.app for r in filter_apps(df, ["APP1"], ignore_case=True).collect()) == ["App1", "app1"]
+    assert filter_apps(df, []).count() == 3
