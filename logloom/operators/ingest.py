@@ -13,26 +13,46 @@ from logloom.session import path_exists
 from logloom.sources import store
 
 
+def _mark_batches(spark: SparkSession, marks: str) -> list[int]:
+    """Batch numbers that have an id mark (folder names ``batch=<n>``)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(marks)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(f"{BATCH_COLUMN}="):
+            try:
+                out.append(int(name.split("=", 1)[1]))
+            except ValueError:
+                pass
+    return out
+
+
 def next_id_base(spark: SparkSession, path: str, before_batch: int | None = None) -> int:
     """The largest id stored so far (0 for a new table); with ``before_batch``,
     only batches before it count, so a replayed batch gets the same ids.
 
-    Reads the per-batch id high-water marks kept next to the table; only when
+    Ids only grow, so the newest earlier batch with rows holds the answer: the
+    mark folders are listed and (usually) one one-row mark is read. Only when
     no mark applies (an imported table) are the stored ids aggregated, pruned
     to the batch folders that count.
     """
-    def earlier(df: DataFrame) -> DataFrame:
-        return df if before_batch is None else df.where(F.col(BATCH_COLUMN) < before_batch)
-
     marks = f"{path}/_ids"
     if path_exists(spark, marks):
-        row = earlier(spark.read.parquet(marks)).agg(F.max("max_id")).first()
-        if row and row[0] is not None:
-            return int(row[0])
+        batches = sorted((b for b in _mark_batches(spark, marks) if before_batch is None or b < before_batch),
+                         reverse=True)
+        for b in batches:
+            row = spark.read.parquet(f"{marks}/{BATCH_COLUMN}={b}").agg(F.max("max_id")).first()
+            if row and row[0] is not None:
+                return int(row[0])
     if not path_exists(spark, path):
         return 0
+    stored = store.read_stored(spark, path)
+    if before_batch is not None:
+        stored = stored.where(F.col(BATCH_COLUMN) < before_batch)
     try:
-        row = earlier(store.read_stored(spark, path)).agg(F.max("id")).first()
+        row = stored.agg(F.max("id")).first()
     except Exception:  # noqa: BLE001 - a folder without data files has nothing to read
         return 0
     return int(row[0]) if row and row[0] is not None else 0
@@ -73,8 +93,8 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     store.write_logs(stamped, path, batch=batch)
     keys = stamped.select("batch_id", "pos", "id")
     # The high-water mark of this batch (a one-row file per batch).
-    keys.agg(F.max("id").alias("max_id")).withColumn(BATCH_COLUMN, F.lit(batch).cast("long")) \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/_ids/{BATCH_COLUMN}={batch}")
+    keys.agg(F.max("id").alias("max_id")).coalesce(1).write.mode("overwrite") \
+        .parquet(f"{path}/_ids/{BATCH_COLUMN}={batch}")
     return written_rows(read_batch(spark, path, batch), keys)
 
 
