@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from logloom.operators.filters import SearchSpec
 from logloom.plans.ingest_plans import ACCEPTED_SQL, ENRICHED_COLS
 from logloom.plans.registry import query
+from logloom.plans.routing_plans import ROUTE_SQL, live_viewers
 from logloom.plans.search_plans import logs
 from logloom.session import fresh_path
 from logloom.sources import fixtures, store
@@ -97,3 +98,23 @@ def q_presence_stream(spark, sf_dir):
     out, ckpt = fresh_path(spark, "presence"), fresh_path(spark, "ckpt")
     _run(st.presence_stream(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
     return spark.read.parquet(f"{out}/current").select("conn_id", "app", "joined_seq")
+
+
+@query("route_stream", f"""{ROUTE_SQL}
+select spec_id, id, app, level from live""")
+def q_route_stream(spark, sf_dir):
+    """New events stream in and fan out to every live viewer of the table."""
+    out, ckpt = fresh_path(spark, "route"), fresh_path(spark, "ckpt")
+    _run(st.route_stream(logs_stream(spark, sf_dir).select("id", "app", "level"), live_viewers(spark, sf_dir),
+                         out, ckpt, available_now=True))
+    return spark.read.parquet(out).select("spec_id", "id", "app", "level")
+
+
+@query("tail_many", f"""{ROUTE_SQL}
+select spec_id, id from live where (spec_id, id) not in (select spec_id, id from h)""")
+def q_tail_many(spark, sf_dir):
+    """Every viewer's history page, then the live rows each has not seen."""
+    out, ckpt = fresh_path(spark, "tails"), fresh_path(spark, "ckpt")
+    _run(st.tail_many(logs(spark, sf_dir), logs_stream(spark, sf_dir).select("id", "app", "level"),
+                      live_viewers(spark, sf_dir), out, ckpt, available_now=True))
+    return spark.read.parquet(f"{out}/tail").select("spec_id", "id")

@@ -171,3 +171,36 @@ def presence_stream(stream: DataFrame, out: str, checkpoint: str, available_now:
     writer = (presence_state(stream).writeStream.outputMode("complete").foreachBatch(each)
               .option("checkpointLocation", checkpoint))
     return _start(writer, available_now)
+
+
+# ---------------------------------------------------------------------------
+# many viewers
+
+def route_stream(stream: DataFrame, specs: DataFrame, out: str, checkpoint: str,
+                 available_now: bool = False) -> StreamingQuery:
+    """Live fan-out of new events to a whole table of viewers: stream-static
+    equi-joins on (app, level) and (level), appended to ``out`` as
+    (spec_id, event columns) rows."""
+    from logloom.operators.routing import route_events
+
+    writer = (route_events(stream, specs).writeStream.format("parquet").outputMode("append")
+              .option("path", out).option("checkpointLocation", checkpoint))
+    return _start(writer, available_now)
+
+
+def tail_many(logs: DataFrame, stream: DataFrame, specs: DataFrame, out: str, checkpoint: str,
+              available_now: bool = False) -> StreamingQuery:
+    """History then tail for a whole table of viewers: each viewer's history
+    page is written once to ``out/history``; the live fan-out, minus the rows
+    a viewer already got in its history (a stream-static anti join on
+    (spec_id, id)), streams into ``out/tail``."""
+    from logloom.operators.routing import live_minus_history, route_events
+    from logloom.operators.search import history_many
+
+    history = history_many(logs, specs)
+    history.write.mode("overwrite").parquet(f"{out}/history")
+    sent = logs.sparkSession.read.parquet(f"{out}/history").select("spec_id", "id")
+    tail = live_minus_history(route_events(stream, specs), sent)
+    writer = (tail.writeStream.format("parquet").outputMode("append")
+              .option("path", f"{out}/tail").option("checkpointLocation", checkpoint))
+    return _start(writer, available_now)
