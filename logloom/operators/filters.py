@@ -114,14 +114,37 @@ def text_predicate(q: str | Column | None, mode: str = "natural",
     """
     if q is None:
         return None
+    if mode not in ("natural", "prefix"):
+        raise ValueError(f"unknown search mode {mode!r}")
     q_col = F.lit(q) if isinstance(q, str) else q
-    row_words = tokens(search_text(columns), stopwords)
+    text = search_text(columns)
+    row_words = tokens(text, stopwords)
     q_words = tokens(q_col, stopwords)
     if mode == "natural":
-        return F.arrays_overlap(row_words, q_words)
-    if mode == "prefix":
-        return F.exists(row_words, lambda t: F.exists(q_words, lambda w: t.startswith(w)))
-    raise ValueError(f"unknown search mode {mode!r}")
+        exact = F.arrays_overlap(row_words, q_words)
+    else:
+        exact = F.exists(row_words, lambda t: F.exists(q_words, lambda w: t.startswith(w)))
+    if not isinstance(q, str):
+        return exact
+    # A row word equal to (or starting with) a query word is a substring of
+    # the row's lower-cased text, so this cheap check never drops a match and
+    # spares tokenizing the rows that cannot match. The query's words come
+    # from the same tokenizer (one literal row).
+    words = query_words(q, stopwords)
+    if not words:
+        return F.lit(False)
+    lowered = F.lower(text)
+    maybe = functools.reduce(lambda a, b: a | b, [F.instr(lowered, w) > 0 for w in words])
+    return maybe & exact
+
+
+def query_words(q: str, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> list[str]:
+    """The words of one query string, by the same Column tokenizer as the rows."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    row = spark.range(1).select(tokens(F.lit(q), stopwords).alias("w")).first()
+    return sorted(set(row["w"] or []))
 
 
 def _and(preds: Sequence[Column | None]) -> Column | None:
@@ -190,7 +213,5 @@ def search_index(index: DataFrame, logs: DataFrame, q: str | None,
     q = search_gate_value(q)
     if q is None:
         return logs
-    # The query's own words, tokenized by the same Column rules (one literal row).
-    words = spark.range(1).select(tokens(F.lit(q), stopwords).alias("w")).first()["w"]
-    ids = index.where(F.col("token").isin(sorted(set(words)))).select("id").distinct()
+    ids = index.where(F.col("token").isin(query_words(q, stopwords))).select("id").distinct()
     return logs.join(ids, "id", "left_semi")
