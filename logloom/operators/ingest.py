@@ -29,28 +29,31 @@ def _mark_batches(spark: SparkSession, marks: str) -> list[int]:
     return out
 
 
-def next_id_base(spark: SparkSession, path: str, before_batch: int | None = None) -> int:
-    """The largest id stored so far (0 for a new table); with ``before_batch``,
-    only batches before it count, so a replayed batch gets the same ids.
-
-    Ids only grow, so the newest earlier batch with rows holds the answer: the
-    mark folders are listed and (usually) one one-row mark is read. Only when
-    no mark applies (an imported table) are the stored ids aggregated, pruned
-    to the batch folders that count.
+def next_id_base(spark: SparkSession, path: str, exclude_batch: int | None = None) -> int:
+    """The largest id stored in any batch other than ``exclude_batch`` (0 for
+    a new table). Rewriting a batch therefore gets the same base again (a
+    replayed micro-batch keeps its ids), and a new batch starts above every
+    id already stored, whatever its number.
+
+    Each batch keeps a one-row mark of its largest id; marks are read newest
+    written first and the largest non-empty one wins. Only a table without
+    marks (an imported one) has its stored ids aggregated.
     """
     marks = f"{path}/_ids"
+    best = None
     if path_exists(spark, marks):
-        batches = sorted((b for b in _mark_batches(spark, marks) if before_batch is None or b < before_batch),
-                         reverse=True)
-        for b in batches:
-            row = spark.read.parquet(f"{marks}/{BATCH_COLUMN}={b}").agg(F.max("max_id")).first()
-            if row and row[0] is not None:
-                return int(row[0])
+        batches = [b for b in _mark_batches(spark, marks) if b != exclude_batch]
+        if batches:
+            folders = [f"{marks}/{BATCH_COLUMN}={b}" for b in batches]
+            row = spark.read.parquet(*folders).agg(F.max("max_id")).first()
+            best = row[0] if row else None
+    if best is not None:
+        return int(best)
     if not path_exists(spark, path):
         return 0
     stored = store.read_stored(spark, path)
-    if before_batch is not None:
-        stored = stored.where(F.col(BATCH_COLUMN) < before_batch)
+    if exclude_batch is not None:
+        stored = stored.where(F.col(BATCH_COLUMN) != exclude_batch)
     try:
         row = stored.agg(F.max("id")).first()
     except Exception:  # noqa: BLE001 - a folder without data files has nothing to read
@@ -88,7 +91,7 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     """
     spark = rows.sparkSession
     if base is None:
-        base = next_id_base(spark, path)
+        base = next_id_base(spark, path, exclude_batch=batch)
     stamped = assign_ids(rows, base, added or now_millis())
     store.write_logs(stamped, path, batch=batch)
     keys = stamped.select("batch_id", "pos", "id")

@@ -50,7 +50,8 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
     stored rows to ``updates`` (one folder per micro-batch).
 
     The micro-batch id is the table's ingest batch: a replayed micro-batch
-    rewrites the same folders, and its ids start after the batches before it.
+    rewrites the same folders with the same ids (its base excludes its own
+    batch). The stream should own the table's batch numbers.
     Rejected messages go to ``updates/_rejected``.
     """
     def each(batch: DataFrame, epoch: int) -> None:
@@ -61,8 +62,7 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
             rejected = decoded.where(~F.col("ok")).drop("decoded", "ok", "n_events")
             rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
             rows = dec.enrich_source(dec.explode_decoded(decoded, [c for c in batch.columns if c != "raw"]))
-            base = ing.next_id_base(batch.sparkSession, table, before_batch=epoch)
-            written = ing.append_logs(rows, table, batch=epoch, base=base)
+            written = ing.append_logs(rows, table, batch=epoch)
             written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
         finally:
             decoded.unpersist()

@@ -42,13 +42,15 @@ def test_append_is_idempotent_and_ids_continue(spark):
         "logger string, thread string, level int, client string, user_agent string, stacktrace string")
     first = ing.append_logs(rows, path, batch=0, added=dt.datetime(2024, 2, 1))
     assert sorted(r.id for r in first.collect()) == list(range(1, 13))
-    again = ing.append_logs(rows, path, batch=0, added=dt.datetime(2024, 2, 1),
-                            base=ing.next_id_base(spark, path, before_batch=0))
+    again = ing.append_logs(rows, path, batch=0, added=dt.datetime(2024, 2, 1))
     assert sorted(r.id for r in again.collect()) == list(range(1, 13))
     nxt = ing.append_logs(rows.where("batch_id = 1"), path, batch=1, added=dt.datetime(2024, 2, 1))
     assert sorted(r.id for r in nxt.collect()) == list(range(13, 17))
+    # a lower batch number written later still starts above every stored id
+    low = ing.append_logs(rows.where("batch_id = 2"), path, batch=-5, added=dt.datetime(2024, 2, 1))
+    assert sorted(r.id for r in low.collect()) == list(range(17, 21))
     from logloom.sources.store import scan_logs
-    assert scan_logs(spark, path).count() == 16
+    assert scan_logs(spark, path).count() == 20
 
 
 def test_admin_presence_snapshots_empty_one_empty(spark):
