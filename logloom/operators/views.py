@@ -132,6 +132,15 @@ def detail_rows(df: DataFrame) -> DataFrame:
     return df.select("id", F.inline(kept))
 
 
+def mobile_rows(df: DataFrame) -> DataFrame:
+    """The mobile list: one entry per event with the stack trace inline
+    (app, time or ``-``, message, stack trace, level, logger, thread)."""
+    return df.select(
+        "id", "app", F.coalesce(display_time("timestamp"), F.lit("-")).alias("time"), "message",
+        F.col("stacktrace").alias("stack"), level_name("level").alias("level"), "logger", "thread",
+    )
+
+
 def source_view(presence: DataFrame, unknown: str = "Unknown") -> DataFrame:
     """Presence table columns: app, address, agent (or ``Unknown``), id, joined time."""
     return presence.select(

@@ -541,3 +541,17 @@ def q_no_results_message(spark, sf_dir):
         qf.no_results_message("apps", "level", "lim", "off", "q", "f", "t", words).alias("message"),
         qf.query_describe("apps", "level", "lim", "off", "q", "f", "t", "ord", english).alias("describe"),
     )
+
+
+@query("view_columns_compact", f"""{duck_with(['logs'])}
+select id, app, coalesce({display_sql('timestamp')}, '-') as time, message, {level_name_sql('level')} as level,
+  case level when 50 then 'danger' when 40 then 'warning' else 'info' end as row_class from logs""")
+def q_view_columns_compact(spark, sf_dir):
+    return vw.view_columns(logs(spark, sf_dir), verbose=False)
+
+
+@query("mobile_rows", f"""{duck_with(['logs'])}
+select id, app, coalesce({display_sql('timestamp')}, '-') as time, message, stacktrace as stack,
+  {level_name_sql('level')} as level, logger, thread from logs""")
+def q_mobile_rows(spark, sf_dir):
+    return vw.mobile_rows(logs(spark, sf_dir))
