@@ -11,7 +11,7 @@ from logloom.operators.filters import (
     MIN_QUERY_LENGTH, PAGE_STEP, SearchSpec, filter_all, time_predicate,
 )
 from logloom.operators.joins import checked_join
-from logloom.operators.ranking import BROADCAST_MAX_ROWS, group_limit_threshold, range_rank, top_rows_per_group
+from logloom.operators.ranking import group_limit_threshold, range_rank, top_rows_per_group
 from logloom.schema import LOG_COLUMNS, PARTITION_COLUMN
 
 
@@ -67,11 +67,6 @@ def _spec_keys(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return with_apps.drop(*drop), all_apps.drop(*drop)
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a spec-side table only after checking its row count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_MAX_ROWS else df
-
-
 def spec_stats(specs: DataFrame):
     """One aggregate over the (small) spec table: the time envelope, the sizes
     of both join-key tables, and the widest page."""
