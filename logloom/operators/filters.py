@@ -142,7 +142,7 @@ def query_words(q: str, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> list[st
     """The words of one query string, by the same Column tokenizer as the rows."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     row = spark.range(1).select(tokens(F.lit(q), stopwords).alias("w")).first()
     return sorted(set(row["w"] or []))
 

@@ -114,3 +114,15 @@ def test_salted_join_equals_broadcast_join(spark):
         b = checked_join(big, small, ["key"], how, max_rows=0, salts=5).toPandas()
         cols = sorted(a.columns)
         assert sorted(map(tuple, a[cols].values.tolist())) == sorted(map(tuple, b[cols].values.tolist())), how
+
+
+def test_history_head_loading_then_history_or_nodata(spark):
+    from logloom.streaming.streams import history_head
+
+    logs = logs_frame(spark)
+    head = history_head(logs, SearchSpec(apps=("app1",), level=30, limit=3, order="desc")).toPandas()
+    assert list(head.sort_values(["part", "seq"]).kind) == ["loading", "events", "events", "events"]
+    newest = brute(logs.toPandas(), ["app1"], 30, None, None, 3, 0, "desc")
+    assert list(head[head.part == 1].sort_values("seq").id) == list(reversed(newest))
+    empty = history_head(logs, SearchSpec(apps=("nope",))).toPandas()
+    assert list(empty.sort_values("part").kind) == ["loading", "noData"]
