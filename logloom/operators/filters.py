@@ -185,10 +185,13 @@ def filter_all(df: DataFrame, spec: SearchSpec, mode: str = "natural") -> DataFr
 
 
 def token_index(df: DataFrame, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> DataFrame:
-    """The full-text index as a table: one (token, id) row per distinct word of a row."""
+    """The full-text index as a table: one (token, id) row per distinct word of
+    a row, plus the row's date partition when the input has one (so lookups
+    can prune the log table's partitions)."""
+    extra = [F.col(PARTITION_COLUMN)] if PARTITION_COLUMN in df.columns else []
     return df.select(
         F.explode(F.array_distinct(tokens(search_text(), stopwords))).alias("token"),
-        F.col("id"),
+        F.col("id"), *extra,
     )
 
 
@@ -207,11 +210,15 @@ def search_index(index: DataFrame, logs: DataFrame, q: str | None,
     """Rows of ``logs`` matching ``q`` (natural mode) through the index.
 
     The query's words are a handful of literals, so the lookup is an IN filter
-    pushed into the index scan; the matching ids then semi-join the logs.
+    pushed into the index scan; the matching ids then semi-join the logs, on
+    (added_date, id) when both sides carry the date, so dynamic partition
+    pruning limits the log scan to the dates that hold matches.
     """
     spark = index.sparkSession
     q = search_gate_value(q)
     if q is None:
         return logs
-    ids = index.where(F.col("token").isin(query_words(q, stopwords))).select("id").distinct()
-    return logs.join(ids, "id", "left_semi")
+    keys = ["id"] + ([PARTITION_COLUMN] if PARTITION_COLUMN in index.columns and PARTITION_COLUMN in logs.columns
+                     else [])
+    ids = index.where(F.col("token").isin(query_words(q, stopwords))).select(*keys).distinct()
+    return logs.join(ids, keys, "left_semi")

@@ -96,13 +96,13 @@ def q_search_gate(spark, sf_dir):
 @query("token_index", f"""{cte('logs')}
 select distinct token, id from (select id, unnest({tokens_sql(search_text_sql())}) as token from logs) t""")
 def q_token_index(spark, sf_dir):
-    return flt.token_index(logs(spark, sf_dir))
+    return flt.token_index(logs(spark, sf_dir)).select("token", "id")
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token index of ``doc_logs``, written once to the shared folder."""
     src = store.materialized_view(spark, sf_dir, "doc_logs")
-    path = src.rstrip("/") + "-tokens"
+    path = src.rstrip("/") + "-tokens2"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         flt.write_token_index(flt.token_index(store.scan_logs(spark, src)), path)
     return spark.read.parquet(path)
