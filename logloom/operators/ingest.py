@@ -31,9 +31,10 @@ def _mark_batches(spark: SparkSession, marks: str) -> list[int]:
 
 def next_id_base(spark: SparkSession, path: str, exclude_batch: int | None = None) -> int:
     """The largest id stored in any batch other than ``exclude_batch`` (0 for
-    a new table). Rewriting a batch therefore gets the same base again (a
-    replayed micro-batch keeps its ids), and a new batch starts above every
-    id already stored, whatever its number.
+    a new table). Rewriting the latest batch therefore gets the same base
+    again (a retried micro-batch keeps its ids); rewriting an older batch
+    after newer ones gives it new ids above them (still unique); a new batch
+    starts above every id already stored, whatever its number.
 
     Each batch keeps a one-row mark of its largest id; marks are read newest
     written first and the largest non-empty one wins. Only a table without
@@ -79,7 +80,7 @@ def assign_ids(rows: DataFrame, base: int, added: dt.datetime,
 
 
 def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | None = None,
-                base: int | None = None) -> DataFrame:
+                base: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Append enriched events (batch_id, pos, app, address, timestamp, message,
     logger, thread, level, client, user_agent, stacktrace) as ingest batch
     ``batch``: ids increase in (batch_id, pos) order, ``added`` is the ingest
@@ -87,7 +88,9 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     by id, with their batch_id and pos.
 
     Replaying the same ``batch`` rewrites the same folder, so a retried
-    micro-batch never duplicates rows.
+    micro-batch never duplicates rows. ``n_rows``, when the caller knows the
+    row count, lets the batch's id mark be written without another pass
+    (ids are ``base+1 .. base+n_rows``).
     """
     spark = rows.sparkSession
     if base is None:
@@ -97,8 +100,12 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     store.write_logs(stamped, path, batch=batch, cluster=False)
     keys = stamped.select("batch_id", "pos", "id")
     # The high-water mark of this batch (a one-row file per batch).
-    keys.agg(F.max("id").alias("max_id")).coalesce(1).write.mode("overwrite") \
-        .parquet(f"{path}/_ids/{BATCH_COLUMN}={batch}")
+    mark_path = f"{path}/_ids/{BATCH_COLUMN}={batch}"
+    if n_rows is not None:
+        max_id = base + n_rows if n_rows > 0 else None
+        spark.createDataFrame([(max_id,)], "max_id long").coalesce(1).write.mode("overwrite").parquet(mark_path)
+    else:
+        keys.agg(F.max("id").alias("max_id")).coalesce(1).write.mode("overwrite").parquet(mark_path)
     return written_rows(read_batch(spark, path, batch), keys)
 
 

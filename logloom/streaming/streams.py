@@ -62,7 +62,8 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
             rejected = decoded.where(~F.col("ok")).drop("decoded", "ok", "n_events")
             rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
             rows = dec.enrich_source(dec.explode_decoded(decoded, [c for c in batch.columns if c != "raw"]))
-            written = ing.append_logs(rows, table, batch=epoch)
+            n = decoded.agg(F.sum(F.when(F.col("ok"), F.col("n_events")).otherwise(0))).first()[0] or 0
+            written = ing.append_logs(rows, table, batch=epoch, n_rows=int(n))
             written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
         finally:
             decoded.unpersist()

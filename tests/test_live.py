@@ -49,8 +49,17 @@ def test_append_is_idempotent_and_ids_continue(spark):
     # a lower batch number written later still starts above every stored id
     low = ing.append_logs(rows.where("batch_id = 2"), path, batch=-5, added=dt.datetime(2024, 2, 1))
     assert sorted(r.id for r in low.collect()) == list(range(17, 21))
+    # replaying the latest batch (as a retried micro-batch is), with the row
+    # count known, writes the same ids and the same mark
+    again = ing.append_logs(rows.where("batch_id = 2"), path, batch=-5, added=dt.datetime(2024, 2, 1), n_rows=4)
+    assert sorted(r.id for r in again.collect()) == list(range(17, 21))
+    assert ing.next_id_base(spark, path) == 20
+    # replaying an older batch after newer ones keeps ids unique (new ones)
+    old = ing.append_logs(rows.where("batch_id = 1"), path, batch=1, added=dt.datetime(2024, 2, 1))
+    assert sorted(r.id for r in old.collect()) == list(range(21, 25))
     from logloom.sources.store import scan_logs
     assert scan_logs(spark, path).count() == 20
+    assert scan_logs(spark, path).select("id").distinct().count() == 20
 
 
 def test_admin_presence_snapshots_empty_one_empty(spark):
