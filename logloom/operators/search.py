@@ -136,7 +136,13 @@ def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
     widest = int(stats["widest"] or 0)
     out_cols = ["spec_id", "rank", *LOG_COLUMNS]
     if widest <= group_limit_threshold(logs.sparkSession):
-        top = top_rows_per_group(m, ["spec_id"], _order_keys(), lo.cast("long"), hi.cast("long"), k=max(widest, 1))
+        # Matches stay in the log scan's partitions (the spec side is broadcast
+        # or salted-replicated), so the scan sizes the top-k tree.
+        from logloom.session import partitions_for
+        parts = partitions_for(logs.sparkSession, logs,
+                               floor=int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        top = top_rows_per_group(m, ["spec_id"], _order_keys(), lo.cast("long"), hi.cast("long"),
+                                 k=max(widest, 1), parts=parts)
         return top.select(*out_cols)
     ranked = range_rank(m, ["spec_id"], _order_keys())
     return ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select(*out_cols)
