@@ -9,6 +9,7 @@ Two strategies, both exact:
 * ``range_rank`` – a global rank per group from a range-partitioned sort:
   count rows per (group, partition), prefix-sum the counts per group (a tiny
   table), add the position inside the partition. No group is gathered.
+* ``range_cumsum`` – the same layout for a running sum of a value per group.
 """
 
 from __future__ import annotations

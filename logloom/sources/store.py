@@ -1,9 +1,10 @@
 """The stored log table: Parquet, partitioned by the UTC date of ``added``.
 
-Files are range-partitioned on (added_date, app, added, id) before the write,
-so a hot day or app spreads over many tasks and every file is sorted on the
-columns the searches filter and order by (row-group statistics then skip
-most of a file for an app/time filter).
+A bulk load range-partitions the rows on (added_date, app, added, id) before
+the write, so a hot day or app spreads over many tasks; appends keep the
+balanced partitions of their id assignment. Either way every file is sorted
+on the columns the searches filter and order by, so row-group statistics
+skip most of a file for an app/time filter.
 """
 
 from __future__ import annotations
