@@ -1,6 +1,7 @@
 """Registered queries: Structured Streaming runs.
 
-Each run reads a table of ``sf_dir`` as a file stream, runs with
+Each run reads a table of ``sf_dir`` (``events``), or one written once from
+it (the raw message inbox, the presence events), as a file stream, runs with
 ``trigger(availableNow=True)`` into new folders under the shared folder, and
 returns what the sink holds afterwards.
 """
