@@ -126,3 +126,29 @@ def test_history_head_loading_then_history_or_nodata(spark):
     assert list(head[head.part == 1].sort_values("seq").id) == list(reversed(newest))
     empty = history_head(logs, SearchSpec(apps=("nope",))).toPandas()
     assert list(empty.sort_values("part").kind) == ["loading", "noData"]
+
+
+def test_route_events_matches_brute_force(spark):
+    from logloom.operators.routing import route_events
+
+    logs = logs_frame(spark).select("id", "app", "level")
+    specs = [
+        (1, ["app1"], 30, 0, None),       # app list, level floor
+        (2, [], 50, 0, None),             # every app
+        (3, ["APP1"], 10, 0, None),       # app names match case-sensitively
+        (4, ["app2"], 10, 5, None),       # an offset: no live rows
+        (5, ["app2"], 10, 0, "msg k3"),   # a text query: no live rows
+    ]
+    sdf = spark.createDataFrame([(i, a, lv, None, None, 10, off, "desc", q) for i, a, lv, off, q in specs],
+                                "spec_id long, apps array<string>, min_level int, from_ts timestamp_ntz, "
+                                "to_ts timestamp_ntz, lim int, off int, ord string, q string")
+    got = sorted((r.spec_id, r.id) for r in route_events(logs, sdf).collect())
+    pdf = logs.toPandas()
+    want = []
+    for i, apps, lv, off, q in specs:
+        if off > 0 or (q is not None and len(q) >= 3):
+            continue
+        for r in pdf.itertuples():
+            if r.level >= lv and (not apps or r.app in apps):
+                want.append((i, r.id))
+    assert got == sorted(want)
