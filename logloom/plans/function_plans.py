@@ -555,3 +555,34 @@ select id, app, coalesce({display_sql('timestamp')}, '-') as time, message, stac
   {level_name_sql('level')} as level, logger, thread from logs""")
 def q_mobile_rows(spark, sf_dir):
     return vw.mobile_rows(logs(spark, sf_dir))
+
+
+@query("level_name", f"""{duck_with(['logs'])}
+select id, level, {level_name_sql('level')} as level_name from logs""")
+def q_level_name(spark, sf_dir):
+    return logs(spark, sf_dir).select("id", "level", lv.level_name("level").alias("level_name"))
+
+
+@query("level_int", f"""{duck_with(['logs'], lt=(LEVEL_TEXT, ['logs']))}
+select id, level_text, case lower(level_text) when 'trace' then 10 when 'debug' then 20 when 'info' then 30
+    when 'warn' then 40 when 'error' then 50 when 'other' then 60 end as level_int from lt""")
+def q_level_int(spark, sf_dir):
+    df = spark_input(spark, sf_dir, LEVEL_TEXT, ["logs"])
+    return df.select("id", "level_text", lv.level_int("level_text").alias("level_int"))
+
+
+@query("ts_to_millis", f"""{duck_with(['logs'])}
+select id, timestamp, epoch_ms(timestamp) as ms from logs""")
+def q_ts_to_millis(spark, sf_dir):
+    return logs(spark, sf_dir).select("id", "timestamp", tf.ts_to_millis("timestamp").alias("ms"))
+
+
+MILLIS_IN = """
+select id, cast(id * 86400013 + 1700000000000 as bigint) as ms from {logs}"""
+
+
+@query("millis_to_ts", f"""{duck_with(['logs'], mi=(MILLIS_IN, ['logs']))}
+select id, ms, epoch_ms(ms) as ts from mi""")
+def q_millis_to_ts(spark, sf_dir):
+    df = spark_input(spark, sf_dir, MILLIS_IN, ["logs"])
+    return df.select("id", "ms", tf.millis_to_ts("ms").alias("ts"))
