@@ -8,6 +8,7 @@ which is the local/test case.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -37,8 +38,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "log
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session settings every query relies on (UTC wall clock)."""
+    """Pin the session settings every query relies on (UTC wall clock), and let
+    Python workers import the library from the folder the driver has it from."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return spark
 
 
@@ -46,8 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise the
-    context's checkpoint folder; otherwise (tests, local runs) a new temporary
-    folder, registered as the checkpoint folder so ``checkpoint()`` works.
+    context's checkpoint folder; otherwise, with a local master only (tests), a
+    new temporary folder, registered as the checkpoint folder so
+    ``checkpoint()`` works. A cluster without a shared folder is an error: its
+    executors could not read what others wrote.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -57,6 +66,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="logloom-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
