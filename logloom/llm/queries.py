@@ -35,3 +35,34 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = exact_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.simhash import simhash_components
+
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logloom.llm.packing import bm25_pack
+
+    return bm25_pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.quality import quality_scores
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "p_top", "kept")
+
+
+@query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.secret_scan import scan_secrets
+
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
