@@ -41,7 +41,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.simhash import simhash_components
 
-    return simhash_components(read_table(spark, sf_dir, "documents"))
+    out = simhash_components(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "fingerprint", "component_id")
 
 
 @query("op8_packing")
@@ -66,3 +67,36 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.secret_scan import scan_secrets
 
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logloom.llm.pieces import encode_nbest
+
+    return encode_nbest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from logloom.llm.line_dedup import line_dedup
+
+    out = line_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_blocks", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_nearest")
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))

@@ -112,7 +112,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     joined = matched.select("rid", "doc_id").join(by_doc, "rid", "left").withColumn(
         "s", F.coalesce("s", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
     base = F.filter("s", lambda x: x["kind"] < len(BASE))
-    counts = [F.size(F.filter("s", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    counts = [F.size(F.expr(f"filter(s, x -> x.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return joined.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
 
 

@@ -55,16 +55,17 @@ def _fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text as a signed long."""
+    """(rid, doc_id, fp): the SimHash of every whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = pa.array((_fingerprint(t.as_py(), shingle) for t in texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["rid", "doc_id", "fp"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+                        text_of().alias("text"))
+            .mapInArrow(run, "rid long, doc_id long, fp long"))
 
 
 def segment_counts(half: Column) -> Column:
@@ -173,21 +174,25 @@ def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS, block: int =
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id;
+    also rid, the row's number in reading order, and keep_rid, that of the row
+    that stands for its component.
 
     Words are split on ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z; a text of fewer
     words than a shingle is one shingle, a text of none (a null one too) has
     fingerprint zero and is linked like any other. component_id is the smallest
     doc_id reachable over links (nulls aside; null if there is no other).
     Repeated rows and doc_ids stay rows of their own. An empty table gives an
-    empty result."""
+    empty result; further columns are ignored."""
     fps = write_once(fingerprints(docs, shingle), "fingerprints")
-    classes = write_once(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    classes = write_once(fps.groupBy("fp").agg(first.alias("least")), "classes")
     joined = components(fingerprint_links(classes.select("fp"), max_bits))
     linked = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = write_once(linked.join(least, "component").select("fp", "component_id"), "byfp")
+    least = linked.groupBy("component").agg(F.min("least").alias("top"))
+    by_fp = write_once(linked.join(least, "component").select(
+        "fp", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("keep_rid")), "byfp")
     # Many copies meet one row of ``by_fp``; adaptive execution splits their side.
     return fps.join(by_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "rid", "keep_rid")
