@@ -100,3 +100,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.ann import nearest
 
     return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read_table(spark, sf_dir, "documents"), with_kept=False)
