@@ -9,10 +9,9 @@ in reading order names it within a stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import public_tokenizers
-from logloom.llm.common import read_table, write_once
+from logloom.llm.common import read_table, rows_numbered, write_once
 from logloom.llm.exact_dedup import exact_dedup
 from logloom.llm.packing import bm25_pack
 from logloom.llm.quality import quality_scores
@@ -20,25 +19,21 @@ from logloom.llm.secret_scan import redact_secrets
 from logloom.llm.simhash import simhash_components
 
 
-def _rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``rids``."""
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(rids, "rid", "left_semi").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose probability of the top grade is below one half."""
-    scored = quality_scores(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where("kept").select(*docs.columns)
+    """Drop documents whose probability of the top grade is below the operator's bound."""
+    plain = docs.toDF(*[f"c{i}" if c in ("expected_grade", "p_top", "kept") else c for i, c in enumerate(docs.columns)])
+    scored = quality_scores(plain, read_table(spark, sf_dir, "labels"))
+    return scored.where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space aside) one row stays."""
-    return _rows(docs, exact_dedup(docs).where("kept").select("rid"))
+    return rows_numbered(docs, exact_dedup(docs).where("kept").select("rid"))
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays."""
-    return _rows(docs, simhash_components(docs).where("rid = keep_rid").select("rid"))
+    return rows_numbered(docs, simhash_components(docs).where("rid = keep_rid").select("rid"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

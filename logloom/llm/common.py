@@ -31,6 +31,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def rows_numbered(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of a stored table whose number in reading order is in ``rids``."""
+    rid = unused("rid", docs.columns)
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(
+        rids.select(F.col("rid").alias(rid)), rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def tasks_for(df: DataFrame) -> int:
     """Partition count for an explicit range partitioning: the session's
     shuffle setting, which the cluster sizes to its input."""

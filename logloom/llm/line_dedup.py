@@ -129,8 +129,8 @@ def line_table(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS) -> DataFra
     lines = F.transform(F.split(text_of(), "\n", -1), lambda x, i: F.struct(
         i.alias("line"), F.length(x).alias("chars"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
     kept = F.filter(lines, lambda s: s["chars"] >= min_line_chars)
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.posexplode(kept).alias("at", "l")).select("rid", "doc_id", "at", "l.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("kept"))
+    return rows.select("rid", "doc_id", F.posexplode("kept").alias("at", "l")).select("rid", "doc_id", "at", "l.*")
 
 
 def _first_holder(held: DataFrame, keys: list[str]) -> DataFrame:

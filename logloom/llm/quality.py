@@ -27,18 +27,20 @@ from logloom.llm.common import text_of
 HASH_BITS = 18
 MAX_RATED = 8000
 GRADES = 3
-KEEP_TAIL = 0.5
-ROUNDS = 300
+KEEP_TAIL = 0.45
 RATE = 0.3
-SPARSITY = 3e-4
-MIN_RATED_WITH_FEATURE = 4
+PENALTY = 2e-3
+ROUNDS = 150  # ending early keeps the weights of frequent features from shrinking
+MIN_RATED_WITH_FEATURE = 8
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+STARTS = (4, 6)
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4)
 
 
 def features(text: bytes) -> np.ndarray:
-    """Distinct hashed features: lower-cased words without outer marks, the
-    marks after them, and the binned shares of repeated and of capital words."""
+    """Distinct hashed features: lower-cased words without outer marks, their
+    first bytes (inflected and compound forms), the marks after them, and the
+    binned shares of repeated and of capital words."""
     words = text.split()
     found = set()
     for word in set(words):
@@ -48,7 +50,9 @@ def features(text: bytes) -> np.ndarray:
             if len(tail) > 1 or not core:
                 found.add(b"marks " + tail)
         if core:
-            found.add(core.lower())
+            core = core.lower()
+            found.add(core)
+            found.update(b"start " + core[:n] for n in STARTS)
     if len(words) > 1:
         repeats = sum(map(bytes.__eq__, words, words[1:])) / (len(words) - 1)
         capitals = sum(map(bytes.isupper, words)) / len(words)
@@ -75,39 +79,43 @@ class OrdinalModel:
         return float(self.weights[found].sum())
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
-    """Proximal AdaGrad on the mean negative log likelihood with an L1 penalty.
-
-    No rated rows: every document gets the top grade."""
-    weights = np.zeros(1 << HASH_BITS)
-    if not len(rows):
-        return OrdinalModel(weights, np.linspace(-31, -30, n_grades - 1))
-    n = len(rows)
-    held = np.bincount(np.concatenate(rows), minlength=1 << HASH_BITS) >= MIN_RATED_WITH_FEATURE
-    rows = [r[held[r]] for r in rows]
+def _descend(rows: list[np.ndarray], grades: np.ndarray, cuts: np.ndarray, penalty: float,
+             rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proximal AdaGrad on the mean negative log likelihood with an L1 penalty:
+    (features, their weights, thresholds)."""
+    n, k = len(rows), len(cuts)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     feature, col = np.unique(np.concatenate(rows), return_inverse=True)
-    below = np.array([(np.sum(grades <= k) + 0.5) / (n + 1.0) for k in range(n_grades - 1)])
-    cuts = np.log(below / (1 - below))
-    w, gw, gc = np.zeros(len(feature)), np.full(len(feature), 1e-8), np.full(n_grades - 1, 1e-8)
-    hit = grades[:, None] == np.arange(n_grades - 1)  # the threshold above the grade
-    low = grades[:, None] == np.arange(1, n_grades)  # the one below it
-    for _ in range(ROUNDS):
+    w, gw, gc = np.zeros(len(feature)), np.full(len(feature), 1e-8), np.full(k, 1e-8)
+    above = grades[:, None] == np.arange(k)  # the threshold above the grade
+    under = grades[:, None] == np.arange(1, k + 1)  # the one under it
+    for _ in range(rounds):
         s = np.bincount(row, w[col], n)
         cum = _sigmoid(cuts - s[:, None])
-        upper = np.where(hit.any(1), (cum * hit).sum(1), 1.0)
-        lower = (cum * low).sum(1)
+        upper = np.where(above.any(1), (cum * above).sum(1), 1.0)
+        lower = (cum * under).sum(1)
         p = np.maximum(upper - lower, 1e-12)
-        ds = (1 - upper - lower) / n
-        slope = cum * (1 - cum)
-        dc = ((slope / p[:, None]) * (low.astype(float) - hit)).sum(0) / n
-        dw = np.bincount(col, ds[row], len(feature))
+        dw = np.bincount(col, ((1 - upper - lower) / n)[row], len(feature))
+        dc = ((cum * (1 - cum) / p[:, None]) * (under.astype(float) - above)).sum(0) / n
         gw += dw * dw
         gc += dc * dc
         step = RATE / np.sqrt(gw)
         w = w - step * dw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * SPARSITY, 0.0)
-        cuts = np.maximum.accumulate(cuts - RATE * dc / np.sqrt(gc) + 1e-6 * np.arange(n_grades - 1))
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0.0)
+        cuts = np.maximum.accumulate(cuts - RATE * dc / np.sqrt(gc) + 1e-6 * np.arange(k))
+    return feature, w, cuts
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
+    """Fit on rows of features and their grades. No rated rows: every document
+    gets the top grade."""
+    weights = np.zeros(1 << HASH_BITS)
+    if not len(rows):
+        return OrdinalModel(weights, np.linspace(-31, -30, n_grades - 1))
+    below = np.array([(np.sum(grades <= k) + 0.5) / (len(rows) + 1.0) for k in range(n_grades - 1)])
+    cuts = np.log(below / (1 - below))
+    use = np.bincount(np.concatenate(rows), minlength=1 << HASH_BITS) >= MIN_RATED_WITH_FEATURE
+    feature, w, cuts = _descend([r[use[r]] for r in rows], grades, cuts, PENALTY, ROUNDS)
     weights[feature] = w
     return OrdinalModel(weights, cuts)
 

@@ -121,25 +121,22 @@ def redact_secrets(docs: DataFrame, mark: str = MARK) -> DataFrame:
     where there is such a column, n_chars set to the new length. Every row
     stays; overlapping spans get one mark. Texts without a match are not
     shuffled."""
-    inner = [F.col(c) for c in docs.columns if c not in ("rid", "found", "cuts")]
-    names = [c for c in docs.columns if c not in ("rid", "found", "cuts")]
-    if len(names) < len(docs.columns):
-        raise ValueError("rid, found and cuts are names of this operator")
-    matched = with_matches(docs, *inner)
+    matched = with_matches(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     run = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (all_spans(matched).select("rid", "start", "end").distinct()
             .withColumn("since", F.coalesce(F.max("end").over(run), F.lit(0).cast("long")))
             .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "since"))).alias("cuts"),
                                 F.max("end").alias("last")))
-    clean = matched.where(F.size("found") == 0).select(*names)
-    hit = matched.where(F.size("found") > 0).join(cuts, "rid", "left")
+    clean = matched.where(F.size("found") == 0)
+    hit = matched.where(F.size("found") > 0).join(cuts, "rid", "left").withColumn("text", F.col("doc.text"))
     pieces = F.transform("cuts", lambda c: F.when(
         c["start"] >= c["since"],
         F.concat(F.substring(F.col("text"), c["since"].cast("int") + 1, (c["start"] - c["since"]).cast("int")), F.lit(mark)))
         .otherwise(F.lit("")))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(
-        F.array_join(pieces, ""), F.substring(F.col("text"), F.col("last").cast("int") + 1, F.length("text"))))
-    hit = hit.withColumn("text", text)
-    if "n_chars" in names:
-        hit = hit.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.unionByName(hit.select(*names))
+    hit = hit.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(
+        F.array_join(pieces, ""), F.substring(F.col("text"), F.col("last").cast("int") + 1, F.length("text")))))
+    doc = F.col("doc").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.when(F.col("cuts").isNull(), F.col("doc.n_chars")).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return clean.select("doc.*").unionByName(hit.select(doc.alias("doc")).select("doc.*"))
