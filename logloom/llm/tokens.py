@@ -3,18 +3,33 @@
 The tokenizer's pre-tokenizer never joins characters across a space or a line
 feed, and its normalizer treats both alike, so a text's ids are the ids of its
 space-separated chunks in a row. Each Python worker keeps the ids of chunks it
-has met in a dictionary bounded in bytes; only new chunks reach the tokenizer.
+has met in a dictionary bounded in bytes; only new chunks are tokenized. A
+chunk of Latin letters with punctuation behind them, which the pre-tokenizer
+cuts in two, goes to the tokenizer's model directly; any other chunk takes the
+whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from array import array
 from functools import lru_cache
+from itertools import islice
 
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 160  # of a dictionary entry besides its key and ids
 STEP = 4096
+# Letters below this are in Unicode's composed form already.
+COMPOSED = "\u0250"
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the
+    others for the code points from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 class ChunkIds:
@@ -27,20 +42,58 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("token ids need two bytes at most")
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.held = 0
 
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self.known[chunk] = ids
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
+
+    def _whole(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), STEP):
+            part = chunks[at:at + STEP]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self._keep(chunk, array("H", found.ids).tobytes())
+
+    def _of_letters(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            spelt = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+            ids = array("H", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            self._keep(word, ids)
+        return ids
+
+    def _learn(self, chunks: set[str]) -> None:
+        others, tails = [], []
+        for chunk in chunks:
+            core = chunk.rstrip(string.punctuation)
+            word = core.lower()
+            if word.isalpha() and len(word) == len(core) and core.isalpha() and max(core) < COMPOSED:
+                ids = self._of_letters(word)
+                if len(core) < len(chunk):
+                    tail = self.known.get(chunk[len(core):])
+                    if tail is None:
+                        tails.append((chunk, ids, chunk[len(core):]))
+                        continue
+                    ids += tail
+                if chunk not in self.known:
+                    self._keep(chunk, ids)
+            else:
+                others.append(chunk)
+        self._whole(list({*others, *(t for _, _, t in tails)}.difference(self.known)))
+        for chunk, ids, tail in tails:
+            self._keep(chunk, ids + self.known[tail])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > CACHE_BYTES:  # the half that was met first holds the frequent chunks
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + ENTRY_BYTES * len(self.known)
+        if split:
+            self._learn(set().union(*split).difference(self.known))
         known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
-        for at in range(0, len(new), STEP):
-            part = new[at:at + STEP]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = ids = array("H", found.ids).tobytes()
-                self.held += len(word) + len(ids) + ENTRY_BYTES
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
