@@ -55,13 +55,6 @@ def labels_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(label_rows(), "language string, key string, text string")
 
 
-def labels_wide(spark: SparkSession) -> DataFrame:
-    """One row per language, one column per label key (for joining onto rows)."""
-    keys = list(LABELS[DEFAULT_LANGUAGE])
-    t = labels_table(spark)
-    return t.groupBy("language").pivot("key", keys).agg(F.first("text"))
-
-
 def language_or_default(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(c.isin(list(LANGUAGES)), c).otherwise(F.lit(DEFAULT_LANGUAGE))
@@ -73,7 +66,7 @@ def localized_labels(df: DataFrame, labels: DataFrame, lang_col: str = "language
 
     ``labels`` is the fixed label table (a few dozen rows), broadcast.
     """
-    keys = [r[0] for r in labels.select("key").distinct().orderBy("key").collect()]
+    keys = sorted(LABELS[DEFAULT_LANGUAGE])
     wide = labels.groupBy("language").pivot("key", keys).agg(F.first("text"))
     wide = wide.select(F.col("language").alias("__lang"),
                        *[F.col(f"`{k}`").alias(prefix + k.replace(".", "_")) for k in keys])

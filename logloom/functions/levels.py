@@ -82,6 +82,3 @@ def logback_level(c: Column | str) -> Column:
         out = out.when((as_text == name) | (as_text == str(lib_int)), F.lit(n))
     return out.otherwise(F.lit(LEVEL_BY_NAME["other"]))
 
-
-def is_valid_level(c: Column | str) -> Column:
-    return _col(c).isin(LEVEL_INTS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import DEFAULT_LEVEL, level_int, level_name
+from logloom.functions.text import is_blank, trimmed
 from logloom.functions.timefmt import default_range, helsinki_minute, iso_instant_format, parse_bound
 
 # Query-parameter names.
@@ -115,9 +116,8 @@ def parse_query(df: DataFrame, url_col: str, now: Column | str) -> DataFrame:
     Staged: the parameter list, then each parameter, then the checks are kept
     as columns, so the split/decode lambdas run once per row.
     """
-    url = F.col(url_col)
-    qs = F.when(F.instr(url, "?") > 0, F.substring_index(url, "?", -1)).otherwise(url)
-    qs = F.regexp_replace(qs, "#.*$", "")
+    url = F.regexp_replace(F.col(url_col), "(?s)#.*$", "")
+    qs = F.regexp_replace(url, r"(?s)^[^?]*\?", "")  # after the first question mark
     staged = df.withColumn("__kv", _params(F.regexp_replace(qs, r"\+", "%20")))
 
     def values(key: str) -> Column:
@@ -128,7 +128,7 @@ def parse_query(df: DataFrame, url_col: str, now: Column | str) -> DataFrame:
 
     staged = staged.select(
         "*",
-        F.transform(values(KEY_APP), lambda a: F.trim(a)).alias("__apps"),
+        F.transform(values(KEY_APP), lambda a: F.when(is_blank(a), F.lit("")).otherwise(trimmed(a))).alias("__apps"),
         F.coalesce(first(KEY_LEVEL), F.lit(DEFAULT_LEVEL)).alias("__level_txt"),
         first(KEY_FROM).alias("__from_txt"), first(KEY_TO).alias("__to_txt"),
         first(KEY_LIMIT).alias("__lim_txt"), first(KEY_OFFSET).alias("__off_txt"),

@@ -40,21 +40,6 @@ def search_text(columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
     return F.concat_ws(" ", *[F.col(c) for c in columns])
 
 
-def py_tokens(text: str | None, stopwords: Sequence[str] = DEFAULT_STOPWORDS,
-              min_length: int = MIN_TOKEN_LENGTH) -> list[str]:
-    """Driver-side tokens of one search string (a query, never table data)."""
-    import regex
-
-    if not text:
-        return []
-    stop = set(stopwords)
-    out = []
-    for w in regex.split(WORD_SPLIT, text.lower()):
-        if len(w) >= min_length and w not in stop and w not in out:
-            out.append(w)
-    return out
-
-
 def top_domain(c: Column | str) -> Column:
     """Last two dot-separated parts, cut at the first ``:`` or ``/``.
 
@@ -72,13 +57,22 @@ def source_label(name: Column | str, client_id: Column | str) -> Column:
     return F.when(client_id.isNull(), name).otherwise(F.concat(name, F.lit(" ("), client_id, F.lit(")")))
 
 
+def trimmed(c: Column | str) -> Column:
+    """Without the leading and trailing characters up to U+0020 (tabs, line
+    feeds and other controls as well as spaces)."""
+    return F.regexp_replace(_col(c), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def is_blank(c: Column | str) -> Column:
+    """Empty or nothing but white space (of any script); null for null."""
+    return _col(c).rlike(r"^\p{javaWhitespace}*$") | (trimmed(c) == "")
+
+
 def clean_name(c: Column | str) -> Column:
     """App names and client ids: blank → null, else trimmed."""
-    t = F.trim(_col(c))
-    return F.when(t != "", t)
+    return F.when(~is_blank(c), trimmed(c))
 
 
 def clean_agent(c: Column | str) -> Column:
     """User agents: blank → null, else trimmed and cut to 100 chars."""
-    t = F.trim(_col(c))
-    return F.when(t != "", F.substring(t, 1, 100))
+    return F.when(~is_blank(c), F.substring(trimmed(c), 1, 100))

@@ -5,14 +5,17 @@ A batch is ``{"events": [...]}``. Each event is tried, in order, as:
 1. *typed*: ``timestamp`` is an ISO-instant string, the level is known and the
    text fields are strings (``isoTimestamp`` is then ignored);
 2. *current*: optional ``isoTimestamp`` (must parse; no fallback),
-   optional ``timestamp`` in epoch ms (a number or a numeric string), known
-   level; no usable time → ``No timestamp.``;
+   optional ``timestamp`` in epoch ms (a whole number or a string of digits;
+   not a boolean, not a fraction), known level; no usable time → ``No
+   timestamp.``;
 3. *legacy*: ``timeStamp`` (capital S) in ms, ``timeFormatted``, level text
    (unknown → info). It is tried only when the current shape does not decode,
    so a legacy event with a *known* level is rejected (``legacy='strict'``,
    the reference's behaviour); ``legacy='lenient'`` takes its ``timeStamp``.
 
-A batch is all-or-nothing: one undecodable event rejects the whole message.
+A batch is all-or-nothing: one undecodable event rejects the whole message, and
+so does a blank ``app`` column where the batches carry one. An object that
+repeats a key is malformed (a lenient parser would take one of the values).
 Everything is a per-row projection over Spark's variant type: no shuffle, no
 Python.
 """
@@ -23,35 +26,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import LEVEL_BY_NAME, level_int
-from logloom.functions.text import clean_agent, clean_name
+from logloom.functions.text import clean_agent, clean_name, is_blank
 from logloom.functions.timefmt import iso_instant_parse, millis_to_ts, truncate_millis
+from logloom.functions.variants import kind, long_of, text
 
 # Rejection reasons.
 MALFORMED, MISSING_EVENTS = "Malformed JSON.", "Missing events."
 INVALID_EVENT, INVALID_TIMESTAMP, NO_TIMESTAMP = "Invalid event.", "Invalid timestamp.", "No timestamp."
+BLANK_APP, UNKNOWN_APP = "App name must not be blank.", "Unknown app."
 
 EVENT_FIELDS = ["pos", "timestamp", "message", "logger", "thread", "level", "stacktrace"]
 
 
 def _extract(e: Column) -> Column:
     """Stage 1: each field looked up once (its variant type, and its value)."""
-    def typ(path: str) -> Column:
-        return F.schema_of_variant(F.variant_get(e, path, "variant"))
-
-    def text(path: str) -> Column:
-        return F.try_variant_get(e, path, "string")
-
     return F.struct(
-        typ("$.message").alias("t_message"), typ("$.loggerName").alias("t_logger"),
-        typ("$.threadName").alias("t_thread"), typ("$.stackTrace").alias("t_stack"),
-        typ("$.level").alias("t_level"), typ("$.timestamp").alias("t_ts"),
-        typ("$.isoTimestamp").alias("t_iso"), typ("$.timeFormatted").alias("t_formatted"),
-        text("$.message").alias("message"), text("$.loggerName").alias("logger"),
-        text("$.threadName").alias("thread"), text("$.stackTrace").alias("stacktrace"),
-        text("$.level").alias("level_text"), text("$.timestamp").alias("ts_text"),
-        text("$.isoTimestamp").alias("iso_text"),
-        F.try_variant_get(e, "$.timestamp", "bigint").alias("ms"),
-        F.try_variant_get(e, "$.timeStamp", "bigint").alias("legacy_ms"),
+        kind(e, "$.message").alias("t_message"), kind(e, "$.loggerName").alias("t_logger"),
+        kind(e, "$.threadName").alias("t_thread"), kind(e, "$.stackTrace").alias("t_stack"),
+        kind(e, "$.level").alias("t_level"), kind(e, "$.timestamp").alias("t_ts"),
+        kind(e, "$.isoTimestamp").alias("t_iso"), kind(e, "$.timeFormatted").alias("t_formatted"),
+        text(e, "$.message").alias("message"), text(e, "$.loggerName").alias("logger"),
+        text(e, "$.threadName").alias("thread"), text(e, "$.stackTrace").alias("stacktrace"),
+        text(e, "$.level").alias("level_text"), text(e, "$.timestamp").alias("ts_text"),
+        text(e, "$.isoTimestamp").alias("iso_text"),
+        long_of(e, "$.timestamp").alias("ms"),
+        long_of(e, "$.timeStamp").alias("legacy_ms"),
     )
 
 
@@ -123,6 +122,8 @@ def decode_batches(raw: DataFrame, col: str = "raw", legacy: str = "strict") ->
     reason = (F.when(F.col("__v").isNull(), F.lit(MALFORMED))
                .when(F.col("__events").isNull(), F.lit(MISSING_EVENTS))
                .otherwise(first_bad))
+    if "app" in raw.columns:
+        reason = F.coalesce(reason, F.when(F.coalesce(is_blank("app"), F.lit(True)), F.lit(BLANK_APP)))
     return (df.withColumn("reason", reason)
               .withColumn("ok", F.col("reason").isNull())
               .withColumn("n_events", F.size(F.coalesce("decoded", F.array())))

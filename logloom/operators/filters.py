@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import unicodedata
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import DEFAULT_LEVEL, levels_at_least, to_level_int
-from logloom.functions.text import DEFAULT_STOPWORDS, SEARCH_COLUMNS, search_text, tokens
+from logloom.functions.text import DEFAULT_STOPWORDS, MIN_TOKEN_LENGTH, SEARCH_COLUMNS, search_text, tokens
 from logloom.schema import PARTITION_COLUMN
 
 # The paging and search constants of the reference.
@@ -41,7 +42,6 @@ class SearchSpec:
     order: str = DEFAULT_ORDER
     query: str | None = None
     apps_ignore_case: bool = False
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         if self.limit < 0 or self.offset < 0:
@@ -128,8 +128,7 @@ def text_predicate(q: str | Column | None, mode: str = "natural",
         return exact
     # A row word equal to (or starting with) a query word is a substring of
     # the row's lower-cased text, so this cheap check never drops a match and
-    # spares tokenizing the rows that cannot match. The query's words come
-    # from the same tokenizer (one literal row).
+    # spares tokenizing the rows that cannot match.
     words = query_words(q, stopwords)
     if not words:
         return F.lit(False)
@@ -139,12 +138,11 @@ def text_predicate(q: str | Column | None, mode: str = "natural",
 
 
 def query_words(q: str, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> list[str]:
-    """The words of one query string, by the same Column tokenizer as the rows."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    row = spark.range(1).select(tokens(F.lit(q), stopwords).alias("w")).first()
-    return sorted(set(row["w"] or []))
+    """The words of one query string, as the column tokenizer splits a row:
+    lower-cased runs of letters, digits and underscores, long enough and not a
+    stop word. Plain Python on one string; no job is started."""
+    spaced = "".join(ch if ch == "_" or unicodedata.category(ch)[0] in "LN" else " " for ch in q.lower())
+    return sorted({w for w in spaced.split() if len(w) >= MIN_TOKEN_LENGTH and w not in stopwords})
 
 
 def _and(preds: Sequence[Column | None]) -> Column | None:
@@ -173,15 +171,26 @@ def filter_search(df: DataFrame, q: str | None, mode: str = "natural",
     return _where(df, text_predicate(search_gate_value(q), mode, stopwords))
 
 
-def filter_all(df: DataFrame, spec: SearchSpec, mode: str = "natural") -> DataFrame:
-    """AND of only the filters the spec sets; none → all rows."""
+def filter_all(df: DataFrame, spec: SearchSpec, mode: str = "natural", index: DataFrame | None = None) -> DataFrame:
+    """AND of only the filters the spec sets; none → all rows. With the token
+    ``index`` of the table, a natural text query is looked up there and only
+    the dates that hold matches are scanned."""
+    use_index = index is not None and mode == "natural" and spec.gated_query is not None
+    dated = PARTITION_COLUMN in df.columns
     pred = _and([
         apps_predicate(spec.apps, spec.apps_ignore_case),
         level_predicate(spec.level),
-        time_predicate(spec.from_, spec.to, PARTITION_COLUMN in df.columns),
-        text_predicate(spec.gated_query, mode),
+        time_predicate(spec.from_, spec.to, dated),
+        None if use_index else text_predicate(spec.gated_query, mode),
     ])
-    return _where(df, pred)
+    out = _where(df, pred)
+    if not use_index:
+        return out
+    days = _and([F.col(PARTITION_COLUMN) >= F.lit(spec.from_.date()) if spec.from_ else None,
+                 F.col(PARTITION_COLUMN) <= F.lit(spec.to.date()) if spec.to else None])
+    if PARTITION_COLUMN in index.columns:
+        index = _where(index, days)
+    return search_index(index, out, spec.query)
 
 
 def token_index(df: DataFrame, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> DataFrame:
@@ -205,6 +214,19 @@ def write_token_index(index: DataFrame, path: str, num_files: int | None = None)
           .write.mode("overwrite").parquet(path))
 
 
+def append_token_index(rows: DataFrame, path: str, batch: int) -> None:
+    """Add the words of newly stored ``rows`` (with their date partition) to the
+    index at ``path`` as one batch, laid out by date like the log table and
+    sorted by token within each file. A replayed batch replaces its own part."""
+    from logloom.session import partitions_for
+    from logloom.sources.store import replace_batch
+
+    index = token_index(rows)
+    parts = partitions_for(index.sparkSession, rows, floor=1)
+    replace_batch(index.repartitionByRange(parts, PARTITION_COLUMN, "token", "id")
+                       .sortWithinPartitions(PARTITION_COLUMN, "token", "id"), path, batch)
+
+
 def search_index(index: DataFrame, logs: DataFrame, q: str | None,
                  stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> DataFrame:
     """Rows of ``logs`` matching ``q`` (natural mode) through the index.
@@ -214,7 +236,6 @@ def search_index(index: DataFrame, logs: DataFrame, q: str | None,
     (added_date, id) when both sides carry the date, so dynamic partition
     pruning limits the log scan to the dates that hold matches.
     """
-    spark = index.sparkSession
     q = search_gate_value(q)
     if q is None:
         return logs

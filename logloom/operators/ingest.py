@@ -8,27 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.ranking import range_rank
-from logloom.schema import BATCH_COLUMN, LOG_COLUMNS
-from logloom.session import path_exists
+from logloom.schema import BATCH_COLUMN, LOG_COLUMNS, PARTITION_COLUMN
+from logloom.session import list_names
 from logloom.sources import store
 
 
-def _mark_batches(spark: SparkSession, marks: str) -> list[int]:
-    """Batch numbers that have an id mark (folder names ``batch=<n>``)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(marks)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(f"{BATCH_COLUMN}="):
-            try:
-                out.append(int(name.split("=", 1)[1]))
-            except ValueError:
-                pass
-    return out
-
-
 def next_id_base(spark: SparkSession, path: str, exclude_batch: int | None = None) -> int:
     """The largest id stored in any batch other than ``exclude_batch`` (0 for
     a new table). Rewriting the latest batch therefore gets the same base
@@ -36,30 +20,20 @@ def next_id_base(spark: SparkSession, path: str, exclude_batch: int | None = Non
     after newer ones gives it new ids above them (still unique); a new batch
     starts above every id already stored, whatever its number.
 
-    Each batch keeps a one-row mark of its largest id; marks are read newest
-    written first and the largest non-empty one wins. Only a table without
-    marks (an imported one) has its stored ids aggregated.
+    Every write notes its batch's largest id in a file name, so one listing of
+    a few names answers. A table without such notes (written by other means)
+    has its stored ids aggregated.
     """
-    marks = f"{path}/_ids"
-    best = None
-    if path_exists(spark, marks):
-        batches = [b for b in _mark_batches(spark, marks) if b != exclude_batch]
-        if batches:
-            folders = [f"{marks}/{BATCH_COLUMN}={b}" for b in batches]
-            row = spark.read.parquet(*folders).agg(F.max("max_id")).first()
-            best = row[0] if row else None
-    if best is not None:
-        return int(best)
-    if not path_exists(spark, path):
+    marks = store.read_marks(spark, path)
+    others = [top for top, batch in marks if batch != exclude_batch]
+    if others:
+        return max(others)
+    if not any(n.startswith(f"{PARTITION_COLUMN}=") for n in list_names(spark, path)):
         return 0
     stored = store.read_stored(spark, path)
     if exclude_batch is not None:
         stored = stored.where(F.col(BATCH_COLUMN) != exclude_batch)
-    try:
-        row = stored.agg(F.max("id")).first()
-    except Exception:  # noqa: BLE001 - a folder without data files has nothing to read
-        return 0
-    return int(row[0]) if row and row[0] is not None else 0
+    return stored.agg(F.max("id")).first()[0] or 0
 
 
 def now_millis() -> dt.datetime:
@@ -68,12 +42,16 @@ def now_millis() -> dt.datetime:
     return now.replace(microsecond=now.microsecond // 1000 * 1000)
 
 
+# Rows per file of an append.
+ROWS_PER_FILE = 250_000
+
+
 def assign_ids(rows: DataFrame, base: int, added: dt.datetime,
-               order: tuple[str, ...] = ("batch_id", "pos")) -> DataFrame:
+               order: tuple[str, ...] = ("batch_id", "pos"), num_partitions: int | None = None) -> DataFrame:
     """Dense increasing ids ``base+1 ..`` in ``order`` (exact, no global
     window: a range-partitioned sort plus per-partition offsets) and one
     ``added`` time for the whole batch."""
-    ranked = range_rank(rows, [], list(order), "__rank")
+    ranked = range_rank(rows, [], list(order), "__rank", num_partitions=num_partitions)
     return (ranked.withColumn("id", (F.lit(base) + F.col("__rank")).cast("long"))
                   .withColumn("added", F.lit(added).cast("timestamp_ntz"))
                   .drop("__rank"))
@@ -87,25 +65,24 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     time. An empty input writes no rows. Returns the rows as stored, read back
     by id, with their batch_id and pos.
 
-    Replaying the same ``batch`` rewrites the same folder, so a retried
-    micro-batch never duplicates rows. ``n_rows``, when the caller knows the
-    row count, lets the batch's id mark be written without another pass
-    (ids are ``base+1 .. base+n_rows``).
+    Replaying the same ``batch`` replaces its folders, so a retried micro-batch
+    never duplicates rows. The batch is decoded once: unless the caller gives
+    ``n_rows`` (and holds the rows already), they are kept while they are
+    counted, laid out and written. Its size sets the number of files.
     """
     spark = rows.sparkSession
+    kept = None
+    if n_rows is None:
+        kept = rows = rows.persist()
+        n_rows = rows.count()
     if base is None:
         base = next_id_base(spark, path, exclude_batch=batch)
-    stamped = assign_ids(rows, base, added or now_millis())
+    stamped = assign_ids(rows, base, added or now_millis(), num_partitions=max(1, -(-n_rows // ROWS_PER_FILE)))
     # The id assignment leaves the rows range-partitioned and balanced.
-    store.write_logs(stamped, path, batch=batch, cluster=False)
+    store.write_logs(stamped, path, batch=batch, cluster=False, max_id=base + n_rows if n_rows else base)
+    if kept is not None:
+        kept.unpersist()
     keys = stamped.select("batch_id", "pos", "id")
-    # The high-water mark of this batch (a one-row file per batch).
-    mark_path = f"{path}/_ids/{BATCH_COLUMN}={batch}"
-    if n_rows is not None:
-        max_id = base + n_rows if n_rows > 0 else None
-        spark.createDataFrame([(max_id,)], "max_id long").coalesce(1).write.mode("overwrite").parquet(mark_path)
-    else:
-        keys.agg(F.max("id").alias("max_id")).coalesce(1).write.mode("overwrite").parquet(mark_path)
     return written_rows(read_batch(spark, path, batch), keys)
 
 

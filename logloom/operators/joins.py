@@ -10,26 +10,48 @@ from pyspark.sql import functions as F
 from logloom.operators.ranking import BROADCAST_MAX_ROWS
 
 DEFAULT_SALTS = 64
+# Largest table broadcast (bytes of its values).
+BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+
+
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of the values), in one aggregate."""
+    width = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind == "array<string>":
+            sizes = F.aggregate(f.name, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+            width = width + F.coalesce(sizes, F.lit(0).cast("long"))
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def fits_broadcast(df: DataFrame, size: tuple[int, int] | None = None) -> bool:
+    rows, size_bytes = size or table_size(df)
+    return rows <= BROADCAST_MAX_ROWS and size_bytes <= BROADCAST_MAX_BYTES
 
 
 def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                  salt_key: Sequence[str] = ("id",), salts: int = DEFAULT_SALTS,
-                 max_rows: int = BROADCAST_MAX_ROWS, small_rows: int | None = None) -> DataFrame:
+                 max_rows: int = BROADCAST_MAX_ROWS, size: tuple[int, int] | None = None) -> DataFrame:
     """Join ``big`` with a request-side table ``small`` on ``on``.
 
-    ``small`` is broadcast only after its row count is checked. Past the bound
-    the join is salted: ``small`` is copied into ``salts`` buckets and each
+    ``small`` is broadcast only after its rows and bytes are checked. Past the
+    bounds the join is salted: ``small`` is copied into ``salts`` buckets and each
     ``big`` row goes to one bucket (by a hash of ``salt_key``), so a join key
     with few values (a level, an app holding a third of the rows) spreads over
-    ``salts`` times more tasks. Valid for inner, left-semi and left-anti joins
-    (every big row still meets every small row of its key). ``small_rows``
-    passes a row count the caller already knows (else it is counted).
+    ``salts`` times more tasks. Valid for inner, left, left-semi and left-anti
+    joins (every big row meets every small row of its key exactly once).
+    ``size`` passes the (rows, bytes) that the caller already knows.
     """
-    if how not in ("inner", "left_semi", "left_anti"):
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    if (small.count() if small_rows is None else small_rows) <= max_rows:
+    size = size or table_size(small)
+    if size[0] <= max_rows and fits_broadcast(small, size):
         return big.join(F.broadcast(small), on, how)
     salted_small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_key]), F.lit(salts)))
+    salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_key]), F.lit(salts)).cast("int"))
     return salted_big.join(salted_small, on + ["__salt"], how).drop("__salt")

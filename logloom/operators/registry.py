@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.labels import LANGUAGES
-from logloom.operators.ranking import BROADCAST_MAX_ROWS, range_rank
+from logloom.operators.joins import checked_join
+from logloom.session import fresh_path
 
 # Outcome names of the registry operations.
 ALREADY_EXISTS, DOES_NOT_EXIST, NO_SUCH_EMAIL, HAS_LOGS = "AlreadyExists", "DoesNotExist", "NoSuchEmail", "HasLogs"
-ADDED, UPDATED, REMOVED, OK, EXISTING = "Added", "Updated", "Removed", "Ok", "Existing"
+ADDED, UPDATED, REMOVED, OK = "Added", "Updated", "Removed", "Ok"
+INVALID_LANGUAGE = "InvalidLanguage"
 
 
 def pass_hash(app: Column | str, password: Column | str) -> Column:
@@ -26,11 +28,6 @@ def pass_hash(app: Column | str, password: Column | str) -> Column:
     return F.md5(F.concat(app, F.lit(":"), password))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def _table_rows(apps: DataFrame) -> DataFrame:
     return apps.select(F.lit("table").alias("kind"), "app", "pass_hash",
                        F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("status"))
@@ -45,12 +42,12 @@ def registry_add(apps: DataFrame, new: DataFrame) -> DataFrame:
     """Insert apps not yet present (``new``: app, password, seq). The first
     request per app wins; every other request, and every request for an app
     already registered, reports ``AlreadyExists``."""
-    first = new.groupBy("app").agg(F.min_by("password", "seq").alias("password"), F.min("seq").alias("seq"))
-    added = first.join(apps.select("app"), "app", "left_anti") \
-                 .select("app", pass_hash("app", "password").alias("pass_hash"), "seq")
+    first = new.groupBy("app").agg(F.min_by("password", "seq").alias("password"), F.min("seq").alias("first"))
+    fresh = checked_join(first, apps.select("app"), ["app"], "left_anti", salt_key=["first"])
+    added = fresh.select("app", pass_hash("app", "password").alias("pass_hash"), "first")
     table = apps.select("app", "pass_hash").unionByName(added.select("app", "pass_hash"))
-    outcome = new.join(added.select("seq", F.lit(True).alias("__added")), "seq", "left")
-    status = F.when(F.col("__added"), F.lit(ADDED)).otherwise(F.lit(ALREADY_EXISTS))
+    outcome = checked_join(new, added.select("app", "first"), ["app"], "left", salt_key=["seq"])
+    status = F.when(F.col("first") == F.col("seq"), F.lit(ADDED)).otherwise(F.lit(ALREADY_EXISTS))
     return _table_rows(table).unionByName(_request_rows(outcome, status))
 
 
@@ -58,57 +55,68 @@ def registry_update(apps: DataFrame, upd: DataFrame) -> DataFrame:
     """Replace the hash of registered apps (last request per app wins);
     requests for unknown apps report ``DoesNotExist``."""
     last = upd.groupBy("app").agg(F.max_by("password", "seq").alias("password"))
-    table = (apps.join(last, "app", "left")
+    table = (apps.join(last, "app", "left")  # one row per app on both sides
                  .select("app", F.coalesce(pass_hash("app", "password"), F.col("pass_hash")).alias("pass_hash")))
-    known = upd.join(apps.select("app", F.lit(True).alias("__known")), "app", "left")
-    status = F.when(F.col("__known"), F.lit(UPDATED)).otherwise(F.lit(DOES_NOT_EXIST))
+    known = with_known_apps(upd, apps, salt_key=["seq"])
+    status = F.when(F.col("known"), F.lit(UPDATED)).otherwise(F.lit(DOES_NOT_EXIST))
     return _table_rows(table).unionByName(_request_rows(known, status))
 
 
 def registry_remove(apps: DataFrame, names: DataFrame, logs: DataFrame) -> DataFrame:
     """Delete apps (``names``: app, seq). Unknown apps report ``DoesNotExist``;
-    apps that still have log rows cannot go (``HasLogs``)."""
+    apps that still have log rows cannot go (``HasLogs``).
+
+    The status is worked out once per requested app and written to the shared
+    folder, then joined to the requests and to the registry."""
     wanted = names.select("app").distinct()
-    # Which requested apps still have logs: scan only the app column, semi-join the requests.
-    with_logs = logs.select("app").join(small(wanted), "app", "left_semi").distinct() \
-                    .withColumn("__logs", F.lit(True))
-    known = apps.select("app", F.lit(True).alias("__known"))
-    checked = names.join(known, "app", "left").join(with_logs, "app", "left")
+    # Which requested apps still have logs: only the app column is scanned.
+    with_logs = logs.select("app").distinct().select("app", F.lit(True).alias("__logs"))
     status = (F.when(F.col("__known").isNull(), F.lit(DOES_NOT_EXIST))
                .when(F.col("__logs"), F.lit(HAS_LOGS))
                .otherwise(F.lit(REMOVED)))
-    removed = checked.where(status == REMOVED).select("app").distinct()
-    table = apps.join(removed, "app", "left_anti")
-    return _table_rows(table).unionByName(_request_rows(checked, status))
+    per_app = (wanted.join(apps.select("app", F.lit(True).alias("__known")), "app", "left")
+                     .join(with_logs, "app", "left").select("app", status.alias("status")))
+    path = fresh_path(names.sparkSession, "removals")
+    per_app.write.parquet(path)
+    per_app = names.sparkSession.read.parquet(path)
+    table = apps.join(per_app.where(F.col("status") == REMOVED), "app", "left_anti")
+    outcome = checked_join(names, per_app, ["app"], "left", salt_key=["seq"])
+    return _table_rows(table).unionByName(_request_rows(outcome, F.col("status")))
 
 
 def registry_rename(logs: DataFrame, renames: DataFrame) -> DataFrame:
     """Renaming an app cascades to its logs (``renames``: app, new_app)."""
-    r = renames.select("app", F.col("new_app"))
-    joined = logs.join(small(r), "app", "left")
+    joined = checked_join(logs, renames.select("app", "new_app"), ["app"], "left")
     cols = [F.coalesce("new_app", "app").alias("app") if c == "app" else F.col(c) for c in logs.columns]
     return joined.select(*cols)
 
 
 def app_list(apps: DataFrame) -> DataFrame:
-    """All apps sorted by name, with their position."""
-    return range_rank(apps.select("app"), [], [F.col("app").asc()], "pos").select("pos", "app")
+    """All apps sorted by name."""
+    return apps.select("app").orderBy("app")
+
+
+def with_known_apps(df: DataFrame, apps: DataFrame, salt_key: tuple[str, ...] | list[str] = ("id",)) -> DataFrame:
+    """``known``: whether the row's app is registered."""
+    listed = apps.select("app").distinct().withColumn("known", F.lit(True))
+    return checked_join(df, listed, ["app"], "left", salt_key=salt_key).withColumn(
+        "known", F.coalesce("known", F.lit(False)))
 
 
 def known_apps(df: DataFrame, apps: DataFrame) -> DataFrame:
     """Rows whose app is registered."""
-    return df.join(small(apps.select("app")), "app", "left_semi")
+    return checked_join(df, apps.select("app"), ["app"], "left_semi")
 
 
 def unknown_apps(df: DataFrame, apps: DataFrame) -> DataFrame:
     """Rows whose app is not registered (the rejected complement)."""
-    return df.join(small(apps.select("app")), "app", "left_anti")
+    return checked_join(df, apps.select("app"), ["app"], "left_anti")
 
 
 def credential_check(reqs: DataFrame, apps: DataFrame) -> DataFrame:
-    """``valid`` when (user, md5(user:password)) is stored (``reqs``: user, password, ...)."""
+    """``valid`` when (user, md5(user:password)) is stored (``reqs``: user, password, seq, ...)."""
     stored = apps.select(F.col("app").alias("user"), F.col("pass_hash").alias("__stored"))
-    joined = reqs.join(small(stored), "user", "left")
+    joined = checked_join(reqs, stored, ["user"], "left", salt_key=["seq"])
     valid = F.coalesce(F.col("__stored") == pass_hash("user", "password"), F.lit(False))
     return joined.withColumn("valid", valid).drop("__stored")
 
@@ -122,20 +130,14 @@ def admin_lookup(emails: DataFrame, admins: DataFrame) -> DataFrame:
 
 
 def admin_language(admins: DataFrame, changes: DataFrame) -> DataFrame:
-    """Set an admin's language (``changes``: email, language, seq; only the
-    supported languages are accepted). Each change returns the admin row as it
-    is after that change, or ``NoSuchEmail``."""
-    valid = changes.where(F.col("language").isin(list(LANGUAGES)))
+    """Set an admin's language (``changes``: email, language, seq). Every change
+    gets a row: the admin as it is after that change, or ``NoSuchEmail``, or
+    ``InvalidLanguage`` for a language that is not supported."""
     found = admins.select("email", "created_at", F.lit(True).alias("__found"))
-    joined = valid.select("seq", "email", "language").join(small(found), "email", "left")
-    ok = F.col("__found").isNotNull()
-    return joined.select("seq", "email", F.when(ok, F.col("language")).alias("language"), "created_at",
-                         F.when(ok, F.lit(OK)).otherwise(F.lit(NO_SUCH_EMAIL)).alias("status"))
-
-
-def admins_after(admins: DataFrame, changes: DataFrame) -> DataFrame:
-    """The admin table after all changes (the last valid change per email wins)."""
-    valid = changes.where(F.col("language").isin(list(LANGUAGES)))
-    last = valid.groupBy("email").agg(F.max_by("language", "seq").alias("__new"))
-    return admins.join(last, "email", "left").select(
-        "email", F.coalesce("__new", "language").alias("language"), "created_at")
+    joined = checked_join(changes.select("seq", "email", "language"), found, ["email"], "left", salt_key=["seq"])
+    supported = F.coalesce(F.col("language").isin(list(LANGUAGES)), F.lit(False))
+    ok = F.col("__found").isNotNull() & supported
+    status = (F.when(~supported, F.lit(INVALID_LANGUAGE)).when(F.col("__found").isNull(), F.lit(NO_SUCH_EMAIL))
+               .otherwise(F.lit(OK)))
+    return joined.select("seq", "email", F.when(ok, F.col("language")).alias("language"),
+                         F.when(ok, F.col("created_at")).alias("created_at"), status.alias("status"))

@@ -47,11 +47,13 @@ def publishable_apps(df: DataFrame, app_col: str = "app") -> DataFrame:
 
 
 def client_id(key: Column | str, seed: int = 0) -> Column:
-    """A 7-char id over ``[a-z0-9]``, drawn from a hash of ``key`` and ``seed``
-    (repeatable for the same seed; a new seed gives new ids)."""
+    """A 7-char id over ``[a-z0-9]``: the i-th character is picked by the i-th
+    four hex digits of md5(``key``:``seed``) (repeatable for the same seed; a
+    new seed gives new ids)."""
     key = F.col(key) if isinstance(key, str) else key
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
     chars = [F.substring(F.lit(CLIENT_ID_ALPHABET),
-                         (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(len(CLIENT_ID_ALPHABET))) + 1).cast("int"), 1)
+                         F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int") % len(CLIENT_ID_ALPHABET) + 1, F.lit(1))
              for i in range(CLIENT_ID_LENGTH)]
     return F.concat(*chars)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import LEVEL_INTS
@@ -43,33 +43,50 @@ def page_links(specs: DataFrame, off: str = "off") -> DataFrame:
                 .withColumn("next_offset", o + PAGE_STEP)
 
 
-def history_search(df: DataFrame, spec: SearchSpec, mode: str = "natural") -> DataFrame:
-    """One viewer's history: filters, order by (added, id), one page; 12 columns."""
-    rows = filter_all(df, spec, mode).select(*LOG_COLUMNS)
+def history_search(df: DataFrame, spec: SearchSpec, mode: str = "natural", index: DataFrame | None = None) -> DataFrame:
+    """One viewer's history: filters, order by (added, id), one page; 12
+    columns. A text query goes through the token ``index`` when there is one."""
+    rows = filter_all(df, spec, mode, index).select(*LOG_COLUMNS)
     return page(sort_added(rows, spec.order), spec.limit, spec.offset)
 
 
 # ---------------------------------------------------------------------------
 # A table of specs (one row per viewer) in one job.
 
-def _spec_keys(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Explode each spec to the (app, level) pairs it accepts; specs without
-    apps accept every app and become (level) keys. Theta → equi join."""
+def spec_keys(specs: DataFrame) -> DataFrame:
+    """Each spec as the equi-join keys it accepts: (spec_id, app, any_app,
+    level) for every accepted level, with each listed app, or with ``any_app``
+    and an empty name for a spec without apps. Theta → equi join."""
     levels = F.filter(F.array(*[F.lit(n) for n in LEVEL_INTS]),
                       lambda x: x >= F.coalesce(F.col("min_level"), F.lit(LEVEL_INTS[0])))
-    s = specs.withColumn("__levels", levels)
-    has_apps = F.size(F.coalesce(F.col("apps"), F.array().cast("array<string>"))) > 0
-    with_apps = (s.where(has_apps)
-                  .select("*", F.explode(F.array_distinct("apps")).alias("app"))
-                  .select("*", F.explode("__levels").alias("level")))
-    all_apps = s.where(~has_apps).select("*", F.explode("__levels").alias("level"))
-    drop = ["__levels", "apps"]
-    return with_apps.drop(*drop), all_apps.drop(*drop)
+    apps = F.array_distinct(F.coalesce(F.col("apps"), F.array().cast("array<string>")))
+    return (specs.select("spec_id", levels.alias("levels"), (F.size(apps) == 0).alias("any_app"),
+                         F.when(F.size(apps) == 0, F.array(F.lit(""))).otherwise(apps).alias("apps"))
+                 .select("spec_id", "any_app", "levels", F.explode("apps").alias("app"))
+                 .select("spec_id", "any_app", "app", F.explode("levels").alias("level")))
+
+
+def match_keys(rows: DataFrame, specs: DataFrame, stats) -> DataFrame:
+    """Every (spec, row) pair with an accepted app and level, in one pass over
+    ``rows``: a row is looked up by (app, level), by (any app, level), or, when
+    there are specs of both kinds, by both. Adds ``spec_id``."""
+    keys = spec_keys(specs)
+    size = (int(stats["n_keyed"] or 0) + int(stats["n_unkeyed"] or 0), int(stats["key_bytes"] or 0))
+    if not stats["n_unkeyed"]:
+        return checked_join(rows, keys.drop("any_app"), ["app", "level"], size=size)
+    if not stats["n_keyed"]:
+        return checked_join(rows, keys.drop("any_app", "app"), ["level"], size=size)
+    probes = F.array(F.struct(F.col("app").alias("app"), F.lit(False).alias("any_app")),
+                     F.struct(F.lit("").alias("app"), F.lit(True).alias("any_app")))
+    probed = rows.withColumn("__p", F.explode(probes)).withColumns(
+        {"__app": F.col("__p.app"), "__any": F.col("__p.any_app")}).drop("__p")
+    keys = keys.withColumnsRenamed({"app": "__app", "any_app": "__any"})
+    return checked_join(probed, keys, ["__app", "__any", "level"], size=size).drop("__app", "__any")
 
 
 def spec_stats(specs: DataFrame):
     """One aggregate over the (small) spec table: the time envelope, the sizes
-    of both join-key tables, and the widest page."""
+    of both kinds of join keys, the widest page, and the text queries."""
     n_levels = F.size(F.filter(F.array(*[F.lit(n) for n in LEVEL_INTS]),
                                lambda x: x >= F.coalesce(F.col("min_level"), F.lit(LEVEL_INTS[0]))))
     n_apps = F.size(F.array_distinct(F.coalesce(F.col("apps"), F.array().cast("array<string>"))))
@@ -78,7 +95,12 @@ def spec_stats(specs: DataFrame):
         F.max("to_ts").alias("hi"), F.max(F.col("to_ts").isNull().cast("int")).alias("open_hi"),
         F.sum(n_apps * n_levels).alias("n_keyed"),
         F.sum(F.when(n_apps == 0, n_levels).otherwise(0)).alias("n_unkeyed"),
+        F.sum(F.greatest(n_apps, F.lit(1)) * n_levels * (
+            F.lit(32) + F.coalesce(F.array_max(F.transform("apps", lambda a: F.octet_length(a))), F.lit(0)))).alias("key_bytes"),
         F.max(F.coalesce(F.col("off"), F.lit(0)) + F.coalesce(F.col("lim"), F.lit(0))).alias("widest"),
+        F.count(F.when(F.length("q") >= MIN_QUERY_LENGTH, 1)).alias("n_text"),
+        F.count(F.lit(1)).alias("n_specs"),
+        F.sum(F.lit(64) + 3 * F.coalesce(F.octet_length("q"), F.lit(0))).alias("spec_bytes"),
     ).first()
 
 
@@ -86,20 +108,24 @@ def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True, sta
     """Every (spec, row) pair where the row passes the spec's filters.
 
     Output: the 12 log columns plus the spec columns (spec_id, from_ts, to_ts,
-    lim, off, ord, q, min_level).
+    lim, off, ord). The log is scanned once. Only keys and spec ids fan out;
+    the specs' other columns join them by spec_id. A row is split into words
+    once, before the fan-out, and only when some spec has a text query, whose
+    words are split once per spec.
     """
     stats = stats or spec_stats(specs)
-    keyed, unkeyed = _spec_keys(specs)
-    logs = _envelope_filter(logs, stats).select(*LOG_COLUMNS)
-    a = checked_join(logs, keyed, ["app", "level"], small_rows=int(stats["n_keyed"] or 0))
-    b = checked_join(logs, unkeyed, ["level"], small_rows=int(stats["n_unkeyed"] or 0))
-    m = a.unionByName(b)
+    text = apply_text and bool(stats["n_text"])
+    logs = _envelope_filter(logs, stats).select(
+        *LOG_COLUMNS, *([tokens(search_text()).alias("__words")] if text else []))
+    about = specs.select("spec_id", "from_ts", "to_ts", "lim", "off", "ord", *([
+        F.when(F.length("q") >= MIN_QUERY_LENGTH, tokens("q")).alias("__wanted")] if text else []))
+    m = checked_join(match_keys(logs, specs, stats), about, ["spec_id"],
+                     size=(int(stats["n_specs"]), int(stats["spec_bytes"] or 0)))
     in_time = (F.col("from_ts").isNull() | (F.col("added") >= F.col("from_ts"))) & \
               (F.col("to_ts").isNull() | (F.col("added") <= F.col("to_ts")))
     m = m.where(in_time)
-    if apply_text:
-        q = F.when(F.length("q") >= MIN_QUERY_LENGTH, F.col("q"))
-        m = m.where(q.isNull() | F.arrays_overlap(tokens(search_text()), tokens(q)))
+    if text:
+        m = m.where(F.col("__wanted").isNull() | F.arrays_overlap("__words", "__wanted")).drop("__words", "__wanted")
     return m
 
 
@@ -152,20 +178,15 @@ def history_or_nodata(logs: DataFrame, specs: DataFrame) -> DataFrame:
     """What a viewer is sent after ``loading``: the history page reversed
     (newest-first for desc, always reversed), or one ``noData`` marker that
     echoes the spec. Output: spec_id, seq, kind, id, app, level, added, message.
+
+    The history is computed once; the page size is counted over the page.
     """
-    hist = history_many(logs, specs)
-    n = hist.groupBy("spec_id").agg(F.count(F.lit(1)).alias("__n"))
-    offs = specs.select("spec_id", F.coalesce("off", F.lit(0)).alias("__off"))
+    page_of = Window.partitionBy("spec_id")
+    hist = history_many(logs, specs).select(
+        "spec_id", "rank", "id", "app", "level", "added", "message",
+        F.count(F.lit(1)).over(page_of).alias("__n"))
+    joined = specs.select("spec_id", F.coalesce("off", F.lit(0)).alias("__off")).join(hist, "spec_id", "left")
     # rank runs off+1 .. off+n; the replay position of the reversed page runs 1 .. n.
-    events = hist.join(n, "spec_id").join(offs, "spec_id").select(
-        "spec_id",
-        (F.col("__n") + F.col("__off") - F.col("rank") + 1).cast("long").alias("seq"),
-        F.lit("events").alias("kind"), "id", "app", "level", "added", "message",
-    )
-    empty = specs.join(n, "spec_id", "left_anti").select(
-        "spec_id", F.lit(1).cast("long").alias("seq"), F.lit("noData").alias("kind"),
-        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("app"),
-        F.lit(None).cast("int").alias("level"), F.lit(None).cast("timestamp_ntz").alias("added"),
-        F.lit(None).cast("string").alias("message"),
-    )
-    return events.unionByName(empty)
+    seq = F.coalesce(F.col("__n") + F.col("__off") - F.col("rank") + 1, F.lit(1)).cast("long")
+    kind = F.when(F.col("id").isNull(), F.lit("noData")).otherwise(F.lit("events"))
+    return joined.select("spec_id", seq.alias("seq"), kind.alias("kind"), "id", "app", "level", "added", "message")

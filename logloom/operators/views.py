@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.labels import LANGUAGES
-from logloom.functions.levels import LEVEL_INTS, level_name
+from logloom.functions.levels import LEVEL_INTS, level_int, level_name
+from logloom.functions.text import is_blank
 from logloom.functions.timefmt import display_time, iso_instant_format, ts_to_millis
+from logloom.functions.variants import is_string, kind as field_kind, long_of, optional_string, text
 from logloom.operators.filters import ORDERS
 
 TO_JSON_OPTS = {"ignoreNullFields": "false"}
@@ -153,8 +155,9 @@ def validate_domains(df: DataFrame) -> DataFrame:
     """Per-row domain errors (blank app/client/agent, negative id, unknown level,
     negative limit/offset, unknown order or language) joined into ``errors``."""
     def blank(c: str) -> Column:
-        return F.col(c).isNotNull() & (F.trim(F.col(c)) == "")
+        return F.coalesce(is_blank(c), F.lit(False))
 
+    # The error sentences.
     checks = []
     present = set(df.columns)
     if "app" in present:
@@ -180,25 +183,78 @@ def validate_domains(df: DataFrame) -> DataFrame:
     return df.withColumn("errors", F.when(F.size(errors) > 0, F.array_join(errors, " ")))
 
 
+def _named(v: Column, path: str, required: bool = True) -> Column:
+    """A string that is not blank; where not required, also absent or null."""
+    ok = is_string(v, path) & ~is_blank(text(v, path))
+    return ok if required else F.when(is_string(v, path), ok).otherwise(optional_string(v, path))
+
+
+def _long(v: Column, path: str, least: int | None = None) -> Column:
+    n = long_of(v, path)
+    return n.isNotNull() if least is None else F.coalesce(n >= least, F.lit(False))
+
+
+def _known_level(v: Column, path: str) -> Column:
+    return F.coalesce(level_int(F.when(is_string(v, path), text(v, path))).isNotNull(), F.lit(False))
+
+
+def _valid_event(v: Column) -> Column:
+    """One element of an ``events`` frame: id, source, event (current or legacy
+    shape) and added time, every required field with its type."""
+    e = "$.event."
+    texts = (is_string(v, e + "message") & is_string(v, e + "loggerName") & is_string(v, e + "threadName")
+             & optional_string(v, e + "stackTrace"))
+    no_time = field_kind(v, e + "timestamp").isNull() | (field_kind(v, e + "timestamp") == "VOID")
+    current = (optional_string(v, e + "isoTimestamp") & (no_time | _long(v, e + "timestamp"))
+               & optional_string(v, e + "timeFormatted") & _known_level(v, e + "level"))
+    legacy = _long(v, e + "timeStamp") & is_string(v, e + "timeFormatted") & is_string(v, e + "level")
+    return (_long(v, "$.id", 0) & _named(v, "$.source.name") & is_string(v, "$.source.remoteAddress")
+            & _named(v, "$.source.clientId", False) & _named(v, "$.source.userAgent", False)
+            & texts & (current | legacy) & _long(v, "$.added") & is_string(v, "$.addedFormatted"))
+
+
+def _valid_source(v: Column) -> Column:
+    """One element of a ``sources`` frame."""
+    return (_named(v, "$.name") & is_string(v, "$.remoteAddress") & _named(v, "$.userAgent", False)
+            & is_string(v, "$.id") & _long(v, "$.joined") & is_string(v, "$.joinedFormatted")
+            & is_string(v, "$.timeJoined"))
+
+
+def _valid_meta(v: Column) -> Column:
+    """The query that a ``loading`` or ``noData`` frame echoes."""
+    apps = F.try_variant_get(v, "$.meta.apps", "array<variant>")
+    time_range = F.coalesce(field_kind(v, "$.meta.timeRange").startswith("OBJECT"), F.lit(False))
+    return (F.coalesce(F.forall(apps, lambda a: is_string(a, "$")), F.lit(False)) & _known_level(v, "$.meta.level")
+            & time_range & optional_string(v, "$.meta.timeRange.from") & optional_string(v, "$.meta.timeRange.to")
+            & _long(v, "$.meta.limits.limit", 0) & _long(v, "$.meta.limits.offset", 0)
+            & optional_string(v, "$.meta.query"))
+
+
 def decode_frames(frames: DataFrame, col: str = "json", admin: bool = False) -> DataFrame:
     """Consumer side: drop pings and undecodable frames, classify the rest.
 
     Viewer frames: ``events`` (a batch), ``meta`` (loading / noData with its
     query), ``simple`` (any other ``event`` string). Admin frames: ``sources``
-    or ``simple``. First match wins. Output adds ``kind`` and ``n_items``.
+    or ``simple``. First match wins; a frame matches only if every element
+    holds all required fields with their types. Output adds ``kind`` and
+    ``n_items``.
     """
-    v = F.try_parse_json(F.col(col))
-    event = F.try_variant_get(v, "$.event", "string")
-    events = F.try_variant_get(v, "$.events", "array<variant>")
-    meta = F.try_variant_get(v, "$.meta", "variant")
-    sources = F.try_variant_get(v, "$.sources", "array<variant>")
+    v = F.col("__v")
+    frames = frames.withColumn("__v", F.try_parse_json(F.col(col)))
+    event = F.when(is_string(v, "$.event"), text(v, "$.event"))
+
+    def all_of(path: str, valid) -> Column:
+        return F.coalesce(F.forall(F.try_variant_get(v, path, "array<variant>"), valid), F.lit(False))
+
     if admin:
-        kind = F.when(sources.isNotNull(), "sources").when(event.isNotNull(), "simple")
-        n = F.when(sources.isNotNull(), F.size(sources))
+        many = all_of("$.sources", _valid_source)
+        kind = F.when(many, "sources").when(event.isNotNull(), "simple")
+        items = F.try_variant_get(v, "$.sources", "array<variant>")
     else:
-        kind = (F.when((event == "events") & events.isNotNull(), "events")
-                 .when(event.isNotNull() & meta.isNotNull(), "meta")
+        many = F.coalesce(event == "events", F.lit(False)) & all_of("$.events", _valid_event)
+        kind = (F.when(many, "events").when(event.isNotNull() & _valid_meta(v), "meta")
                  .when(event.isNotNull(), "simple"))
-        n = F.when(kind == "events", F.size(events))
-    out = frames.withColumn("kind", kind).withColumn("n_items", n).withColumn("frame_event", event)
-    return out.where(F.col("kind").isNotNull() & ~F.coalesce(event == "ping", F.lit(False)))
+        items = F.try_variant_get(v, "$.events", "array<variant>")
+    out = (frames.withColumn("frame_event", event).withColumn("kind", kind)
+                 .withColumn("n_items", F.when(F.col("kind").isin("events", "sources"), F.size(items))).drop("__v"))
+    return out.where(F.col("kind").isNotNull() & ~F.coalesce(F.col("frame_event") == "ping", F.lit(False)))

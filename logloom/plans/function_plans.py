@@ -400,38 +400,65 @@ def q_publishable_apps(spark, sf_dir):
     return rq.publishable_apps(df, "candidate")
 
 
-@query("assign_client_id")
+def _client_id_sql(key: str) -> str:
+    alphabet, digest = rq.CLIENT_ID_ALPHABET, f"md5(concat(cast({key} as varchar), ':7'))"
+    return " || ".join(f"substr('{alphabet}', cast(('0x' || substr({digest}, {4 * i + 1}, 4)) as int) % {len(alphabet)} + 1, 1)"
+                       for i in range(rq.CLIENT_ID_LENGTH))
+
+
+@query("assign_client_id", f"""{duck_with(['presence'])}
+select conn_id, app, {_client_id_sql('conn_id')} as client_id from presence where action = 'joined'""")
 def q_assign_client_id(spark, sf_dir):
     """A 7-char [a-z0-9] id for every source connection (the ``joined`` events
-    of ``presence``); random per seed, so checked by rows only."""
+    of ``presence``)."""
     from logloom.sources import store
     joins = store.fixture_table(spark, sf_dir, "presence").where(F.col("action") == "joined")
     return rq.assign_client_id(joins.select("conn_id", "app"), "conn_id", seed=7)
 
 
-FRAMES_IN = """
-select id, app, level, message, case id % 5
-  when 0 then '{{"event":"ping"}}'
-  when 1 then concat('{{"event":"loading","meta":{{"apps":["', app, '"],"level":"info"}}}}')
-  when 2 then concat('{{"events":[{{"id":', cast(id as {V}), ',"message":"', message, '"}}],"event":"events"}}')
-  when 3 then concat('{{"event":"', app, '"}}')
-  else concat('not json ', message) end as json from {logs}"""
-
-
-@query("decode_frames", f"""{duck_with(['logs'], fr=(FRAMES_IN, ['logs']))}
-select id, json, kind, n_items, frame_event from (
-  select id, json, json_extract_string(try_cast(json as json), '$.event') as frame_event,
-    json_type(try_cast(json as json), '$.events') as et, json_type(try_cast(json as json), '$.meta') as mt,
-    case when json_extract_string(try_cast(json as json), '$.event') = 'events' and json_type(try_cast(json as json), '$.events') = 'ARRAY' then 'events'
-      when json_extract_string(try_cast(json as json), '$.event') is not null and json_type(try_cast(json as json), '$.meta') is not null and json_type(try_cast(json as json), '$.meta') <> 'NULL' then 'meta'
-      when json_extract_string(try_cast(json as json), '$.event') is not null then 'simple' end as kind,
-    case when json_extract_string(try_cast(json as json), '$.event') = 'events' and json_type(try_cast(json as json), '$.events') = 'ARRAY'
-      then cast(json_array_length(try_cast(json as json), '$.events') as int) end as n_items
-  from fr) t
-where kind is not null and coalesce(frame_event <> 'ping', true)""")
+@query("recent", f"""{duck_with(['logs'])}
+select id, added - interval 5 minutes as from_ts, cast(null as timestamp) as to_ts from logs""")
+def q_recent(spark, sf_dir):
+    """The five minutes before each row's ingest time, open at the end."""
+    r = tf.recent_range("added")
+    return logs(spark, sf_dir).select("id", r["from"].alias("from_ts"), r["to"].alias("to_ts"))
+
+
+# Viewer frames by id: which of them decode, and as what, follows from how each is made.
+EVENT_HEAD = """'{{"id":', cast(id as {V}), ',"source":{{"name":"', app, '","remoteAddress":"', address, '"}},"event":{{'"""
+EVENT_TAIL = """',"message":"', message, '","loggerName":"', logger, '","threadName":"', thread, '"}},"added":1,"addedFormatted":"x"}}'"""
+EVENT = EVENT_HEAD + """, '"isoTimestamp":null,"timestamp":1704067200000,"level":"Info"', """ + EVENT_TAIL
+LEGACY = EVENT_HEAD + """, '"timeStamp":1704067200000,"timeFormatted":"x","level":"fatal"', """ + EVENT_TAIL
+BAD_LEVEL = EVENT_HEAD + """, '"timestamp":1704067200000,"level":"fatal"', """ + EVENT_TAIL
+BAD_TIME = EVENT_HEAD + """, '"timestamp":1.5,"level":"info"', """ + EVENT_TAIL
+META = """'"meta":{{"apps":["', app, '"],"level":"info","timeRange":{{"from":"x","to":null}},"limits":{{"limit":500,"offset":0}},"query":null}}'"""
+FRAMES_IN = f"""
+select id, case id % 14
+  when 0 then '{{{{"event":"ping"}}}}'
+  when 1 then concat('{{{{"event":"loading",', {META}, '}}}}')
+  when 2 then concat('{{{{"events":[', {EVENT}, '],"event":"events"}}}}')
+  when 3 then concat('{{{{"event":"', app, '"}}}}')
+  when 4 then concat('{{{{"events":[', {EVENT}, ',', {LEGACY}, '],"event":"events"}}}}')
+  when 5 then '{{{{"event":"loading","meta":5}}}}'
+  when 6 then '{{{{"event":"events","events":[1,2]}}}}'
+  when 7 then concat('{{{{"events":[', {EVENT}, ',', {BAD_LEVEL}, '],"event":"events"}}}}')
+  when 8 then concat('{{{{"events":[', {BAD_TIME}, '],"event":"events"}}}}')
+  when 9 then concat('{{{{"event":"noData","meta":{{{{"apps":["', app, '"],"level":"info"}}}}}}}}')
+  when 10 then '{{{{"event":"events","events":[]}}}}'
+  when 11 then concat('{{{{"events":[', {EVENT}, ']}}}}')
+  when 12 then concat('{{{{"event":', cast(id as {{V}}), '}}}}')
+  else concat('not json ', message) end as json from {{logs}}"""
+
+
+@query("decode_frames", f"""{duck_with(['logs'], fr=(FRAMES_IN, ['logs']))},
+app_of as (select id, app from logs)
+select fr.id, json, case when fr.id % 14 in (2, 4, 10) then 'events' when fr.id % 14 = 1 then 'meta' else 'simple' end as kind,
+  cast(case fr.id % 14 when 2 then 1 when 4 then 2 when 10 then 0 end as int) as n_items,
+  case when fr.id % 14 in (1, 5) then 'loading' when fr.id % 14 = 9 then 'noData' when fr.id % 14 = 3 then app else 'events' end as frame_event
+from fr join app_of on fr.id = app_of.id where fr.id % 14 not in (0, 11, 12, 13)""")
 def q_decode_frames(spark, sf_dir):
     df = spark_input(spark, sf_dir, FRAMES_IN, ["logs"])
-    return vw.decode_frames(df.select("id", "json")).select("id", "json", "kind", "n_items", "frame_event")
+    return vw.decode_frames(df).select("id", "json", "kind", "n_items", "frame_event")
 
 
 PARSE_IN = r"""
@@ -444,13 +471,13 @@ select id, concat('/logs?app=', app, case when id % 3 = 0 then '&app=app0' else
   case id % 5 when 0 then '&limit=20' when 1 then '&limit=-3' when 2 then '&limit=abc' else '' end,
   case when id % 9 = 0 then '&offset=500' else '' end,
   case id % 8 when 0 then '&order=asc' when 1 then '&order=up' else '' end,
-  case id % 10 when 0 then concat('&q=', replace(message, ' ', '+')) when 1 then '&q=ab' else '' end) as url,
+  case id % 10 when 0 then concat('&q=', replace(message, ' ', '+')) when 1 then '&q=ab' when 2 then '&q=why?now&x=?' else '' end) as url,
   {L} '2024-02-01 00:00:00' as now from {logs}"""
 
 
 def _parse_sql() -> str:
     return f"""{duck_with(['logs'], pin=(PARSE_IN, ['logs']))},
-kv as (select id, url, now, list_transform(list_filter(string_split(split_part(url, '?', 2), '&'), lambda p: p <> ''),
+kv as (select id, url, now, list_transform(list_filter(string_split(substr(url, strpos(url, '?') + 1), '&'), lambda p: p <> ''),
          lambda p: {{'k': url_decode(split_part(p, '=', 1)),
                      'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', '%20'))}}) as kv from pin),
 f as (select id, now, list_transform(list_filter(kv, lambda x: x.k = 'app'), lambda x: trim(x.v)) as apps,

@@ -23,12 +23,13 @@ acc as (select id // 10 as batch_id, id % 10 as pos, timestamp, message, logger,
         from logs where id // 10 not in (select batch_id from bad)),
 hand as (select * from (values
    (-6, 0, timestamp '2024-01-02 03:04:05.678', 'typed', 'l', 't', 40, cast(null as varchar)),
-   (-8, 0, timestamp '2024-01-01 00:00:00', 'legacy2', 'l', 't', 30, cast(null as varchar)))
+   (-8, 0, timestamp '2024-01-01 00:00:00', 'legacy2', 'l', 't', 30, cast(null as varchar)),
+   (-13, 0, timestamp '2024-01-01 00:00:00', 'm13', 'l', 't', 30, cast(null as varchar)))
    t(batch_id, pos, timestamp, message, logger, thread, level, stacktrace)),
 dec as (select * from acc union all select * from hand),
 first_ids as (select id // 10 as batch_id, min(id) as mid from logs group by 1),
 conn as (select f.batch_id, l.app, l.address, l.client, l.user_agent from first_ids f join logs l on l.id = f.mid
-         union all select b, 'app1', '10.0.0.1', cast(null as varchar), 'agent/hand' from (values (-6), (-8)) t(b)),
+         union all select b, 'app1', '10.0.0.1', cast(null as varchar), 'agent/hand' from (values (-6), (-8), (-13)) t(b)),
 enr as (select d.batch_id, d.pos, c.app, c.address, d.timestamp, d.message, d.logger, d.thread, d.level, c.client,
           case when trim(c.user_agent) <> '' then substr(trim(c.user_agent), 1, 100) end as user_agent, d.stacktrace
         from dec d join conn c on c.batch_id = d.batch_id)"""
@@ -53,7 +54,8 @@ def q_decode_events(spark, sf_dir):
 @query("reject_batches", f"""{ACCEPTED_SQL}
 select batch_id, 'Invalid event.' as reason from bad
 union all select * from (values (-1, 'Malformed JSON.'), (-2, 'Missing events.'), (-4, 'No timestamp.'),
-  (-5, 'Invalid timestamp.'), (-7, 'No timestamp.')) t(batch_id, reason)""")
+  (-5, 'Invalid timestamp.'), (-7, 'No timestamp.'), (-9, 'Invalid event.'), (-10, 'Invalid event.'),
+  (-11, 'Invalid event.'), (-12, 'App name must not be blank.')) t(batch_id, reason)""")
 def q_reject_batches(spark, sf_dir):
     return dec.reject_batches(raw(spark, sf_dir)).select("batch_id", "reason")
 
@@ -66,7 +68,7 @@ def q_enrich_source(spark, sf_dir):
 
 @query("published_counts", f"""{ACCEPTED_SQL}
 select batch_id, count(*) as event_count from acc group by batch_id
-union all select * from (values (-3, 0), (-6, 1), (-8, 1)) t(batch_id, event_count)""")
+union all select * from (values (-3, 0), (-6, 1), (-8, 1), (-13, 1)) t(batch_id, event_count)""")
 def q_published_counts(spark, sf_dir):
     return dec.published_counts(raw(spark, sf_dir))
 

@@ -16,7 +16,7 @@ from logloom.plans.oracle import (
 )
 from logloom.plans.registry import query
 from logloom.schema import LOG_COLUMNS
-from logloom.session import path_exists, shared_dir
+from logloom.session import fresh_path, path_exists, shared_dir
 from logloom.sources import fixtures, store
 
 # Query parameters (like a benchmark query's substitution values).
@@ -126,20 +126,26 @@ def q_filter_all(spark, sf_dir):
 
 
 @query("sort_added", f"""{cte('logs')}
-select row_number() over (order by added desc, id desc) as pos, id, app, added from logs""")
+select id, app, added from logs""")
 def q_sort_added(spark, sf_dir):
-    """Full-table order by (added, id) desc; ``pos`` is the exact global
-    position, computed without gathering the table into one task."""
-    df = logs(spark, sf_dir).select("id", "app", "added")
-    return range_rank(df, [], [F.col("added").desc(), F.col("id").desc()], "pos") \
-        .select("pos", "id", "app", "added")
+    """Full-table order by (added, id) desc; the order itself is checked in the tests."""
+    return srch.sort_added(logs(spark, sf_dir).select("id", "app", "added"), "desc")
 
 
 @query("sort_severity", f"""{cte('logs')}
-select row_number() over (order by level, id) as pos, id, level from logs""")
+select id, level from logs""")
 def q_sort_severity(spark, sf_dir):
-    df = logs(spark, sf_dir).select("id", "level")
-    return range_rank(df, [], [F.col("level").asc(), F.col("id").asc()], "pos").select("pos", "id", "level")
+    return srch.sort_severity(logs(spark, sf_dir).select("id", "level"))
+
+
+@query("position_added", f"""{cte('logs')}
+select row_number() over (order by added desc, id desc) as pos, id, app, added from logs""")
+def q_position_added(spark, sf_dir):
+    """The exact position of every row in (added, id) order, desc, computed
+    without gathering the table into one task."""
+    df = logs(spark, sf_dir).select("id", "app", "added")
+    return range_rank(df, [], [F.col("added").desc(), F.col("id").desc()], "pos") \
+        .select("pos", "id", "app", "added")
 
 
 @query("page", f"""{cte('logs')}
@@ -221,3 +227,40 @@ select s.spec_id, 1 as seq, 'noData' as kind, null, null, null, null, null
 from s where s.spec_id not in (select spec_id from n)""")
 def q_history_or_nodata(spark, sf_dir):
     return srch.history_or_nodata(logs(spark, sf_dir), specs(spark, sf_dir))
+
+
+# A page wider than the partial limits: ranked over range partitions instead.
+WIDE_SPECS_SQL = SPECS_SQL.replace("lim, off, ord, cast(null", "lim + 2000 as lim, off, ord, cast(null").replace("null as timestamp), 50, 10", "null as timestamp), 2050, 10")
+
+
+@query("history_many_wide", f"""{cte('logs', 'specs')},{WIDE_SPECS_SQL}
+select spec_id, rank, {LOG_COLS_SQL} from h""")
+def q_history_many_wide(spark, sf_dir):
+    """Pages of more than 2,000 rows per viewer."""
+    wide = specs(spark, sf_dir).withColumn("lim", F.col("lim") + 2000)
+    return srch.history_many(logs(spark, sf_dir), wide)
+
+
+INDEXED = SearchSpec(apps=(), level="info", from_=dt.datetime(2024, 1, 3), to=dt.datetime(2024, 1, 9), limit=40,
+                     query=DOC_QUERY)
+
+
+@query("history_search_indexed", f"""{cte('doc_logs')}
+select {LOG_COLS_SQL} from doc_logs where level in {levels_from_sql(30)}
+  and added >= {_ts(INDEXED.from_)} and added <= {_ts(INDEXED.to)}
+  and list_has_any({tokens_sql(search_text_sql())}, {tokens_sql(repr(DOC_QUERY))})
+order by added desc, id desc limit 40""")
+def q_history_search_indexed(spark, sf_dir):
+    """A text search answered through the stored token index."""
+    return srch.history_search(doc_logs(spark, sf_dir), INDEXED, index=doc_index(spark, sf_dir))
+
+
+@query("token_index_appended", f"""{cte('logs')}
+select distinct token, id from (select id, unnest({tokens_sql(search_text_sql())}) as token from logs) t""")
+def q_token_index_appended(spark, sf_dir):
+    """The index kept by appends: the rows arrive in two batches, the second
+    one twice (a replay)."""
+    rows, path = logs(spark, sf_dir), fresh_path(spark, "tokens")
+    for batch, keep in ((1, "id % 3 = 0"), (2, "id % 3 <> 0"), (2, "id % 3 <> 0")):
+        flt.append_token_index(rows.where(keep), path, batch)
+    return spark.read.parquet(path).select("token", "id")

@@ -49,7 +49,8 @@ def q_ingest_stream(spark, sf_dir):
     batch per micro-batch) and publishes the stored rows, read back here."""
     inbox = store.materialized_raw(spark, sf_dir)
     table, updates, ckpt = fresh_path(spark, "table"), fresh_path(spark, "updates"), fresh_path(spark, "ckpt")
-    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=8), table, updates, ckpt, available_now=True))
+    _run(st.ingest_stream(st.file_stream(spark, inbox, max_files=8), table, updates, ckpt, available_now=True,
+                          apps=logs(spark, sf_dir).select("app").distinct()))
     return spark.read.parquet(updates).select(*ENRICHED_COLS)
 
 
@@ -78,13 +79,14 @@ def q_history_then_tail(spark, sf_dir):
 @query("tail_dedupe", f"""{fixtures.duck_cte('logs')}
 select id, app from logs""")
 def q_tail_dedupe(spark, sf_dir):
-    """The events arrive twice (two readers of the same files); the watermark
-    de-duplication lets each id through once."""
+    """The rows arrive in four micro-batches, each holding repeats of others
+    and rows of days long before those already seen."""
+    inbox, rows = fresh_path(spark, "dedupe-in"), logs(spark, sf_dir).select("id", "app", "added")
+    for part, keep in enumerate(("id % 3 <> 0", "id % 3 <> 1", "id % 2 = 0", "id % 3 <> 2")):
+        rows.where(keep).write.parquet(f"{inbox}/part{part}")
     out, ckpt = fresh_path(spark, "dedupe"), fresh_path(spark, "ckpt")
-    deduped = st.tail_dedupe(logs_stream(spark, sf_dir, copies=2).select("id", "app", "added"))
-    q = (deduped.writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    _run(q)
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 3).parquet(inbox)
+    _run(st.tail_dedupe(stream, out, ckpt, available_now=True))
     return spark.read.parquet(out).select("id", "app")
 
 
@@ -93,12 +95,12 @@ select conn_id, arg_min(app, seq) as app, min(case when action = 'joined' then s
 from presence group by conn_id having arg_max(action, seq) = 'joined'""")
 def q_presence_stream(spark, sf_dir):
     """Connection events stream in (files of presence events); every
-    micro-batch publishes the full snapshot; the last one is returned."""
+    micro-batch publishes the full connected set; the last one is returned."""
     inbox = fresh_path(spark, "presence-in")
     store.fixture_table(spark, sf_dir, "presence").repartitionByRange(4, "seq").write.parquet(inbox)
     out, ckpt = fresh_path(spark, "presence"), fresh_path(spark, "ckpt")
     _run(st.presence_stream(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
-    return spark.read.parquet(f"{out}/current").select("conn_id", "app", "joined_seq")
+    return st.presence_current(spark, out)
 
 
 @query("route_stream", f"""{ROUTE_SQL}

@@ -80,23 +80,27 @@ def q_presence_changes(spark, sf_dir):
              .select("seq", "conn_id", "app", "action", "n_connected")
 
 
-ADMIN_FRAMES = """
-select id, case id % 4
-  when 0 then '{{"event":"ping"}}'
-  when 1 then concat('{{"sources":[{{"name":"', app, '","remoteAddress":"', address, '","id":"', cast(id as {V}), '"}}]}}')
-  when 2 then concat('{{"event":"', app, '"}}')
-  else concat('{{"sources":', cast(id as {V})) end as json from {logs}"""
-
-
-@query("decode_frames_admin", f"""{duck_with(['logs'], fr=(ADMIN_FRAMES, ['logs']))}
-select id, json, kind, n_items, frame_event from (
-  select id, json, json_extract_string(try_cast(json as json), '$.event') as frame_event,
-    case when json_type(try_cast(json as json), '$.sources') = 'ARRAY' then 'sources'
-         when json_extract_string(try_cast(json as json), '$.event') is not null then 'simple' end as kind,
-    case when json_type(try_cast(json as json), '$.sources') = 'ARRAY'
-         then cast(json_array_length(try_cast(json as json), '$.sources') as int) end as n_items
-  from fr) t
-where kind is not null and coalesce(frame_event <> 'ping', true)""")
+# Admin frames by id: which of them decode, and as what, follows from how each is made.
+SOURCE = """'{{"name":"', app, '","remoteAddress":"', address, '","userAgent":null,"id":"', cast(id as {V}), '","joined":', cast(id as {V}), ',"joinedFormatted":"x","timeJoined":"y"}}'"""
+ADMIN_FRAMES = f"""
+select id, case id % 9
+  when 0 then '{{{{"event":"ping"}}}}'
+  when 1 then concat('{{{{"sources":[', {SOURCE}, ']}}}}')
+  when 2 then concat('{{{{"event":"', app, '"}}}}')
+  when 3 then concat('{{{{"sources":', cast(id as {{V}}), '}}}}')
+  when 4 then '{{{{"sources":[]}}}}'
+  when 5 then concat('{{{{"sources":[', {SOURCE}, ',', {SOURCE}, '],"event":"x"}}}}')
+  when 6 then '{{{{"sources":[{{{{"bogus":1}}}}]}}}}'
+  when 7 then concat('{{{{"sources":[', {SOURCE}, ',{{{{"name":"', app, '"}}}}],"event":"partly"}}}}')
+  else concat('{{{{"sources":[{{{{"name":" ","remoteAddress":"a","id":"1","joined":true}}}}]', '}}}}') end as json from {{logs}}"""
+
+
+@query("decode_frames_admin", f"""{duck_with(['logs'], fr=(ADMIN_FRAMES, ['logs']))},
+app_of as (select id, app from logs)
+select fr.id, json, case when fr.id % 9 in (1, 4, 5) then 'sources' else 'simple' end as kind,
+  cast(case fr.id % 9 when 1 then 1 when 4 then 0 when 5 then 2 end as int) as n_items,
+  case fr.id % 9 when 2 then app when 5 then 'x' when 7 then 'partly' end as frame_event
+from fr join app_of on fr.id = app_of.id where fr.id % 9 in (1, 2, 4, 5, 7)""")
 def q_decode_frames_admin(spark, sf_dir):
     df = spark_input(spark, sf_dir, ADMIN_FRAMES, ["logs"])
     return vw.decode_frames(df, admin=True).select("id", "json", "kind", "n_items", "frame_event")

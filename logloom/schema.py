@@ -25,32 +25,13 @@ LOGS = T.StructType([
     T.StructField("added", T.TimestampNTZType(), True),
 ])
 
-# On disk the table is partitioned by ingest batch, then by the UTC date of
-# ``added``: ``<table>/batch=<n>/added_date=<yyyy-mm-dd>/``. One batch's folder
-# is overwritten as a whole, so replaying a batch is idempotent.
+# On disk the table is partitioned by the UTC date of ``added``, then by ingest
+# batch: ``<table>/added_date=<yyyy-mm-dd>/batch=<n>/``, so a date filter prunes
+# before the batches of other dates are listed. A batch's folders are replaced
+# as a whole, so replaying a batch is idempotent.
 PARTITION_COLUMN = "added_date"
 BATCH_COLUMN = "batch"
 LOGS_STORED = T.StructType(list(LOGS.fields) + [
-    T.StructField(BATCH_COLUMN, T.LongType(), True),
     T.StructField(PARTITION_COLUMN, T.DateType(), True),
-])
-
-# One incoming event as sent by a source (current wire shape plus the legacy
-# ``timeStamp``); every field is optional so the decoder can decide.
-WIRE_EVENT_FIELDS = [
-    "isoTimestamp", "timestamp", "timeStamp", "timeFormatted", "message",
-    "loggerName", "threadName", "level", "stackTrace",
-]
-
-# A viewer's search request, one row per viewer.
-SPEC = T.StructType([
-    T.StructField("spec_id", T.LongType(), False),
-    T.StructField("apps", T.ArrayType(T.StringType()), True),
-    T.StructField("min_level", T.IntegerType(), True),
-    T.StructField("from_ts", T.TimestampNTZType(), True),
-    T.StructField("to_ts", T.TimestampNTZType(), True),
-    T.StructField("lim", T.IntegerType(), True),
-    T.StructField("off", T.IntegerType(), True),
-    T.StructField("ord", T.StringType(), True),
-    T.StructField("q", T.StringType(), True),
+    T.StructField(BATCH_COLUMN, T.LongType(), True),
 ])

@@ -97,29 +97,63 @@ TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 # Sizes at or above this are Spark's "no statistics" default, not a size.
 UNKNOWN_SIZE = 1 << 62
-# Never plan more range partitions than this from a size estimate.
-MAX_PARTITIONS = 200_000
 
 
-def estimated_bytes(df) -> int:
+def estimated_bytes(df) -> int | None:
     """Bytes a DataFrame reads: the sum of Catalyst's size estimates of the
     plan's leaves (for file scans, the sizes already listed; no extra
     file-system calls). The leaves are used rather than the root because a
-    join's estimate without statistics is the product of its inputs."""
+    join's estimate without statistics is the product of its inputs. ``None``
+    when some leaf has no statistics."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # Leaves without statistics report Spark's "unknown" default (Long.MaxValue).
-    return sum(x for x in sizes if x < UNKNOWN_SIZE)
+    return None if any(x >= UNKNOWN_SIZE for x in sizes) else sum(sizes)
 
 
 def partitions_for(spark: SparkSession, df, floor: int | None = None,
                    target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Partitions so that each holds about ``target_bytes`` of the input, and at
-    least ``floor`` (default: the cluster's parallelism)."""
+    least ``floor`` (default: the cluster's parallelism). An input of unknown
+    size keeps the number of partitions it arrives in, if that is larger."""
     if floor is None:
         floor = spark.sparkContext.defaultParallelism
-    try:
-        by_size = min(MAX_PARTITIONS, -(-estimated_bytes(df) // target_bytes))
-    except Exception:  # noqa: BLE001 - no estimate (e.g. a streaming plan): use the floor
-        by_size = 0
-    return max(1, floor, by_size)
+    size = estimated_bytes(df)
+    wanted = df.rdd.getNumPartitions() if size is None else -(-size // target_bytes)
+    return max(1, floor, wanted)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none when it is missing), for any file system."""
+    fs, jpath = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, jpath = _fs(spark, path)
+    fs.create(jpath, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of this library's own tables."""
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, jsource = _fs(spark, source)
+    _, jtarget = _fs(spark, target)
+    fs.mkdirs(jtarget.getParent())
+    if not fs.rename(jsource, jtarget):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def size_stamp(spark: SparkSession, path: str) -> str:
+    """Sizes and times of a file, or of the files in a folder, so that a changed
+    table is noticed on any file system."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return path
+    parts = sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(jpath))
+    return f"{path}:{','.join(parts)}"

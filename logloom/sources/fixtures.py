@@ -44,7 +44,8 @@ from {events}""",
 select doc_id as id, source as app, '127.0.0.1' as address, {L} '2024-01-01 00:00:00' as timestamp,
   text as message, concat('doc.', lang) as logger, 'main' as thread,
   cast(10 * (doc_id % 6) + 10 as int) as level, cast(null as {S}) as client,
-  cast(null as {S}) as user_agent, cast(null as {S}) as stacktrace, {L} '2024-01-01 00:00:00' as added
+  cast(null as {S}) as user_agent, cast(null as {S}) as stacktrace,
+  cast(concat('2024-01-', lpad(cast(doc_id % 20 + 1 as {S}), 2, '0'), ' 00:00:00') as {N}) as added
 from {documents}""",
     "apps": """
 select app, md5(concat(app, ':', 'pw', app)) as pass_hash
@@ -156,7 +157,19 @@ HAND_WRITTEN = [
          '"loggerName": "l", "threadName": "t", "level": "error"}]}', "legacy event, valid level"),
     (-8, '{"events": [{"timeStamp": 1704067200000, "timeFormatted": "x", "message": "legacy2", '
          '"loggerName": "l", "threadName": "t", "level": "fatal"}]}', "legacy event, unknown level"),
+    (-9, '{"events": [{"timestamp": true, "message": "m9", "loggerName": "l", "threadName": "t", "level": "info"}]}',
+     "boolean timestamp"),
+    (-10, '{"events": [{"timestamp": 1.5, "message": "m10", "loggerName": "l", "threadName": "t", "level": "info"}]}',
+     "timestamp with a fraction"),
+    (-11, '{"events": [{"timeStamp": true, "timeFormatted": "x", "message": "m11", "loggerName": "l", '
+          '"threadName": "t", "level": "fatal"}]}', "legacy event, boolean time"),
+    (-12, '{"events": [{"timestamp": 1704067200000, "message": "m12", "loggerName": "l", "threadName": "t", '
+          '"level": "info"}]}', "blank app"),
+    (-13, '{"events": [{"timestamp": 1704067200000.0, "message": "m13", "loggerName": "l", "threadName": "t", '
+          '"level": "info"}]}', "whole decimal timestamp, app between tabs"),
 ]
+# Apps of messages that do not come from ``HAND_APP``.
+HAND_APPS = {-12: "\t\n ", -13: "\tapp1\n"}
 HAND_APP, HAND_ADDRESS, HAND_AGENT = "app1", "10.0.0.1", "  agent/hand  "
 
 
@@ -209,7 +222,7 @@ def raw_batches(spark: SparkSession, sf_dir: str, hand_written: bool = True) ->
     if not hand_written:
         return gen
     hand = spark.createDataFrame(
-        [(b, raw, HAND_APP, HAND_ADDRESS, None, HAND_AGENT) for b, raw, _ in HAND_WRITTEN],
+        [(b, raw, HAND_APPS.get(b, HAND_APP), HAND_ADDRESS, None, HAND_AGENT) for b, raw, _ in HAND_WRITTEN],
         "batch_id long, raw string, app string, address string, client string, user_agent string",
     )
     return gen.unionByName(hand)

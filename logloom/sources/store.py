@@ -10,41 +10,98 @@ skip most of a file for an app/time filter.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import LEVEL_INTS
 from logloom.schema import BATCH_COLUMN, LOG_COLUMNS, LOGS_STORED, PARTITION_COLUMN
-from logloom.session import partitions_for, path_exists, shared_dir
+from logloom.session import (
+    list_names, partitions_for, path_exists, remove, rename, shared_dir, size_stamp, touch,
+)
 from logloom.sources import fixtures
 
 # Bumped whenever the on-disk layout changes, so old folders are never mixed in.
-STORE_VERSION = "v2"
+STORE_VERSION = "v3"
 
 
 def with_partition_column(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, F.to_date(F.col("added")))
 
 
+def replace_batch(df: DataFrame, path: str, batch: int, day: str = PARTITION_COLUMN) -> None:
+    """Write ``df`` as batch ``batch`` of a table laid out ``<day>=.../batch=<n>``.
+    What an earlier attempt left of the batch, on any day, is deleted first."""
+    spark = df.sparkSession
+    for name in list_names(spark, path):
+        if name.startswith(f"{day}="):
+            remove(spark, f"{path}/{name}/{BATCH_COLUMN}={batch}")
+    df.withColumn(BATCH_COLUMN, F.lit(batch).cast("long")).write.mode("append").partitionBy(day, BATCH_COLUMN).parquet(path)
+
+
+# Marks kept per table: only the largest ids of a few batches are ever needed.
+MARKS_KEPT = 16
+
+
+def write_mark(spark: SparkSession, path: str, batch: int, max_id: int | None) -> None:
+    """Note the largest id of a batch (an empty file ``_ids/<id>-<batch>``)."""
+    marks = read_marks(spark, path)
+    for top, of in marks:
+        if of == batch:
+            remove(spark, f"{path}/_ids/{top}-{of}")
+    if max_id is not None:
+        touch(spark, f"{path}/_ids/{max_id}-{batch}")
+    for top, of in sorted(m for m in marks if m[1] != batch)[:-MARKS_KEPT]:
+        remove(spark, f"{path}/_ids/{top}-{of}")
+
+
+def read_marks(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(largest id, batch) of the marked batches, from file names alone."""
+    return [tuple(map(int, n.split("-", 1))) for n in list_names(spark, f"{path}/_ids") if n[0].isdigit()]
+
+
 def write_logs(df: DataFrame, path: str, batch: int = 0, num_files: int | None = None,
-               cluster: bool = True) -> None:
+               cluster: bool = True, max_id: int | None = None) -> None:
     """Write rows of the 12-column schema as batch ``batch`` of the table at
-    ``path``. The batch's folder is replaced as a whole (idempotent replay).
+    ``path`` (idempotent replay) and note its largest id, read back from the
+    batch when the caller does not know it.
 
     ``cluster`` range-partitions the rows first (a bulk load: each file holds
     one slice of (date, app, added, id)). Without it the rows keep their
     partitions, which must already be balanced (an append right after the id
     assignment), and are only sorted within each file, which still gives
     row-group statistics on app and time."""
+    spark = df.sparkSession
     df = with_partition_column(df.select(*LOG_COLUMNS))
     if cluster:
         if num_files is None:
-            num_files = partitions_for(df.sparkSession, df)
+            num_files = partitions_for(spark, df)
         df = df.repartitionByRange(num_files, PARTITION_COLUMN, "app", "added", "id")
-    (df.sortWithinPartitions(PARTITION_COLUMN, "app", "added", "id")
-       .write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{path}/{BATCH_COLUMN}={batch}"))
+    replace_batch(df.sortWithinPartitions(PARTITION_COLUMN, "app", "added", "id"), path, batch)
+    if max_id is None:
+        max_id = read_stored(spark, path).where(F.col(BATCH_COLUMN) == batch).agg(F.max("id")).first()[0]
+    write_mark(spark, path, batch, max_id)
+
+
+def compact_logs(spark: SparkSession, path: str, day, batch: int) -> int:
+    """Merge a day's batches up to ``batch`` into one set of files, kept as that
+    batch; returns the number of folders merged. The merged copy is complete
+    before the old folders go, and a call after an interruption finishes the
+    swap. Not for a day that is being read or written."""
+    folder, merged = f"{path}/{PARTITION_COLUMN}={day}", f"{path}/_compact/{day}-{batch}"
+    old = [n for n in list_names(spark, folder)
+           if n.startswith(f"{BATCH_COLUMN}=") and int(n.split("=")[1]) <= batch]
+    if not path_exists(spark, f"{merged}/_SUCCESS"):
+        if len(old) < 2:
+            return 0
+        rows = read_stored(spark, path).where((F.col(PARTITION_COLUMN) == F.lit(str(day)).cast("date")) & (F.col(BATCH_COLUMN) <= batch))
+        rows = rows.select(*LOG_COLUMNS)
+        (rows.repartitionByRange(partitions_for(spark, rows, floor=1), "app", "added", "id")
+             .sortWithinPartitions("app", "added", "id").write.mode("overwrite").parquet(merged))
+    for name in old:
+        remove(spark, f"{folder}/{name}")
+    rename(spark, merged, f"{folder}/{BATCH_COLUMN}={batch}")
+    return len(old)
 
 
 def valid_rows(df: DataFrame) -> Column:
@@ -72,13 +129,8 @@ def invalid_logs(spark: SparkSession, path: str) -> DataFrame:
     return df.where(~valid_rows(df)).select(*LOG_COLUMNS)
 
 
-def _source_tag(sf_dir: str, table: str) -> str:
-    p = os.path.join(os.path.abspath(sf_dir), f"{table}.parquet")
-    try:
-        st = os.stat(p)
-        stamp = f"{p}:{st.st_size}:{int(st.st_mtime)}"
-    except OSError:
-        stamp = p
+def _source_tag(spark: SparkSession, sf_dir: str, table: str) -> str:
+    stamp = size_stamp(spark, f"{sf_dir.rstrip('/')}/{table}.parquet")
     return hashlib.sha1(stamp.encode()).hexdigest()[:12]
 
 
@@ -86,7 +138,7 @@ def materialized_view(spark: SparkSession, sf_dir: str, name: str = "logs") -> s
     """Write a log-shaped fixture view (``logs`` or ``doc_logs``) to the shared
     folder once and return its path; later calls reuse it."""
     base = fixtures.DEPENDS[name][0]
-    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/{name}-{_source_tag(sf_dir, base)}"
+    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/{name}-{_source_tag(spark, sf_dir, base)}"
     if not path_exists(spark, f"{path}/_done/_SUCCESS"):
         write_logs(fixtures.view(spark, sf_dir, name), path, batch=0)
         spark.createDataFrame([(1,)], "done int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_done")
@@ -103,7 +155,7 @@ def logs_table(spark: SparkSession, sf_dir: str, name: str = "logs") -> DataFram
 
     These stores are written once and never appended to, so the scan is
     reused within a session."""
-    key = (id(spark._jsparkSession), f"{os.path.abspath(sf_dir)}:{name}")
+    key = (id(spark._jsparkSession), f"{sf_dir.rstrip('/')}:{name}")
     df = _SCANS.get(key)
     if df is None:
         df = scan_logs(spark, materialized_view(spark, sf_dir, name))
@@ -114,7 +166,7 @@ def logs_table(spark: SparkSession, sf_dir: str, name: str = "logs") -> DataFram
 def materialized_raw(spark: SparkSession, sf_dir: str, num_files: int = 16) -> str:
     """The raw JSON batches of ``sf_dir`` written once as Parquet files (an
     inbox of messages, as sources would leave them); later calls reuse it."""
-    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/raw{num_files}-{_source_tag(sf_dir, 'events')}"
+    path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/raw{num_files}-{_source_tag(spark, sf_dir, 'events')}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         fixtures.raw_batches(spark, sf_dir).repartition(num_files, "batch_id").write.mode("overwrite").parquet(path)
     return path
@@ -127,12 +179,12 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixture_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A non-log fixture view (``presence``, ``apps``, ``admins``) written once
     to the shared folder and read from there (scan reused per session)."""
-    key = (id(spark._jsparkSession), f"{os.path.abspath(sf_dir)}:{name}")
+    key = (id(spark._jsparkSession), f"{sf_dir.rstrip('/')}:{name}")
     df = _SCANS.get(key)
     if df is None:
         base = fixtures.DEPENDS[name][0]
         base = fixtures.DEPENDS[base][0] if base in fixtures.TEMPLATES else base
-        path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/{name}-{_source_tag(sf_dir, base)}"
+        path = f"{shared_dir(spark)}/logloom-store/{STORE_VERSION}/{name}-{_source_tag(spark, sf_dir, base)}"
         if not path_exists(spark, f"{path}/_SUCCESS"):
             view = fixtures.view(spark, sf_dir, name)
             view.repartition(partitions_for(spark, view)).write.mode("overwrite").parquet(path)

@@ -7,7 +7,7 @@ a restarted or retried micro-batch never duplicates output.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +15,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom.operators import decode as dec
 from logloom.operators import ingest as ing
-from logloom.operators.filters import SearchSpec, search_gate_value
+from logloom.operators.filters import SearchSpec, append_token_index, search_gate_value
 from logloom.operators.presence import JOINED
+from logloom.operators.registry import with_known_apps
 from logloom.operators.search import history_search
 from logloom.functions.levels import levels_at_least
+from logloom.functions.text import clean_name
+from logloom.schema import BATCH_COLUMN, PARTITION_COLUMN
+from logloom.session import list_names, path_exists, remove
+from logloom.sources import store
 
 
 def file_stream(spark: SparkSession, folder: str, name: str | None = None,
@@ -45,9 +50,12 @@ def _start(df_writer, available_now: bool) -> StreamingQuery:
 # ingest
 
 def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: str,
-                  legacy: str = "strict", available_now: bool = False) -> StreamingQuery:
+                  legacy: str = "strict", available_now: bool = False,
+                  apps: DataFrame | None = None, index: str | None = None) -> StreamingQuery:
     """Raw JSON batches → decode → enrich → append to ``table`` → publish the
-    stored rows to ``updates`` (one folder per micro-batch).
+    stored rows to ``updates`` (one folder per micro-batch). With ``apps``, a
+    message of an app that is not registered is rejected; with ``index``, the
+    token index there gets the words of the stored rows.
 
     The micro-batch id is the table's ingest batch: a replayed micro-batch
     rewrites the same folders with the same ids (its base excludes its own
@@ -57,7 +65,13 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
     def each(batch: DataFrame, epoch: int) -> None:
         # Decoded once per micro-batch and reused by every write below; the
         # source files can always be re-read if a cached block is lost.
-        decoded = dec.decode_batches(batch, "raw", legacy).persist()
+        decoded = dec.decode_batches(batch, "raw", legacy)
+        if apps is not None:
+            named = decoded.withColumn("app", clean_name("app"))
+            known = with_known_apps(named, apps, salt_key=["batch_id"])
+            reason = F.coalesce("reason", F.when(~F.col("known"), F.lit(dec.UNKNOWN_APP)))
+            decoded = known.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).drop("known")
+        decoded = decoded.persist()
         try:
             rejected = decoded.where(~F.col("ok")).drop("decoded", "ok", "n_events")
             rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
@@ -65,6 +79,9 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
             n = decoded.agg(F.sum(F.when(F.col("ok"), F.col("n_events")).otherwise(0))).first()[0] or 0
             written = ing.append_logs(rows, table, batch=epoch, n_rows=int(n))
             written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
+            if index is not None:
+                stored = batch.sparkSession.read.parquet(f"{updates}/epoch={epoch}")
+                append_token_index(store.with_partition_column(stored), index, batch=epoch)
         finally:
             decoded.unpersist()
 
@@ -135,58 +152,114 @@ def history_then_tail(logs: DataFrame, stream: DataFrame, spec: SearchSpec, out:
 # ---------------------------------------------------------------------------
 # de-duplication and presence
 
-def tail_dedupe(stream: DataFrame, keys: Sequence[str] = ("id",), event_time: str = "added",
-                delay: str = "10 minutes") -> DataFrame:
-    """Exactly-once rows by ``keys`` within a watermark on ``event_time``
-    (cast to ``timestamp``, which watermarks require)."""
-    wm = "__event_time"
-    return (stream.withColumn(wm, F.col(event_time).cast("timestamp"))
-                  .withWatermark(wm, delay)
-                  .dropDuplicatesWithinWatermark(list(keys))
-                  .drop(wm))
-
-
-def presence_state(stream: DataFrame) -> DataFrame:
-    """Streaming aggregate per connection id: last action, app, join seq."""
-    return stream.groupBy("conn_id").agg(
-        F.max_by("action", "seq").alias("last_action"),
+def tail_dedupe(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("id",),
+                event_time: str = "added", available_now: bool = False) -> StreamingQuery:
+    """Every row once by ``keys``, however late or often it arrives.
+
+    A micro-batch keeps its rows that no other micro-batch has written to
+    ``out``. The rows already there are read from the days and the key range of
+    the batch only (``out`` is laid out by day, then micro-batch), so no state
+    is held and nothing is dropped for being late. A replayed micro-batch
+    replaces its own folders.
+    """
+    keys = list(keys)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        day = F.coalesce(F.to_date(event_time), F.lit("1970-01-01").cast("date"))
+        rows = batch.dropDuplicates(keys).withColumn(PARTITION_COLUMN, day).persist()
+        try:
+            lo, hi, first, last = rows.agg(F.min(PARTITION_COLUMN), F.max(PARTITION_COLUMN), F.min(keys[0]), F.max(keys[0])).first()
+            if lo is None:
+                return
+            fresh = rows
+            if path_exists(spark, out) and any(n.startswith(f"{PARTITION_COLUMN}=") for n in list_names(spark, out)):
+                sent = spark.read.parquet(out)
+                sent = sent.where((F.col(BATCH_COLUMN) != epoch) & F.col(PARTITION_COLUMN).between(F.lit(lo), F.lit(hi))
+                                  & F.col(keys[0]).between(F.lit(first), F.lit(last)))
+                fresh = rows.join(sent.select(PARTITION_COLUMN, *keys), [PARTITION_COLUMN, *keys], "left_anti")
+            store.replace_batch(fresh.select(*batch.columns, PARTITION_COLUMN), out, epoch)
+        finally:
+            rows.unpersist()
+
+    return _start(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), available_now)
+
+
+# Published presence states kept; older ones are deleted.
+EPOCHS_KEPT = 3
+
+
+def presence_merge(state: DataFrame | None, events: DataFrame) -> DataFrame:
+    """The presence state after some events: per connection id the join's seq
+    and app and the leave's seq. A connection that has joined and left is gone
+    from the state; a leave read before its join waits for it."""
+    new = events.groupBy("conn_id").agg(
         F.min_by("app", "seq").alias("app"),
         F.min(F.when(F.col("action") == JOINED, F.col("seq"))).alias("joined_seq"),
-    )
+        F.max(F.when(F.col("action") != JOINED, F.col("seq"))).alias("left_seq"))
+    if state is not None:
+        new = state.unionByName(new).groupBy("conn_id").agg(
+            F.min_by("app", F.coalesce("joined_seq", "left_seq")).alias("app"),
+            F.min("joined_seq").alias("joined_seq"), F.max("left_seq").alias("left_seq"))
+    gone = F.col("joined_seq").isNotNull() & F.col("left_seq").isNotNull() & (F.col("left_seq") > F.col("joined_seq"))
+    return new.where(~gone)
+
+
+def _epochs(spark: SparkSession, folder: str) -> list[int]:
+    """Micro-batches whose folder is complete."""
+    found = [int(n.split("=")[1]) for n in list_names(spark, folder) if n.startswith("epoch=")]
+    return sorted(e for e in found if path_exists(spark, f"{folder}/epoch={e}/_SUCCESS"))
+
+
+def presence_current(spark: SparkSession, out: str) -> DataFrame:
+    """The connected set that was published last: conn_id, app, joined_seq. A
+    set is complete before it can be read, and none is overwritten."""
+    epochs = _epochs(spark, f"{out}/state")
+    if not epochs:
+        return spark.createDataFrame([], "conn_id long, app string, joined_seq long")
+    state = spark.read.parquet(f"{out}/state/epoch={epochs[-1]}")
+    return state.where("joined_seq is not null").select("conn_id", "app", "joined_seq")
 
 
 def presence_stream(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Every micro-batch publishes the full connected set: ``out/current`` is
-    replaced and ``out/snapshots/epoch=<n>`` keeps each published snapshot.
+    """Every micro-batch publishes the full connected set, for
+    ``presence_current`` to read.
 
-    The state is one row per connection id with its latest action by ``seq``,
-    so events may arrive in any order across micro-batches (a leave read
-    before its join still wins); a replayed batch rewrites the same snapshot.
+    A micro-batch merges its events into the state of the one before and writes
+    the result to a folder of its own; events may arrive in any order across
+    micro-batches. The state holds the open connections only (and leaves that
+    wait for their join). A replayed micro-batch starts from the same state.
     """
-    def each(state: DataFrame, epoch: int) -> None:
-        snap = state.where(F.col("last_action") == JOINED).select("conn_id", "app", "joined_seq")
-        snap.write.mode("overwrite").parquet(f"{out}/snapshots/epoch={epoch}")
-        state.sparkSession.read.parquet(f"{out}/snapshots/epoch={epoch}") \
-            .write.mode("overwrite").parquet(f"{out}/current")
-
-    writer = (presence_state(stream).writeStream.outputMode("complete").foreachBatch(each)
-              .option("checkpointLocation", checkpoint))
-    return _start(writer, available_now)
+    def each(events: DataFrame, epoch: int) -> None:
+        spark = events.sparkSession
+        before = [e for e in _epochs(spark, f"{out}/state") if e < epoch]
+        state = spark.read.parquet(f"{out}/state/epoch={before[-1]}") if before else None
+        presence_merge(state, events).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        for old in before[:-EPOCHS_KEPT]:
+            remove(spark, f"{out}/state/epoch={old}")
+
+    return _start(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), available_now)
 
 
 # ---------------------------------------------------------------------------
 # many viewers
 
-def route_stream(stream: DataFrame, specs: DataFrame, out: str, checkpoint: str,
+def route_stream(stream: DataFrame, specs: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str,
                  available_now: bool = False) -> StreamingQuery:
-    """Live fan-out of new events to a whole table of viewers: stream-static
-    equi-joins on (app, level) and (level), appended to ``out`` as
-    (spec_id, event columns) rows."""
+    """Live fan-out of new events to a whole table of viewers, as (spec_id,
+    event columns) rows in one folder of ``out`` per micro-batch.
+
+    ``specs`` may be a function that gives the viewers as they are now; it is
+    called for every micro-batch, so viewers may come and go while it runs.
+    The join is planned for each micro-batch from the viewers' current number.
+    """
     from logloom.operators.routing import route_events
 
-    writer = (route_events(stream, specs).writeStream.format("parquet").outputMode("append")
-              .option("path", out).option("checkpointLocation", checkpoint))
-    return _start(writer, available_now)
+    def each(batch: DataFrame, epoch: int) -> None:
+        viewers = specs() if callable(specs) else specs
+        route_events(batch, viewers).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return _start(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), available_now)
 
 
 def tail_many(logs: DataFrame, stream: DataFrame, specs: DataFrame, out: str, checkpoint: str,

@@ -3,24 +3,26 @@
 import datetime as dt
 
 from logloom.operators import decode as dec
-from logloom.sources.fixtures import HAND_WRITTEN
+from logloom.sources.fixtures import HAND_APP, HAND_APPS, HAND_WRITTEN
 
 
 def hand(spark):
-    return spark.createDataFrame([(b, raw) for b, raw, _ in HAND_WRITTEN], "batch_id long, raw string")
+    return spark.createDataFrame([(b, raw, HAND_APPS.get(b, HAND_APP)) for b, raw, _ in HAND_WRITTEN],
+                                 "batch_id long, raw string, app string")
 
 
 def test_hand_written_outcomes(spark):
     got = {r.batch_id: r.reason for r in dec.decode_batches(hand(spark)).select("batch_id", "reason").collect()}
     assert got == {
         -1: dec.MALFORMED, -2: dec.MISSING_EVENTS, -3: None, -4: dec.NO_TIMESTAMP,
-        -5: dec.INVALID_TIMESTAMP, -6: None, -7: dec.NO_TIMESTAMP, -8: None,
+        -5: dec.INVALID_TIMESTAMP, -6: None, -7: dec.NO_TIMESTAMP, -8: None, -9: dec.INVALID_EVENT,
+        -10: dec.INVALID_EVENT, -11: dec.INVALID_EVENT, -12: dec.BLANK_APP, -13: None,
     }
 
 
 def test_typed_and_legacy_values(spark):
     rows = {r.batch_id: r for r in dec.decode_events(hand(spark)).collect()}
-    assert set(rows) == {-6, -8}
+    assert set(rows) == {-6, -8, -13}
     assert rows[-6].timestamp == dt.datetime(2024, 1, 2, 3, 4, 5, 678000) and rows[-6].level == 40
     assert rows[-8].timestamp == dt.datetime(2024, 1, 1) and rows[-8].level == 30
 

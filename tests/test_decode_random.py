@@ -26,6 +26,8 @@ def ms_value(v):
         return None
     if isinstance(v, int):
         return v
+    if isinstance(v, float):
+        return int(v) if v.is_integer() else None
     if isinstance(v, str) and v.lstrip("-").isdigit():
         return int(v)
     return None
@@ -96,7 +98,8 @@ def random_event(rnd):
         if rnd.random() < p:
             if k in ("timestamp", "timeStamp"):
                 e[k] = rnd.choice([1704067200000 + rnd.randrange(10**6), str(1704067200000 + rnd.randrange(1000)),
-                                   ISO[rnd.randrange(len(ISO))][0], None])
+                                   ISO[rnd.randrange(len(ISO))][0], None, True, False, 1.5, 1704067200000.0,
+                                   1.7040672005e12, "1.5", "", {}])
             elif k == "isoTimestamp":
                 e[k] = rnd.choice([t for t, _ in ISO] + [None])
             else:

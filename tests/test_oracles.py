@@ -9,7 +9,7 @@ import pytest
 
 from conftest import SF_SMALL
 
-TABLES = ["customer", "events", "documents", "pages"]
+TABLES = ["customer", "events", "documents", "pages", "embeddings", "benchmark", "labels", "conversations"]
 
 
 def norm(v):
