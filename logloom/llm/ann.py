@@ -85,7 +85,9 @@ class _Best:
 
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
         score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, score))[:self.k]
+        order = np.lexsort((ids, score))
+        _, first = np.unique(ids[order], return_index=True)  # a repeated id counts once
+        order = order[np.sort(first)[:self.k]]
         self.score, self.ids = score[order], ids[order]
 
 
@@ -154,7 +156,8 @@ def nearest(table: DataFrame, queries_every: int = 100, k: int = K, probes: int
 
     Rows without an id and vectors that are null, empty, zero, hold null or
     non-finite components, or differ in length from the sample's most usual
-    one take no part. Rows with the query's vec_id are not its candidates. An
+    one take no part. Rows with the query's vec_id are not its candidates; rows
+    that repeat another vec_id are one candidate, at its least distance. An
     empty table gives an empty result; further columns are ignored."""
     spark = table.sparkSession
     rows = valid_vectors(table)
@@ -212,5 +215,6 @@ def nearest(table: DataFrame, queries_every: int = 100, k: int = K, probes: int
     found = (both.repartition(tasks_for(both), "list", "block").sortWithinPartitions("list", "block", "asks", "vec_id")
              .mapInArrow(_scan(width, k), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -206,6 +206,8 @@ def test_neighbours_of_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0]), (100, [1.0, 0.5])]
     out = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(0, 1, 100), (0, 2, 1), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
+    twice = nearest(spark.createDataFrame(rows + rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
+    assert twice == out
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
