@@ -24,7 +24,8 @@ and neighbours in sorted order are compared.
 Both sorts are range partitionings whose keys end in document and place, so a
 passage that a third of all documents share spreads over many tasks. A task
 keeps one row between batches; where a run crosses tasks is decided from one
-row per task. Names and digests have 128 bits (grams: 64 of them).
+row per task. A name has 64 bits beside the 64 of its gram, the digest of a
+string 128.
 """
 
 from __future__ import annotations
@@ -46,16 +47,18 @@ GRAM = 24
 # Extents around a place at which strings are told apart before they are sorted.
 LEFT = (12, 30)
 RIGHT = (50, 75)
-CHUNK = 1 << 19
-PLACE_BITS = np.uint64(20)
+CHUNK = 1 << 16
 PLACE_MASK = np.uint64((1 << 20) - 1)
+NUMBERS = np.arange(2 * CHUNK + 4 * LENGTH, dtype=np.uint64)
 LAST = (1 << 63) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Spread the bits of fresh values, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 class Digest:
@@ -65,7 +68,7 @@ class Digest:
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         base = int(rng.integers(1 << 61, 1 << 62)) | 1
-        size = CHUNK + 4 * LENGTH
+        size = 2 * CHUNK + 4 * LENGTH
         self.power, self.inverse = (self._powers(x, size) for x in (base, pow(base, -1, 1 << 64)))
 
     @staticmethod
@@ -76,11 +79,22 @@ class Digest:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.inverse[:len(data)], out=out[1:])
+        terms = self.table[data]
+        terms *= self.inverse[:len(data)]
+        np.cumsum(terms, out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((sums[end] - sums[start]) * self.power[start])
+        out = sums[end]
+        out -= sums[start]
+        out *= self.power[start]
+        return _mixed(out)
+
+    def rolling(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """The digests of all substrings of ``width`` bytes."""
+        out = sums[width:] - sums[:-width]
+        out *= self.power[:len(out)]
+        return _mixed(out)
 
 
 _digests: list[Digest] = []
@@ -101,33 +115,61 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return x if size == width else np.minimum(x[:len(x) - (width - size)], x[width - size:])
 
 
-def places_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """Columns gram hash, name, extents (16 bits each), place, first and last
-    start of the owned strings, one row per place of a text."""
-    one, two = digests()
-    out = []
-    for at in range(0, len(data) - length + 1, CHUNK):
-        part = data[at:at + CHUNK + length - 1]
-        count = len(part) - length + 1
-        s1, s2 = one.sums(part), two.sums(part)
-        starts = np.arange(len(part) - gram + 1)
-        hashes = one.of(s1, starts, starts + gram)
-        least = _least((hashes & ~PLACE_MASK) | starts.astype(np.uint64), length - gram + 1)
-        owner = (least & PLACE_MASK).astype(np.int64)
-        lo = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        hi = np.append(lo[1:], count) - 1
-        place = owner[lo]
-        name = _mixed(two.of(s2, lo, hi + length) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _joint(texts: list[np.ndarray], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end in arrays of bounded size, long ones in pieces that
+    overlap: (bytes, ends of the pieces, text of each piece, what to add to a
+    position in the array for its place in the text)."""
+    held, size = [], 0
+
+    def out():
+        lengths = np.array([len(x) for _, _, x in held])
+        ends = np.cumsum(lengths)
+        return (np.concatenate([x for _, _, x in held]), ends, np.array([k for k, _, _ in held]),
+                np.array([at for _, at, _ in held]) - (ends - lengths))
+
+    for k, data in enumerate(texts):
+        for at in range(0, max(1, len(data) - overlap), CHUNK):
+            held.append((k, at, data[at:at + CHUNK + overlap]))
+            size += len(held[-1][2])
+            if size >= CHUNK:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def places_of(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> Iterator[list[np.ndarray]]:
+    """Columns text, gram hash, name, extents (16 bits each), place, first and
+    last start of the owned strings: one row per place of the texts."""
+    digest = digests()[0]
+    for part, ends, of, shift in _joint(texts, length - 1):
+        if len(part) < length:
+            continue
+        # Strings that do not reach into the next piece.
+        until = np.repeat(ends, np.diff(ends, prepend=0))[:len(part) - length + 1]
+        whole = until >= np.arange(length, len(part) + 1)
+        strings = np.flatnonzero(whole)
+        if not len(strings):
+            continue
+        sums = digest.sums(part)
+        hashes = digest.rolling(sums, gram)
+        ranked = hashes & ~PLACE_MASK
+        ranked |= NUMBERS[:len(ranked)]
+        owner = (_least(ranked, length - gram + 1) & PLACE_MASK).astype(np.int64)[strings]
+        new = np.flatnonzero((owner[1:] != owner[:-1]) | (strings[1:] != strings[:-1] + 1)) + 1
+        first = np.concatenate([[0], new])
+        lo, hi, place = strings[first], strings[np.append(new, len(strings)) - 1], owner[first]
+        name = _mixed(digest.of(sums, lo, hi + length) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         ext = np.zeros(len(lo), np.uint64)
         for k, reach in enumerate(LEFT):
-            some = place - reach >= lo
-            ext[some] |= (one.of(s1, place[some] - reach, place[some]) >> np.uint64(48)) << np.uint64(16 * k)
+            some = np.flatnonzero(place - reach >= lo)
+            ext[some] |= (digest.of(sums, place[some] - reach, place[some]) >> np.uint64(48)) << np.uint64(16 * k)
         for k, reach in enumerate(RIGHT, len(LEFT)):
-            some = place + reach <= hi + length
-            ext[some] |= (one.of(s1, place[some], place[some] + reach) >> np.uint64(48)) << np.uint64(16 * k)
-        out.append([hashes[place].view(np.int64), name.view(np.int64), ext.view(np.int64),
-                    (place + at).astype(np.int32), (lo + at).astype(np.int32), (hi + at).astype(np.int32)])
-    return [np.concatenate(c) for c in zip(*out)] if out else []
+            some = np.flatnonzero(place + reach <= hi + length)
+            ext[some] |= (digest.of(sums, place[some], place[some] + reach) >> np.uint64(48)) << np.uint64(16 * k)
+        piece = np.searchsorted(ends, lo, side="right")
+        yield [of[piece], hashes[place].view(np.int64), name.view(np.int64), ext.view(np.int64),
+               *((x + shift[piece]).astype(np.int32) for x in (place, lo, hi))]
 
 
 PLACES = "h long, e long, ext long, p int, lo int, hi int, doc long, rid long"
@@ -136,12 +178,10 @@ PLACES = "h long, e long, ext long, p int, lo int, hi int, doc long, rid long"
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PLACES.split(", ")]
     for batch in batches:
-        for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-            columns = places_of(np.frombuffer(text.as_buffer(), np.uint8))
-            if columns:
-                n = len(columns[0])
-                columns += [np.full(n, doc, np.int64), np.full(n, rid, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        rid, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts = [np.frombuffer(t.as_buffer(), np.uint8) for t in batch.column(2).cast(pa.binary())]
+        for of, *columns in places_of(texts):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, doc[of], rid[of])], names)
 
 
 def _joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -281,24 +321,24 @@ def _named_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "h", "ext", "p", "lo", "hi", "rid")
 
 
-def _wanted_starts(heads: list) -> np.ndarray:
-    """Starts of the strings that may agree with those of another name."""
-    bits: dict[tuple[int, int, int], int] = {}
-    for x in heads:
-        key = (x["p"], x["lo"], x["hi"])
-        bits[key] = bits.get(key, 0) | 1 << x["slot"]
-    out = []
-    for (p, lo, hi), found in bits.items():
-        before = p - np.arange(lo, hi + 1)  # bytes of the string before the place
-        keep = np.ones(len(before), bool)
-        for k, reach in enumerate(LEFT):
-            if not found >> k & 1:
-                keep &= before < reach
-        for k, reach in enumerate(RIGHT, len(LEFT)):
-            if not found >> k & 1:
-                keep &= LENGTH - before < reach
-        out.append(p - before[keep])
-    return np.unique(np.concatenate(out))
+def _wanted_starts(of: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of the strings that may agree with those of another name.
+    The rows are heads, once for each extent that another head shares."""
+    order = np.lexsort((lo, p, of))
+    of, p, lo, hi, bit = of[order], p[order], lo[order], hi[order], 1 << slot[order].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (p[1:] != p[:-1]) | (lo[1:] != lo[:-1])]))
+    found = np.bitwise_or.reduceat(bit, new)
+    of, p, lo, hi = of[new], p[new], lo[new], hi[new]
+    count = hi - lo + 1
+    at = np.repeat(np.arange(len(p)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[at]
+    before = p[at] - start  # bytes of the string before the place
+    keep = np.ones(len(at), bool)
+    for k, reach in enumerate(LEFT):
+        keep &= (found[at] >> k & 1 > 0) | (before < reach)
+    for k, reach in enumerate(RIGHT, len(LEFT)):
+        keep &= (found[at] >> k & 1 > 0) | (LENGTH - before < reach)
+    return of[at[keep]], start[keep]
 
 
 WINDOWS = "d1 long, d2 long, doc long, rid long, j int"
@@ -309,16 +349,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in WINDOWS.split(", ")]
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for rid, doc, packed, heads in zip(*(batch.column(c) for c in ("rid", "doc", "packed", "heads"))):
-            starts = _wanted_starts(heads.as_py())
-            data = np.frombuffer(unpack.decompress(packed.as_py()), np.uint8)
-            for at in range(0, len(data), CHUNK):
-                j = starts[np.searchsorted(starts, at):np.searchsorted(starts, at + CHUNK)]
-                if len(j):
-                    part = data[at:at + CHUNK + LENGTH]
-                    d = [x.of(x.sums(part), j - at, j - at + LENGTH).view(np.int64) for x in (one, two)]
-                    arrays = [*d, np.full(len(j), doc.as_py()), np.full(len(j), rid.as_py()), j.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
+        rid, doc, heads = batch.column("rid").to_numpy(), batch.column("doc").to_numpy(), batch.column("heads")
+        rows = heads.flatten()
+        lengths = np.diff(heads.offsets.to_numpy())
+        fields = [rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("p", "lo", "hi", "slot")]
+        text, start = _wanted_starts(np.repeat(np.arange(len(lengths)), lengths), *fields)
+        key = text << 32 | start  # in order of text and start
+        key.sort()
+        texts = [np.frombuffer(unpack.decompress(x.as_py()), np.uint8) for x in batch.column("packed")]
+        for part, ends, of, shift in _joint(texts, LENGTH - 1):
+            begin = np.concatenate([[0], ends[:-1]])
+            # The wanted starts of each piece: it owns ``CHUNK`` places of its text.
+            low = np.searchsorted(key, of << 32 | (begin + shift))
+            high = np.searchsorted(key, of << 32 | np.minimum(begin + shift + CHUNK, (1 << 32) - 1))
+            count = high - low
+            if not count.sum():
+                continue
+            piece = np.repeat(np.arange(len(of)), count)
+            pick = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[piece]
+            j = key[pick] & 0xFFFFFFFF
+            here = j - shift[piece]
+            d = [x.of(x.sums(part), here, here + LENGTH).view(np.int64) for x in (one, two)]
+            arrays = [*d, doc[of[piece]], rid[of[piece]], j.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
 
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

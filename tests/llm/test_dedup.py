@@ -170,10 +170,14 @@ def test_suffix_dedup_over_many_slots(spark, awkward):
 
 def test_every_string_has_a_place_within_it():
     rng = np.random.default_rng(0)
-    for data in (rng.integers(97, 100, 5000, dtype=np.uint8), np.full(1500, 97, np.uint8)):
-        _, _, _, place, lo, hi = sd.places_of(data)
-        assert lo[0] == 0 and hi[-1] == len(data) - sd.LENGTH and (lo[1:] == hi[:-1] + 1).all()
-        assert (place >= hi).all() and (place + sd.GRAM <= lo + sd.LENGTH).all()
+    texts = [rng.integers(97, 100, 5000, dtype=np.uint8), np.full(1500, 97, np.uint8), np.zeros(99, np.uint8),
+             np.zeros(0, np.uint8), rng.integers(97, 123, 3 * sd.CHUNK + 17, dtype=np.uint8), np.zeros(100, np.uint8)]
+    of, _, _, _, place, lo, hi = (np.concatenate(c) for c in zip(*sd.places_of(texts)))
+    assert sorted(set(of.tolist())) == [0, 1, 4, 5]
+    for k in (0, 1, 4, 5):
+        p, a, b = place[of == k], lo[of == k], hi[of == k]
+        assert a[0] == 0 and b[-1] == len(texts[k]) - sd.LENGTH and (a[1:] == b[:-1] + 1).all()
+        assert (p >= b).all() and (p + sd.GRAM <= a + sd.LENGTH).all()
 
 
 def test_suffix_dedup_of_nothing(no_documents):
