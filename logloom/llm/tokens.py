@@ -18,7 +18,7 @@ from functools import lru_cache
 from itertools import islice
 
 CACHE_BYTES = 160 << 20
-ENTRY_BYTES = 160  # of a dictionary entry besides its key and ids
+ENTRY_BYTES = 200  # of a dictionary entry besides its key and ids
 STEP = 4096
 # Letters below this are in Unicode's composed form already.
 COMPOSED = "\u0250"
