@@ -16,7 +16,7 @@ from logloom.plans.oracle import (
 )
 from logloom.plans.registry import query
 from logloom.schema import LOG_COLUMNS
-from logloom.session import fresh_path, path_exists, shared_dir
+from logloom.session import fresh_path, path_exists
 from logloom.sources import fixtures, store
 
 # Query parameters (like a benchmark query's substitution values).

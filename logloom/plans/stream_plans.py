@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from logloom.operators.filters import SearchSpec
 from logloom.plans.ingest_plans import ACCEPTED_SQL, ENRICHED_COLS
