@@ -23,7 +23,9 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ from logloom.llm.common import text_of
 
 N_BEST = 4
 SPACE = "▁"
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 256 << 20
 ENTRY_BYTES = 300
 # A character without a piece costs this much more than the dearest piece.
 UNKNOWN_PENALTY = 10.0
@@ -116,25 +118,39 @@ class PieceModel:
         return out
 
     def _first(self, s: str) -> tuple[bytes, float, float]:
-        """Ids of the best path, its score, and the loss of the second path."""
-        lattice = self.lattice(s)
-        best, back = self.forward(lattice)
-        n = len(s)
-        path, stops, at, used = [], [], n, set()
+        """Ids of the best path, its score, and the loss of the second path, by
+        one forward pass that keeps the two best scores of every place."""
+        n, get = len(s), self.arcs.get
+        worst = float("-inf")
+        best, second, back = [0.0] + [worst] * n, [worst] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            here, below, single = best[i], second[i], False
+            for j in range(i + 1, n + 1):
+                arc = get(s[i:j], 0)
+                if arc is None:
+                    continue
+                if arc == 0:
+                    break
+                single = single or j == i + 1
+                score = here + arc[1]
+                if score > best[j]:
+                    second[j] = max(best[j], second[j], below + arc[1])
+                    best[j], back[j] = score, (i, arc[1], arc[0])
+                elif score > second[j]:
+                    second[j] = score
+            if not single:
+                score = here + self.unknown_score
+                if score > best[i + 1]:
+                    second[i + 1] = max(best[i + 1], second[i + 1], below + self.unknown_score)
+                    best[i + 1], back[i + 1] = score, (i, self.unknown_score, -1)
+                elif score > second[i + 1]:
+                    second[i + 1] = score
+        path, stops, at = [], [], n
         while at:
             path.append(back[at])
             stops.append(at)
-            used.add((back[at][0], at))
             at = back[at][0]
-        after = [float("-inf")] * n + [0.0]
-        second = float("-inf")
-        for end in range(n, 0, -1):  # ``after[end]`` is final: all later arcs are done
-            for start, score, _ in lattice[end]:
-                rest = score + after[end]
-                after[start] = max(after[start], rest)
-                if (start, end) not in used:
-                    second = max(second, best[start] + rest)
-        return self.ids(s, path[::-1], stops[::-1]).tobytes(), best[n], best[n] - second
+        return self.ids(s, path[::-1], stops[::-1]).tobytes(), best[n], best[n] - second[n]
 
     def search(self, s: str, count: int) -> list[tuple[float, bytes]]:
         """The ``count`` best paths of a segment: (score, ids), best first."""
@@ -164,7 +180,10 @@ class PieceModel:
         return SEGMENT.findall(self.normalize(text)) if text else []
 
     def _cuts(self, s: str) -> list[str]:
-        """A segment cut between characters that no piece holds side by side."""
+        """A segment cut between characters that no piece holds side by side
+        (looked for only where it is more than one word of letters)."""
+        if s.lstrip(SPACE).isalpha():
+            return [s]
         out, start, pairs = [], 0, self.pairs
         for k in range(1, len(s)):
             if s[k - 1:k + 1] not in pairs:
@@ -189,28 +208,37 @@ class PieceModel:
     def nbest(self, text: str, count: int = N_BEST) -> list[tuple[float, bytes]]:
         """The ``count`` best segmentations of a whole text: (score, ids as four
         bytes each), best first; an empty text has one, without ids."""
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > CACHE_BYTES:  # the half that was met first holds the frequent segments
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(ENTRY_BYTES + len(k) + len(e[0]) for k, e in self.known.items())
         segments = self.segments(text)
+        if not segments:
+            return [(0.0, b"")]
         known, first = self.known, self.first
-        entries = [known.get(s) or first(s) for s in segments]
-        base = sum(e[1] for e in entries)
+        parts, scores, losses = zip(*[known.get(s) or first(s) for s in segments])
+        base, best = sum(scores), b"".join(parts)
+        if count == 1:
+            return [(base, best)]
+        # The segments with the least losses, ties to the earlier one.
+        lost = np.array(losses)
+        if len(lost) >= count:
+            places = np.flatnonzero(lost <= np.partition(lost, count - 2)[count - 2])
+        else:
+            places = np.arange(len(lost))
+        places = [int(k) for k in places[np.lexsort((places, lost[places]))][:count - 1] if lost[k] < np.inf]
         combos: list[tuple[float, tuple]] = [(0.0, ())]
-        open_places = heapq.nsmallest(count - 1, ((e[2], k) for k, e in enumerate(entries) if e[2] < float("inf"))) if count > 1 else []
-        for _, k in open_places:
+        for k in places:
             options = self._whole(segments[k], count)
             combos = heapq.nsmallest(count, (
-                (loss + entries[k][1] - score, (*swaps, (k, ids)) if rank else swaps)
+                (loss + scores[k] - score, (*swaps, (k, ids)) if rank else swaps)
                 for loss, swaps in combos for rank, (score, ids) in enumerate(options)))
-        plain = [e[0] for e in entries]
+        starts = [0, *accumulate(map(len, parts))]
         out = []
         for loss, swaps in combos:
-            ids = plain
-            if swaps:
-                ids = plain.copy()
-                for k, changed in swaps:
-                    ids[k] = changed
-            out.append((base - loss, b"".join(ids)))
+            ids = best
+            for k, changed in sorted(swaps, reverse=True):
+                ids = ids[:starts[k]] + changed + ids[starts[k + 1]:]
+            out.append((base - loss, ids))
         return out
 
     def _whole(self, s: str, count: int) -> list[tuple[float, bytes]]:
