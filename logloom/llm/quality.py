@@ -59,7 +59,7 @@ def features(text: bytes) -> np.ndarray:
         found.add(b"repeats %d" % sum(repeats > s for s in SHARES))
         found.add(b"capitals %d" % sum(capitals > s for s in SHARES))
     mask = (1 << HASH_BITS) - 1
-    return np.unique(np.fromiter((zlib.crc32(f) & mask for f in found), np.int64, len(found)))
+    return np.unique(np.fromiter((zlib.crc32(f) & mask for f in found), np.int32, len(found)))
 
 
 def _sigmoid(x):
@@ -79,44 +79,38 @@ class OrdinalModel:
         return float(self.weights[found].sum())
 
 
-def _descend(rows: list[np.ndarray], grades: np.ndarray, cuts: np.ndarray, penalty: float,
-             rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Proximal AdaGrad on the mean negative log likelihood with an L1 penalty:
-    (features, their weights, thresholds)."""
-    n, k = len(rows), len(cuts)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    feature, col = np.unique(np.concatenate(rows), return_inverse=True)
-    w, gw, gc = np.zeros(len(feature)), np.full(len(feature), 1e-8), np.full(k, 1e-8)
+def fit_ordinal(found: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
+    """Proximal AdaGrad on the mean negative log likelihood with an L1 penalty.
+
+    ``found`` holds the features of all rows end to end, ``sizes`` their numbers.
+    No rated rows: every document gets the top grade."""
+    weights, n, k = np.zeros(1 << HASH_BITS), len(sizes), n_grades - 1
+    if not n:
+        return OrdinalModel(weights, np.linspace(-31, -30, k))
+    use = np.bincount(found, minlength=1 << HASH_BITS) >= MIN_RATED_WITH_FEATURE
+    kept = use[found]
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[kept]
+    col = (np.cumsum(use, dtype=np.int32) - 1)[found[kept]]
+    below = np.array([(np.sum(grades <= g) + 0.5) / (n + 1.0) for g in range(k)])
+    cuts = np.log(below / (1 - below))
+    w, gw, gc = np.zeros(use.sum()), np.full(use.sum(), 1e-8), np.full(k, 1e-8)
     above = grades[:, None] == np.arange(k)  # the threshold above the grade
     under = grades[:, None] == np.arange(1, k + 1)  # the one under it
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         s = np.bincount(row, w[col], n)
         cum = _sigmoid(cuts - s[:, None])
         upper = np.where(above.any(1), (cum * above).sum(1), 1.0)
         lower = (cum * under).sum(1)
         p = np.maximum(upper - lower, 1e-12)
-        dw = np.bincount(col, ((1 - upper - lower) / n)[row], len(feature))
+        dw = np.bincount(col, ((1 - upper - lower) / n)[row], len(w))
         dc = ((cum * (1 - cum) / p[:, None]) * (under.astype(float) - above)).sum(0) / n
         gw += dw * dw
         gc += dc * dc
         step = RATE / np.sqrt(gw)
         w = w - step * dw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * PENALTY, 0.0)
         cuts = np.maximum.accumulate(cuts - RATE * dc / np.sqrt(gc) + 1e-6 * np.arange(k))
-    return feature, w, cuts
-
-
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
-    """Fit on rows of features and their grades. No rated rows: every document
-    gets the top grade."""
-    weights = np.zeros(1 << HASH_BITS)
-    if not len(rows):
-        return OrdinalModel(weights, np.linspace(-31, -30, n_grades - 1))
-    below = np.array([(np.sum(grades <= k) + 0.5) / (len(rows) + 1.0) for k in range(n_grades - 1)])
-    cuts = np.log(below / (1 - below))
-    use = np.bincount(np.concatenate(rows), minlength=1 << HASH_BITS) >= MIN_RATED_WITH_FEATURE
-    feature, w, cuts = _descend([r[use[r]] for r in rows], grades, cuts, PENALTY, ROUNDS)
-    weights[feature] = w
+    weights[use] = w
     return OrdinalModel(weights, cuts)
 
 
@@ -138,14 +132,14 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED,
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(batch.column("grade"), pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(batch.column("grade"), pa.int32()), pa.array(found, pa.list_(pa.int32()))],
                 ["doc_id", "grade", "found"])
 
+    # Repeated doc_ids may give a few rows more.
     rows = (sample.select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
-            .mapInArrow(run, "doc_id long, grade int, found array<long>")
-            .limit(2 * max_rated).toArrow().sort_by("doc_id"))  # repeated doc_ids may give a few rows more
-    return fit_ordinal([np.asarray(x.as_py(), np.int64) for x in rows["found"]],
-                       rows["grade"].to_numpy().astype(np.int64), n_grades)
+            .mapInArrow(run, "doc_id long, grade int, found array<int>").limit(2 * max_rated).toArrow().sort_by("doc_id"))
+    lists, grades = rows["found"].combine_chunks(), rows["grade"].to_numpy().astype(np.int64)
+    return fit_ordinal(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), grades, n_grades)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TAIL) -> DataFrame:

@@ -44,8 +44,8 @@ def test_quality_held_out_accuracy(spark):
 def test_ordinal_thresholds_order_the_grades():
     rng = np.random.default_rng(1)
     grades = rng.integers(0, 4, 400)
-    rows = [np.array([g, 100 + rng.integers(0, 50)]) for g in grades]
-    model = fit_ordinal(rows, grades, 4)
+    rows = np.stack([grades, 100 + rng.integers(0, 50, 400)], axis=1)
+    model = fit_ordinal(rows.ravel(), np.full(400, 2), grades, 4)
     expected = [model.at_least(model.score(np.array([g]))).sum() for g in range(4)]
     assert expected == sorted(expected) and expected[3] - expected[0] > 1.5
 
