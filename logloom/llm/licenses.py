@@ -4,8 +4,8 @@ The words of a text are cut into rolling k-grams, whose hashes are joined with
 the positions of the same k-grams in the license templates. A hit votes for
 its diagonal, the document place minus the template place; votes are summed by
 (document, template, diagonal), neighbouring diagonals (a few words inserted or
-left out) are merged, and the span is verified: the k-grams of the hits are
-compared word by word, and enough of the template's words must be covered.
+left out) are merged, and the span is verified: a hit's k-gram equals the
+template's word by word, and enough of the template must be covered.
 
 The templates are a fixed list, so their k-gram table (a few hundred rows) is
 broadcast; documents are not shuffled, only their hits are.
@@ -65,15 +65,9 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
     rows = []
     for number, (label, text) in enumerate(templates):
         words = text.replace(".", " ").split()
-        rows += [(number, label, len(words) - k + 1, i, words[i:i + k]) for i in range(len(words) - k + 1)]
-    grams = spark.createDataFrame(rows, "template int, label string, size int, place int, gram array<string>")
-    return grams.withColumn("hash", F.xxhash64("gram"))
-
-
-def _grams(words: Column, k: int) -> Column:
-    """Hash of every rolling k-gram."""
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (k - 1), F.lit(0))),
-                       lambda w, i: F.xxhash64(F.slice(words, i + 1, k)))
+        rows += [(number, label, len(words) - k + 1, i, " ".join(words[i:i + k])) for i in range(len(words) - k + 1)]
+    grams = spark.createDataFrame(rows, "template int, label string, size int, place int, words string")
+    return grams.withColumn("hash", F.xxhash64("words"))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -94,19 +88,23 @@ def license_hits(docs: DataFrame, templates=TEMPLATES, k: int = K, max_shift: in
     spark = docs.sparkSession
     worded = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                          words_of(text_of()).alias("words"))
-    facts = F.named_struct(F.lit("rid"), F.col("rid"), F.lit("doc_id"), F.col("doc_id"),
-                           F.lit("n_words"), F.size("words").cast("long"),
-                           F.lit("bases"), F.array(*[_places(F.col("words"), p) for p, _ in PHRASES]))
-    # One pass: place -1 stands for the document itself, the others are its k-grams.
-    grams = F.concat(F.array(F.lit(0).cast("long")), _grams(F.col("words"), k))
-    rows = worded.select(F.col("words"), facts.alias("doc"), F.posexplode(grams).alias("at", "hash"))
+    # One pass: element 0 of a document holds its own facts, the others its
+    # k-grams. Rows are narrow: no row carries the words of the whole document.
+    bases = F.array(*[_places(F.col("words"), p) for p, _ in PHRASES])
+    facts = F.named_struct(F.lit("n_words"), F.size("words").cast("long"), F.lit("bases"), bases,
+                           F.lit("gram"), F.lit(None).cast("string"))
+    places = F.slice("words", 1, F.greatest(F.size("words") - (k - 1), F.lit(0)))
+    grams = F.transform(places, lambda w, i: F.named_struct(
+        F.lit("n_words"), F.lit(None).cast("long"), F.lit("bases"), F.lit(None).cast("array<array<int>>"),
+        F.lit("gram"), F.concat_ws(" ", F.slice("words", i + 1, k))))
+    rows = (worded.select("rid", "doc_id", F.posexplode(F.concat(F.array(facts), grams)).alias("at", "x"))
+            .select("rid", "doc_id", "at", "x.*").withColumn("key", F.xxhash64("gram")))
     table = F.broadcast(template_grams(spark, templates, k))
-    joined = rows.join(table, (rows["hash"] == table["hash"]) & (rows["at"] > 0)
-                       & (F.slice(rows["words"], F.greatest(rows["at"], F.lit(1)), k) == table["gram"]), "left")
+    joined = rows.join(table, (rows["key"] == table["hash"]) & (rows["gram"] == table["words"]), "left")
     kept = write_once(joined.where("at = 0 or template is not null").select(
-        F.when(F.col("at") == 0, F.col("doc")).alias("doc"), F.col("doc.rid").alias("rid"),
-        (F.col("at") - 1).cast("long").alias("word"), "template", "label", "size", "place"), "licensehits")
-    documents = kept.where("doc is not null").select("doc.*")
+        "rid", "doc_id", "n_words", "bases", (F.col("at") - 1).cast("long").alias("word"), "template", "label", "size", "place"),
+        "licensehits")
+    documents = kept.where("word = -1").select("rid", "doc_id", "n_words", "bases")
     hits = kept.where("template is not null").withColumn("diagonal", F.col("word") - F.col("place"))
     # Votes by diagonal; hits a template length apart on one diagonal are other copies.
     run = Window.partitionBy("rid", "template", "diagonal").orderBy("word")
