@@ -185,8 +185,10 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     names = write_once(block_names(docs, block), "identities")
     order = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("nul"),
                      F.col("doc_id").alias("d"), F.col("rid").alias("r"))
-    groups = names.groupBy("n_blocks", "identity").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    # Large groups meet one row of ``groups``; adaptive execution splits their side.
+    # Written first, so the join deals out both sides itself and adaptive
+    # execution can split the side of a group that holds a third of all rows.
+    groups = write_once(names.groupBy("n_blocks", "identity").agg(
+        F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
     return (names.join(groups, ["n_blocks", "identity"])
             .select("doc_id", F.col("best.d").alias("keep_id"), "group_size",
                     (F.col("rid") == F.col("best.r")).alias("kept"), "text_sha256", "rid"))
