@@ -188,9 +188,11 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     classes = write_once(fps.groupBy("fp").agg(first.alias("least")), "classes")
     joined = components(fingerprint_links(classes.select("fp"), max_bits))
-    linked = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
-    least = linked.groupBy("component").agg(F.min("least").alias("top"))
+    # Both sides of the join below are written, so it deals them out itself and
+    # adaptive execution can split the side of a component of very many classes.
+    linked = write_once(classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")), "linked")
+    least = write_once(linked.groupBy("component").agg(F.min("least").alias("top")), "least")
     by_fp = write_once(linked.join(least, "component").select(
         "fp", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("keep_rid")), "byfp")
     # Many copies meet one row of ``by_fp``; adaptive execution splits their side.
