@@ -36,6 +36,7 @@ N_BEST = 4
 SPACE = "▁"
 CACHE_BYTES = 256 << 20
 ENTRY_BYTES = 300
+WHOLES = 20_000
 # A character without a piece costs this much more than the dearest piece.
 UNKNOWN_PENALTY = 10.0
 STEP_TEXTS = 64
@@ -74,6 +75,15 @@ class PieceModel:
                     self.arcs.setdefault(piece[:end], None)
                 self.pairs.update(piece[k:k + 2] for k in range(len(piece) - 1))
         self.unknown_score = least - UNKNOWN_PENALTY
+        # The pieces as a tree of characters: a node is its children and its arc.
+        self.root: tuple[dict, tuple[int, float] | None] = ({}, self.arcs.get(""))
+        for text in sorted(self.arcs):  # prefixes come first
+            node = self.root
+            for ch in text[:-1]:
+                node = node[0][ch]
+            if text:
+                node[0][text[-1]] = ({}, self.arcs[text])
+        self.wholes: dict[tuple[str, int], list] = {}
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.held = 0
 
@@ -120,17 +130,20 @@ class PieceModel:
     def _first(self, s: str) -> tuple[bytes, float, float]:
         """Ids of the best path, its score, and the loss of the second path, by
         one forward pass that keeps the two best scores of every place."""
-        n, get = len(s), self.arcs.get
+        n, root = len(s), self.root[0]
         worst = float("-inf")
         best, second, back = [0.0] + [worst] * n, [worst] * (n + 1), [None] * (n + 1)
         for i in range(n):
             here, below, single = best[i], second[i], False
-            for j in range(i + 1, n + 1):
-                arc = get(s[i:j], 0)
+            children, j = root, i
+            for ch in s[i:] if i else s:
+                node = children.get(ch)
+                if node is None:
+                    break
+                children, arc = node
+                j += 1
                 if arc is None:
                     continue
-                if arc == 0:
-                    break
                 single = single or j == i + 1
                 score = here + arc[1]
                 if score > best[j]:
@@ -228,7 +241,7 @@ class PieceModel:
         places = [int(k) for k in places[np.lexsort((places, lost[places]))][:count - 1] if lost[k] < np.inf]
         combos: list[tuple[float, tuple]] = [(0.0, ())]
         for k in places:
-            options = self._whole(segments[k], count)
+            options = self.wholes.get((segments[k], count)) or self._whole(segments[k], count)
             combos = heapq.nsmallest(count, (
                 (loss + scores[k] - score, (*swaps, (k, ids)) if rank else swaps)
                 for loss, swaps in combos for rank, (score, ids) in enumerate(options)))
@@ -242,12 +255,16 @@ class PieceModel:
         return out
 
     def _whole(self, s: str, count: int) -> list[tuple[float, bytes]]:
-        """N best of a segment, its parts combined."""
+        """N best of a segment, its parts combined; kept, since the segments of
+        least loss are mostly the same frequent ones."""
         combos = [(0.0, b"")]
         for part in self._cuts(s):
             combos = heapq.nlargest(count, (
                 (score + more, ids + added) for score, ids in combos for more, added in self.search(part, count)),
                 key=lambda c: c[0])
+        if len(self.wholes) >= WHOLES:
+            self.wholes = {}
+        self.wholes[s, count] = combos
         return combos
 
     def decode(self, ids: bytes) -> str:
