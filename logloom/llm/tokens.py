@@ -17,7 +17,7 @@ from array import array
 from functools import lru_cache
 from itertools import islice
 
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 200 << 20
 ENTRY_BYTES = 200  # of a dictionary entry besides its key and ids
 STEP = 4096
 # Letters below this are in Unicode's composed form already.
