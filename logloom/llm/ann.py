@@ -8,6 +8,10 @@ candidate whose estimate lies above the query's current k-th distance by more
 than the error bound of ``d`` random dimensions, (1 + EPSILON / sqrt(d)), is
 abandoned. Survivors are scored exactly on the original vectors.
 
+How many lists a query probes is measured: the true neighbours of a sample of
+queries (all, up to ``SAMPLE_QUERIES``) are found by brute force, and the lists
+that hold them give the least number of probes with a mean recall of ``RECALL``.
+
 A list is dealt out in blocks of about ``BLOCK_ROWS`` rows, so a list that holds
 a third of all rows is scanned by many tasks; each reports its k best per
 query, and the k best of those are kept.
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from logloom.llm.common import empty_like, tasks_for, write_once
 
 K = 10
-PROBES = 24
+PROBES = 24  # at least
+RECALL = 0.95  # of the sample of queries
+SAMPLE_QUERIES = 256
 ROWS_PER_LIST = 400
 MAX_LISTS = 1024
 MAX_SAMPLE = 20_000
@@ -149,6 +155,56 @@ def _scan(width: int, k: int):
     return run
 
 
+def _exact(queries, width: int, k: int):
+    """A task's k nearest rows of each sampled query (broadcast: ids, vectors) by
+    brute force, with the list that holds each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = queries.value
+        best, held = [_Best(k) for _ in asked], {}
+        for batch in batches:
+            ids, lists, v = batch.column("vec_id").to_numpy(), batch.column("list").to_numpy(), _matrix(batch.column("v"), width)
+            for at in range(0, len(ids), 4096):
+                part = slice(at, at + 4096)
+                square = (v[part] * v[part]).sum(1)[None, :] - 2 * q @ v[part].T + (q * q).sum(1)[:, None]
+                for b, own, d in zip(best, asked, np.sqrt(np.maximum(square, 0))):
+                    near = np.flatnonzero((d <= b.bound) & (ids[part] != own))
+                    b.add(d[near], ids[part][near])
+                    for i in np.flatnonzero(np.isin(ids[part], b.ids)):
+                        held[int(ids[part][i])] = int(lists[part][i])
+        rows = [(int(own), int(i), float(s), held[int(i)]) for own, b in zip(asked, best) for i, s in zip(b.ids, b.score)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["query_id", "vec_id", "score", "list"])
+
+    return run
+
+
+def probes_for(stored: DataFrame, centres: np.ndarray, queries_every: int, k: int, least: int, recall: float = RECALL) -> int:
+    """The least number of probes, ``least`` or more, that gives the sampled
+    queries (those with the smallest hashes) this mean recall."""
+    if least >= len(centres):
+        return least
+    spark, width = stored.sparkSession, centres.shape[1]
+    sample = (stored.where(F.col("vec_id") % queries_every == 0).orderBy(F.xxhash64("vec_id"), "vec_id")
+              .limit(SAMPLE_QUERIES).select("vec_id", "v").toArrow())
+    if not sample.num_rows:
+        return least
+    ids, q = sample["vec_id"].to_numpy(), np.array(sample["v"].to_pylist())
+    ids, first = np.unique(ids, return_index=True)
+    q = q[first]
+    rank = np.argsort(_nearest(q, centres, len(centres)), axis=1)  # of each list, for each query
+    found = stored.select("vec_id", "v", "list").mapInArrow(
+        _exact(spark.sparkContext.broadcast((ids, q)), width, k), "query_id long, vec_id long, score double, list long")
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = (found.groupBy("query_id", "vec_id").agg(F.min_by("list", "score").alias("list"), F.min("score").alias("score"))
+             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "list").collect())
+    if not found:
+        return least
+    place = {int(x): i for i, x in enumerate(ids)}
+    needed = np.sort([rank[place[r["query_id"]], r["list"]] + 1 for r in found])
+    return max(least, int(needed[int(np.ceil(recall * len(needed))) - 1]))
+
+
 def nearest(table: DataFrame, queries_every: int = 100, k: int = K, probes: int = PROBES, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest rows found for
     each row whose vec_id is divisible by ``queries_every``, by Euclidean
@@ -158,7 +214,8 @@ def nearest(table: DataFrame, queries_every: int = 100, k: int = K, probes: int
     non-finite components, or differ in length from the sample's most usual
     one take no part. Rows with the query's vec_id are not its candidates; rows
     that repeat another vec_id are one candidate, at its least distance. An
-    empty table gives an empty result; further columns are ignored."""
+    empty table gives an empty result; further columns are ignored. ``probes``
+    is the least number of lists probed, ``probes_for`` the number."""
     spark = table.sparkSession
     rows = valid_vectors(table)
     # A bounded sample, the smallest hashes, reaches the driver.
@@ -191,6 +248,7 @@ def nearest(table: DataFrame, queries_every: int = 100, k: int = K, probes: int
     blocks = spark.createDataFrame(
         [(i, int(-(-n // BLOCK_ROWS))) for i, n in enumerate(sizes.tolist()) if n], "list int, blocks int")
     blocks = F.broadcast(blocks)
+    probes = probes_for(stored, centres, queries_every, k, probes)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, _ = index.value

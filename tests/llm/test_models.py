@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.llm import ann
 from logloom.llm.ann import nearest
 from logloom.llm.line_dedup import aligned_blocks, line_dedup, patience_matches
 from logloom.llm.packing import SHARD_TOKENS, _powers, bm25_pack
@@ -227,6 +228,23 @@ def test_neighbours_recall_on_the_table(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_recall_over_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_PER_LIST", 40)
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((12_000, 64))  # 300 lists, every direction alike
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = defaultdict(set)
+    for r in nearest(table.repartition(4), queries_every=200).collect():
+        out[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 200):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(out[q] & set(np.argsort(d)[:10].tolist()))
+    assert len(out) == 60 and hits / 600 >= 0.9
+
+
 # -- lines
 
 
