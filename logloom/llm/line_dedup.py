@@ -1,12 +1,11 @@
 """Line de-duplication by pairwise alignment.
 
-1. Every long enough line is hashed; lines held by two documents or more are
-   counted, and the first document with each is noted.
-2. A later document becomes a partner of the first holder of each *rare* line
-   (at most ``RARE`` holders) it holds. Lines with more holders, which may be
-   mere boilerplate, make partners only in twos: the first holder of the same
-   two successive frequent lines. So a group of copies of any size is found,
-   each member paired with first holders only, never with each other.
+1. Every long enough line is hashed. Each shortest run of successive lines that
+   reaches ``MIN_BLOCK_CHARS``, from each line on and up to each line, gets a
+   name; every block of that length consists of such runs.
+2. A later document becomes a partner of the first holder of each run it holds.
+   So a block of any number of holders is found, each member paired with first
+   holders only, never with each other.
 3. For a pair only the lines both documents hold are brought together (joined
    on document and line), and aligned by patience diff.
 4. Aligned blocks of ``MIN_BLOCK_CHARS`` code points or more are deleted from
@@ -26,9 +25,10 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import tasks_for, text_of, write_once
 
-RARE = 100
 MIN_LINE_CHARS = 16
 MIN_BLOCK_CHARS = 100
+# Odd factors of the names of runs, and their inverses modulo 2**64.
+BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
@@ -123,42 +123,85 @@ def _align(min_chars: int):
     return run
 
 
-def line_table(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:
-    """(rid, doc_id, at, line, chars, h1, h2): every long enough line; ``at``
-    counts those of the document, ``line`` all of its lines."""
+def _lines(docs: DataFrame, min_line_chars: int) -> DataFrame:
+    """(rid, doc_id, kept): the long enough lines of each document."""
     lines = F.transform(F.split(text_of(), "\n", -1), lambda x, i: F.struct(
         i.alias("line"), F.length(x).alias("chars"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
     kept = F.filter(lines, lambda s: s["chars"] >= min_line_chars)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("kept"))
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("kept"))
+
+
+def line_table(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:
+    """(rid, doc_id, at, line, chars, h1, h2): every long enough line; ``at``
+    counts those of the document, ``line`` all of its lines."""
+    rows = _lines(docs, min_line_chars)
     return rows.select("rid", "doc_id", F.posexplode("kept").alias("at", "l")).select("rid", "doc_id", "at", "l.*")
 
 
+def window_names(sizes: np.ndarray, chars: np.ndarray, hashes: list[np.ndarray], min_chars: int) -> tuple[np.ndarray, ...]:
+    """(document, name, ...) of every shortest run of lines that reaches
+    ``min_chars``: the one from each line on, and the one up to each line.
+    ``sizes`` counts the lines of each document, the rest is flat."""
+    total, doc = len(chars), np.repeat(np.arange(len(sizes)), sizes)
+    end = np.cumsum(sizes)
+    start = end - sizes
+    before = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
+    at = np.arange(total)
+    to = np.searchsorted(before, before[:-1] + min_chars, "left")
+    since = np.searchsorted(before, before[1:] - min_chars, "right") - 1
+    on, back = to <= end[doc], since >= start[doc]
+    first, last = np.concatenate([at[on], since[back]]), np.concatenate([to[on], at[back] + 1])
+    names = []
+    for h, (base, inverse) in zip(hashes, BASES):
+        power, undo = np.full(total + 1, base, np.uint64), np.full(total + 1, inverse, np.uint64)
+        power[0] = undo[0] = 1
+        power, undo = np.cumprod(power), np.cumprod(undo)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.astype(np.uint64) * power[:-1], dtype=np.uint64)])
+        names.append(((sums[last] - sums[first]) * undo[first]).astype(np.int64))
+    return doc[first], *names
+
+
+def _windows(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column("chars").offsets.to_numpy())
+            chars, h1, h2 = (batch.column(c).flatten().to_numpy() for c in ("chars", "h1", "h2"))
+            doc, w1, w2 = window_names(sizes, chars, [h1, h2], min_chars)
+            order = np.lexsort((w2, w1, doc))
+            doc, w1, w2 = doc[order], w1[order], w2[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            at = pa.array(doc[new])
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), batch.column("doc_id").take(at), pa.array(w1[new]), pa.array(w2[new])],
+                                             ["rid", "doc_id", "w1", "w2"])
+
+    return run
+
+
+def window_table(docs: DataFrame, min_line_chars: int, min_block_chars: int) -> DataFrame:
+    """(rid, doc_id, w1, w2): each name of a run of lines once per document."""
+    rows = _lines(docs, min_line_chars).select("rid", "doc_id", *[F.col(f"kept.{c}").alias(c) for c in ("chars", "h1", "h2")])
+    return rows.mapInArrow(_windows(min_block_chars), "rid long, doc_id long, w1 long, w2 long")
+
+
 def _first_holder(held: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key held by two rows or more: the number of holders and the first."""
+    """Per key held by two rows or more: the first."""
     return (held.groupBy(*keys).agg(F.count("*").alias("holders"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("f"))
-            .where("holders > 1").select(*keys, "holders", F.col("f.rid").alias("first")))
+            .where("holders > 1").select(*keys, F.col("f.rid").alias("first")))
 
 
-def removed_blocks(docs: DataFrame, rare: int = RARE, min_line_chars: int = MIN_LINE_CHARS,
+def removed_blocks(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS,
                    min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
     """(rid, partner count, blocks, lines): the lines to delete per document."""
     table = write_once(line_table(docs, min_line_chars), "lines")
     key = ["h1", "h2"]
-    held = table.groupBy("rid", "doc_id", *key).agg(F.sort_array(F.collect_list("at")).alias("places"), F.first("chars").alias("chars"))
-    held = write_once(held, "held")
-    first = write_once(_first_holder(held, key), "first")
-    shared = write_once(held.join(first, key), "shared")  # lines that another document holds too
-    single = shared.where((F.col("holders") <= rare) & (F.col("rid") != F.col("first"))).select(
-        F.col("first").alias("a"), F.col("rid").alias("b"))
-    # Two successive lines with many holders.
-    often = shared.where(F.col("holders") > rare).select("rid", "doc_id", *key, F.explode("places").alias("at"))
-    after = Window.partitionBy("rid").orderBy("at")
-    twos = (often.select("rid", "doc_id", *key, "at", *[F.lead(c).over(after).alias(f"n_{c}") for c in ("at", *key)])
-            .where("n_at = at + 1").select("rid", "doc_id", *key, "n_h1", "n_h2").distinct())
-    two_key = [*key, "n_h1", "n_h2"]
-    paired = (twos.join(_first_holder(twos, two_key), two_key).where("rid <> first")
-              .select(F.col("first").alias("a"), F.col("rid").alias("b")))
-    pairs = write_once(single.unionByName(paired).distinct(), "pairs")
+    windows = write_once(window_table(docs, min_line_chars, min_block_chars), "windows")
+    pairs = write_once(windows.join(_first_holder(windows, ["w1", "w2"]), ["w1", "w2"]).where("rid <> first")
+                       .select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct(), "pairs")
+    held = table.groupBy("rid", *key).agg(F.sort_array(F.collect_list("at")).alias("places"), F.first("chars").alias("chars"))
+    # Only lines of documents that are in a pair are brought together.
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    shared = write_once(held.join(paired, "rid", "left_semi"), "shared")
     of_b = pairs.join(shared.select(F.col("rid").alias("b"), *key, F.col("places").alias("pb"), "chars"), "b")
     of_a = shared.select(F.col("rid").alias("a"), *key, F.col("places").alias("pa"))
     both = of_b.join(of_a, ["a", *key]).select("a", "b", "pa", "pb", "chars")
@@ -172,7 +215,7 @@ def removed_blocks(docs: DataFrame, rare: int = RARE, min_line_chars: int = MIN_
     return lines.join(counted, "rid")
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, min_line_chars: int = MIN_LINE_CHARS,
+def line_dedup(docs: DataFrame, rare: int | None = None, min_line_chars: int = MIN_LINE_CHARS,
                min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (lines), n_blocks
     (aligned blocks, a line may lie in several) and text, the lines that stay.
@@ -180,9 +223,10 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_line_chars: int = MIN_LINE
     Later means larger doc_id, then later row; a null doc_id comes last. A null
     text is empty. Rows that repeat a doc_id are documents of their own, so of
     two equal rows the second one loses its lines. An empty table gives an
-    empty result; further columns are ignored. ``docs`` is read twice and must
-    give its rows in the same order each time, as a stored table does."""
-    gone = removed_blocks(docs, rare, min_line_chars, min_block_chars)
+    empty result; further columns are ignored. ``docs`` is read three times and must
+    give its rows in the same order each time, as a stored table does. ``rare``
+    has no effect: a line finds its partners whatever the number of holders."""
+    gone = removed_blocks(docs, min_line_chars, min_block_chars)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     joined = rows.join(gone, "rid", "left").withColumn("parts", F.split("text", "\n", -1))
     total = F.size("parts")

@@ -279,6 +279,15 @@ def test_line_dedup_by_hand(spark):
     assert out[900].text == "" and out[901].text == "" and out[None].text == ""
 
 
+def test_line_dedup_of_one_line_in_150_documents(spark):
+    passage = "one passage without any line feed, " * 4
+    rows = [(i, f"a line of document {i} alone\n{passage}\nand its end, number {i}") for i in range(150)]
+    rows += [(i, passage) for i in range(150, 300)]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert out[0].n_removed == 0 and all(out[i].n_removed == 1 for i in range(1, 300))
+    assert all(out[i].text == "" for i in range(150, 300))
+
+
 def test_line_dedup_of_awkward_rows(awkward, no_documents):
     assert line_dedup(awkward).count() == awkward.count()
     assert line_dedup(no_documents).collect() == []
