@@ -288,6 +288,16 @@ def test_line_dedup_of_one_line_in_150_documents(spark):
     assert all(out[i].text == "" for i in range(150, 300))
 
 
+def test_line_dedup_of_a_block_whose_lines_have_older_holders(spark):
+    block = [f"line {k} of a block that has about fifty characters" for k in range(3)]
+    own = lambda d: [f"document {d} has this line and no other one has it", f"{d} says that too, and again it is alone"]
+    docs = [[*own(d), block[d], *own(d + 50)] for d in range(3)] + [[*own(d), *block, *own(d + 50)] for d in (3, 4)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(docs)]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [out[i].n_removed for i in range(5)] == [0, 0, 0, 0, 3]
+    assert out[4].text == "\n".join(own(4) + own(54))
+
+
 def test_line_dedup_of_awkward_rows(awkward, no_documents):
     assert line_dedup(awkward).count() == awkward.count()
     assert line_dedup(no_documents).collect() == []
