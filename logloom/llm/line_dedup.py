@@ -1,6 +1,6 @@
 """Line de-duplication by pairwise alignment.
 
-1. Every long enough line is hashed. Each shortest run of successive lines that
+1. Every line is hashed. Each shortest run of successive lines that
    reaches ``MIN_BLOCK_CHARS``, from each line on and up to each line, gets a
    name; every block of that length consists of such runs.
 2. A later document becomes a partner of the first holder of each run it holds.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import tasks_for, text_of, write_once
 
-MIN_LINE_CHARS = 16
 MIN_BLOCK_CHARS = 100
 # Odd factors of the names of runs, and their inverses modulo 2**64.
 BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -79,9 +78,21 @@ def aligned_blocks(lines: list[tuple[int, list, list, int]], min_chars: int) ->
     length = {k: n for k, _, _, n in lines}
     out, run = [], []
 
+    def same(i, j, step):
+        x, y = i + step, j + step
+        return (0 <= x < len(a) and 0 <= y < len(b) and a[x] == (a[i][0] + step, b[y][1]) and b[y][0] == b[j][0] + step)
+
     def close():
-        if run and sum(length[b[j][1]] for _, j in run) >= min_chars:
-            out.append((b[run[0][1]][0], len(run)))
+        if not run:
+            return
+        # A line before or after may have been aligned with another equal one.
+        (i, j), (k, end) = run[0], run[-1]
+        while same(i, j, -1):
+            i, j = i - 1, j - 1
+        while same(k, end, 1):
+            k, end = k + 1, end + 1
+        if sum(length[x] for _, x in b[j:end + 1]) >= min_chars and (b[j][0], end + 1 - j) not in out[-1:]:
+            out.append((b[j][0], end + 1 - j))
 
     for i, j in patience_matches([k for _, k in a], [k for _, k in b]):
         if run and (a[i][0] != a[run[-1][0]][0] + 1 or b[j][0] != b[run[-1][1]][0] + 1):
@@ -123,19 +134,16 @@ def _align(min_chars: int):
     return run
 
 
-def _lines(docs: DataFrame, min_line_chars: int) -> DataFrame:
-    """(rid, doc_id, kept): the long enough lines of each document."""
-    lines = F.transform(F.split(text_of(), "\n", -1), lambda x, i: F.struct(
-        i.alias("line"), F.length(x).alias("chars"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
-    kept = F.filter(lines, lambda s: s["chars"] >= min_line_chars)
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("kept"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, lines): the lines of each document, short ones included."""
+    lines = F.transform(F.split(text_of(), "\n", -1), lambda x: F.struct(
+        F.length(x).alias("chars"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
 
 
-def line_table(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:
-    """(rid, doc_id, at, line, chars, h1, h2): every long enough line; ``at``
-    counts those of the document, ``line`` all of its lines."""
-    rows = _lines(docs, min_line_chars)
-    return rows.select("rid", "doc_id", F.posexplode("kept").alias("at", "l")).select("rid", "doc_id", "at", "l.*")
+def line_table(docs: DataFrame) -> DataFrame:
+    """(rid, at, chars, h1, h2): every line; ``at`` counts those of the document."""
+    return _lines(docs).select("rid", F.posexplode("lines").alias("at", "l")).select("rid", "at", "l.*")
 
 
 def window_names(sizes: np.ndarray, chars: np.ndarray, hashes: list[np.ndarray], min_chars: int) -> tuple[np.ndarray, ...]:
@@ -178,9 +186,9 @@ def _windows(min_chars: int):
     return run
 
 
-def window_table(docs: DataFrame, min_line_chars: int, min_block_chars: int) -> DataFrame:
+def window_table(docs: DataFrame, min_block_chars: int) -> DataFrame:
     """(rid, doc_id, w1, w2): each name of a run of lines once per document."""
-    rows = _lines(docs, min_line_chars).select("rid", "doc_id", *[F.col(f"kept.{c}").alias(c) for c in ("chars", "h1", "h2")])
+    rows = _lines(docs).select("rid", "doc_id", *[F.col(f"lines.{c}").alias(c) for c in ("chars", "h1", "h2")])
     return rows.mapInArrow(_windows(min_block_chars), "rid long, doc_id long, w1 long, w2 long")
 
 
@@ -190,33 +198,31 @@ def _first_holder(held: DataFrame, keys: list[str]) -> DataFrame:
             .where("holders > 1").select(*keys, F.col("f.rid").alias("first")))
 
 
-def removed_blocks(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS,
-                   min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+def removed_blocks(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
     """(rid, partner count, blocks, lines): the lines to delete per document."""
-    table = write_once(line_table(docs, min_line_chars), "lines")
     key = ["h1", "h2"]
-    windows = write_once(window_table(docs, min_line_chars, min_block_chars), "windows")
+    windows = write_once(window_table(docs, min_block_chars), "windows")
     pairs = write_once(windows.join(_first_holder(windows, ["w1", "w2"]), ["w1", "w2"]).where("rid <> first")
                        .select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct(), "pairs")
-    held = table.groupBy("rid", *key).agg(F.sort_array(F.collect_list("at")).alias("places"), F.first("chars").alias("chars"))
+    table = line_table(docs)
     # Only lines of documents that are in a pair are brought together.
     paired = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    shared = write_once(held.join(paired, "rid", "left_semi"), "shared")
+    held = table.join(paired, "rid", "left_semi").groupBy("rid", *key).agg(
+        F.sort_array(F.collect_list("at")).alias("places"), F.first("chars").alias("chars"))
+    shared = write_once(held, "shared")
     of_b = pairs.join(shared.select(F.col("rid").alias("b"), *key, F.col("places").alias("pb"), "chars"), "b")
     of_a = shared.select(F.col("rid").alias("a"), *key, F.col("places").alias("pa"))
     both = of_b.join(of_a, ["a", *key]).select("a", "b", "pa", "pb", "chars")
     blocks = (both.repartition(tasks_for(both), "a", "b").sortWithinPartitions("a", "b", F.col("pb")[0])
               .mapInArrow(_align(min_block_chars), "rid long, at long, lines long"))
     blocks = write_once(blocks, "blocks")
-    places = blocks.select("rid", F.explode(F.expr("sequence(at, at + lines - 1)")).alias("at")).distinct()
     counted = blocks.groupBy("rid").agg(F.count("*").alias("blocks"))
-    lines = (places.join(table.select("rid", "at", "line"), ["rid", "at"]).groupBy("rid")
-             .agg(F.sort_array(F.collect_list("line")).alias("gone")))
+    lines = (blocks.select("rid", F.explode(F.expr("sequence(int(at), int(at + lines - 1))")).alias("line")).distinct()
+             .groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("gone")))
     return lines.join(counted, "rid")
 
 
-def line_dedup(docs: DataFrame, rare: int | None = None, min_line_chars: int = MIN_LINE_CHARS,
-               min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, rare: int | None = None, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (lines), n_blocks
     (aligned blocks, a line may lie in several) and text, the lines that stay.
 
@@ -226,7 +232,7 @@ def line_dedup(docs: DataFrame, rare: int | None = None, min_line_chars: int = M
     empty result; further columns are ignored. ``docs`` is read three times and must
     give its rows in the same order each time, as a stored table does. ``rare``
     has no effect: a line finds its partners whatever the number of holders."""
-    gone = removed_blocks(docs, min_line_chars, min_block_chars)
+    gone = removed_blocks(docs, min_block_chars)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     joined = rows.join(gone, "rid", "left").withColumn("parts", F.split("text", "\n", -1))
     total = F.size("parts")

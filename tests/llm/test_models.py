@@ -298,6 +298,16 @@ def test_line_dedup_of_a_block_whose_lines_have_older_holders(spark):
     assert out[4].text == "\n".join(own(4) + own(54))
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = [f"short {k}" for k in range(40)]
+    long = "a line of the block that is long enough to reach one hundred characters by itself, which it does here"
+    rows = [(0, verse), (1, verse), (2, ["mine", long, "", "x", long + "!"]), (3, ["other", "x", long, "", "x", long + "!", "end"])]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(
+        [(i, "\n".join(x)) for i, x in rows], "doc_id long, text string").coalesce(1)).collect()}
+    assert [out[i].n_removed for i in range(4)] == [0, 40, 0, 4]
+    assert out[1].text == "" and out[3].text == "other\nx\nend"
+
+
 def test_line_dedup_of_awkward_rows(awkward, no_documents):
     assert line_dedup(awkward).count() == awkward.count()
     assert line_dedup(no_documents).collect() == []
