@@ -4,8 +4,8 @@ Documents are tokenized once into a table of two-byte ids; the same pass
 counts in how many documents each id occurs (one vector per task, summed over
 the vocabulary), so BM25 weights rest on the whole corpus. The inverted index
 is sharded: a shard is a run of documents of bounded token count in one task.
-In a shard each seed document queries the index with its heaviest terms, and
-its unused neighbours fill its window in score order. A document that does not
+In a shard each seed document queries the index with all its terms, and its
+unused neighbours fill its window in score order. A document that does not
 fit is cut, its rest seeds the next window, so every window but a shard's last
 is full; the last is cut into sequences whose lengths are powers of two, which
 need no padding.
@@ -29,8 +29,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 4 << 20
 SHARD_DOCS = 1 << 16
-QUERY_TERMS = 16
-NEIGHBOURS = 64  # retrieved for a seed; a window that needs more takes a further seed
+FIRST_NEIGHBOURS = 64  # sorted at first; more if they do not fill the window
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 STEP_TEXTS = 256
@@ -82,7 +81,7 @@ class _Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         lengths = np.array([len(d) for d in docs])
-        self.docs, self.count = docs, len(docs)
+        self.docs, self.count, self.lengths = docs, len(docs), lengths
         # Postings in (id, document) order.
         key = np.concatenate([d.astype(np.uint32) for d in docs]) << 16
         key |= np.repeat(np.arange(self.count, dtype=np.uint32), lengths)
@@ -97,19 +96,25 @@ class _Shard:
         order = np.argsort(self.doc, kind="stable")
         self.by_doc, self.doc_begin = order, np.searchsorted(self.doc[order], np.arange(self.count + 1))
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+    def neighbours(self, seed: int, used: np.ndarray, tokens: int) -> np.ndarray:
+        """Unused documents by score, then place: all, or as many as hold ``tokens``."""
         own = self.by_doc[self.doc_begin[seed]:self.doc_begin[seed + 1]]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weight[own], QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(self.count)
-        for term in np.sort(self.term[own]):
-            at = slice(self.begin[term], self.begin[term + 1])
-            score[self.doc[at]] += self.weight[at]
+        terms = np.sort(self.term[own[self.weight[own] > 0]])
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        at = [slice(b, e) for b, e in zip(begin.tolist(), end.tolist()) if e - b > 1]  # a term of the seed alone finds nothing
+        if not at:
+            return np.zeros(0, np.int64)
+        score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.weight[x] for x in at]), self.count)
         score[used] = 0
         found = np.flatnonzero(score > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))]
+        best, first = found, FIRST_NEIGHBOURS
+        while first < len(found):
+            least = -np.partition(-score[found], first - 1)[first - 1]
+            best = found[score[found] >= least]  # with all that tie
+            if self.lengths[best].sum() >= tokens:
+                break
+            best, first = found, first * 4
+        return best[np.lexsort((best, -score[best]))]
 
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, start, length) that fill a window exactly; the
@@ -131,7 +136,7 @@ class _Shard:
                     doc = fresh
                     used[doc] = True
                     if len(self.docs[doc]) < free:
-                        wanted = list(self.neighbours(doc, used)[::-1])
+                        wanted = list(self.neighbours(doc, used, window)[::-1])
                 used[doc], start = True, 0
             take = min(free, len(self.docs[doc]) - start)
             pieces.append((doc, start, take))
@@ -141,7 +146,7 @@ class _Shard:
                 yield pieces
                 pieces, free = [], window
                 if cut and len(self.docs[doc]) - start < window:  # the rest seeds the next window
-                    wanted = list(self.neighbours(doc, used)[::-1])
+                    wanted = list(self.neighbours(doc, used, window)[::-1])
                 elif not cut:
                     wanted = []
             if not cut:

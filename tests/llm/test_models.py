@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from logloom.llm import ann
 from logloom.llm.ann import nearest
 from logloom.llm.line_dedup import aligned_blocks, line_dedup, patience_matches
-from logloom.llm.packing import SHARD_TOKENS, _powers, bm25_pack
+from logloom.llm.packing import SHARD_TOKENS, _powers, _Shard, bm25_pack
 from logloom.llm.pieces import PieceModel, decode_ids, encode_nbest
 from logloom.llm.quality import fit_ordinal, fit_quality, quality_scores, rated, score_quality
 
@@ -116,6 +116,17 @@ def test_packing_puts_neighbours_together(spark):
     assert SHARD_TOKENS >= 4096
 
 
+def test_packing_fills_a_window_from_all_neighbours_and_terms():
+    idf = np.ones(1 << 16)
+    idf[2] = 0.0
+    docs = [np.array([100 + i % 2, 1000 + i, 2000 + i, 3000 + i, 2], "<u2") for i in range(400)]
+    first = next(_Shard(docs, idf, 5.0).windows(900))
+    assert [d for d, _, _ in first] == list(range(0, 360, 2))
+    idf[1000:1040] = 9.0
+    docs = [np.array([*range(1000, 1040), 7, 2], "<u2")] + [np.array([50 + i, 2], "<u2") for i in range(9)] + [np.array([7, 2], "<u2")]
+    assert _Shard(docs, idf, 5.0).neighbours(0, np.arange(11) == 0, 900).tolist() == [10]
+
+
 def test_powers_cover_every_id():
     for total in (1, 2, 3, 100, 255):
         lists = list(_powers([(0, 0, total // 2), (1, 5, total - total // 2)], 256))
