@@ -234,7 +234,8 @@ def line_dedup(docs: DataFrame, rare: int | None = None, min_block_chars: int =
     has no effect: a line finds its partners whatever the number of holders."""
     gone = removed_blocks(docs, min_block_chars)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    joined = rows.join(gone, "rid", "left").withColumn("parts", F.split("text", "\n", -1))
+    # Merged at every size: a broadcast of ``gone`` holds for small tables only.
+    joined = rows.join(gone.hint("merge"), "rid", "left").withColumn("parts", F.split("text", "\n", -1))
     total = F.size("parts")
     # The stretches between deleted lines.
     edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), "gone").alias("p"), F.concat("gone", F.array(total)).alias("q"))
