@@ -107,3 +107,26 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(read_table(spark, sf_dir, "documents"), with_kept=False)
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.spelling import spelling_groups
+
+    return spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logloom.llm.token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_importance")
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.importance import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
