@@ -22,11 +22,10 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +42,13 @@ SHIFT_BYTES = 64
 CACHE_WORDS = 1 << 19
 CACHE_BYTES = 64 << 20
 STEP_BYTES = 1 << 20
+SPACE_CRC = zlib.crc32(b" ")
 # Rank error of the sketch as a share of the rows, and the first half width of the bracket.
 SKETCH = 10_000
 HALF_WIDTH = 0.002
 
-WORDS = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+# Bytes of words stand for themselves, A-Z for a-z, all others for a space.
+WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
 @lru_cache(maxsize=1)
@@ -89,29 +89,33 @@ class Features:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.held = 0
         # For each word met: checksum, checksum with a space before it, bytes with that space.
         self.facts = np.zeros((1024, 3), np.int64)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         at = len(self.place)
         while at + len(words) > len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         for i, word in enumerate(words, at):
-            raw = word.encode()
             self.place[word] = i
-            self.held += len(raw)
-            self.facts[i] = zlib.crc32(raw), zlib.crc32(raw, zlib.crc32(b" ")), len(raw) + 1
+            self.held += len(word)
+            self.facts[i] = zlib.crc32(word), zlib.crc32(word, SPACE_CRC), len(word) + 1
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of all features, the text each belongs to, words per text."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of all features of some UTF-8 texts, the text each belongs
+        to, words per text."""
         if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._forget()
-        split = [WORDS.findall(t.lower() if t.isascii() else t.translate(LOWER)) for t in texts]
+        split = [t.translate(WORD_BYTES).split() for t in texts]
         n_words = np.array([len(w) for w in split], np.int64)
-        self._learn(set().union(*split).difference(self.place))
-        ids = np.array([self.place[w] for words in split for w in words], np.int64)
+        words = list(chain.from_iterable(split))
+        places = list(map(self.place.get, words))
+        if None in places:
+            self._learn(set(words).difference(self.place))
+            places = list(map(self.place.__getitem__, words))
+        ids = np.array(places, np.int64)
         owner = np.repeat(np.arange(len(texts)), n_words)
         first, spaced, size = self.facts[ids].astype(np.uint32).T
         crc, buckets, owners = first, [first % BUCKETS], [owner]
@@ -148,7 +152,7 @@ def bucket_counts(texts: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    parts = texts.select(text_of().alias("text")).mapInArrow(run, "bucket long, n long")
+    parts = texts.select(text_of().cast("binary").alias("text")).mapInArrow(run, "bucket long, n long")
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -178,13 +182,12 @@ def scored(docs: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
         for part in _steps(batches, 1):
             buckets, owner, n_words = _features()(part.column(1).to_pylist())
             n = part.num_rows
-            weight = np.zeros(n, np.int64)
-            np.add.at(weight, owner, gain[buckets])
+            weight = np.bincount(owner, gain[buckets], n).astype(np.int64)  # whole numbers, exact in doubles
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.bincount(owner, minlength=n)), pa.array(n_words), pa.array(weight)],
                 ["doc_id", "n_features", "n_words", "weight"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, n_features long, n_words long, weight long")
     return rows.withColumn("score", F.col("weight") + _noise(F.col("doc_id"), seed))
 

@@ -278,11 +278,11 @@ def test_the_bracket_is_validated_or_widened(spark, half_width, sketch):
 def test_checksums_of_runs_and_of_very_long_words():
     made = importance.Features()
     texts = ["a bb ccc dddd", "é " + "x" * 200 + " y " + "数" * 100 + " end", "", "one", "A-b_C 9"]
-    buckets, owner, n_words = made(texts)
+    buckets, owner, n_words = made([t.encode() for t in texts])
     for i, text in enumerate(texts):
         n, want = features_of(text)
         assert n_words[i] == n and sorted(buckets[owner == i]) == sorted(want)
-    assert [len(x) for x in made([])] == [0, 0, 0] and [len(x) for x in made([""])] == [0, 0, 1]
+    assert [len(x) for x in made([])] == [0, 0, 0] and [len(x) for x in made([b""])] == [0, 0, 1]
 
 
 def test_bucket_counts_cover_all_rows(spark, awkward):
