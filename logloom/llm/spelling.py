@@ -32,7 +32,7 @@ FORM_FACTOR = 2
 # Letter groups in trie order, the most telling first; other letters are a last group.
 GROUPS = ("e", "n", "t", "a", "i", "r", "h", "s", "o", "d", "l", "u", "g", "c", "m", "bpf", "wvy", "kjqxz")
 # Words of a shard, levels in its key at most, and words below which a node of the trie is a list.
-SHARD_WORDS = 1 << 14
+SHARD_WORDS = 1 << 12
 KEY_LEVELS = 12
 LEAF_WORDS = 32
 
