@@ -5,7 +5,11 @@ the positions of the same k-grams in the license templates. A hit votes for
 its diagonal, the document place minus the template place; votes are summed by
 (document, template, diagonal), neighbouring diagonals (a few words inserted or
 left out) are merged, and the span is verified: a hit's k-gram equals the
-template's word by word, and enough of the template must be covered.
+template's word by word, a template place counts once, at its first word in the
+span, and only if it lies behind all earlier places; enough of the template must
+be covered, and covered densely. Of spans that overlap by more than half, the
+one that covers most words stays, so a notice is not labelled as the shorter
+notice it contains.
 
 The templates are a fixed list, so their k-gram table (a few hundred rows) is
 broadcast; documents are not shuffled, only their hits are.
@@ -21,6 +25,7 @@ from logloom.llm.common import text_of, write_once
 K = 3
 MAX_SHIFT = 4
 MIN_COVER = 0.6
+MIN_DENSITY = 0.5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,20 +118,49 @@ def license_hits(docs: DataFrame, templates=TEMPLATES, k: int = K, max_shift: in
     votes = ranged.groupBy("rid", "template", "label", "size", "diagonal", "part").agg(
         F.count("*").alias("votes"), F.min("word").alias("first"), F.max("word").alias("last"))
     side = Window.partitionBy("rid", "template").orderBy("diagonal", "first")
-    merged = (votes.withColumn("far", (
+    grouped = (votes.withColumn("far", (
         (F.col("diagonal") - F.lag("diagonal", 1, -1 << 40).over(side) > max_shift)
         | (F.abs(F.col("first") - F.lag("last", 1, -1 << 40).over(side)) > F.col("size"))).cast("int"))
-        .withColumn("span", F.sum("far").over(side))
-        .groupBy("rid", "template", "label", "size", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k).alias("last")))
-    spans = merged.withColumn("cover", F.least(F.col("votes") / F.col("size"), F.lit(1.0))).where(F.col("cover") >= min_cover)
-    return documents, spans.select("rid", "label", "cover", "first", "last")
+        .withColumn("span", F.sum("far").over(side)))
+    # Verification: each template place once, at its first word in the span, in
+    # the template's order.
+    placed = ranged.join(grouped.select("rid", "template", "diagonal", "part", "span"), ["rid", "template", "diagonal", "part"])
+    once = placed.groupBy("rid", "template", "label", "size", "span", "place").agg(F.min("word").alias("word"))
+    order = Window.partitionBy("rid", "template", "span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = once.withColumn("behind", F.coalesce(F.col("word") > F.max("word").over(order), F.lit(True)))
+    merged = in_order.where("behind").groupBy("rid", "template", "label", "size", "span").agg(
+        F.count("*").alias("covered"), F.min("word").alias("first"), (F.max("word") + k).alias("last"))
+    dense = F.col("covered") + (k - 1) >= MIN_DENSITY * (F.col("last") - F.col("first"))
+    spans = merged.withColumn("cover", F.col("covered") / F.col("size")).where((F.col("cover") >= min_cover) & dense)
+    return documents, _standing(spans)
+
+
+def _standing(spans: DataFrame) -> DataFrame:
+    """The spans that no better span of another label overlaps by more than half
+    of the shorter: better covers more places, or as many and a larger share,
+    or its label is the smaller. A document has few verified spans per word."""
+    facts = F.struct("first", "last", "covered", "cover", "label")
+    per_doc = spans.groupBy("rid").agg(F.array_sort(F.collect_list(facts)).alias("all"))
+
+    def beaten(s):
+        def by(o):
+            shared = F.least(s["last"], o["last"]) - F.greatest(s["first"], o["first"])
+            shorter = F.least(s["last"] - s["first"], o["last"] - o["first"])
+            better = ((o["covered"] > s["covered"]) | (o["covered"] == s["covered"]) & (
+                (o["cover"] > s["cover"]) | (o["cover"] == s["cover"]) & (o["label"] < s["label"])))
+            return (o["label"] != s["label"]) & (2 * shared > shorter) & better
+
+        return by
+
+    kept = per_doc.select("rid", F.explode(F.filter("all", lambda s: ~F.exists("all", beaten(s)))).alias("s"))
+    return kept.select("rid", "s.label", "s.cover", "s.first", "s.last")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score (the best cover of a template, 1 for a base
-    phrase, 0 for neither).
+    phrase, 0 for neither). The notices found are those of ``TEMPLATES``, a few
+    usual sentences of each license, not the full license texts.
 
     A null text is empty. Rows that repeat a doc_id are documents of their own.
     An empty table gives an empty result; further columns are ignored."""

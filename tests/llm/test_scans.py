@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from logloom.llm.licenses import PHRASES, scan_licenses
+from logloom.llm.licenses import PHRASES, TEMPLATES, license_hits, scan_licenses
 from logloom.llm.secret_scan import MARK, redact_secrets, scan_secrets
 
 ASSIGN = re.compile(
@@ -96,3 +96,85 @@ def test_licenses_by_hand(spark):
     found = [out[i].labels for i in range(len(LICENSES))]
     assert found[6] == "apache-2.0" and found[7] == "apache-2.0" and found[8] == "mit" and found[11] == "mit"
     assert found[9] == "" and out[9].score == 0 and found[5] == ""
+
+
+def verified_by_hand(words, templates, k=3):
+    """All spans by plain voting: hits per template, runs per diagonal, merged
+    neighbours, each place once and in order, the better of overlapping spans."""
+    spans = []
+    for label, text in templates:
+        notice = text.replace(".", " ").split()
+        size = len(notice) - k + 1
+        places = {}
+        for i in range(size):
+            places.setdefault(tuple(notice[i:i + k]), []).append(i)
+        runs = {}
+        for w in range(len(words) - k + 1):
+            for p in places.get(tuple(words[w:w + k]), []):
+                parts = runs.setdefault(w - p, [])
+                if not parts or w - parts[-1][-1][0] > size:
+                    parts.append([])
+                parts[-1].append((w, p))
+        parts = sorted((d, hits) for d, group in runs.items() for hits in group)
+        groups = []
+        for d, hits in parts:
+            if groups and d - groups[-1][-1][0] <= 4 and abs(hits[0][0] - groups[-1][-1][1][-1][0]) <= size:
+                groups[-1].append((d, hits))
+            else:
+                groups.append([(d, hits)])
+        for group in groups:
+            first = {}
+            for _, hits in group:
+                for w, p in hits:
+                    first[p] = min(w, first.get(p, w))
+            kept, top = [], -1
+            for p in sorted(first):
+                if first[p] > top:
+                    kept.append(first[p])
+                top = max(top, first[p])
+            lo, hi = min(kept), max(kept) + k
+            if len(kept) / size >= 0.6 and len(kept) + k - 1 >= 0.5 * (hi - lo):
+                spans.append((lo, hi, len(kept), len(kept) / size, label))
+
+    def beats(o, s):
+        shared = min(s[1], o[1]) - max(s[0], o[0])
+        return o[4] != s[4] and 2 * shared > min(s[1] - s[0], o[1] - o[0]) and (-o[2], -o[3], o[4]) < (-s[2], -s[3], s[4])
+
+    return [s for s in spans if not any(beats(o, s) for o in spans)]
+
+
+def notices():
+    import random
+
+    rng = random.Random(12)
+    plain = [t.replace(".", " ") for _, t in TEMPLATES]
+    texts = ["released under the released under the terms", "licensed under the sun " * 6,
+             "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+             "this work is licensed under a creative commons attribution 4.0 international license", "the mit license under the mit released"]
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            notice = rng.choice(plain).split()
+            a, b = sorted((rng.randint(0, len(notice)), rng.randint(0, len(notice))))
+            part = notice[a:b] if rng.random() < 0.4 else list(notice)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                at = rng.randint(0, len(part))
+                part[at:at + rng.randint(0, 1)] = rng.choice([[], ["new"], ["the", "license"], part[at:at + 3] * 2])
+            words += part + ["filler"] * rng.choice([0, 0, 1, 9])
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_spans_equal_voting_by_hand(spark):
+    texts = notices()
+    documents, spans = license_hits(table(spark, texts))
+    ids = {r.rid: r.doc_id for r in documents.select("rid", "doc_id").collect()}
+    got = sorted((ids[r.rid], r["first"], r["last"], r.label, round(r.cover, 9)) for r in spans.collect())
+    want = sorted((i, s[0], s[1], s[4], round(s[3], 9)) for i, t in enumerate(texts)
+                  for s in verified_by_hand(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t), TEMPLATES))
+    assert got == want and len(want) > 200
+
+
+def test_repeated_grams_and_contained_notices_are_not_labelled(spark):
+    labels = [r.labels for r in scan_licenses(table(spark, notices()[:5])).orderBy("doc_id").collect()]
+    assert labels == ["", "", "cc-by-sa", "cc-by", ""]
