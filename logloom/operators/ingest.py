@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.ranking import range_rank
-from logloom.schema import BATCH_COLUMN, LOG_COLUMNS, PARTITION_COLUMN
-from logloom.session import list_names
-from logloom.sources import store
+from logloom.schema import LOG_COLUMNS
+from logloom.sources import store, versions
 
 
 def next_id_base(spark: SparkSession, path: str, exclude_batch: int | None = None) -> int:
@@ -18,22 +17,10 @@ def next_id_base(spark: SparkSession, path: str, exclude_batch: int | None = Non
     a new table). Rewriting the latest batch therefore gets the same base
     again (a retried micro-batch keeps its ids); rewriting an older batch
     after newer ones gives it new ids above them (still unique); a new batch
-    starts above every id already stored, whatever its number.
-
-    Every write notes its batch's largest id in a file name, so one listing of
-    a few names answers. A table without such notes (written by other means)
-    has its stored ids aggregated.
+    starts above every id already stored, whatever its number. Answered from
+    the table's newest version file.
     """
-    marks = store.read_marks(spark, path)
-    others = [top for top, batch in marks if batch != exclude_batch]
-    if others:
-        return max(others)
-    if not any(n.startswith(f"{PARTITION_COLUMN}=") for n in list_names(spark, path)):
-        return 0
-    stored = store.read_stored(spark, path)
-    if exclude_batch is not None:
-        stored = stored.where(F.col(BATCH_COLUMN) != exclude_batch)
-    return stored.agg(F.max("id")).first()[0] or 0
+    return versions.load(spark, path).largest_id(exclude_batch)
 
 
 def now_millis() -> dt.datetime:
@@ -65,8 +52,11 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     time. An empty input writes no rows. Returns the rows as stored, read back
     by id, with their batch_id and pos.
 
-    Replaying the same ``batch`` replaces its folders, so a retried micro-batch
-    never duplicates rows. The batch is decoded once: unless the caller gives
+    The rows become visible at once, with the table's next version. Replaying
+    the same ``batch`` replaces its rows, also inside a merged folder, so a
+    retried micro-batch never duplicates rows. If another batch is published
+    meanwhile, the ids are taken anew above its own (an error when the caller
+    gave ``base``). The batch is decoded once: unless the caller gives
     ``n_rows`` (and holds the rows already), they are kept while they are
     counted, laid out and written. Its size sets the number of files.
     """
@@ -75,11 +65,16 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
     if n_rows is None:
         kept = rows = rows.persist()
         n_rows = rows.count()
-    if base is None:
-        base = next_id_base(spark, path, exclude_batch=batch)
-    stamped = assign_ids(rows, base, added or now_millis(), num_partitions=max(1, -(-n_rows // ROWS_PER_FILE)))
-    # The id assignment leaves the rows range-partitioned and balanced.
-    store.write_logs(stamped, path, batch=batch, cluster=False, max_id=base + n_rows if n_rows else base)
+    while True:
+        start = next_id_base(spark, path, exclude_batch=batch) if base is None else base
+        stamped = assign_ids(rows, start, added or now_millis(), num_partitions=max(1, -(-n_rows // ROWS_PER_FILE)))
+        try:
+            # The id assignment leaves the rows range-partitioned and balanced.
+            store.write_logs(stamped, path, batch=batch, cluster=False, max_id=start + n_rows, base=start)
+            break
+        except versions.StaleIds:
+            if base is not None:
+                raise
     if kept is not None:
         kept.unpersist()
     keys = stamped.select("batch_id", "pos", "id")
@@ -87,9 +82,9 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
 
 
 def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """The rows of one ingest batch (partition-pruned to its folder)."""
-    df = store.read_stored(spark, path)
-    return df.where((F.col(BATCH_COLUMN) == batch) & store.valid_rows(df)).select(*LOG_COLUMNS)
+    """The rows of one ingest batch (only its folders are opened)."""
+    df = store.read_batch(spark, path, batch)
+    return df.where(store.valid_rows(df)).select(*LOG_COLUMNS)
 
 
 def written_rows(logs: DataFrame, ids: DataFrame) -> DataFrame:

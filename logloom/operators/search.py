@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.levels import LEVEL_INTS
+from logloom.functions.levels import LEVEL_INTS, to_level_int
 from logloom.functions.text import search_text, tokens
 from logloom.operators.filters import (
     MIN_QUERY_LENGTH, PAGE_STEP, SearchSpec, filter_all, time_predicate,
@@ -29,10 +31,22 @@ def sort_severity(df: DataFrame, ascending: bool = True) -> DataFrame:
     return df.orderBy(F.col("level").desc(), F.col("id").desc())
 
 
-def page(df: DataFrame, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """``limit L offset O`` of an ordered frame (a top-k of L+O rows in the plan)."""
+# An offset from here on is found by counts and ranks instead of a top-(L+O) of one task.
+DEEP_OFFSET = 10_000
+
+
+def page(df: DataFrame, limit: int = 1000, offset: int = 0, order: Sequence[Column] | None = None) -> DataFrame:
+    """``limit L offset O`` of an ordered frame: a top-k of L+O rows in the
+    plan. A deep offset of a frame with a total ``order`` is ranked over range
+    partitions instead, so that no task holds more than its share and the page."""
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must be non-negative")
+    if order is not None and offset >= DEEP_OFFSET:
+        ranked = range_rank(df, [], list(order), "__rank")
+        rows = ranked.where((F.col("__rank") > offset) & (F.col("__rank") <= offset + limit))
+        return rows.orderBy("__rank").drop("__rank")
+    if order is not None:
+        df = df.orderBy(*order)
     return df.offset(offset).limit(limit) if offset else df.limit(limit)
 
 
@@ -43,13 +57,44 @@ def page_links(specs: DataFrame, off: str = "off") -> DataFrame:
                 .withColumn("next_offset", o + PAGE_STEP)
 
 
-def history_search(df: DataFrame, spec: SearchSpec, mode: str = "natural", index: DataFrame | None = None) -> DataFrame:
+def history_search(df: DataFrame, spec: SearchSpec, mode: str = "natural", index: DataFrame | None = None,
+                   cells: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """One viewer's history: filters, order by (added, id), one page; 12
-    columns. A text query goes through the token ``index`` when there is one."""
+    columns. A text query goes through the ``postings`` of the table when there
+    are any (both modes, with an early stop), else through its token ``index``.
+
+    A page at a deep offset is found by counting (``history_by_cells``): the
+    counts per hour, app and level say in which hours it lies, and only their
+    rows are read and ranked. ``cells`` are the table's stored counts
+    (``store.cell_counts``); without them three columns are counted."""
+    if spec.offset >= DEEP_OFFSET and spec.gated_query is None and not spec.apps_ignore_case:
+        return deep_page(df, spec, cells)
+    if postings is not None and spec.gated_query is not None:
+        from logloom.operators.postings import text_page
+
+        return text_page(df, postings, spec, mode)
     rows = filter_all(df, spec, mode, index).select(*LOG_COLUMNS)
+    if spec.offset >= DEEP_OFFSET:
+        up = spec.order == "asc"
+        return page(rows, spec.limit, spec.offset, [F.col(c).asc() if up else F.col(c).desc() for c in ("added", "id")])
     return page(sort_added(rows, spec.order), spec.limit, spec.offset)
 
 
+SPEC = ("spec_id long, apps array<string>, min_level int, from_ts timestamp_ntz, to_ts timestamp_ntz, "
+        "lim long, off long, ord string, q string")
+
+
+def deep_page(df: DataFrame, spec: SearchSpec, cells: DataFrame | None = None) -> DataFrame:
+    """One viewer's page at any offset, from counts per hour, app and level."""
+    from logloom.operators.cells import history_by_cells
+
+    one = df.sparkSession.createDataFrame([(1, list(spec.apps), to_level_int(spec.level), spec.from_, spec.to, spec.limit,
+                                            spec.offset, spec.order, None)], SPEC)
+    if cells is not None:
+        cells = cells.withColumnRenamed("hour", "span").groupBy("span", "app", "level").agg(F.sum("n").alias("n"))
+    return history_by_cells(df, one, cells, unit="hour").orderBy("rank").select(*LOG_COLUMNS)
+
+
 # ---------------------------------------------------------------------------
 # A table of specs (one row per viewer) in one job.
 
@@ -111,10 +156,19 @@ def spec_matches(logs: DataFrame, specs: DataFrame, apply_text: bool = True, sta
     lim, off, ord). The log is scanned once. Only keys and spec ids fan out;
     the specs' other columns join them by spec_id. A row is split into words
     once, before the fan-out, and only when some spec has a text query, whose
-    words are split once per spec.
+    words are split once per spec. From ``MANY_TEXTS`` text queries on, their
+    words are joined with the rows' words instead (``text_matches``).
     """
     stats = stats or spec_stats(specs)
     text = apply_text and bool(stats["n_text"])
+    if text and int(stats["n_text"]) >= MANY_TEXTS:
+        from logloom.operators.postings import text_matches
+
+        pairs = text_matches(_envelope_filter(logs, stats), specs)
+        if int(stats["n_text"]) == int(stats["n_specs"]):
+            return pairs
+        plain = specs.where(~F.coalesce(F.length("q") >= MIN_QUERY_LENGTH, F.lit(False)))
+        return pairs.unionByName(spec_matches(logs, plain).select(*pairs.columns))
     logs = _envelope_filter(logs, stats).select(
         *LOG_COLUMNS, *([tokens(search_text()).alias("__words")] if text else []))
     about = specs.select("spec_id", "from_ts", "to_ts", "lim", "off", "ord", *([
@@ -147,15 +201,29 @@ def _order_keys() -> list[Column]:
     return [sign * F.unix_micros(F.col("added").cast("timestamp")), sign * F.col("id")]
 
 
+# Text queries from which on their words are a table that the rows' words join.
+MANY_TEXTS = 16
+# Viewers from which on pages are found by counting; fewer are cheaper row by row.
+MANY_VIEWERS = 256
+
+
 def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
     """Each spec's page of history in one job: rows ranked ``off < rank <= off+lim``
     by (added, id) in the spec's direction. Output: spec_id, rank, 12 columns.
 
     Pages up to the partial-limit threshold (1000 rows by default) use the
     map-side top-k tree; wider ones use an exact global rank. Neither gathers
-    a spec's matches into one task.
+    a spec's matches into one task. Both form every (spec, row) pair that
+    passes; from ``MANY_VIEWERS`` specs without a text query on, these are
+    answered from counts per day, app and level instead (``history_by_cells``).
     """
     stats = spec_stats(specs)
+    if int(stats["n_specs"]) - int(stats["n_text"]) >= MANY_VIEWERS:
+        from logloom.operators.cells import history_by_cells
+
+        has_text = F.coalesce(F.length("q") >= MIN_QUERY_LENGTH, F.lit(False))
+        plain = history_by_cells(logs, specs.where(~has_text))
+        return plain.unionByName(history_many(logs, specs.where(has_text))) if stats["n_text"] else plain
     m = spec_matches(logs, specs, stats=stats)
     hi = F.coalesce(F.col("off"), F.lit(0)) + F.coalesce(F.col("lim"), F.lit(0))
     lo = F.coalesce(F.col("off"), F.lit(0))

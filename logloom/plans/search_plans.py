@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import filters as flt
+from logloom.operators import postings as post
 from logloom.operators import search as srch
+from logloom.operators.cells import history_by_cells
 from logloom.operators.filters import SearchSpec
 from logloom.operators.ranking import range_rank
 from logloom.plans.oracle import (
@@ -241,6 +244,57 @@ def q_history_many_wide(spark, sf_dir):
     return srch.history_many(logs(spark, sf_dir), wide)
 
 
+# One viewer for every tenth row: its app and the next one (or all apps), a time
+# range from around the row, either order, pages at several offsets.
+CROWD_SQL = """
+s as (select id as spec_id,
+        case v % 3 when 0 then cast([] as varchar[]) else [app, concat('app', v % 7)] end as apps,
+        level as min_level, case when v % 4 > 0 then added - interval 90 minute end as from_ts,
+        case when v % 5 > 2 then added + cast(v % 300 as int) * interval 1 hour end as to_ts,
+        cast(v % 6 * 4 as int) as lim, cast(v % 8 * 9 as int) as off,
+        case when v % 2 = 0 then 'asc' else 'desc' end as ord, cast(null as varchar) as q
+      from (select *, id // 10 as v from logs where id % 10 = 1) t)"""
+
+
+def crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.floor(F.col("id") / 10)
+    hours = F.make_dt_interval(F.lit(0), (i % 300).cast("int"))
+    return logs(spark, sf_dir).where("id % 10 = 1").select(
+        F.col("id").alias("spec_id"),
+        F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(
+            F.array("app", F.concat(F.lit("app"), (i % 7).cast("string")))).alias("apps"),
+        F.col("level").alias("min_level"),
+        F.when(i % 4 > 0, F.col("added") - F.expr("interval 90 minutes")).alias("from_ts"),
+        F.when(i % 5 > 2, F.col("added") + hours).alias("to_ts"),
+        (i % 6 * 4).cast("int").alias("lim"), (i % 8 * 9).cast("int").alias("off"),
+        F.when(i % 2 == 0, "asc").otherwise("desc").alias("ord"), F.lit(None).cast("string").alias("q"))
+
+
+CROWD_PAGES_SQL = CROWD_SQL + SPECS_SQL[SPECS_SQL.index(",\nm as ("):]
+
+
+@query("history_many_viewers", f"""{cte('logs')},{CROWD_PAGES_SQL}
+select spec_id, rank, {LOG_COLS_SQL} from h""")
+def q_history_many_viewers(spark, sf_dir):
+    """The pages of a crowd of viewers, found by counts per day, app and level."""
+    return history_by_cells(logs(spark, sf_dir), crowd(spark, sf_dir))
+
+
+DEEP = SearchSpec(apps=("app0", "app1", "app3", "app6"), level="debug", from_=dt.datetime(2024, 1, 2), limit=70, order="asc")
+
+
+@query("history_search_deep", f"""{cte('logs')},
+hits as (select * from logs where app in ('app0', 'app1', 'app3', 'app6') and level in {levels_from_sql(20)}
+         and added >= {_ts(DEEP.from_)})
+select {LOG_COLS_SQL} from hits order by added, id limit 70 offset (select count(*) * 7 // 10 from hits)""")
+def q_history_search_deep(spark, sf_dir):
+    """A page behind seven tenths of a viewer's rows, through the table's
+    stored counts per hour."""
+    rows, path = logs(spark, sf_dir), store.materialized_view(spark, sf_dir, "logs")
+    hits = flt.filter_all(rows, DEEP).count()
+    return srch.deep_page(rows, dataclasses.replace(DEEP, offset=hits * 7 // 10), store.cell_counts(spark, path))
+
+
 INDEXED = SearchSpec(apps=(), level="info", from_=dt.datetime(2024, 1, 3), to=dt.datetime(2024, 1, 9), limit=40,
                      query=DOC_QUERY)
 
@@ -264,3 +318,60 @@ def q_token_index_appended(spark, sf_dir):
     for batch, keep in ((1, "id % 3 = 0"), (2, "id % 3 <> 0"), (2, "id % 3 <> 0")):
         flt.append_token_index(rows.where(keep), path, batch)
     return spark.read.parquet(path).select("token", "id")
+
+
+def log_postings(spark: SparkSession, sf_dir: str, name: str = "logs") -> DataFrame:
+    """The postings of a stored view, written once to the shared folder."""
+    src = store.materialized_view(spark, sf_dir, name)
+    path = src.rstrip("/") + "-postings"
+    if not path_exists(spark, f"{path}/batch=0/_SUCCESS"):
+        post.append_postings(store.scan_logs(spark, src), path, batch=0)
+    return post.read_postings(spark, path)
+
+
+HOT = SearchSpec(apps=("app1", "app2", "app6"), level="debug", to=dt.datetime(2024, 1, 27), limit=300, offset=20,
+                 query="purchase click unheard")
+
+
+@query("history_search_hot_words", f"""{cte('logs')}
+select {LOG_COLS_SQL} from logs where app in ('app1', 'app2', 'app6') and level in {levels_from_sql(20)}
+  and added <= {_ts(HOT.to)} and list_has_any({tokens_sql(search_text_sql())}, {tokens_sql(repr(HOT.query))})
+order by added desc, id desc limit 300 offset 20""")
+def q_history_search_hot_words(spark, sf_dir):
+    """A page of words held by large parts of the rows, through their newest blocks."""
+    return srch.history_search(logs(spark, sf_dir), HOT, postings=log_postings(spark, sf_dir))
+
+
+PREFIXES = SearchSpec(level="trace", from_=dt.datetime(2024, 1, 9), limit=200, order="asc", query="purch Runtime k7")
+
+
+@query("history_search_prefix", f"""{cte('logs')}
+select {LOG_COLS_SQL} from logs where level in {levels_from_sql(10)} and added >= {_ts(PREFIXES.from_)}
+  and len(list_filter({tokens_sql(search_text_sql())}, lambda t: starts_with(t, 'purch') or starts_with(t, 'runtime'))) > 0
+order by added, id limit 200""")
+def q_history_search_prefix(spark, sf_dir):
+    """A page of rows with words that start with a query word of three letters
+    or more, by key ranges of the index."""
+    return srch.history_search(logs(spark, sf_dir), PREFIXES, mode="prefix", postings=log_postings(spark, sf_dir))
+
+
+@query("search_prefix_indexed", f"""{cte('doc_logs')}
+select id, app, logger, level from doc_logs
+where len(list_filter({tokens_sql(search_text_sql())}, lambda t: starts_with(t, '{DOC_PREFIX}'))) > 0""")
+def q_search_prefix_indexed(spark, sf_dir):
+    """Every row with a word of a prefix, by a key range of the index."""
+    return post.search_postings(log_postings(spark, sf_dir, "doc_logs"), doc_logs(spark, sf_dir), DOC_PREFIX, "prefix") \
+               .select("id", "app", "logger", "level")
+
+
+# The crowd again, each with a text query: its row's event type and a word of no row.
+TEXT_CROWD_SQL = CROWD_SQL.replace("cast(null as varchar) as q", "concat(split_part(message, ' ', 1), ' nowhere') as q")
+
+
+@query("history_many_texts", f"""{cte('logs')},{TEXT_CROWD_SQL}{SPECS_SQL[SPECS_SQL.index(",\nm as ("):]}
+select spec_id, rank, {LOG_COLS_SQL} from h""")
+def q_history_many_texts(spark, sf_dir):
+    """The pages of a crowd of viewers who all search for words."""
+    rows = logs(spark, sf_dir).select(F.col("id").alias("spec_id"), F.concat(
+        F.split_part("message", F.lit(" "), F.lit(1)), F.lit(" nowhere")).alias("q"))
+    return srch.history_many(logs(spark, sf_dir), crowd(spark, sf_dir).drop("q").join(rows, "spec_id"))

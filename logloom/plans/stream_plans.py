@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 
 from logloom.operators.filters import SearchSpec
 from logloom.plans.ingest_plans import ACCEPTED_SQL, ENRICHED_COLS
@@ -61,17 +62,35 @@ def q_live_tail(spark, sf_dir):
     return spark.read.parquet(out).select("id", "app", "level")
 
 
-@query("history_then_tail", f"""{fixtures.duck_cte('logs')},
-page as (select id, added from logs where app in ('app2', 'app6') and level in (40, 50, 60)
-           and added >= timestamp '2024-01-20 00:00:00' order by added desc, id desc limit 50)
+# The rows stored when a viewer subscribes: the lower three quarters of the ids.
+MARK_SQL = "mark as (select max(id) * 3 // 4 as m from logs)"
+
+
+def partly_stored(spark, sf_dir, out: str) -> str:
+    """A table of the lower three quarters of the rows, the subscription's cut
+    in ``out``, then the next eighth appended behind it."""
+    rows, table = logs(spark, sf_dir), fresh_path(spark, "table")
+    mark = rows.agg(F.floor(F.max("id") * 3 / 4)).first()[0]
+    store.write_logs(rows.where(F.col("id") <= mark), table, batch=0)
+    st.hand_over(spark, table, out)
+    store.write_logs(rows.where((F.col("id") > mark) & (F.col("id") <= mark + mark // 6)), table, batch=1)
+    return table
+
+
+@query("history_then_tail", f"""{fixtures.duck_cte('logs')}, {MARK_SQL},
+page as (select id, added from logs, mark where id <= m and app in ('app2', 'app6') and level in (40, 50, 60)
+           and added >= timestamp '2024-01-20 00:00:00' order by added desc, id desc limit 50),
+head as (select row_number() over (order by added, id) as seq, 'events' as kind, id from page
+         union all select 1, 'noData', null where (select count(*) from page) = 0)
 select 0 as part, cast(1 as bigint) as seq, 'loading' as kind, cast(null as bigint) as id
-union all select 1, row_number() over (order by added, id), 'events', id from page
-union all select 2, null, 'events', id from logs where app in ('app2', 'app6') and level in (40, 50, 60)
-  and id not in (select id from page)""")
+union all select 1, seq, kind, id from head
+union all select 2, null, 'events', id from logs, mark where app in ('app2', 'app6') and level in (40, 50, 60) and id > m""")
 def q_history_then_tail(spark, sf_dir):
+    """Three quarters of the rows are stored when the viewer subscribes, an eighth
+    is stored before its history is read; the stream brings all rows again."""
     out, ckpt = fresh_path(spark, "htt"), fresh_path(spark, "ckpt")
-    _run(st.history_then_tail(logs(spark, sf_dir), logs_stream(spark, sf_dir), LIVE_SPEC, out, ckpt,
-                              available_now=True))
+    table = partly_stored(spark, sf_dir, out)
+    _run(st.history_then_tail(spark, table, logs_stream(spark, sf_dir), LIVE_SPEC, out, ckpt, available_now=True))
     return spark.read.parquet(f"{out}/head").unionByName(spark.read.parquet(f"{out}/tail"))
 
 
@@ -112,11 +131,19 @@ def q_route_stream(spark, sf_dir):
     return spark.read.parquet(out).select("spec_id", "id", "app", "level")
 
 
-@query("tail_many", f"""{ROUTE_SQL}
-select spec_id, id from live where (spec_id, id) not in (select spec_id, id from h)""")
+STORED_LOGS_SQL = ROUTE_SQL.replace("join logs l", "join stored l", 1).replace(
+    "\ns as (", f"\n{MARK_SQL},\nstored as (select logs.* from logs, mark where id <= m),\ns as (", 1)
+
+
+@query("tail_many", f"""{STORED_LOGS_SQL}
+select 1 as part, spec_id, id from h
+union all select 2, spec_id, id from live, mark where id > m""")
 def q_tail_many(spark, sf_dir):
-    """Every viewer's history page, then the live rows each has not seen."""
+    """Every viewer's history page of the stored rows, then the live rows
+    above it; the stream brings all rows again."""
     out, ckpt = fresh_path(spark, "tails"), fresh_path(spark, "ckpt")
-    _run(st.tail_many(logs(spark, sf_dir), logs_stream(spark, sf_dir).select("id", "app", "level"),
+    table = partly_stored(spark, sf_dir, out)
+    _run(st.tail_many(spark, table, logs_stream(spark, sf_dir).select("id", "app", "level"),
                       live_viewers(spark, sf_dir), out, ckpt, available_now=True))
-    return spark.read.parquet(f"{out}/tail").select("spec_id", "id")
+    history = spark.read.parquet(f"{out}/history").select(F.lit(1).alias("part"), "spec_id", "id")
+    return history.unionByName(spark.read.parquet(f"{out}/tail").select(F.lit(2).alias("part"), "spec_id", "id"))

@@ -25,13 +25,15 @@ LOGS = T.StructType([
     T.StructField("added", T.TimestampNTZType(), True),
 ])
 
-# On disk the table is partitioned by the UTC date of ``added``, then by ingest
-# batch: ``<table>/added_date=<yyyy-mm-dd>/batch=<n>/``, so a date filter prunes
-# before the batches of other dates are listed. A batch's folders are replaced
-# as a whole, so replaying a batch is idempotent.
+# On disk the table is ``<table>/write=<name>/added_date=<yyyy-mm-dd>/``: a write
+# fills a folder of its own, and the versions of the table say which day folders
+# are live (see sources/versions.py). Rows carry the number of their ingest
+# batch, so that a replayed batch is found inside a merged folder too.
 PARTITION_COLUMN = "added_date"
 BATCH_COLUMN = "batch"
+WRITE_COLUMN = "write"
 LOGS_STORED = T.StructType(list(LOGS.fields) + [
-    T.StructField(PARTITION_COLUMN, T.DateType(), True),
     T.StructField(BATCH_COLUMN, T.LongType(), True),
+    T.StructField(WRITE_COLUMN, T.StringType(), True),
+    T.StructField(PARTITION_COLUMN, T.DateType(), True),
 ])

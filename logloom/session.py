@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 LOCAL_CONF = {
@@ -149,6 +150,48 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+def list_times(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, time of last change in ms) of what is in a folder."""
+    fs, jpath = _fs(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file, whole."""
+    fs, jpath = _fs(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Create a small file, complete from the moment it can be seen; ``False``
+    if there is one of that name already. The rename that publishes it refuses
+    an existing target, on any file system that has an atomic rename."""
+    jvm = spark.sparkContext._jvm
+    fs, jpath = _fs(spark, path)
+    if fs.exists(jpath):
+        return False
+    draft = jvm.org.apache.hadoop.fs.Path(jpath.getParent(), f".draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jpath.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(context.makeQualified(draft), context.makeQualified(jpath), no_overwrite)
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def size_stamp(spark: SparkSession, path: str) -> str:
     """Sizes and times of a file, or of the files in a folder, so that a changed
     table is noticed on any file system."""

@@ -7,6 +7,7 @@ a restarted or retried micro-batch never duplicates output.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from logloom.operators.search import history_search
 from logloom.functions.levels import levels_at_least
 from logloom.functions.text import clean_name
 from logloom.schema import BATCH_COLUMN, PARTITION_COLUMN
-from logloom.session import list_names, path_exists, remove
+from logloom.session import create_once, list_names, path_exists, read_bytes, remove
 from logloom.sources import store
 
 
@@ -134,15 +135,35 @@ def history_head(logs: DataFrame, spec: SearchSpec) -> DataFrame:
     return loading.unionByName(nodata)
 
 
-def history_then_tail(logs: DataFrame, stream: DataFrame, spec: SearchSpec, out: str, checkpoint: str,
+def hand_over(spark: SparkSession, table: str, out: str) -> store.Cut:
+    """The point where a subscription's history ends and its tail begins: the
+    table's newest version when it is first asked for, kept with the output, so
+    a restarted subscription goes on from the same point."""
+    made = store.cut(spark, table)
+    if create_once(spark, f"{out}/_cut", json.dumps([made.version, made.high_id]).encode()):
+        return made
+    return store.Cut(*json.loads(read_bytes(spark, f"{out}/_cut")))
+
+
+def after_cut(stream: DataFrame, cut: store.Cut) -> DataFrame:
+    """The rows that came after the cut. The bound reaches the file scan, which
+    skips older files by their statistics."""
+    return stream.where(F.col("id") > cut.high_id)
+
+
+def history_then_tail(spark: SparkSession, table: str, stream: DataFrame, spec: SearchSpec, out: str, checkpoint: str,
                       available_now: bool = False) -> StreamingQuery:
-    """``loading``, history (or ``noData``), then live rows not already in the
-    history: the head is written once to ``out/head``; the tail streams into
-    ``out/tail`` through a stream-static anti join on id. ``part`` orders them."""
-    head = history_head(logs, spec)
-    head.write.mode("overwrite").parquet(f"{out}/head")
-    sent = head.where(F.col("id").isNotNull()).select("id")
-    tail = live_filter(stream, spec).join(sent, "id", "left_anti").select(
+    """``loading``, history (or ``noData``), then the rows stored after it. The
+    history (``out/head``) is read from one version of the table, the tail
+    (``out/tail``) takes the rows of ``stream`` with ids above that version's:
+    rows that were stored before and are not on the page never come as live
+    ones, rows stored between the two reads come once, and no page is looked up
+    for them. ``part`` orders head and tail."""
+    cut = hand_over(spark, table, out)
+    if not path_exists(spark, f"{out}/head/_SUCCESS"):
+        head = history_head(store.scan_logs(spark, table, version=cut.version), spec)
+        head.write.mode("overwrite").parquet(f"{out}/head")
+    tail = after_cut(live_filter(stream, spec), cut).select(
         F.lit(2).alias("part"), F.lit(None).cast("long").alias("seq"), F.lit("events").alias("kind"), "id")
     writer = (tail.writeStream.format("parquet").outputMode("append")
               .option("path", f"{out}/tail").option("checkpointLocation", checkpoint))
@@ -185,58 +206,85 @@ def tail_dedupe(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str
     return _start(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), available_now)
 
 
-# Published presence states kept; older ones are deleted.
-EPOCHS_KEPT = 3
+# Bases of the presence state kept, with the changes since; older ones are deleted.
+BASES_KEPT = 2
+# Changes may hold this many rows more than the base before a new base is written.
+CHANGES_SLACK = 1024
 
 
-def presence_merge(state: DataFrame | None, events: DataFrame) -> DataFrame:
-    """The presence state after some events: per connection id the join's seq
-    and app and the leave's seq. A connection that has joined and left is gone
-    from the state; a leave read before its join waits for it."""
-    new = events.groupBy("conn_id").agg(
+def presence_changes_of(events: DataFrame) -> DataFrame:
+    """What some events change, per connection: conn_id, app, joined_seq, left_seq."""
+    return events.groupBy("conn_id").agg(
         F.min_by("app", "seq").alias("app"),
         F.min(F.when(F.col("action") == JOINED, F.col("seq"))).alias("joined_seq"),
         F.max(F.when(F.col("action") != JOINED, F.col("seq"))).alias("left_seq"))
-    if state is not None:
-        new = state.unionByName(new).groupBy("conn_id").agg(
-            F.min_by("app", F.coalesce("joined_seq", "left_seq")).alias("app"),
-            F.min("joined_seq").alias("joined_seq"), F.max("left_seq").alias("left_seq"))
+
+
+def presence_merge(parts: DataFrame) -> DataFrame:
+    """A base and the changes since as one state. A connection that has joined
+    and left is gone from it; a leave read before its join waits for it."""
+    merged = parts.groupBy("conn_id").agg(
+        F.min_by("app", F.coalesce("joined_seq", "left_seq")).alias("app"),
+        F.min("joined_seq").alias("joined_seq"), F.max("left_seq").alias("left_seq"))
     gone = F.col("joined_seq").isNotNull() & F.col("left_seq").isNotNull() & (F.col("left_seq") > F.col("joined_seq"))
-    return new.where(~gone)
+    return merged.where(~gone)
+
 
+PRESENCE = "conn_id long, app string, joined_seq long, left_seq long"
 
-def _epochs(spark: SparkSession, folder: str) -> list[int]:
-    """Micro-batches whose folder is complete."""
-    found = [int(n.split("=")[1]) for n in list_names(spark, folder) if n.startswith("epoch=")]
-    return sorted(e for e in found if path_exists(spark, f"{folder}/epoch={e}/_SUCCESS"))
+
+def _epochs(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Micro-batches whose ``kind`` folder is complete."""
+    found = [int(n.split("=")[1]) for n in list_names(spark, folder) if n.startswith(f"{kind}=")]
+    return sorted(e for e in found if path_exists(spark, f"{folder}/{kind}={e}/_SUCCESS"))
+
+
+def presence_state(spark: SparkSession, out: str, upto: int | None = None) -> tuple[DataFrame, int | None, list[int]]:
+    """The newest base (of micro-batch ``upto`` at the latest) with the changes
+    since, unmerged; the base's micro-batch and those of the changes."""
+    bases = [e for e in _epochs(spark, f"{out}/state", "base") if upto is None or e <= upto]
+    base = bases[-1] if bases else None
+    changes = [e for e in _epochs(spark, f"{out}/state", "change")
+               if (base is None or e > base) and (upto is None or e <= upto)]
+    paths = [f"{out}/state/base={base}"] * (base is not None) + [f"{out}/state/change={e}" for e in changes]
+    state = spark.read.schema(PRESENCE).parquet(*paths) if paths else spark.createDataFrame([], PRESENCE)
+    return state, base, changes
 
 
 def presence_current(spark: SparkSession, out: str) -> DataFrame:
-    """The connected set that was published last: conn_id, app, joined_seq. A
-    set is complete before it can be read, and none is overwritten."""
-    epochs = _epochs(spark, f"{out}/state")
-    if not epochs:
-        return spark.createDataFrame([], "conn_id long, app string, joined_seq long")
-    state = spark.read.parquet(f"{out}/state/epoch={epochs[-1]}")
-    return state.where("joined_seq is not null").select("conn_id", "app", "joined_seq")
+    """The connected set after the last complete micro-batch: conn_id, app,
+    joined_seq. Folders are complete before they can be read, and none is
+    overwritten while it may be in use."""
+    merged = presence_merge(presence_state(spark, out)[0])
+    return merged.where("joined_seq is not null").select("conn_id", "app", "joined_seq")
 
 
 def presence_stream(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Every micro-batch publishes the full connected set, for
-    ``presence_current`` to read.
-
-    A micro-batch merges its events into the state of the one before and writes
-    the result to a folder of its own; events may arrive in any order across
-    micro-batches. The state holds the open connections only (and leaves that
-    wait for their join). A replayed micro-batch starts from the same state.
+    """Keeps the connected set for ``presence_current`` to read.
+
+    A micro-batch writes what its events change and nothing else; reading
+    merges the changes with the last base. When the changes since outgrow the
+    base, the merged state is written as a new one, which holds the open
+    connections only (and leaves that wait for their join), so what is written
+    follows the events. Events may arrive in any order across micro-batches; a
+    replayed micro-batch writes the same change again.
     """
     def each(events: DataFrame, epoch: int) -> None:
-        spark = events.sparkSession
-        before = [e for e in _epochs(spark, f"{out}/state") if e < epoch]
-        state = spark.read.parquet(f"{out}/state/epoch={before[-1]}") if before else None
-        presence_merge(state, events).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
-        for old in before[:-EPOCHS_KEPT]:
-            remove(spark, f"{out}/state/epoch={old}")
+        spark, state = events.sparkSession, f"{out}/state"
+        presence_changes_of(events).write.mode("overwrite").parquet(f"{state}/change={epoch}")
+        parts, base, changes = presence_state(spark, out, epoch)
+        held = spark.read.schema(PRESENCE).parquet(f"{state}/base={base}").count() if base is not None else 0
+        if parts.count() - held <= held + CHANGES_SLACK:  # row counts of the files' footers
+            return
+        presence_merge(parts).write.mode("overwrite").parquet(f"{state}/base={epoch}")
+        bases = _epochs(spark, state, "base")
+        if len(bases) <= BASES_KEPT:
+            return
+        oldest = bases[-BASES_KEPT]
+        for kind in ("base", "change"):
+            for old in _epochs(spark, state, kind):
+                if old < oldest:
+                    remove(spark, f"{state}/{kind}={old}")
 
     return _start(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), available_now)
 
@@ -251,30 +299,34 @@ def route_stream(stream: DataFrame, specs: DataFrame | Callable[[], DataFrame],
 
     ``specs`` may be a function that gives the viewers as they are now; it is
     called for every micro-batch, so viewers may come and go while it runs.
+    A table of sessions (with connected and disconnected event numbers) gives
+    each viewer what came while it was connected, whenever the micro-batch runs.
     The join is planned for each micro-batch from the viewers' current number.
     """
-    from logloom.operators.routing import route_events
+    from logloom.operators.routing import route_events, route_sessions
 
     def each(batch: DataFrame, epoch: int) -> None:
         viewers = specs() if callable(specs) else specs
-        route_events(batch, viewers).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        route = route_sessions if "connected" in viewers.columns else route_events
+        route(batch, viewers).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return _start(stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), available_now)
 
 
-def tail_many(logs: DataFrame, stream: DataFrame, specs: DataFrame, out: str, checkpoint: str,
+def tail_many(spark: SparkSession, table: str, stream: DataFrame, specs: DataFrame, out: str, checkpoint: str,
               available_now: bool = False) -> StreamingQuery:
-    """History then tail for a whole table of viewers: each viewer's history
-    page is written once to ``out/history``; the live fan-out, minus the rows
-    a viewer already got in its history (a stream-static anti join on
-    (spec_id, id)), streams into ``out/tail``."""
-    from logloom.operators.routing import live_minus_history, route_events
+    """History then tail for a whole table of viewers, with one cut for all:
+    each viewer's history page, of the version at the cut, is written once to
+    ``out/history``; the live fan-out of the rows above its mark streams into
+    ``out/tail``."""
+    from logloom.operators.routing import route_events
     from logloom.operators.search import history_many
 
-    history = history_many(logs, specs)
-    history.write.mode("overwrite").parquet(f"{out}/history")
-    sent = logs.sparkSession.read.parquet(f"{out}/history").select("spec_id", "id")
-    tail = live_minus_history(route_events(stream, specs), sent)
+    cut = hand_over(spark, table, out)
+    if not path_exists(spark, f"{out}/history/_SUCCESS"):
+        history = history_many(store.scan_logs(spark, table, version=cut.version), specs)
+        history.write.mode("overwrite").parquet(f"{out}/history")
+    tail = route_events(after_cut(stream, cut), specs)
     writer = (tail.writeStream.format("parquet").outputMode("append")
               .option("path", f"{out}/tail").option("checkpointLocation", checkpoint))
     return _start(writer, available_now)

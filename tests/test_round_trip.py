@@ -30,7 +30,7 @@ def run(q):
 
 
 def data_files(spark, path):
-    return spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    return store.read_stored(spark, path).select(F.input_file_name()).distinct().count()
 
 
 def test_ids_stay_unique_around_a_bulk_load(spark):
@@ -50,7 +50,6 @@ def test_small_appends_write_one_file_and_compact(spark):
     for b in range(6):
         ing.append_logs(events(spark, b, 10), path, batch=b, added=days[b % 2])
     assert data_files(spark, path) == 6
-    assert len(list_names(spark, f"{path}/_ids")) == 6
     before = sorted(map(tuple, store.scan_logs(spark, path).collect()))
     assert store.compact_logs(spark, path, DAY.date(), 4) == 3
     assert store.compact_logs(spark, path, DAY.date(), 4) == 0
@@ -60,15 +59,6 @@ def test_small_appends_write_one_file_and_compact(spark):
     assert "PartitionFilters: [isnotnull(added_date" in plan
 
 
-def test_marks_are_bounded(spark):
-    path = fresh_path(spark, "t")
-    for b in range(50):
-        store.write_mark(spark, path, b, 10 * b)
-    assert len(list_names(spark, f"{path}/_ids")) <= store.MARKS_KEPT + 1
-    assert ing.next_id_base(spark, path) == 490
-    assert ing.next_id_base(spark, path, exclude_batch=49) == 480
-
-
 def test_a_replayed_batch_on_another_day_leaves_nothing_behind(spark):
     path = fresh_path(spark, "t")
     ing.append_logs(events(spark, 1, 5), path, batch=1, added=DAY)
@@ -123,9 +113,35 @@ def test_presence_state_shrinks(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
         run(st.presence_stream(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
         assert {r.conn_id for r in st.presence_current(spark, out).collect()} == connected
-    last = max(int(n.split("=")[1]) for n in list_names(spark, f"{out}/state"))
-    assert spark.read.parquet(f"{out}/state/epoch={last}").count() == 0
-    assert len(list_names(spark, f"{out}/state")) <= st.EPOCHS_KEPT + 1
+    state, base, _ = st.presence_state(spark, out)
+    assert base is None and st.presence_merge(state).count() == 0
+
+
+def test_presence_bases_replace_changes(spark, monkeypatch):
+    """Bytes written follow the events: a base is written only when the changes
+    outgrow the one before, and holds open connections only."""
+    monkeypatch.setattr(st, "CHANGES_SLACK", 8)
+    inbox, out, ckpt = (fresh_path(spark, k) for k in ("in", "o", "c"))
+    schema, seq, bases = "seq long, conn_id long, app string, action string", 0, []
+    open_now = set()
+    for step in range(12):
+        rows = []
+        for conn in range(step * 5, step * 5 + 5):
+            rows.append((seq := seq + 1, conn, "a", "joined"))
+            open_now.add(conn)
+        for conn in [c for c in sorted(open_now) if c % 5 < 3 and c < step * 5]:
+            rows.append((seq := seq + 1, conn, "a", "left"))
+            open_now.discard(conn)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        run(st.presence_stream(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
+        assert {r.conn_id for r in st.presence_current(spark, out).collect()} == open_now
+        bases.append(st.presence_state(spark, out)[1])
+    written = [b for b in dict.fromkeys(bases) if b is not None]
+    assert 2 <= len(written) <= 6
+    names = list_names(spark, f"{out}/state")
+    assert sum(n.startswith("base=") for n in names) <= st.BASES_KEPT
+    assert min(int(n.split("=")[1]) for n in names) >= written[-2]
+    assert spark.read.parquet(f"{out}/state/base={written[-1]}").where("left_seq is not null").count() == 0
 
 
 def test_viewers_may_join_later(spark):
