@@ -36,13 +36,13 @@ SHARD_WORDS = 1 << 12
 KEY_LEVELS = 12
 LEAF_WORDS = 32
 
-Vector = tuple[int, ...]
+MOST = 255  # counts above are taken as this, which keeps every difference of one or less
 
 
-def vector(word: str) -> Vector:
+def vector(word: str) -> bytes:
     counts = [sum(map(word.count, g)) for g in GROUPS]
     counts.append(len(word) - sum(counts))
-    return tuple(counts)
+    return bytes([min(c, MOST) for c in counts])
 
 
 def _counts() -> list[Column]:
@@ -52,7 +52,7 @@ def _counts() -> list[Column]:
     rest = size
     for c in counts:
         rest = rest - c
-    return [*counts, rest]
+    return [F.least(c, F.lit(MOST)) for c in (*counts, rest)]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -82,12 +82,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Trie:
     """The words of a shard by the counts behind its key."""
 
-    def __init__(self, words: dict[str, Vector], depth: int):
+    def __init__(self, words: dict[str, bytes], depth: int):
         self.vectors = words
         self.depth = depth
         self.root = self._node(list(words.items()), depth)
 
-    def _node(self, items: list[tuple[str, Vector]], depth: int):
+    def _node(self, items: list[tuple[str, bytes]], depth: int):
         if len(items) <= LEAF_WORDS or depth == len(GROUPS) + 1:
             return [w for w, _ in items]
         below: dict[int, list] = {}
@@ -95,7 +95,7 @@ class Trie:
             below.setdefault(item[1][depth], []).append(item)
         return {count: self._node(part, depth + 1) for count, part in below.items()}
 
-    def near(self, word: str, own: Vector, surplus: int, deficit: int) -> Iterator[str]:
+    def near(self, word: str, own: bytes, surplus: int, deficit: int) -> Iterator[str]:
         """Words of the shard one edit from ``word`` and above it in (vector,
         word) order; the budgets are what the key has left."""
         half = (len(word) - 1) // 2  # one edit leaves the first or the last half of the word
@@ -122,24 +122,27 @@ class Trie:
                     nodes.append((below, depth + 1, surplus, 0))
 
 
-def _reached(own: Vector, levels: int) -> Iterator[Vector]:
+def _reached(own: bytes, levels: int) -> Iterator[bytes]:
     """Keys above a word's own that a surplus, then a deficit, lead to."""
     key = own[:levels]
     for i in range(levels):
-        more = (*key[:i], key[i] + 1, *key[i + 1:])
-        yield more
-        for j in range(i + 1, levels):
-            if key[j]:
-                yield (*more[:j], more[j] - 1, *more[j + 1:])
+        if key[i] < MOST:
+            more = bytearray(key)
+            more[i] += 1
+            yield bytes(more)
+            for j in range(i + 1, levels):
+                if key[j]:
+                    more[j] -= 1
+                    yield bytes(more)
+                    more[j] += 1
 
 
-def _named(key: Vector) -> str:
-    return ",".join(map(str, key))
+VISITS = ["shard", "visitor", "word", "n", "counts"]
 
 
 def _visits(words: DataFrame, levels: int) -> DataFrame:
-    """(shard, visitor, word, n): each word in its own shard, and as a visitor
-    in the others that its budget reaches."""
+    """(shard, visitor, word, n, counts): each word in its own shard, and as a
+    visitor in the others that its budget reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,12 +151,12 @@ def _visits(words: DataFrame, levels: int) -> DataFrame:
                 rows = []
                 for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     own = vector(word)
-                    rows.append((_named(own[:levels]), False, word, n))
-                    rows.extend((_named(key), True, word, n) for key in _reached(own, levels))
+                    rows.append((own[:levels], False, word, n, own))
+                    rows.extend((key, True, word, n, own) for key in _reached(own, levels))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "visitor", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], VISITS)
 
-    return words.select("word", "n").mapInArrow(run, "shard string, visitor boolean, word string, n long")
+    return words.select("word", "n").mapInArrow(run, "shard binary, visitor boolean, word string, n long, counts binary")
 
 
 def _levels(words: DataFrame, shard_words: int) -> tuple[int, int]:
@@ -179,7 +182,7 @@ def _in_blocks(visits: DataFrame, shard_words: int) -> DataFrame:
     own = F.pmod(F.xxhash64("word"), blocks)
     dealt = visits.join(large, "shard", "left").withColumn("own", own).withColumn(
         "block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select("shard", "block", (F.col("visitor") | (F.col("block") != F.col("own"))).alias("visitor"), "word", "n")
+    return dealt.select("shard", "block", (F.col("visitor") | (F.col("block") != F.col("own"))).alias("visitor"), "word", "n", "counts")
 
 
 NEAR = "word string, n_near long, best_n long, best string"
@@ -194,8 +197,8 @@ def _search(levels: int):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["word", "n_near", "best_n", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, key, trie = None, (), None
-        words: dict[str, Vector] = {}
+        place, trie = None, None
+        words: dict[str, bytes] = {}
         times: dict[str, int] = {}
         found: dict[str, list] = {}
 
@@ -208,7 +211,7 @@ def _search(levels: int):
                 if n > f[1] or n == f[1] and other < f[2]:
                     f[1], f[2] = n, other
 
-        def search(word: str, n: int, own: Vector, surplus: int, deficit: int) -> None:
+        def search(word: str, n: int, own: bytes, surplus: int, deficit: int) -> None:
             for other in trie.near(word, own, surplus, deficit):
                 meet(word, other, times[other])
                 meet(other, word, n)
@@ -220,23 +223,26 @@ def _search(levels: int):
                 search(word, times[word], own, 1, 1)
 
         for batch in batches:
-            for shard, block, visitor, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, block, visitor, word, n, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, block) != place:
                     if place is not None and trie is None:
                         built()
                     if found:
                         yield flush(found)
-                    place, key, trie = (shard, block), tuple(map(int, shard.split(","))), None
+                    place, trie = (shard, block), None
                     words, times, found = {}, {}, {}
                 if not visitor:
-                    words[word], times[word] = vector(word), n
+                    words[word], times[word] = own, n
                     continue
                 if not words:
                     continue
                 if trie is None:
                     built()
-                own = vector(word)
-                search(word, n, own, all(a >= b for a, b in zip(own, key)), all(a <= b for a, b in zip(own, key)))
+                key = own[:levels]
+                if key == shard:  # from another block of its own shard
+                    search(word, n, own, 1, 1)
+                else:  # the way here took the surplus, and the deficit if the sums are equal
+                    search(word, n, own, 0, sum(key) != sum(shard))
         if place is not None and trie is None:
             built()
         if found:
@@ -254,7 +260,7 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         visits = _in_blocks(write_once(visits, "visits"), shard_words)
     else:
         visits = visits.withColumn("block", F.lit(0))
-    laid = (visits.select("shard", "block", "visitor", "word", "n").repartition("shard", "block")
+    laid = (visits.select("shard", "block", "visitor", "word", "n", "counts").repartition("shard", "block")
             .sortWithinPartitions("shard", "block", "visitor"))
     parts = laid.mapInArrow(_search(levels), NEAR)
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("best")))
