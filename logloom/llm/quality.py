@@ -124,7 +124,8 @@ def rated(labels: DataFrame) -> DataFrame:
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED,
                 n_grades: int = GRADES) -> OrdinalModel:
-    """Fit on at most ``max_rated`` rated documents."""
+    """Fit on at most ``max_rated`` rated documents, the first by the hash of
+    their id, and on at most twice as many rows where ids repeat."""
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)  # bounded, so broadcast
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -135,9 +136,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED,
                 [batch.column("doc_id"), pa.array(batch.column("grade"), pa.int32()), pa.array(found, pa.list_(pa.int32()))],
                 ["doc_id", "grade", "found"])
 
-    # Repeated doc_ids may give a few rows more.
+    # Repeated doc_ids may give more rows; which of them count does not depend on the files.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.size("found"), F.xxhash64("found")]
     rows = (sample.select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
-            .mapInArrow(run, "doc_id long, grade int, found array<int>").limit(2 * max_rated).toArrow().sort_by("doc_id"))
+            .mapInArrow(run, "doc_id long, grade int, found array<int>").orderBy(*order).limit(2 * max_rated).toArrow())
     lists, grades = rows["found"].combine_chunks(), rows["grade"].to_numpy().astype(np.int64)
     return fit_ordinal(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), grades, n_grades)
 

@@ -51,6 +51,15 @@ def test_ordinal_thresholds_order_the_grades():
     assert expected == sorted(expected) and expected[3] - expected[0] > 1.5
 
 
+def test_quality_of_repeated_ids_does_not_follow_the_files(spark):
+    rows = [(i % 3, f"word{i % 7} text{i} " * (1 + i % 5)) for i in range(200)]
+    grades = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "doc_id long, grade int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [fit_quality(docs.repartition(n, "text"), grades, max_rated=10) for n in (1, 7)]
+    assert np.array_equal(models[0].thresholds, models[1].thresholds)
+    assert np.array_equal(models[0].score(np.arange(5)), models[1].score(np.arange(5)))
+
+
 def test_quality_of_awkward_rows(spark, awkward, no_documents):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (7, 1, 1), (7, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality_scores(awkward, labels)
