@@ -14,8 +14,8 @@ A batch is ``{"events": [...]}``. Each event is tried, in order, as:
    the reference's behaviour); ``legacy='lenient'`` takes its ``timeStamp``.
 
 A batch is all-or-nothing: one undecodable event rejects the whole message, and
-so does a blank ``app`` column where the batches carry one. An object that
-repeats a key is malformed (a lenient parser would take one of the values).
+so does a blank ``app`` column where the batches carry one. Of a key that an
+object repeats, the last value counts (a session setting, see session.py).
 Everything is a per-row projection over Spark's variant type: no shuffle, no
 Python.
 """

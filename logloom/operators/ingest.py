@@ -44,22 +44,11 @@ def assign_ids(rows: DataFrame, base: int, added: dt.datetime,
                   .drop("__rank"))
 
 
-def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | None = None,
+def append_rows(rows: DataFrame, path: str, batch: int, added: dt.datetime | None = None,
                 base: int | None = None, n_rows: int | None = None) -> DataFrame:
-    """Append enriched events (batch_id, pos, app, address, timestamp, message,
-    logger, thread, level, client, user_agent, stacktrace) as ingest batch
-    ``batch``: ids increase in (batch_id, pos) order, ``added`` is the ingest
-    time. An empty input writes no rows. Returns the rows as stored, read back
-    by id, with their batch_id and pos.
-
-    The rows become visible at once, with the table's next version. Replaying
-    the same ``batch`` replaces its rows, also inside a merged folder, so a
-    retried micro-batch never duplicates rows. If another batch is published
-    meanwhile, the ids are taken anew above its own (an error when the caller
-    gave ``base``). The batch is decoded once: unless the caller gives
-    ``n_rows`` (and holds the rows already), they are kept while they are
-    counted, laid out and written. Its size sets the number of files.
-    """
+    """Append as ``append_logs`` does, and return the rows as they were
+    stamped (batch_id, pos and the 12 columns), from their checkpoint; the
+    table is not read back."""
     spark = rows.sparkSession
     kept = None
     if n_rows is None:
@@ -77,8 +66,27 @@ def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | Non
                 raise
     if kept is not None:
         kept.unpersist()
-    keys = stamped.select("batch_id", "pos", "id")
-    return written_rows(read_batch(spark, path, batch), keys)
+    return stamped.select("batch_id", "pos", *LOG_COLUMNS)
+
+
+def append_logs(rows: DataFrame, path: str, batch: int, added: dt.datetime | None = None,
+                base: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """Append enriched events (batch_id, pos, app, address, timestamp, message,
+    logger, thread, level, client, user_agent, stacktrace) as ingest batch
+    ``batch``: ids increase in (batch_id, pos) order, ``added`` is the ingest
+    time. An empty input writes no rows. Returns the rows as stored, read back
+    by id, with their batch_id and pos.
+
+    The rows become visible at once, with the table's next version. Replaying
+    the same ``batch`` replaces its rows, also inside a merged folder, so a
+    retried micro-batch never duplicates rows. If another batch is published
+    meanwhile, the ids are taken anew above its own (an error when the caller
+    gave ``base``). The batch is decoded once: unless the caller gives
+    ``n_rows`` (and holds the rows already), they are kept while they are
+    counted, laid out and written. Its size sets the number of files.
+    """
+    stamped = append_rows(rows, path, batch, added, base, n_rows)
+    return written_rows(read_batch(rows.sparkSession, path, batch), stamped.select("batch_id", "pos", "id"))
 
 
 def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame:

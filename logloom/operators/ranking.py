@@ -9,7 +9,8 @@ Two strategies, both exact:
 * ``range_rank`` – a global rank per group from a range-partitioned sort:
   count rows per (group, partition), prefix-sum the counts per group (a tiny
   table), add the position inside the partition. No group is gathered.
-* ``range_cumsum`` – the same layout for a running sum of a value per group.
+* ``range_cumsum``, ``range_last`` – the same layout for a running sum, or the
+  last value so far, per group.
 """
 
 from __future__ import annotations
@@ -100,21 +101,26 @@ def range_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
     w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
     # Without groups the table has at most ``n`` rows (one per partition): a
-    # proven bound. With groups, count it first.
-    if not group or offsets.count() <= BROADCAST_MAX_ROWS:
+    # proven bound. With groups, its rows and bytes are checked first.
+    if not group or _small(offsets):
         offsets = F.broadcast(offsets)
     joined = laid.join(offsets, [*group, "__pid"])
     rank = F.col("__before") + (F.col("__pos") - F.col("__first")) + 1
     return joined.withColumn(rank_col, rank.cast("long")).drop("__pid", "__pos", "__first", "__before")
 
 
-def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: Column,
-                 out_col: str = "cumsum", num_partitions: int | None = None,
-                 checkpoint: bool = True) -> DataFrame:
-    """Running sum of ``value`` inside each group in ``order`` (inclusive),
-    at any group size: a range-partitioned sort, per-(group, partition) totals
-    prefix-summed in a tiny table, then a running sum inside each partition.
-    """
+def _small(df: DataFrame) -> bool:
+    from logloom.operators.joins import fits_broadcast
+
+    return fits_broadcast(df)
+
+
+def _running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: Column,
+             add, inclusive: bool, num_partitions: int | None, checkpoint: bool) -> DataFrame:
+    """A running ``add`` (an aggregate that composes: sum, max) of ``value``
+    inside each group in ``order``, at any group size: a range-partitioned sort,
+    per-(group, partition) totals composed in a tiny table, then a running
+    aggregate inside each partition. Null where there is nothing before."""
     order = _cols(order)
     n = num_partitions or _partitions(df)
     keys = [F.col(g) for g in group] + order
@@ -125,16 +131,40 @@ def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     if checkpoint:
         shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
         laid = laid.checkpoint(eager=True)
-    totals = laid.groupBy(*group, "__pid").agg(F.sum("__v").alias("__t"))
+    totals = laid.groupBy(*group, "__pid").agg(add("__v").alias("__t"))
     w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__before", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")
-    if not group or offsets.count() <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
+    offsets = totals.withColumn("__before", add("__t").over(w)).drop("__t")
     # Inside one (group, partition) slice the rows are already in order; the
     # window below is partitioned by the slice, which is bounded by the
     # partition size, never by the group size.
-    inner = Window.partitionBy(*group, "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    local = laid.withColumn("__run", F.sum("__v").over(inner))
-    joined = local.join(offsets, [*group, "__pid"])
-    return (joined.withColumn(out_col, F.col("__before") + F.col("__run"))
-                  .drop("__v", "__pid", "__pos", "__before", "__run"))
+    inner = Window.partitionBy(*group, "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    # Rows whose group is null are a group, too.
+    offsets = offsets.select(F.col("__pid").alias("__part"), "__before", *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)])
+    if not group or _small(offsets):
+        offsets = F.broadcast(offsets)
+    same = F.col("__pid") == F.col("__part")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    run = laid.withColumn("__run", add("__v").over(inner)).join(offsets, same)
+    return run.drop("__part", *[f"__g{i}" for i in range(len(group))])
+
+
+def range_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: Column,
+                 out_col: str = "cumsum", num_partitions: int | None = None,
+                 checkpoint: bool = True) -> DataFrame:
+    """Running sum of ``value`` inside each group in ``order`` (inclusive), at
+    any group size."""
+    run = _running(df, group, order, value, F.sum, True, num_partitions, checkpoint)
+    return (run.withColumn(out_col, F.coalesce("__before", F.lit(0)) + F.col("__run"))
+               .drop("__v", "__pid", "__pos", "__before", "__run"))
+
+
+def range_last(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: Column,
+               out_col: str = "last", num_partitions: int | None = None,
+               checkpoint: bool = True) -> DataFrame:
+    """The largest ``value`` of the rows before each row of its group in
+    ``order`` (null: none), at any group size. With a value that grows with the
+    order (a struct that starts with it), this is the last one that is not null."""
+    run = _running(df, group, order, value, F.max, False, num_partitions, checkpoint)
+    return (run.withColumn(out_col, F.greatest("__before", "__run"))
+               .drop("__v", "__pid", "__pos", "__before", "__run"))

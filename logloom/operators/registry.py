@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.labels import LANGUAGES
 from logloom.operators.joins import checked_join
+from logloom.operators.ranking import range_last
 from logloom.session import fresh_path
 
 # Outcome names of the registry operations.
@@ -84,6 +85,45 @@ def registry_remove(apps: DataFrame, names: DataFrame, logs: DataFrame) -> DataF
     return _table_rows(table).unionByName(_request_rows(outcome, F.col("status")))
 
 
+# The operations of a request log.
+ADD, UPDATE, REMOVE = "add", "update", "remove"
+
+
+def registry_apply(apps: DataFrame, requests: DataFrame, logs: DataFrame) -> DataFrame:
+    """Additions, updates and removals in one log (``requests``: seq, op, app,
+    password), each with the outcome it has after all earlier ones; then the
+    registry as the log leaves it. Unknown operations and requests without an
+    app have no outcome and change nothing.
+
+    A request maps the state of its app, absent or present with a hash, to the
+    next: an addition makes it present, a removal absent (unless the app has
+    logs), an update changes the hash only. Whether an app is present before a
+    request thus follows from the last addition or removal before it, a running
+    maximum over range partitions, so that an app with a third of all requests
+    is not gathered; its hash is that of the last request that took effect."""
+    facts = requests.select("app").distinct().join(logs.select("app").distinct(), "app", "left_semi").withColumn(
+        "has_logs", F.lit(True))
+    asked = checked_join(requests.select("seq", "op", "app", "password"), facts, ["app"], "left", salt_key=["seq"])
+    asked = with_known_apps(asked, apps, salt_key=["seq"]).withColumn("has_logs", F.coalesce("has_logs", F.lit(False)))
+    adds, removes = F.col("op") == ADD, (F.col("op") == REMOVE) & ~F.col("has_logs")
+    turn = F.when(adds | removes, F.struct(F.col("seq").alias("seq"), adds.alias("present")))
+    run = range_last(asked, ["app"], ["seq"], turn, "turn")
+    present = F.coalesce(F.col("turn.present"), F.col("known"))
+    status = (F.when(F.col("app").isNull(), F.lit(None))
+               .when(F.col("op") == ADD, F.when(present, ALREADY_EXISTS).otherwise(ADDED))
+               .when(F.col("op") == UPDATE, F.when(present, UPDATED).otherwise(DOES_NOT_EXIST))
+               .when(F.col("op") == REMOVE, F.when(~present, DOES_NOT_EXIST).when(F.col("has_logs"), HAS_LOGS).otherwise(REMOVED)))
+    path = fresh_path(requests.sparkSession, "registry")
+    run.select("seq", "app", "password", status.alias("status")).write.parquet(path)
+    done = requests.sparkSession.read.parquet(path)
+    set_ = F.col("status").isin(ADDED, UPDATED)
+    last = done.where(F.col("status").isin(ADDED, UPDATED, REMOVED)).groupBy("app").agg(
+        F.max_by("status", "seq").alias("last"), F.max_by("password", F.when(set_, F.col("seq"))).alias("password"))
+    table = apps.select("app", "pass_hash").join(last, "app", "full_outer").where(F.coalesce(F.col("last") != REMOVED, F.lit(True))).select(
+        "app", F.when(F.col("last").isNotNull(), pass_hash("app", "password")).otherwise(F.col("pass_hash")).alias("pass_hash"))
+    return _table_rows(table).unionByName(_request_rows(done, F.col("status")))
+
+
 def registry_rename(logs: DataFrame, renames: DataFrame) -> DataFrame:
     """Renaming an app cascades to its logs (``renames``: app, new_app)."""
     joined = checked_join(logs, renames.select("app", "new_app"), ["app"], "left")

@@ -69,6 +69,35 @@ def q_registry_remove(spark, sf_dir):
     return reg.registry_remove(added, names, logs(spark, sf_dir))
 
 
+# Apps 0 to 6 have logs, 7 to 16 have none; app5 is not registered.
+REQUESTS = """
+select id as seq, case (id * 7) % 10 when 0 then 'add' when 1 then 'add' when 2 then 'update' when 3 then 'update' when 4 then 'remove'
+  when 5 then 'remove' when 6 then 'add' when 7 then 'update' when 8 then 'remove' else 'check' end as op,
+  concat('app', cast(case when id % 3 = 0 then 9 else (id * 13) % 17 end as {V})) as app, concat('pw', cast(id as {V})) as password from {logs}"""
+
+
+@query("registry_apply", f"""{duck_with(['apps'], q=(REQUESTS, ['logs']))},
+f as (select q.*, q.app in (select app from apps) as known, q.app in (select app from logs) as has_logs from q),
+t as (select *, max(case when op = 'add' then seq * 2 + 1 when op = 'remove' and not has_logs then seq * 2 end)
+        over (partition by app order by seq rows between unbounded preceding and 1 preceding) as turn from f),
+p as (select *, case when turn is null then known else turn % 2 = 1 end as present from t),
+st as (select seq, app, password, case
+    when op = 'add' then case when present then 'AlreadyExists' else 'Added' end
+    when op = 'update' then case when present then 'Updated' else 'DoesNotExist' end
+    when op = 'remove' then case when not present then 'DoesNotExist' when has_logs then 'HasLogs' else 'Removed' end end as status from p),
+last as (select app, arg_max(status, seq) as last, arg_max(password, seq) filter (status <> 'Removed') as password
+         from st where status in ('Added', 'Updated', 'Removed') group by app)
+select 'table' as kind, coalesce(a.app, l.app) as app,
+  case when l.last is null then a.pass_hash else md5(concat(l.app, ':', l.password)) end as pass_hash,
+  cast(null as bigint) as seq, cast(null as varchar) as status
+from apps a full outer join last l on a.app = l.app where l.last is null or l.last <> 'Removed'
+union all select 'request', app, null, seq, status from st""")
+def q_registry_apply(spark, sf_dir):
+    """Additions, updates, removals and unknown operations in one log; a third
+    of them are for one app."""
+    return reg.registry_apply(apps(spark, sf_dir), spark_input(spark, sf_dir, REQUESTS, ["logs"]), logs(spark, sf_dir))
+
+
 RENAMES_SQL = "select * from (values ('app1', 'app1-renamed'), ('app3', 'three')) t(app, new_app)"
 
 

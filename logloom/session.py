@@ -15,14 +15,20 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-LOCAL_CONF = {
+# What every query relies on: UTC wall clock, and of a key that a JSON object
+# repeats, the last value.
+QUERY_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **QUERY_CONF,
 }
 
 
@@ -39,9 +45,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "log
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session settings every query relies on (UTC wall clock), and let
-    Python workers import the library from the folder the driver has it from."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the session settings every query relies on, and let Python workers
+    import the library from the folder the driver has it from."""
+    for key, value in QUERY_CONF.items():
+        spark.conf.set(key, value)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)

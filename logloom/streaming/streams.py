@@ -23,7 +23,7 @@ from logloom.operators.search import history_search
 from logloom.functions.levels import levels_at_least
 from logloom.functions.text import clean_name
 from logloom.schema import BATCH_COLUMN, PARTITION_COLUMN
-from logloom.session import create_once, list_names, path_exists, read_bytes, remove
+from logloom.session import create_once, list_names, partitions_for, path_exists, read_bytes, remove
 from logloom.sources import store
 
 
@@ -78,8 +78,9 @@ def ingest_stream(raw_stream: DataFrame, table: str, updates: str, checkpoint: s
             rejected.write.mode("overwrite").parquet(f"{updates}/_rejected/epoch={epoch}")
             rows = dec.enrich_source(dec.explode_decoded(decoded, [c for c in batch.columns if c != "raw"]))
             n = decoded.agg(F.sum(F.when(F.col("ok"), F.col("n_events")).otherwise(0))).first()[0] or 0
-            written = ing.append_logs(rows, table, batch=epoch, n_rows=int(n))
-            written.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
+            # The stamped rows are at hand: what is published is not read back from the table.
+            stored = ing.append_rows(rows, table, batch=epoch, n_rows=int(n))
+            stored.write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")
             if index is not None:
                 stored = batch.sparkSession.read.parquet(f"{updates}/epoch={epoch}")
                 append_token_index(store.with_partition_column(stored), index, batch=epoch)
@@ -173,33 +174,70 @@ def history_then_tail(spark: SparkSession, table: str, stream: DataFrame, spec:
 # ---------------------------------------------------------------------------
 # de-duplication and presence
 
+# Folders of keys that are merged into one of the next level.
+KEYS_MERGED = 32
+
+
+def _key_folders(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """The complete folders of an index of keys, by level, oldest first."""
+    levels: dict[int, list[str]] = {}
+    for name in sorted(list_names(spark, path), key=lambda n: int(n.split("-")[1])):
+        if path_exists(spark, f"{path}/{name}/_SUCCESS"):
+            levels.setdefault(int(name.split("-")[0]), []).append(name)
+    return levels
+
+
+def _add_keys(keys: DataFrame, path: str, epoch: int) -> None:
+    """Add a micro-batch's keys (with their batch) to the index, and merge a
+    level that is full into a folder of the next: each key is rewritten a
+    number of times that grows with the logarithm of the micro-batches."""
+    spark = keys.sparkSession
+    first = keys.columns[0]
+    keys.coalesce(1).sortWithinPartitions(first).write.mode("overwrite").parquet(f"{path}/0-{epoch}")
+    for level in range(64):
+        full = _key_folders(spark, path).get(level, [])
+        if len(full) < KEYS_MERGED:
+            return
+        rows = spark.read.parquet(*[f"{path}/{name}" for name in full]).distinct()
+        parts = partitions_for(spark, rows, floor=1)
+        (rows.repartitionByRange(parts, first).sortWithinPartitions(first)
+             .write.mode("overwrite").parquet(f"{path}/{level + 1}-{epoch}"))
+        for name in full:
+            remove(spark, f"{path}/{name}")
+
+
 def tail_dedupe(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("id",),
                 event_time: str = "added", available_now: bool = False) -> StreamingQuery:
-    """Every row once by ``keys``, however late or often it arrives.
-
-    A micro-batch keeps its rows that no other micro-batch has written to
-    ``out``. The rows already there are read from the days and the key range of
-    the batch only (``out`` is laid out by day, then micro-batch), so no state
-    is held and nothing is dropped for being late. A replayed micro-batch
-    replaces its own folders.
+    """Every row once by ``keys``, however late or often it arrives, and
+    whatever day it is of.
+
+    A micro-batch keeps its rows whose keys no other micro-batch has written.
+    The keys that were written are an index beside the rows (``out/_keys``), in
+    folders sorted by key that are merged level by level; a micro-batch reads
+    the key range it has itself, of that index only, so no state is held and
+    nothing is dropped for being late. ``out`` is laid out by day, then
+    micro-batch; a replayed micro-batch replaces its own folders, and its own
+    keys do not count.
     """
     keys = list(keys)
+    index = f"{out}/_keys"
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         day = F.coalesce(F.to_date(event_time), F.lit("1970-01-01").cast("date"))
         rows = batch.dropDuplicates(keys).withColumn(PARTITION_COLUMN, day).persist()
         try:
-            lo, hi, first, last = rows.agg(F.min(PARTITION_COLUMN), F.max(PARTITION_COLUMN), F.min(keys[0]), F.max(keys[0])).first()
-            if lo is None:
-                return
+            first, last = rows.agg(F.min(keys[0]), F.max(keys[0])).first()
             fresh = rows
-            if path_exists(spark, out) and any(n.startswith(f"{PARTITION_COLUMN}=") for n in list_names(spark, out)):
-                sent = spark.read.parquet(out)
-                sent = sent.where((F.col(BATCH_COLUMN) != epoch) & F.col(PARTITION_COLUMN).between(F.lit(lo), F.lit(hi))
-                                  & F.col(keys[0]).between(F.lit(first), F.lit(last)))
-                fresh = rows.join(sent.select(PARTITION_COLUMN, *keys), [PARTITION_COLUMN, *keys], "left_anti")
+            folders = [f"{index}/{name}" for names in _key_folders(spark, index).values() for name in names]
+            if folders and first is not None:
+                sent = spark.read.parquet(*folders).where(
+                    (F.col(BATCH_COLUMN) != epoch) & F.col(keys[0]).between(F.lit(first), F.lit(last)))
+                fresh = rows.join(sent.select(*keys), keys, "left_anti")
+            fresh = fresh.persist()
             store.replace_batch(fresh.select(*batch.columns, PARTITION_COLUMN), out, epoch)
+            _add_keys(fresh.select(*keys, F.lit(epoch).cast("long").alias(BATCH_COLUMN)), index, epoch)
+            fresh.unpersist()
         finally:
             rows.unpersist()
 

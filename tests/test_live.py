@@ -2,9 +2,12 @@
 see presence snapshots, apps authenticate; plus the driver contract."""
 
 import datetime as dt
+import hashlib
+import random
 
 from pyspark.sql import functions as F
 
+from logloom.operators import decode as dec
 from logloom.operators import ingest as ing
 from logloom.operators import presence as pr
 from logloom.operators import registry as reg
@@ -79,6 +82,47 @@ def test_credentials(spark):
     assert got == {("u", "pw"): True, ("u", "bad"): False, ("u1", "pw"): False}
 
 
+def test_one_log_of_registry_requests(spark):
+    """Every outcome, and the registry after it, equal applying the requests one by one."""
+    rng = random.Random(11)
+    known = {f"a{i}": f"h{i}" for i in range(4)}
+    with_logs = {"a1", "a2", "a7"}
+    requests = [(seq * 3, rng.choice(["add", "update", "remove", "remove", "check", None]), rng.choice(["a1", "hot", "hot", f"a{rng.randint(0, 9)}", None]),
+                 f"p{seq}") for seq in range(600)]
+    state, want = dict(known), []
+    for seq, op, app, password in requests:
+        new = hashlib.md5(f"{app}:{password}".encode()).hexdigest()
+        if app is None or op not in ("add", "update", "remove"):
+            continue
+        if op == "add":
+            outcome = "AlreadyExists" if app in state else "Added"
+            state.setdefault(app, new)
+        elif app not in state:
+            outcome = "DoesNotExist"
+        elif op == "update":
+            outcome, state[app] = "Updated", new
+        elif app in with_logs:
+            outcome = "HasLogs"
+        else:
+            outcome = "Removed"
+            del state[app]
+        want.append((seq, app, outcome))
+    out = reg.registry_apply(spark.createDataFrame(list(known.items()), "app string, pass_hash string"),
+                             spark.createDataFrame(rng.sample(requests, len(requests)), "seq long, op string, app string, password string"),
+                             spark.createDataFrame([(a,) for a in with_logs for _ in range(3)], "app string")).collect()
+    assert len([r for r in out if r.kind == "request"]) == len(requests)
+    assert sorted((r.seq, r.app, r.status) for r in out if r.kind == "request" and r.status) == want
+    assert {r.app: r.pass_hash for r in out if r.kind == "table"} == state
+    assert {w[2] for w in want} == {"Added", "AlreadyExists", "Updated", "DoesNotExist", "Removed", "HasLogs"}
+
+
+def test_the_last_value_of_a_repeated_key_counts(spark):
+    raw = ('{"events": [], "events": [{"message": 5, "message": "m", "loggerName": "l", "threadName": "t", "level": "bogus", '
+           '"level": "warn", "timestamp": 1, "timestamp": 1704067200000}]}')
+    rows = dec.decode_events(spark.createDataFrame([(1, raw)], "batch_id long, raw string")).collect()
+    assert [(r.message, r.level, r.timestamp) for r in rows] == [("m", 40, dt.datetime(2024, 1, 1))]
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 

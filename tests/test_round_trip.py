@@ -104,6 +104,31 @@ def test_tail_dedupe_keeps_late_rows(spark):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
 
 
+def test_tail_dedupe_across_days_and_replays(spark, monkeypatch):
+    """An id comes again with another time; the index of keys is merged; the
+    last micro-batch is replayed after its keys were merged."""
+    monkeypatch.setattr(st, "KEYS_MERGED", 3)
+    inbox, out, ckpt = (fresh_path(spark, k) for k in ("in", "o", "c"))
+    step = dt.timedelta(days=1)
+    batches = [[(1, DAY), (2, DAY)], [(1, DAY + step), (3, DAY)], [(9, DAY), (3, DAY - step)], [(2, DAY + 2 * step)],
+               [(4, None), (9, None)], [(5, DAY)], [(5, DAY + step), (6, DAY)], [(1, DAY), (7, DAY)], [(8, DAY)], [(8, DAY), (10, DAY)]]
+    for b in batches:
+        spark.createDataFrame(b, "id long, added timestamp_ntz").coalesce(1).write.mode("append").parquet(inbox)
+        run(st.tail_dedupe(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 11))
+    assert next(r for r in rows if r.id == 1).added == DAY
+    names = list_names(spark, f"{out}/_keys")
+    assert len(names) <= 6 and any(n.startswith("2-") for n in names)
+    # The last micro-batch again, with nothing of its commit left.
+    fs, last = spark.sparkContext._jvm.org.apache.hadoop.fs, len(batches) - 1
+    for name in (str(last), f".{last}.crc"):
+        path = fs.Path(f"{ckpt}/commits/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+    run(st.tail_dedupe(st.file_stream(spark, inbox, max_files=1), out, ckpt, available_now=True))
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(1, 11))
+
+
 def test_presence_state_shrinks(spark):
     inbox, out, ckpt = (fresh_path(spark, k) for k in ("in", "o", "c"))
     schema = "seq long, conn_id long, app string, action string"
