@@ -35,6 +35,8 @@ GROUPS = ("e", "n", "t", "a", "i", "r", "h", "s", "o", "d", "l", "u", "g", "c",
 SHARD_WORDS = 1 << 12
 KEY_LEVELS = 12
 LEAF_WORDS = 32
+# Words with results that a task holds before it gives them out.
+FOUND_WORDS = 1 << 16
 
 MOST = 255  # counts above are taken as this, which keeps every difference of one or less
 
@@ -243,6 +245,9 @@ def _search(levels: int):
                     search(word, n, own, 1, 1)
                 else:  # the way here took the surplus, and the deficit if the sums are equal
                     search(word, n, own, 0, sum(key) != sum(shard))
+                if len(found) >= FOUND_WORDS:  # summed up again behind the shuffle
+                    yield flush(found)
+                    found.clear()
         if place is not None and trie is None:
             built()
         if found:

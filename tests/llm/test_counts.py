@@ -97,7 +97,8 @@ def variants():
 
 
 @pytest.mark.parametrize("shard_words", [1 << 14, 3])
-def test_spelling_shards_and_blocks(spark, shard_words):
+def test_spelling_shards_and_blocks(spark, shard_words, monkeypatch):
+    monkeypatch.setattr(spelling, "FOUND_WORDS", 5)
     rows = variants()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups(rows)
