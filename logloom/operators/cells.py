@@ -92,6 +92,15 @@ def _touched(viewers: DataFrame, sums: DataFrame, unit: str) -> DataFrame:
               .drop("below", "above", "unsure")
 
 
+def _pruned(logs: DataFrame, touched: DataFrame) -> DataFrame:
+    """``logs`` without the days of no touched span, before any file is opened."""
+    if PARTITION_COLUMN not in logs.columns:
+        return logs
+    days = [r["d"] for r in touched.select(F.to_date("span").alias("d")).distinct().collect()]  # days of the table at most
+    untimed = F.col(PARTITION_COLUMN).isNull() if any(d.year == 1 for d in days) else F.lit(False)
+    return logs.where(F.col(PARTITION_COLUMN).isin([d for d in days if d.year > 1]) | untimed)
+
+
 def _ranked(logs: DataFrame, filters: DataFrame, touched: DataFrame, stats, unit: str) -> tuple[DataFrame, DataFrame]:
     """The rows of the touched spans with their rank per (filter, span) by time
     and id, and the viewers' time bounds with the number of rows before each
@@ -100,12 +109,11 @@ def _ranked(logs: DataFrame, filters: DataFrame, touched: DataFrame, stats, unit
 
     spans = touched.select("filter", "span").distinct()
     times = spans.select("span").distinct()
-    if PARTITION_COLUMN in logs.columns:  # whole days are pruned before any file is opened
-        days = [r["d"] for r in times.select(F.to_date("span").alias("d")).distinct().collect()]  # days of the table at most
-        untimed = F.col(PARTITION_COLUMN).isNull() if any(d.year == 1 for d in days) else F.lit(False)
-        logs = logs.where(F.col(PARTITION_COLUMN).isin([d for d in days if d.year > 1]) | untimed)
+    logs = _pruned(logs, touched)
     rows = checked_join(logs.withColumn("span", _span(_time(), unit)), times, ["span"], "left_semi")
-    matched = match_keys(rows.select("span", *LOG_COLUMNS), filters, stats).withColumnRenamed("spec_id", "filter")
+    # Only what is ranked by fans out to the filters; the other columns join the pages.
+    matched = match_keys(rows.select("span", "id", "added", "app", "level"), filters, stats).select(
+        F.col("spec_id").alias("filter"), "span", "id", "added")
     matched = checked_join(matched, spans, ["filter", "span"], "left_semi").withColumns(
         {"time": _time(), "side": F.lit(1)})
     marks = None
@@ -116,7 +124,7 @@ def _ranked(logs: DataFrame, filters: DataFrame, touched: DataFrame, stats, unit
     both = matched.unionByName(marks.distinct(), allowMissingColumns=True)
     ranked = range_cumsum(both, ["filter", "span"], ["time", "side", "id"],
                           F.when(F.col("side") == 1, 1).otherwise(0).cast("long"), "rank")
-    return (ranked.where("side = 1").drop("time", "side"),
+    return (ranked.where("side = 1").select("filter", "span", "id", "rank"),
             ranked.where("side <> 1").select("filter", "span", "time", "side", F.col("rank").alias("before")))
 
 
@@ -165,4 +173,7 @@ def history_by_cells(logs: DataFrame, specs: DataFrame, cells: DataFrame | None
     met = checked_join(pages, rows.withColumnRenamed("rank", "place"), ["filter", "span", "block"],
                        salt_key=("spec_id",), size=table_size(rows)).where("lo < place and place <= hi")
     rank = F.when(F.col("up"), F.col("zero") + F.col("place")).otherwise(F.col("zero") - F.col("place"))
-    return met.select("spec_id", rank.cast("long").alias("rank"), *LOG_COLUMNS)
+    met = met.select("spec_id", rank.cast("long").alias("rank"), "id")
+    shown = checked_join(_pruned(logs, touched).select(*LOG_COLUMNS), rows.select("id").distinct(), ["id"], "left_semi")
+    shown = _kept(shown, "shown")
+    return checked_join(met, shown, ["id"], salt_key=("spec_id",), size=table_size(shown)).select("spec_id", "rank", *LOG_COLUMNS)

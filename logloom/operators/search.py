@@ -204,7 +204,7 @@ def _order_keys() -> list[Column]:
 # Text queries from which on their words are a table that the rows' words join.
 MANY_TEXTS = 16
 # Viewers from which on pages are found by counting; fewer are cheaper row by row.
-MANY_VIEWERS = 256
+MANY_VIEWERS = 1024
 
 
 def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
