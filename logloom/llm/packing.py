@@ -3,12 +3,16 @@
 Documents are tokenized once into a table of two-byte ids; the same pass
 counts in how many documents each id occurs (one vector per task, summed over
 the vocabulary), so BM25 weights rest on the whole corpus. The inverted index
-is sharded: a shard is a run of documents of bounded token count in one task.
-In a shard each seed document queries the index with all its terms, and its
-unused neighbours fill its window in score order. A document that does not
-fit is cut, its rest seeds the next window, so every window but a shard's last
-is full; the last is cut into sequences whose lengths are powers of two, which
-need no padding.
+is sharded by content: documents are ordered by the rarest of their ids among
+those that at least a shard's worth of documents hold (behind these come ids
+that fewer documents share, the most held first), then by the next two, and a
+shard is a stretch of that order that holds a bounded number of tokens.
+Documents that share rare ids lie together, wherever they are stored, and the
+shards do not depend on files or partitions. In a shard each seed document
+queries the index with all its terms, and its unused neighbours fill its window
+in score order. A document that does not fit is cut, its rest seeds the next
+window, so every window but a shard's last is full; the last is cut into
+sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -22,15 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import text_of, write_once
+from logloom.llm.common import empty_like, text_of, write_once
 from logloom.llm.tokens import chunk_ids
+from logloom.operators.ranking import range_cumsum
 
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 4 << 20
-SHARD_DOCS = 1 << 16
+SHARD_DOCS = 1 << 16  # a document counts as shard_tokens / SHARD_DOCS ids at least
+MAX_TASKS = 1 << 14  # beyond so many shards a task packs several, one after the other
+ROUTE_TERMS = 3
 FIRST_NEIGHBOURS = 64  # sorted at first; more if they do not fill the window
 K1, B = 1.2, 0.75
+DENSE = 4  # ids held by one document in so many are a row of a matrix, the others a list
 VOCABULARY = 1 << 16
 STEP_TEXTS = 256
 
@@ -39,12 +47,13 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids, seen): a row per document with its ids, and a row per task
-    whose ``seen`` counts the task's documents that hold each id."""
+    """(rid, doc_id, ids, seen): a row per document with its number and its ids,
+    and a row per task whose ``seen`` counts the task's documents that hold each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = chunk_ids(tokenizer), np.array([end_id], "<u2").tobytes()
         seen = np.zeros(VOCABULARY, np.int64)
+        rid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_TEXTS):
                 part = batch.slice(at, STEP_TEXTS)
@@ -56,15 +65,16 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                 first = np.concatenate([[True], key[1:] != key[:-1]])
                 seen += np.bincount(key[first] & 0xFFFF, minlength=VOCABULARY)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
-                    ["doc_id", "ids", "seen"])
+                    [pa.array(np.arange(rid, rid + len(ids))), part.column(0), pa.array(ids, pa.binary()),
+                     pa.nulls(len(ids), pa.binary())], ["rid", "doc_id", "ids", "seen"])
+                rid += len(ids)
         if seen.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()])],
-                ["doc_id", "ids", "seen"])
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()])],
+                ["rid", "doc_id", "ids", "seen"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, seen binary")
+        run, "rid long, doc_id long, ids binary, seen binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +86,81 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "docs"])
 
 
+def _routes(docs: list[np.ndarray], rank: np.ndarray) -> np.ndarray:
+    """For each document the smallest ranks of its ids, most significant first, in one number."""
+    begin = np.cumsum([0] + [len(d) for d in docs[:-1]])
+    ranks, key = rank[np.concatenate(docs)], np.zeros(len(docs), np.int64)
+    for _ in range(ROUTE_TERMS):
+        least = np.minimum.reduceat(ranks, begin)
+        key = key << 16 | least
+        ranks[ranks == np.repeat(least, np.diff(np.append(begin, len(ranks))))] = VOCABULARY - 1
+    return key
+
+
+def _places(key, doc_id, digest, rid) -> np.ndarray:
+    """Places in the order of documents, as byte strings that compare alike."""
+    columns = np.stack([np.asarray(c, np.int64) for c in (key, doc_id, digest, rid)], axis=1)
+    return (columns.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view("S32").ravel()
+
+
+def sharded(table: DataFrame, seen: np.ndarray, mean_length: float, shard_tokens: int, end_id: int) -> DataFrame:
+    """(shard, doc_id, ids): the documents of a shard in one task, in order.
+
+    The order is total: routing ids, doc_id, digest of the ids, row number
+    (which tells only equal documents apart). The driver holds 32 bytes for every
+    ``shard_tokens`` ids of the corpus, the first place of each shard."""
+    spark = table.sparkSession
+    held = seen.copy()
+    held[end_id] = 0
+    shared, enough = np.flatnonzero(held > 1), shard_tokens / mean_length
+    rank = np.full(VOCABULARY, VOCABULARY - 1, np.int64)
+    few = held[shared] < enough
+    rank[shared[np.lexsort((np.where(few, -held[shared], held[shared]), few))]] = np.arange(len(shared))
+    ranks = spark.sparkContext.broadcast(rank.astype(np.uint16))  # one number per vocabulary id
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP_TEXTS):
+                part = batch.slice(at, STEP_TEXTS)
+                ids = [np.frombuffer(x, "<u2") for x in part.column(3).to_pylist()]
+                yield part, ids, _routes(ids, ranks.value)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, key in steps(batches):
+            size = [max(-(-shard_tokens // SHARD_DOCS), len(x)) for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns[:3], pa.array(size, pa.int64())],
+                                             ["key", "doc_id", "digest", "rid", "size"])
+
+    docs = table.where("ids is not null").select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("ids").alias("digest"), "rid", "ids",
+        F.col("doc_id").alias("own_id"))
+    small = docs.mapInArrow(keyed, "key long, doc_id long, digest long, rid long, size long")
+    order = ["key", "doc_id", "digest", "rid"]
+    summed = range_cumsum(small, [], order, F.col("size"), "upto")
+    first = (summed.groupBy(F.floor((F.col("upto") - F.col("size")) / shard_tokens).alias("shard"))
+                   .agg(F.min(F.struct(*order)).alias("p")).select("p.*").orderBy(*order).collect())
+    firsts = spark.sparkContext.broadcast(_places(*zip(*first)))
+    tasks = max(1, min(len(first), MAX_TASKS))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, key in steps(batches):
+            place = _places(key, *part.columns[:3])
+            shard = np.searchsorted(firsts.value, place, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard * tasks // len(first), pa.int32()), pa.array(shard), pa.array(key), *part.columns],
+                ["task", "shard", "key", "doc_id", "digest", "rid", "ids", "own_id"])
+
+    return (docs.mapInArrow(dealt, "task int, shard long, key long, doc_id long, digest long, rid long, ids binary, own_id long")
+                .repartitionById(tasks, "task").sortWithinPartitions("shard", *order)
+                .select("shard", F.col("own_id").alias("doc_id"), "ids"))
+
+
 class _Shard:
-    """BM25 index over some documents and the windows packed from them."""
+    """BM25 index over some documents and the windows packed from them.
+
+    The index holds the documents that were unused when it was last drawn up,
+    which is done again when a third of them are used. Ids that many of them
+    hold are rows of a matrix, the others lists of postings."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         lengths = np.array([len(d) for d in docs])
@@ -89,32 +172,53 @@ class _Shard:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         tf = np.diff(np.append(first, len(key)))
         key = key[first]
-        self.term, self.doc = key >> 16, (key & 0xFFFF).astype(np.int64)
-        norm = K1 * (1 - B + B * lengths[self.doc] / mean_length)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm)
-        self.begin = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
-        order = np.argsort(self.doc, kind="stable")
-        self.by_doc, self.doc_begin = order, np.searchsorted(self.doc[order], np.arange(self.count + 1))
+        term, doc = (key >> 16).astype(np.int64), (key & 0xFFFF).astype(np.int64)
+        norm = K1 * (1 - B + B * lengths[doc] / mean_length)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+        kept = weight > 0
+        term, doc, weight = term[kept], doc[kept], weight[kept]
+        order = np.argsort(doc, kind="stable")
+        self.own_terms, self.doc_begin = term[order], np.searchsorted(doc[order], np.arange(self.count + 1))
+        self._draw_up(np.arange(self.count), term, doc, weight)
+
+    def _draw_up(self, live: np.ndarray, term: np.ndarray, column: np.ndarray, weight: np.ndarray) -> None:
+        """Index the documents ``live``; postings name them by their number in it."""
+        self.live, self.term, self.column, self.weight = live, term, column, weight
+        held = np.bincount(term, minlength=VOCABULARY)
+        dense = np.flatnonzero(held * DENSE >= max(2, len(live)))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), len(live)), np.float32)
+        inside = self.row[term] >= 0
+        self.matrix[self.row[term[inside]], column[inside]] = weight[inside]
+        self.begin = np.concatenate([[0], np.cumsum(held)])
 
     def neighbours(self, seed: int, used: np.ndarray, tokens: int) -> np.ndarray:
         """Unused documents by score, then place: all, or as many as hold ``tokens``."""
-        own = self.by_doc[self.doc_begin[seed]:self.doc_begin[seed + 1]]
-        terms = np.sort(self.term[own[self.weight[own] > 0]])
-        begin, end = self.begin[terms], self.begin[terms + 1]
-        at = [slice(b, e) for b, e in zip(begin.tolist(), end.tolist()) if e - b > 1]  # a term of the seed alone finds nothing
-        if not at:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.weight[x] for x in at]), self.count)
-        score[used] = 0
+        taken = used[self.live]
+        if 3 * np.count_nonzero(taken) > len(self.live):
+            number = np.cumsum(~taken) - 1
+            stay = ~taken[self.column]
+            self._draw_up(self.live[~taken], self.term[stay], number[self.column[stay]], self.weight[stay])
+            taken = np.zeros(len(self.live), bool)
+        terms = self.own_terms[self.doc_begin[seed]:self.doc_begin[seed + 1]]
+        rows = self.row[terms]
+        score = self.matrix.take(rows[rows >= 0], axis=0).sum(axis=0)
+        lists = terms[rows < 0]
+        at = [slice(b, e) for b, e in zip(self.begin[lists].tolist(), self.begin[lists + 1].tolist()) if e > b]
+        if at:
+            score += np.bincount(np.concatenate([self.column[x] for x in at]),
+                                 np.concatenate([self.weight[x] for x in at]), len(self.live)).astype(np.float32)
+        score[taken] = 0
         found = np.flatnonzero(score > 0)
         best, first = found, FIRST_NEIGHBOURS
         while first < len(found):
             least = -np.partition(-score[found], first - 1)[first - 1]
             best = found[score[found] >= least]  # with all that tie
-            if self.lengths[best].sum() >= tokens:
+            if self.lengths[self.live[best]].sum() >= tokens:
                 break
             best, first = found, first * 4
-        return best[np.lexsort((best, -score[best]))]
+        return self.live[best[np.lexsort((best, -score[best]))]]
 
     def windows(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document, start, length) that fill a window exactly; the
@@ -176,7 +280,7 @@ def _powers(pieces: list[tuple[int, int, int]], window: int) -> Iterator[list[tu
 
 
 def bm25_pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID,
-              with_ids: bool = True) -> DataFrame:
+              with_ids: bool = True, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with ``with_ids``, ids (two bytes each).
 
@@ -193,14 +297,17 @@ def bm25_pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     totals = table.where("ids is not null").agg(
         F.count("*").alias("docs"), F.sum(F.octet_length("ids")).alias("size")).head()
     count, mean = totals["docs"], max(1.0, (totals["size"] or 0) / 2 / max(1, totals["docs"]))
-    idf = np.zeros(VOCABULARY)
+    if not count:
+        return empty_like(spark, PIECE + (", ids binary" if with_ids else ""))
+    held = np.zeros(VOCABULARY)
     for r in seen:
-        idf[r["id"]] = np.log1p((count - r["docs"] + 0.5) / (r["docs"] + 0.5))
+        held[r["id"]] = r["docs"]
+    idf = np.where(held > 0, np.log1p((count - held + 0.5) / (held + 0.5)), 0.0)
     idf[end_id] = 0.0
     shared = spark.sparkContext.broadcast(idf)  # one number per vocabulary id
 
-    def packed(doc_ids: list, ids: list[np.ndarray], base: int) -> tuple[pa.RecordBatch, int]:
-        rows, number = [], base
+    def packed(doc_ids: list, ids: list[np.ndarray], number: int) -> pa.RecordBatch:
+        rows = []
         for full in _Shard(ids, shared.value, mean).windows(window):
             size = sum(p[2] for p in full)
             for pieces in [full] if size == window else _powers(full, window):
@@ -213,23 +320,20 @@ def bm25_pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                 number += 1
         names = [c.split()[0] for c in PIECE.split(", ")] + ["ids"] * with_ids
         types = [pa.int64()] * 7 + [pa.binary()] * with_ids
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names), number
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        doc_ids, ids, held = [], [], 0
+        doc_ids, ids, current = [], [], None
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(x.as_py(), "<u2")
-                if ids and (held + len(found) > SHARD_TOKENS or len(ids) == SHARD_DOCS):
-                    out, number = packed(doc_ids, ids, number)
-                    yield out
-                    doc_ids, ids, held = [], [], 0
+            for shard, doc_id, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if ids and shard != current:
+                    yield packed(doc_ids, ids, current << 32)
+                    doc_ids, ids = [], []
+                current = shard
                 doc_ids.append(doc_id)
-                ids.append(found)
-                held += len(found)
+                ids.append(np.frombuffer(x, "<u2"))
         if ids:
-            yield packed(doc_ids, ids, number)[0]
+            yield packed(doc_ids, ids, current << 32)
 
-    return table.where("ids is not null").select("doc_id", "ids").mapInArrow(
+    return sharded(table, held, mean, shard_tokens, end_id).mapInArrow(
         run, PIECE + (", ids binary" if with_ids else ""))

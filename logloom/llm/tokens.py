@@ -2,11 +2,12 @@
 
 The tokenizer's pre-tokenizer never joins characters across a space or a line
 feed, and its normalizer treats both alike, so a text's ids are the ids of its
-space-separated chunks in a row. Each Python worker keeps the ids of chunks it
+space-separated chunks in a row; a tokenizer that does otherwise is refused. Each Python worker keeps the ids of chunks it
 has met in a dictionary bounded in bytes; only new chunks are tokenized. A
 chunk of Latin letters with punctuation behind them, which the pre-tokenizer
-cuts in two, goes to the tokenizer's model directly; any other chunk takes the
-whole tokenizer.
+cuts in two, goes to the tokenizer's model directly if that gives the whole
+tokenizer's ids for every such letter and mark; any other chunk takes the whole
+tokenizer.
 """
 
 from __future__ import annotations
@@ -46,6 +47,18 @@ class ChunkIds:
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.held = 0
+        self.direct = self._probe()
+
+    def _probe(self) -> bool:
+        """Whether the model alone spells letters and words before marks as the whole tokenizer does."""
+        whole = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if any(whole(f"ab,{gap}cd{gap}{gap}é") != whole("ab,") + whole("cd") + whole("é") for gap in " \n"):
+            raise ValueError("this tokenizer does not cut texts at spaces")
+        letters = [c for c in map(chr, range(ord(COMPOSED))) if c.isalpha() and c.lower().isalpha() and len(c.lower()) == 1]
+        alone = lambda word: [t.id for t in self.model.tokenize(
+            "".join(self.letters[b] for b in word.lower().encode()))]
+        return (all(whole(word) == alone(word) for c in letters for word in (c, f"T{c}on")) and
+                all(whole(f"One{mark}") == alone("One") + whole(mark) for mark in string.punctuation))
 
     def _keep(self, chunk: str, ids: bytes) -> None:
         self.known[chunk] = ids
@@ -70,7 +83,7 @@ class ChunkIds:
         for chunk in chunks:
             core = chunk.rstrip(string.punctuation)
             word = core.lower()
-            if word.isalpha() and len(word) == len(core) and core.isalpha() and max(core) < COMPOSED:
+            if self.direct and word.isalpha() and len(word) == len(core) and core.isalpha() and max(core) < COMPOSED:
                 ids = self._of_letters(word)
                 if len(core) < len(chunk):
                     tail = self.known.get(chunk[len(core):])

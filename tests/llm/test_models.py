@@ -136,6 +136,88 @@ def test_packing_fills_a_window_from_all_neighbours_and_terms():
     assert _Shard(docs, idf, 5.0).neighbours(0, np.arange(11) == 0, 900).tolist() == [10]
 
 
+def test_neighbours_are_those_of_plain_bm25():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.choice([*range(100, 130), *range(1000, 1400)], rng.integers(1, 60), p=[1 / 60] * 30 + [1 / 800] * 400), 2)
+            .astype("<u2") for _ in range(150)]
+    docs[40] = docs[7]
+    idf, mean = np.zeros(1 << 16), np.mean([len(d) for d in docs])
+    idf[100:1400] = rng.uniform(0.1, 8, 1300)
+    shard, used = _Shard(docs, idf, mean), np.zeros(len(docs), bool)
+    for seed in rng.permutation(len(docs)).tolist():
+        used[seed] = True
+        terms, score = set(docs[seed].tolist()) - {2}, {}
+        for i, d in enumerate(docs):
+            if used[i]:
+                continue
+            tf = Counter(d.tolist())
+            norm = 1.2 * (0.25 + 0.75 * len(d) / mean)
+            score[i] = sum(idf[t] * tf[t] * 2.2 / (tf[t] + norm) for t in terms & set(tf))
+        found = shard.neighbours(seed, used, 1 << 40).tolist()
+        assert sorted(found) == sorted(i for i, x in score.items() if x > 0)
+        got = [score[i] for i in found]
+        assert np.allclose(got, sorted(got, reverse=True), rtol=1e-5)
+        few = shard.neighbours(seed, used, 50).tolist()
+        assert few == found[:len(few)]
+    assert len(shard.live) < 50
+
+
+@pytest.fixture(scope="module")
+def many_shards(spark):
+    """Topics, copies of one text, empty texts, repeated rows, null ids, a text longer than a shard."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    words = rng.sample(sorted(w for w in Tokenizer.from_file(BPE).get_vocab() if len(w) > 5 and w.isascii() and w.isalpha()), 150)
+    topics = [words[t::5] for t in range(5)]
+    rows = [(i, " ".join(rng.choice(topics[i % 5]) for _ in range(rng.randint(5, 60)))) for i in range(150)]
+    rows += [(200 + i, rows[3][1]) for i in range(90)] + [(400 + i, "" if i % 2 else None) for i in range(40)]
+    rows += [rows[7]] * 12 + [(None, rows[8][1]), (None, "no id here")]
+    rows.append((900, " ".join(rng.choice(topics[2]) for _ in range(3000))))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def windows_of(pieces):
+    found = defaultdict(list)
+    for p in pieces:
+        found[p.sequence_id].append((p.offset, p.doc_id, p.start, p.length, p.ids_crc32))
+    return Counter(tuple(sorted(x, key=lambda r: r[0])) for x in found.values())
+
+
+def test_packing_does_not_depend_on_partitions(many_shards):
+    kinds = [packed(many_shards.repartition(n, "text") if n > 1 else many_shards.coalesce(1), window=512, shard_tokens=2000)[0]
+             for n in (1, 40)]
+    assert windows_of(kinds[0]) == windows_of(kinds[1])
+    shards = {p.sequence_id >> 32 for p in kinds[0]}
+    assert len(shards) >= 8
+    # All ids once, windows of one length but for the last ones of a shard.
+    sizes = defaultdict(int)
+    for p in kinds[0]:
+        sizes[p.sequence_id] += p.length
+    short = [n for n in sizes.values() if n < 512]
+    assert all(n & (n - 1) == 0 for n in short) and len(short) <= 9 * len(shards)
+    assert sum(p.length for p in kinds[0] if p.doc_id == 900) == next(p.doc_tokens for p in kinds[0] if p.doc_id == 900) > 2000
+
+
+def test_packing_finds_related_documents_in_other_files(many_shards):
+    pieces = bm25_pack(many_shards.repartition(16, "doc_id"), BPE, window=512, shard_tokens=2000).collect()
+    held = defaultdict(Counter)
+    for p in pieces:
+        if p.doc_id is not None and p.doc_id < 150:
+            held[p.sequence_id >> 32][p.doc_id % 5] += p.length
+    # Most of what shares a shard shares a topic: by place alone it would be a fifth.
+    assert sum(max(c.values()) for c in held.values()) > 0.6 * sum(sum(c.values()) for c in held.values())
+
+
+def test_a_tokenizer_that_joins_across_spaces_is_refused():
+    from logloom.llm.tokens import ChunkIds
+
+    assert ChunkIds(BPE).direct
+    with pytest.raises(ValueError):
+        ChunkIds(BPE.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
 def test_powers_cover_every_id():
     for total in (1, 2, 3, 100, 255):
         lists = list(_powers([(0, 0, total // 2), (1, 5, total - total // 2)], 256))
