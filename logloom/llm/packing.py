@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,34 +41,52 @@ FIRST_NEIGHBOURS = 64  # sorted at first; more if they do not fill the window
 K1, B = 1.2, 0.75
 DENSE = 4  # ids held by one document in so many are a row of a matrix, the others a list
 VOCABULARY = 1 << 16
-STEP_TEXTS = 256
+STEP_TEXTS, STEP_BYTES = 4096, 4 << 20  # worked on at once; a longer text by itself
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long")
 
 
+def _steps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with a bounded number of rows and of bytes in ``column``."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = int(np.searchsorted(upto, before + STEP_BYTES, side="right"))
+            end = min(max(end, at + 1), at + STEP_TEXTS)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """(rid, doc_id, ids, seen): a row per document with its number and its ids,
     and a row per task whose ``seen`` counts the task's documents that hold each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = chunk_ids(tokenizer), np.array([end_id], "<u2").tobytes()
+        tokens = chunk_ids(tokenizer)
         seen = np.zeros(VOCABULARY, np.int64)
         rid = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP_TEXTS):
-                part = batch.slice(at, STEP_TEXTS)
-                ids = [x + last for x in encode(part.column(1).to_pylist())]
-                # Each (text, id) once, by one sort of the step's ids.
-                key = np.frombuffer(b"".join(ids), "<u2").astype(np.uint32)
-                key |= np.repeat(np.arange(len(ids), dtype=np.uint32) << 16, [len(x) // 2 for x in ids])
-                key.sort()
-                first = np.concatenate([[True], key[1:] != key[:-1]])
-                seen += np.bincount(key[first] & 0xFFFF, minlength=VOCABULARY)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + len(ids))), part.column(0), pa.array(ids, pa.binary()),
-                     pa.nulls(len(ids), pa.binary())], ["rid", "doc_id", "ids", "seen"])
-                rid += len(ids)
+        for part in _steps(batches, 1):
+            plain, counts = tokens.flat(part.column(1))
+            upto = np.concatenate([[0], np.cumsum(counts + 1)])
+            ids = np.full(upto[-1], end_id, "<u2")
+            inside = np.ones(len(ids), bool)
+            inside[upto[1:] - 1] = False
+            ids[inside] = plain
+            # Each (text, id) once, by one sort of the step's ids.
+            key = ids.astype(np.uint32)
+            key |= np.repeat(np.arange(part.num_rows, dtype=np.uint32) << 16, counts + 1)
+            key.sort()
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            seen += np.bincount(key[first] & 0xFFFF, minlength=VOCABULARY)
+            held = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), part.num_rows, [None, pa.py_buffer(upto * 2), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(rid, rid + part.num_rows)), part.column(0), held.cast(pa.binary()),
+                 pa.nulls(part.num_rows, pa.binary())], ["rid", "doc_id", "ids", "seen"])
+            rid += part.num_rows
         if seen.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()])],
@@ -119,11 +138,9 @@ def sharded(table: DataFrame, seen: np.ndarray, mean_length: float, shard_tokens
     ranks = spark.sparkContext.broadcast(rank.astype(np.uint16))  # one number per vocabulary id
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP_TEXTS):
-                part = batch.slice(at, STEP_TEXTS)
-                ids = [np.frombuffer(x, "<u2") for x in part.column(3).to_pylist()]
-                yield part, ids, _routes(ids, ranks.value)
+        for part in _steps(batches, 3):
+            ids = [np.frombuffer(x, "<u2") for x in part.column(3).to_pylist()]
+            yield part, ids, _routes(ids, ranks.value)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, key in steps(batches):
@@ -134,7 +151,8 @@ def sharded(table: DataFrame, seen: np.ndarray, mean_length: float, shard_tokens
     docs = table.where("ids is not null").select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("ids").alias("digest"), "rid", "ids",
         F.col("doc_id").alias("own_id"))
-    small = docs.mapInArrow(keyed, "key long, doc_id long, digest long, rid long, size long")
+    # Written, as the sort reads its input twice.
+    small = write_once(docs.mapInArrow(keyed, "key long, doc_id long, digest long, rid long, size long"), "routes")
     order = ["key", "doc_id", "digest", "rid"]
     summed = range_cumsum(small, [], order, F.col("size"), "upto")
     first = (summed.groupBy(F.floor((F.col("upto") - F.col("size")) / shard_tokens).alias("shard"))

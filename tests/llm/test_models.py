@@ -218,6 +218,20 @@ def test_a_tokenizer_that_joins_across_spaces_is_refused():
         ChunkIds(BPE.replace("word_bpe_49k", "byte_bpe_50k"))
 
 
+def test_ids_are_the_whole_tokenizers():
+    from tokenizers import Tokenizer
+
+    from logloom.llm.tokens import ChunkIds
+
+    rng, whole, ours = random.Random(6), Tokenizer.from_file(BPE), ChunkIds(BPE)
+    letters = "abIT\u0307\u0301!?:; Z.\n\n  ,é中ßİſ'\t\r  🙂0-<|"
+    texts = ["", " ", "\n"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [x + rng.choice(["<|endoftext|>", "<|EndOfText|>"]) + x for x in texts[:100]]
+    want = [np.array(e.ids, "<u2").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x for at in range(0, len(texts), 50) for x in ours(texts[at:at + 50])] == want
+    assert ours([]) == []
+
+
 def test_powers_cover_every_id():
     for total in (1, 2, 3, 100, 255):
         lists = list(_powers([(0, 0, total // 2), (1, 5, total - total // 2)], 256))
