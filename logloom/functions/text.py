@@ -35,6 +35,14 @@ def tokens(c: Column | str, stopwords: Sequence[str] = DEFAULT_STOPWORDS,
     return F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
 
 
+def distinct_tokens(c: Column | str, stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> Column:
+    """The distinct words of a text without stop words, words below the minimum
+    length (and an empty one) among them: without a lambda, so it is compiled.
+    To be cut by ``length >= MIN_TOKEN_LENGTH`` once the words are rows."""
+    words = F.split(F.lower(_col(c)), WORD_SPLIT)
+    return F.array_except(words, F.array(*[F.lit(w) for w in stopwords])) if stopwords else F.array_distinct(words)
+
+
 def search_text(columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
     """The indexed columns joined by spaces (nulls skipped)."""
     return F.concat_ws(" ", *[F.col(c) for c in columns])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import DEFAULT_LEVEL, levels_at_least, to_level_int
-from logloom.functions.text import DEFAULT_STOPWORDS, MIN_TOKEN_LENGTH, SEARCH_COLUMNS, search_text, tokens
+from logloom.functions.text import DEFAULT_STOPWORDS, MIN_TOKEN_LENGTH, SEARCH_COLUMNS, distinct_tokens, search_text, tokens
 from logloom.schema import PARTITION_COLUMN
 
 # The paging and search constants of the reference.
@@ -199,17 +199,17 @@ def token_index(df: DataFrame, stopwords: Sequence[str] = DEFAULT_STOPWORDS) ->
     can prune the log table's partitions)."""
     extra = [F.col(PARTITION_COLUMN)] if PARTITION_COLUMN in df.columns else []
     return df.select(
-        F.explode(F.array_distinct(tokens(search_text(), stopwords))).alias("token"),
+        F.explode(distinct_tokens(search_text(), stopwords)).alias("token"),
         F.col("id"), *extra,
-    )
+    ).where(F.length("token") >= MIN_TOKEN_LENGTH)
 
 
 def write_token_index(index: DataFrame, path: str, num_files: int | None = None) -> None:
     """Store the index range-partitioned and sorted by token, so a lookup of a
     few tokens reads only the row groups whose token range covers them."""
     if num_files is None:
-        from logloom.session import partitions_for
-        num_files = partitions_for(index.sparkSession, index)
+        from logloom.session import INDEX_PARTITION_BYTES, partitions_for
+        num_files = partitions_for(index.sparkSession, index, target_bytes=INDEX_PARTITION_BYTES)
     (index.repartitionByRange(num_files, "token", "id").sortWithinPartitions("token", "id")
           .write.mode("overwrite").parquet(path))
 
@@ -218,11 +218,11 @@ def append_token_index(rows: DataFrame, path: str, batch: int) -> None:
     """Add the words of newly stored ``rows`` (with their date partition) to the
     index at ``path`` as one batch, laid out by date like the log table and
     sorted by token within each file. A replayed batch replaces its own part."""
-    from logloom.session import partitions_for
+    from logloom.session import INDEX_PARTITION_BYTES, partitions_for
     from logloom.sources.store import replace_batch
 
     index = token_index(rows)
-    parts = partitions_for(index.sparkSession, rows, floor=1)
+    parts = partitions_for(index.sparkSession, rows, floor=1, target_bytes=INDEX_PARTITION_BYTES)
     replace_batch(index.repartitionByRange(parts, PARTITION_COLUMN, "token", "id")
                        .sortWithinPartitions(PARTITION_COLUMN, "token", "id"), path, batch)
 
