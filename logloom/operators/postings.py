@@ -15,14 +15,14 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.text import DEFAULT_STOPWORDS, search_text, tokens
+from logloom.functions.text import DEFAULT_STOPWORDS, MIN_TOKEN_LENGTH, distinct_tokens, search_text, tokens
 from logloom.operators.filters import (
     MIN_QUERY_LENGTH, SearchSpec, _and, apps_predicate, level_predicate, query_words, search_gate_value, time_predicate,
 )
 from logloom.operators.joins import checked_join
 from logloom.operators.ranking import range_rank
 from logloom.schema import LOG_COLUMNS, PARTITION_COLUMN
-from logloom.session import fresh_path, partitions_for
+from logloom.session import INDEX_PARTITION_BYTES, fresh_path, partitions_for
 
 BLOCK = 1024
 # Blocks whose bounds give the first horizon; the next one takes GROWTH times as many.
@@ -32,13 +32,24 @@ GROWTH = 4
 ROW_GROUP_BYTES = 4 << 20
 
 
+def _index_parts(df: DataFrame) -> int:
+    """Partitions of the rows' words, so that a task's share of them is bounded
+    whatever the table's size."""
+    return partitions_for(df.sparkSession, df, floor=1, target_bytes=INDEX_PARTITION_BYTES)
+
+
 def postings(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """(token, block, n, lo, hi, rows): the rows of each word in blocks of
     (added, id) order. A word is ranked over range partitions, so that one held
     by a third of all rows is never gathered; a block is a bounded group."""
-    words = df.select(F.explode(F.array_distinct(tokens(search_text()))).alias("token"), "added", "id", "app", "level")
-    ranked = range_rank(words, ["token"], ["added", "id"], "place")
-    return ranked.groupBy("token", F.floor((F.col("place") - 1) / block).alias("block")).agg(
+    words = df.select(F.explode(distinct_tokens(search_text())).alias("token"), "added", "id", "app", "level").where(
+        F.length("token") >= MIN_TOKEN_LENGTH)
+    spark, parts = df.sparkSession, _index_parts(df)
+    ranked = range_rank(words, ["token"], ["added", "id"], "place",
+                        max(parts, partitions_for(spark, df, floor=int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # Dealt by range before the blocks are made: they are grouped and stored where they lie.
+    placed = ranked.withColumn("block", F.floor((F.col("place") - 1) / block)).repartitionByRange(parts, "token", "block")
+    return placed.groupBy("token", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("added").alias("lo"), F.max("added").alias("hi"),
         F.sort_array(F.collect_list(F.struct("added", "id", "app", "level"))).alias("rows"))
 
@@ -46,9 +57,7 @@ def postings(df: DataFrame, block: int = BLOCK) -> DataFrame:
 def append_postings(df: DataFrame, path: str, batch: int, block: int = BLOCK) -> None:
     """Write the postings of newly stored rows as one batch of the index at
     ``path``, sorted by word; a replayed batch replaces its own."""
-    found = postings(df, block)
-    parts = partitions_for(df.sparkSession, df, floor=1)
-    (found.repartitionByRange(parts, "token", "block").sortWithinPartitions("token", "block")
+    (postings(df, block).sortWithinPartitions("token", "block")
           .write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/batch={batch}"))
 
 
