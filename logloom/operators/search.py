@@ -215,7 +215,8 @@ def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
     map-side top-k tree; wider ones use an exact global rank. Neither gathers
     a spec's matches into one task. Both form every (spec, row) pair that
     passes; from ``MANY_VIEWERS`` specs without a text query on, these are
-    answered from counts per day, app and level instead (``history_by_cells``).
+    answered from counts per day, app and level instead (``history_by_cells``),
+    and from ``MANY_TEXTS`` text queries on these are, per word (``history_by_words``).
     """
     stats = spec_stats(specs)
     if int(stats["n_specs"]) - int(stats["n_text"]) >= MANY_VIEWERS:
@@ -224,6 +225,26 @@ def history_many(logs: DataFrame, specs: DataFrame) -> DataFrame:
         has_text = F.coalesce(F.length("q") >= MIN_QUERY_LENGTH, F.lit(False))
         plain = history_by_cells(logs, specs.where(~has_text))
         return plain.unionByName(history_many(logs, specs.where(has_text))) if stats["n_text"] else plain
+    if int(stats["n_text"]) >= MANY_TEXTS:
+        from logloom.operators.cells import history_by_words
+
+        # Viewers that come more than once share their pages: pair by pair below.
+        twice = specs.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("spec_id")
+        some = not twice.isEmpty()
+        once = specs.join(twice, "spec_id", "left_anti") if some else specs
+        has_text = F.coalesce(F.length("q") >= MIN_QUERY_LENGTH, F.lit(False))
+        out = history_by_words(logs, once.where(has_text))
+        if int(stats["n_specs"]) > int(stats["n_text"]):
+            out = out.unionByName(history_many(logs, once.where(~has_text)))
+        if not some:
+            return out
+        again = specs.join(twice, "spec_id", "left_semi")
+        return out.unionByName(_history_by_pairs(logs, again, spec_stats(again)))
+    return _history_by_pairs(logs, specs, stats)
+
+
+def _history_by_pairs(logs: DataFrame, specs: DataFrame, stats) -> DataFrame:
+    """The pages out of every (spec, row) pair that passes."""
     m = spec_matches(logs, specs, stats=stats)
     hi = F.coalesce(F.col("off"), F.lit(0)) + F.coalesce(F.col("lim"), F.lit(0))
     lo = F.coalesce(F.col("off"), F.lit(0))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.levels import LEVEL_INTS
-from logloom.operators import cells, postings as post, presence as pr, routing as rt, search as srch
+from logloom import session as flt_session
+from logloom.operators import cells, joins, postings as post, presence as pr, routing as rt, search as srch
 from logloom.operators import ingest as ing
 from logloom.operators.filters import SearchSpec, query_words
 from logloom.schema import LOG_COLUMNS
@@ -237,6 +238,23 @@ def test_many_text_viewers_join_words(spark, logs, monkeypatch):
     assert got == sorted(map(tuple, srch.history_many(logs, specs).collect())) and len(got) > 300
 
 
+def test_an_index_is_dealt_by_its_words(spark, logs, tmp_path, monkeypatch):
+    """A task sorts a bounded share of the words, however well the rows compress."""
+    from logloom.operators import filters as flt
+
+    monkeypatch.setattr(flt_session, "INDEX_PARTITION_BYTES", 4096)
+    monkeypatch.setattr(post, "INDEX_PARTITION_BYTES", 4096)
+    dated = store.with_partition_column(logs)
+    post.append_postings(logs, str(tmp_path / "postings"), 0, block=16)
+    flt.append_token_index(dated, str(tmp_path / "appended"), 0)
+    flt.write_token_index(flt.token_index(logs), str(tmp_path / "written"))
+    for name in ("postings", "appended", "written"):
+        assert len(list((tmp_path / name).rglob("*.parquet"))) > 12, name
+    want = sorted({(w, r[0]) for r in rows_of() for w in query_words(f"{r[1]} {r[2]} {r[4]} {r[5]} {r[6]}")})
+    for name in ("appended", "written"):
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).select("token", "id").collect())) == want
+
+
 # -- presence sets and sessions
 
 
@@ -270,6 +288,27 @@ def test_members_after_any_event(spark, segment_events):
     assert stored <= len(rows) and spark.read.parquet(f"{path}/deltas").count() == len(rows) and peak > 20
 
 
+def test_sets_are_not_regrouped(spark):
+    """Only what is stored is shuffled, not a row for each member of each set."""
+    rows, path = connections(3000), fresh_path(spark, "p")
+    events = spark.createDataFrame(rows, "seq long, conn_id long, app string, action string")
+    pr.write_presence_log(events, path, 100)
+    out = pr.members_at(spark, path, events.select("seq"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "asked" not in [p for line in plan.splitlines() if "hashpartitioning" in line for p in line.split("hashpartitioning(")[1].split("#")]
+    assert out.count() > 10 * spark.read.parquet(f"{path}/deltas").count()
+    assert sum(r.joined_seq == r.conn_id for r in out.collect()) == out.count()
+
+
+def test_a_repeated_event_is_asked_once(spark):
+    rows = [(s, c, "u", a) for s, c, a in ((1, 1, "joined"), (2, 2, "joined"), (3, 1, "left")) for _ in range(2)]
+    path = fresh_path(spark, "p")
+    events = spark.createDataFrame(rows, "seq long, conn_id long, app string, action string")
+    pr.write_presence_log(events, path, 1)
+    assert sorted(map(tuple, pr.members_at(spark, path, events.select("seq")).collect())) == [
+        (1, 1, "u", 1), (2, 1, "u", 1), (2, 2, "u", 2), (3, 2, "u", 2)]
+
+
 def test_snapshots_of_one_connection(spark):
     """No source, one source, no source."""
     path = fresh_path(spark, "p")
@@ -311,6 +350,24 @@ def test_a_session_is_cut_into_few_cells(spark):
         assert sorted(places) == list(range(r.a, r.b)) and len(r.c) <= 4 * 16
 
 
+def test_sessions_past_a_broadcast_are_not_copied(spark, monkeypatch):
+    """A session has few cells among many events, and no copies of them when they are shuffled."""
+    rng = random.Random(11)
+    spans = [(s, s % 9, lo, lo + rng.choice([1, 1500, 9000]), [[], ["a"]][s % 2], 10, 0, None)
+             for s, lo in enumerate(rng.randint(0, 60_000) for _ in range(400))]
+    events = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("app"), F.lit(30).alias("level"))
+    sessions = spark.createDataFrame(spans, SESSION)
+    assert rt.session_keys(sessions, 0, 59_999, rt.CELL_EVENTS).count() <= 15 * len(spans)
+    want = rt.route_sessions(events, sessions).groupBy("session_id").count().collect()
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
+    out = rt.route_sessions(events, sessions)
+    assert "__salt" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(out.groupBy("session_id").count().collect()) == sorted(want) and len(want) > 300
+    got = {r.session_id: r["count"] for r in want}
+    for s, _, lo, hi, apps, *_ in spans:
+        assert got.get(s, 0) == sum(not apps or i % 3 == 0 for i in range(lo + 1, min(hi, 59_999) + 1))
+
+
 def test_sessions_meet_events_in_an_equi_join(spark):
     events = spark.createDataFrame([(1, "a", 30)], "id long, app string, level int")
     out = rt.route_sessions(events, spark.createDataFrame([(1, 1, 0, None, ["a"], 10, 0, None)], SESSION))
