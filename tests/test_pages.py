@@ -368,6 +368,20 @@ def test_sessions_past_a_broadcast_are_not_copied(spark, monkeypatch):
         assert got.get(s, 0) == sum(not apps or i % 3 == 0 for i in range(lo + 1, min(hi, 59_999) + 1))
 
 
+def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Few rows make many pairs: the tasks follow the pairs. Rows that come twice, without an app or a number, and more columns."""
+    monkeypatch.setattr(rt, "PAIRS_PER_TASK", 10_000)
+    rng = random.Random(13)
+    events = [(rng.choice([None, *range(6000)]), rng.choice([None, "a", "b"]), rng.choice([10, 40, None, 45]), f"m{i % 50}") for i in range(3000)]
+    spans = [(s, s % 9, rng.choice([None, rng.randint(-5, 5900)]), None, rng.choice([[], ["a"], ["b", "b", "a"]]), rng.choice([10, 30, None]), 0, None)
+             for s in range(200)]
+    out = rt.route_sessions(spark.createDataFrame(events, "id long, app string, level int, message string"), spark.createDataFrame(spans, SESSION))
+    assert out.rdd.getNumPartitions() >= 20
+    want = [(s, v, i, a, lev, m) for s, v, lo, _, apps, least, _, _ in spans for i, a, lev, m in events
+            if i is not None and i > (-1 if lo is None else lo) and (not apps or a in apps) and lev in LEVEL_INTS and lev >= (least or 10)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want)) and len(want) > 50_000
+
+
 def test_sessions_meet_events_in_an_equi_join(spark):
     events = spark.createDataFrame([(1, "a", 30)], "id long, app string, level int")
     out = rt.route_sessions(events, spark.createDataFrame([(1, 1, 0, None, ["a"], 10, 0, None)], SESSION))
