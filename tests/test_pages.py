@@ -2,6 +2,7 @@
 plain Python over the same rows."""
 
 import datetime as dt
+import itertools
 import random
 from collections import Counter
 
@@ -319,6 +320,40 @@ def test_snapshots_of_one_connection(spark):
     assert pr.members_at(spark, f"{path}-0", events.select("seq")).collect() == []
 
 
+def test_members_come_in_runs(spark, monkeypatch):
+    """A connection's rows come together, by event, in slices of segments dealt to many tasks."""
+    monkeypatch.setattr(pr, "STAYS_PER_TASK", 50)
+    monkeypatch.setattr(pr, "SLICE", 16)
+    rng, rows, live = random.Random(12), [], {}
+    for seq in range(900):
+        if live and rng.random() < 0.4:
+            c = rng.choice(sorted(live))
+            rows.append((seq, c, live.pop(c), "left"))
+        else:
+            live[seq] = f"app{seq % 3}"
+            rows.append((seq, seq, live[seq], "joined"))
+    path = fresh_path(spark, "p")
+    events = spark.createDataFrame(rows, "seq long, conn_id long, app string, action string")
+    pr.write_presence_log(events, path, 64)
+    out = pr.members_at(spark, path, events.where("seq % 3 = 0").select("seq"))
+    assert out.rdd.getNumPartitions() >= len(rows) // 50
+    want, live = [], {}
+    for seq, c, app, action in rows:
+        if action == "joined":
+            live[c] = app
+        else:
+            live.pop(c)
+        want += [(seq, x, a, x) for x, a in live.items() if seq % 3 == 0]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    for part in out.rdd.glom().collect():
+        runs = [list(g) for _, g in itertools.groupby(part, key=lambda r: r.conn_id)]
+        assert all(a.seq < b.seq for run in runs for a, b in zip(run, run[1:]))
+        assert len(runs) <= len(part) / 3 or len(part) < 20
+    monkeypatch.setattr(pr, "LIST_EVENTS", 7)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
+    assert sorted(map(tuple, pr.members_at(spark, path, events.where("seq % 3 = 0").select("seq")).collect())) == sorted(want)
+
+
 SESSION = "session_id long, spec_id long, connected long, disconnected long, apps array<string>, min_level int, off int, q string"
 
 
